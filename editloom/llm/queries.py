@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from editloom.llm import near_dedup
+from editloom.llm import mixing, near_dedup, token_output
 
 QUERIES = {
+    "op2_token_output": token_output.op2_token_output,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_mixing": mixing.op5_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixing": mixing.OP5_SQL,
+}
