@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from editloom.llm import mixing, near_dedup, token_output
+from editloom.llm import mixing, near_dedup, packing, token_output, url_filter, warc
 
 QUERIES = {
     "op2_token_output": token_output.op2_token_output,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op8_packing": packing.op8_packing,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
 }
