@@ -118,7 +118,8 @@ def candidates(reps: DataFrame, threshold: int, coordinates: int = COORDINATES,
 
 def verified(groups: DataFrame, docs: DataFrame, percent: int, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that span the links within ``groups`` (doc_id, cluster): 100 * shared >= percent * joint."""
-    texts = groups.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+    # By merge at any size: what is small here on a small table is not bounded on a large one.
+    texts = groups.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
     units = block_units(texts, "cluster", "doc_id", block, "near").select("cluster", "unit_i", "unit_j", "doc_id", "text")
     keys = ["cluster", "unit_i", "unit_j"]
 
