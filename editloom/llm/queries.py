@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from editloom.llm import mixing, near_dedup, packing, token_output, url_filter, warc
+from editloom.llm import fingerprint, mixing, near_dedup, packing, quality, token_output, toxicity, url_filter, vector_dedup, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_token_output": token_output.op2_token_output,
+    "op3_quality": quality.op3_quality,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
+    "op10_vector_dedup": vector_dedup.op10_vector_dedup,
 }
 
 ORACLE: dict[str, str] = {
