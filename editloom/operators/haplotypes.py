@@ -138,7 +138,7 @@ def compare_conditions(haps: DataFrame, key: str = "site") -> DataFrame:
     pairs = a.join(b, key).where("c1 < c2").select(key, "c1", "c2", F.array_intersect("k1", "k2").alias("shared")).where("size(shared) > 0")
     sides = []
     for i in (1, 2):
-        part = rows.join(pairs, (rows[key] == pairs[key]) & (rows["condition"] == pairs[f"c{i}"])).select(pairs[key], "c1", "c2", F.map_filter("hap", lambda k, v: F.array_contains("shared", k)).alias("h"), "count")
+        part = rows.withColumnRenamed("condition", f"c{i}").join(pairs, [key, f"c{i}"]).select(key, "c1", "c2", F.map_filter("hap", lambda k, v: F.array_contains("shared", k)).alias("h"), "count")
         sums = part.groupBy(key, "c1", "c2", hap_text(F.col("h")).alias("hap_key")).agg(F.sum("count").alias("n"))
         sides.append(sums.withColumn(f"f{i}", F.col("n") / F.sum("n").over(Window.partitionBy(key, "c1", "c2"))).drop("n"))
     full = sides[0].join(sides[1], [key, "c1", "c2", "hap_key"], "full").na.fill(0.0, ["f1", "f2"])
