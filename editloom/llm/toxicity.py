@@ -30,6 +30,7 @@ from editloom.llm.quality import fold, labelled
 
 SAMPLE, FEATURES, LEAST, ODDS, CUT, FOLDS = 6_000, 4_096, 4, 3.0, 0.7, 3
 STEPS, RIDGE, FAIRNESS = 400, 1e-3, 10.0
+STEP_ROWS = 128  # rows whose features are held at once
 #: Terms that name groups, by kind; a swap takes the next of its kind.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"),
@@ -41,6 +42,12 @@ _TERMS = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r"
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(i, STEP_ROWS)
+
+
 def swapped(text: str) -> list[tuple[str, str]]:
     """The sentences that name a group, each with its terms swapped."""
     out = []
@@ -100,7 +107,8 @@ class Classifier:
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.empty:
             return np.zeros(len(column))
-        raw = np.array([self.weights[at].sum() for at in self.find(word_marks(column))]) + self.bias
+        found = (at for i in range(0, len(column), STEP_ROWS) for at in self.find(word_marks(column.slice(i, STEP_ROWS))))
+        raw = np.array([self.weights[at].sum() for at in found]) + self.bias
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
@@ -111,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = C
     rows = save(labelled(docs, labels, "toxic", sample), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             label = batch.column(1).to_numpy()
             found = word_marks(batch.column(0))
             sizes = [len(f) for f in found]
@@ -130,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = C
     blank = Classifier(marks, [], np.zeros(0, bool), [])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = blank.find(word_marks(batch.column(1)))
             out = list(zip(batch.column(0).to_pylist(), [0] * len(at), batch.column(2).to_pylist(), at))
