@@ -59,11 +59,8 @@ def indel_batch_effects(indels: DataFrame, conditions: DataFrame, alpha: float =
     seen = rows.select("condition", "site").distinct().join(F.broadcast(conditions.select("condition", "batch")), "condition")
     kinds = rows.select("site", *SIGNATURE).distinct()
     pairs = kinds.join(seen, "site")
-    same = [pairs["condition"] == rows["condition"], pairs["site"] == rows["site"], *[pairs[c].eqNullSafe(rows[c]) for c in SIGNATURE]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    full = pairs.join(rows, on, "left").select(pairs["site"], *[pairs[c] for c in SIGNATURE], pairs["condition"], pairs["batch"], F.coalesce(rows["frequency"], F.lit(0.0)).alias("frequency"))
+    full = _null_safe(pairs, rows.select("condition", "site", *SIGNATURE, "frequency"), ["condition", "site", *SIGNATURE], "left")
+    full = full.withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
     keys = ["site", *SIGNATURE]
     batches = full.groupBy(*keys, "batch").agg(F.count("*").alias("n"), F.avg("frequency").alias("m"), F.stddev_pop("frequency").alias("sd"), F.max("frequency").alias("top"))
     lone = F.max((F.col("n") == 1) & (F.col("top") > 0))
@@ -75,13 +72,13 @@ def indel_batch_effects(indels: DataFrame, conditions: DataFrame, alpha: float =
     return tests, found.where((F.col("batch_mean") >= F.col("level")) | (F.col("batch_mean") >= least)).drop("level")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null keys match null keys."""
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys match null keys; the left side's keys stay."""
     other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
-        on = on & left[k].eqNullSafe(other[f"__{k}"])
-    return left.join(other, on).drop(*[f"__{k}" for k in keys])
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
 
 
 def adjust_ratio(ratios: DataFrame, coefficients: DataFrame, key: str, value: str) -> DataFrame:

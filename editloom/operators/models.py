@@ -115,18 +115,18 @@ def classification_metrics(df: DataFrame, label: str, score: str, by: list[str])
     p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
     sums = rows.groupBy(*by).agg(
         F.sum("__y").alias("n1"), F.sum(1 - F.col("__y")).alias("n0"), F.sum(F.col("__y") * F.col("__rank")).alias("r1"),
-        F.sum(F.col("__y") * F.col("__hits") / F.col("__seen")).alias("ap"), -F.avg(F.col("__y") * F.ln(p) + (1 - F.col("__y")) * F.ln(1 - p)).alias("cross_entropy"),
+        F.sum(F.col("__y") * F.col("__hits") / F.col("__seen")).alias("ap"), (-F.avg(F.col("__y") * F.ln(p) + (1 - F.col("__y")) * F.ln(1 - p))).alias("cross_entropy"),
     )
     return sums.select(*by, F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"), F.try_divide(F.col("ap"), F.col("n1")).alias("average_precision"), "cross_entropy")
 
 
-def covariate_model(y: DataFrame, steps: int = 60, step_size: float = 0.05, every: int = 10, folder: str | None = None) -> DataFrame:
+def covariate_model(y: DataFrame, steps: int = 60, step_size: float = 0.05, folder: str | None = None) -> DataFrame:
     """Mean activity as a_condition**2 * e_editor,mutation**2 + b_batch,mutation**2 + g**2, fitted by full-batch
     Adam on squared error. ``y``: condition, editor, batch, mutation, value. Rows out: kind, key, value, step.
 
     Parameters are one table of (kind, key). A step joins the data with each kind, sums gradients by key with
-    map-side combining and moves the parameters in a projection; every ``every`` steps they are written to the
-    shared folder, which keeps lineage short and survives lost executors."""
+    map-side combining, moves the parameters in a projection and writes them to the shared folder: a step reads
+    them five times, so lineage must not reach further back, and a lost executor costs no earlier step."""
     spark = y.sparkSession
     kinds = {"a": F.col("condition"), "e": F.concat_ws("|", "editor", "mutation"), "b": F.concat_ws("|", "batch", "mutation"), "g": F.lit("all")}
     data = y.where(F.col("value").isNotNull()).select("value", *[k.alias(f"key_{n}") for n, k in kinds.items()])
@@ -150,8 +150,7 @@ def covariate_model(y: DataFrame, steps: int = 60, step_size: float = 0.05, ever
             .select("kind", "key", "p", (0.9 * F.col("m") + 0.1 * F.col("slope")).alias("m"), (0.999 * F.col("v") + 0.001 * F.pow("slope", 2)).alias("v"))
             .withColumn("p", F.col("p") - step_size * fix * F.col("m") / (F.sqrt("v") + 1e-8))
         )
-        if step % every == 0 or step == steps:
-            params = _written(params, f"{folder}/step-{step}")
+        params = _written(params, f"{folder}/step-{step}")
     return params.select("kind", "key", F.col("p").alias("value"))
 
 

@@ -1 +1,118 @@
-"""Queries."""
+"""Queries over features, fits and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from editloom.functions import seq
+from editloom.operators import counts, models, stats
+from editloom.plans import positions as pq
+from editloom.plans.registry import query, rounded
+from editloom.plans.summaries import HASH
+from editloom.sources.fixtures import Source, oracle
+
+RADIUS = 5
+DATA = pq.DENSE + """,
+data AS (SELECT f.condition, f.site, CAST(f.idx AS INT) AS idx, f.count / f.total AS frequency, substr(seq, CAST(f.idx - 4 AS INT), 5) || substr(seq, CAST(f.idx + 2 AS INT), 5) AS context,
+  CASE WHEN """ + HASH.format(x="'0|' || f.condition || '_' || f.site || '_' || f.idx") + """ % 4 < 3 THEN 'train' ELSE 'test' END AS split
+  FROM freq f JOIN v_site ON f.site = v_site.site WHERE ref_nt = 'C' AND obs_nt = 'T' AND f.idx >= 5 AND f.idx + 5 < length(seq))"""
+
+
+def data(s: Source) -> DataFrame:
+    """Frequency of C to T with its local context and split, one row a condition, site and position."""
+    freq = counts.frequencies(pq.dense(s), depth=100).where("ref_nt = 'C' and obs_nt = 'T'")
+    rows = freq.join(F.broadcast(s.v_site.select("site", "seq")), "site").withColumn("context", seq.context(F.col("seq"), F.col("idx"), RADIUS)).where("context is not null")
+    name = F.concat_ws("_", "condition", "site", "idx")
+    return rows.select("condition", "site", F.col("idx").cast("int").alias("idx"), "frequency", "context", models.split(name).alias("split"), models.one_hot(F.col("context"), 2 * RADIUS).alias("features"))
+
+
+@query("l1_onehot", oracle("SELECT condition, site, idx, feature, CASE WHEN substr(context, CAST(feature // 4 + 1 AS INT), 1) = substr('ACGT', CAST(feature % 4 + 1 AS INT), 1) THEN 1.0 ELSE 0.0 END AS value FROM data, (SELECT CAST(unnest(range(0, 40)) AS INT) AS feature) r", "v_g4", ctes=DATA))
+def l1_onehot(s: Source) -> DataFrame:
+    return data(s).select("condition", "site", "idx", F.posexplode("features").alias("feature", "value"))
+
+
+@query("l2_split", oracle("SELECT condition, site, idx, split FROM data", "v_g4", ctes=DATA))
+def l2_split(s: Source) -> DataFrame:
+    return data(s).select("condition", "site", "idx", "split")
+
+
+@query("a30_split_sizes", oracle("SELECT condition, split, count(*) AS rows, count(DISTINCT site) AS sites, CAST(floor(count(*) * 0.9) AS BIGINT) AS train_rows FROM data GROUP BY ALL", "v_g4", ctes=DATA))
+def a30_split_sizes(s: Source) -> DataFrame:
+    from editloom.operators.summary import split_sizes
+
+    return split_sizes(data(s), "split")
+
+
+@query("l9_targets", oracle("""
+SELECT condition, site, idx, CAST(frequency > 0 AS INT) AS label, round(CASE WHEN frequency > 0 AND frequency < 1 THEN ln(frequency / (1 - frequency)) END, 6) AS logit,
+  round((frequency - avg(frequency) OVER w) / nullif(stddev_pop(frequency) OVER w, 0), 5) AS z FROM data WINDOW w AS (PARTITION BY condition, idx)""", "v_g4", ctes=DATA))
+def l9_targets(s: Source) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("condition", "idx")
+    z = F.try_divide(F.col("frequency") - F.avg("frequency").over(w), F.stddev_pop("frequency").over(w))
+    out = data(s).select("condition", "site", "idx", (F.col("frequency") > 0).cast("int").alias("label"), seq.logit(F.col("frequency")).alias("logit"), F.round(z, 5).alias("z"))
+    return rounded(out)
+
+
+@query("l3_gram", oracle("""
+, x AS (SELECT condition AS grp, frequency AS y, list_concat(list_transform(range(0, 40), lambda f: CASE WHEN substr(context, CAST(f // 4 + 1 AS INT), 1) = substr('ACGT', CAST(f % 4 + 1 AS INT), 1) THEN 1.0 ELSE 0.0 END), [1.0, frequency]) AS v FROM data WHERE split = 'train')
+SELECT grp AS "group", CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(v[i + 1] * v[j + 1]), 6) AS value FROM x, (SELECT unnest(range(0, 42)) AS i) a, (SELECT unnest(range(0, 42)) AS j) b WHERE i <= j AND v[i + 1] <> 0 AND v[j + 1] <> 0 GROUP BY ALL""", "v_g4", ctes=DATA).replace("\n\n, x AS", ",\nx AS"))
+def l3_gram(s: Source) -> DataFrame:
+    return rounded(models.gram(data(s).where("split = 'train'"), "condition", "features", "frequency"))
+
+
+@query("l3_ridge")
+def l3_ridge(s: Source) -> DataFrame:
+    return models.ridge(data(s).where("split = 'train'"), "condition", "features", "frequency", models.feature_names(2 * RADIUS))
+
+
+def fitted(s: Source, kind: str, target: str = "frequency") -> DataFrame:
+    rows = data(s).withColumn("label", (F.col("frequency") > 0.05).cast("int"))
+    return models.learn(rows, kind, "features", target).select("condition", "site", "idx", "frequency", "label", "split", "predicted")
+
+
+@query("l4_gbtr")
+def l4_gbtr(s: Source) -> DataFrame:
+    return stats.correlation(fitted(s, "gbt_regressor"), "predicted", "frequency", ["split"])
+
+
+@query("l5_logit")
+def l5_logit(s: Source) -> DataFrame:
+    return models.classification_metrics(fitted(s, "logistic", "label"), "label", "predicted", ["split"])
+
+
+@query("l6_gbtc")
+def l6_gbtc(s: Source) -> DataFrame:
+    return models.classification_metrics(fitted(s, "gbt_classifier", "label"), "label", "predicted", ["split"])
+
+
+@query("l7_metrics", oracle("""
+, scored AS (SELECT condition, CAST(frequency > 0.05 AS DOUBLE) AS y, (""" + HASH.format(x="'p|' || site || '_' || idx") + """ + 0.5) / 4294967296.0 AS p FROM data),
+ranked AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY p) + (count(*) OVER (PARTITION BY condition, p) - 1) / 2.0 AS r, sum(y) OVER d AS hits, count(*) OVER d AS seen
+  FROM scored WINDOW d AS (PARTITION BY condition ORDER BY p DESC RANGE UNBOUNDED PRECEDING))
+SELECT condition, round((sum(y * r) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 6) AS auc, round(sum(y * hits / seen) / nullif(sum(y), 0), 6) AS average_precision, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS cross_entropy FROM ranked GROUP BY ALL""", "v_g4", ctes=DATA).replace("\n\n, scored AS", ",\nscored AS"))
+def l7_metrics(s: Source) -> DataFrame:
+    from editloom.functions.special import hash_int
+
+    draw = (hash_int(F.concat(F.lit("p|"), F.concat_ws("_", "site", "idx"))) + 0.5) / F.lit(4294967296.0)
+    rows = data(s).select("condition", (F.col("frequency") > 0.05).cast("double").alias("y"), draw.alias("p"))
+    return rounded(models.classification_metrics(rows, "y", "p", ["condition"]))
+
+
+@query("l11_collate")
+def l11_collate(s: Source) -> DataFrame:
+    """Coefficients of every condition beside its test correlation, with signed position labels."""
+    rows = data(s)
+    coefficients = models.ridge(rows.where("split = 'train'"), "condition", "features", "frequency", models.feature_names(2 * RADIUS)).where("feature <> 'intercept'")
+    number, nt = F.regexp_extract("feature", r"^\d+", 0).cast("int"), F.regexp_extract("feature", r"[ACGT]$", 0)
+    named = coefficients.select("group", seq.label(number, RADIUS).alias("position"), nt.alias("nt"), "coefficient")
+    sizes = rows.groupBy(F.col("condition").alias("group")).agg(F.count("*").alias("rows"), F.count_distinct("site").alias("sites"))
+    return named.join(F.broadcast(sizes), "group")
+
+
+@query("t18_covariate")
+def t18_covariate(s: Source) -> DataFrame:
+    rows = pq.activity(s).withColumn("mutation", F.concat_ws(",", "ref_nt", "position", "obs_nt"))
+    return models.covariate_model(rows.select("condition", "editor", "batch", "mutation", F.col("mean_activity").alias("value")), steps=8)
