@@ -20,14 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(quality.fold(F.col("doc_id"), toxicity.FOLDS) != 1))
-    return toxicity.scored(docs, model).where(F.col("__score") < toxicity.CUT).select(*docs.columns)
+    return docs.where(toxicity.score(spark, model)(F.col("text")) < toxicity.CUT)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.where(quality.fold(F.col("doc_id"), quality.FOLDS) != 0))
-    return quality.scored(docs, model).where(F.col("__score") >= quality.CUT).select(*docs.columns)
+    return docs.where(quality.score(spark, model)(F.col("text")) >= quality.CUT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,11 @@ def drop(*tables: DataFrame) -> None:
 def width(spark: SparkSession) -> int:
     """Shuffle width for explicit partitionings: the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from editloom.llm.base import save, ship, width
 from editloom.llm.graph import components
 from editloom.llm.near_dedup import verified
-from editloom.llm.text import Permutations, text_shingles
+from editloom.llm.text import Permutations, steps, text_shingles
 
 PERMUTATIONS, SHINGLE, BAND = 128, 5, 4
 LOWEST = -(1 << 63)
@@ -131,7 +131,7 @@ def band_edges(docs: DataFrame, count: int = PERMUTATIONS, band: int = BAND, k:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             rows = lanes(batch.column(1), count, k)
             keys = np.ascontiguousarray(rows).view(np.uint64 if band == 4 else f"V{2 * band}")
             full = ~(rows == 0xFFFF).all(axis=1)

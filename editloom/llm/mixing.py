@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.llm.base import save
+from editloom.llm.base import save, unused
 
 WEIGHTS, BUDGET, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2, "mix-1"
 ROWS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 256, 1 << 16
@@ -121,12 +121,14 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
     rows, _ = queued(docs, weights, budget, epochs, seed)
     whole = served(rows, epochs).where("2 * part >= size").groupBy("doc_id", "size").agg(F.count("*").alias("__uses"))
     counts = rows.where("size > 0").groupBy("doc_id", "size").agg(F.count("*").alias("__rows"))
-    uses = save(counts.join(whole, ["doc_id", "size"]).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__uses", "__rows"), "mix-uses")
-    # Rows that repeat a doc_id and a size share their uses, the first of them taking what is left over.
-    sized = docs.withColumn("__words", words(F.col("text")))
-    joined = sized.join(uses, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__words") == F.col("__size")), "left")
-    copies = F.when(F.col("__words") == 0, F.lit(1)).otherwise(F.coalesce(F.ceil(F.col("__uses") / F.col("__rows")), F.lit(0)))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
+    identity, size, copies = (unused(docs, x) for x in ("mix_id", "mix_size", "mix_copies"))
+    # Rows that repeat a doc_id and a size share their uses evenly, rounded up.
+    each = F.ceil(F.col("__uses") / F.col("__rows")).cast("int")
+    uses = save(counts.join(whole.withColumnsRenamed({"doc_id": "__i", "size": "__s"}), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("size") == F.col("__s"))).select(F.col("doc_id").alias(identity), F.col("size").alias(size), each.alias(copies)), "mix-uses")
+    n = words(F.col("text"))
+    joined = docs.join(uses, docs["doc_id"].eqNullSafe(F.col(identity)) & (n == F.col(size)), "left")
+    times = F.when(n == 0, F.lit(1)).otherwise(F.coalesce(F.col(copies), F.lit(0)))
+    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

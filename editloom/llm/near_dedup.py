@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editloom.llm.base import drop, save, ship
+from editloom.llm.base import drop, save, ship, unused
 from editloom.llm.graph import block_units, components, local_labels, stream_groups
-from editloom.llm.text import Permutations, mix, sets
+from editloom.llm.text import Permutations, mix, sets, steps
 
 COORDINATES, SHINGLE, PERCENT = 64, 5, 80
 HOT, MARGIN, BLOCK = 32, 16, 256
@@ -52,7 +52,7 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES, k: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(coordinates)
-        for batch in batches:
+        for batch in steps(batches):
             found = sets(batch.column(1), k)
             sizes = np.array([len(s) for s in found], np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -198,8 +198,9 @@ def near_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
 def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document of the smallest id, once."""
     marks = save(near_components(docs, percent, k).where("kept").select("doc_id").distinct(), "near-kept")
-    kept = marks.where("doc_id is not null").select(F.col("doc_id").alias("__kept_id"))
-    stay = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    name = unused(docs, "kept_id")
+    kept = marks.where("doc_id is not null").select(F.col("doc_id").alias(name))
+    stay = docs.join(kept, docs["doc_id"].cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

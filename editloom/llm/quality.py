@@ -14,11 +14,11 @@ all scores are 1 (or 0 if none is good); a null doc_id is scored and not held ou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editloom.llm.base import ship
@@ -96,21 +96,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = P
     return Ranking(x[order], rows.column("label").to_numpy()[order] == 1, pairs, cut)
 
 
-def scored(docs: DataFrame, model: Ranking) -> DataFrame:
-    """All columns of ``docs`` and ``__score`` (double, last)."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two numbers a feature
+def score(spark: SparkSession, model: Ranking) -> Callable[[Column], Column]:
+    """A function from a text column to its scores."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)  # two numbers a feature
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
+    def of(texts: pa.Array) -> pa.Array:
         return pa.array(sent.value.scores(texts))
 
-    return docs.withColumn("__score", score(F.col("text").cast("string")))
+    return lambda text: of(text.cast("string"))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels.where(fold(F.col("doc_id"), FOLDS) != 0))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False))
-    out = scored(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), F.col("__score").alias("score"))
+    out = docs.select("doc_id", held.alias("held_out"), score(spark, model)(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

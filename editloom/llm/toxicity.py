@@ -17,16 +17,17 @@ a null doc_id is scored and not held out. Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editloom.llm.base import save, ship
 from editloom.llm.features import word_marks
 from editloom.llm.quality import fold, labelled
+from editloom.llm.text import steps
 
 SAMPLE, FEATURES, LEAST, ODDS, CUT, FOLDS = 6_000, 4_096, 4, 3.0, 0.7, 3
 STEPS, RIDGE, FAIRNESS = 400, 1e-3, 10.0
@@ -42,12 +43,6 @@ _TERMS = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r"
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, STEP_ROWS):
-            yield batch.slice(i, STEP_ROWS)
-
-
 def swapped(text: str) -> list[tuple[str, str]]:
     """The sentences that name a group, each with its terms swapped."""
     out = []
@@ -119,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = C
     rows = save(labelled(docs, labels, "toxic", sample), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, STEP_ROWS):
             label = batch.column(1).to_numpy()
             found = word_marks(batch.column(0))
             sizes = [len(f) for f in found]
@@ -138,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = C
     blank = Classifier(marks, [], np.zeros(0, bool), [])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, STEP_ROWS):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = blank.find(word_marks(batch.column(1)))
             out = list(zip(batch.column(0).to_pylist(), [0] * len(at), batch.column(2).to_pylist(), at))
@@ -160,21 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = C
     return Classifier(marks, [np.array(t["at"], np.int64) for t in real], np.array([t["label"] == 1 for t in real], bool), moved, cut, fairness)
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """All columns of ``docs`` and ``__score`` (double, last)."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+def score(spark: SparkSession, model: Classifier) -> Callable[[Column], Column]:
+    """A function from a text column to its scores."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)  # at most FEATURES weights
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
+    def of(texts: pa.Array) -> pa.Array:
         return pa.array(sent.value.scores(texts))
 
-    return docs.withColumn("__score", score(F.col("text").cast("string")))
+    return lambda text: of(text.cast("string"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels.where(fold(F.col("doc_id"), FOLDS) != 1))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == 1, F.lit(False))
-    out = scored(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), F.col("__score").alias("score"))
+    out = docs.select("doc_id", held.alias("held_out"), score(spark, model)(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
