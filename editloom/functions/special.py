@@ -29,11 +29,11 @@ def hash_int(text: Column) -> Column:
 
 
 def lgamma(x: Column) -> Column:
-    """log gamma for x > 0."""
+    """log gamma for x > 0; null at 0 and below where it has poles."""
     z = x - 1
     total = F.lit(LANCZOS[0])
     for i, c in enumerate(LANCZOS[1:], 1):
-        total = total + F.lit(c) / (z + i)
+        total = total + F.try_divide(F.lit(c), z + i)
     t = z + 7.5
     return F.lit(0.5 * log(2 * pi)) + (z + 0.5) * F.ln(t) - t + F.ln(total)
 
@@ -77,7 +77,7 @@ def binom_cdf(k: Column, n: Column, p: Column, steps: int = 60) -> Column:
 
 def f_sf(f: Column, d1: Column, d2: Column, steps: int = 60) -> Column:
     """Upper tail of the F distribution."""
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), steps)
+    return F.when((d1 > 0) & (d2 > 0) & f.isNotNull(), betainc(d2 / 2.0, d1 / 2.0, F.try_divide(d2, d2 + d1 * f), steps))
 
 
 def t_two_sided(t: Column, df: Column, steps: int = 60) -> Column:
@@ -117,3 +117,8 @@ def binom_minus_binom(k: Column, t_p: Column, c_p: Column, n: Column, most: int
         )
 
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: i.cast("double")), first, step, lambda s: s["total"])
+
+
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Correlation as an aggregate; null where a side does not vary (``corr`` would fail in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

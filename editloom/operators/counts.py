@@ -22,16 +22,16 @@ def treatment_control_status(design: DataFrame, treated: DataFrame, controlled:
 
 
 def matrix(g4: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts as ARRAY<STRUCT<a, c, g, t>> in order of idx, beside ``first_idx`` (the ingest shape)."""
+    """Counts as ARRAY<STRUCT<idx, STRUCT<a, c, g, t>>> in order of idx (the ingest shape)."""
     wide = g4.groupBy(*keys, "idx").agg(*[F.coalesce(F.sum(F.when(F.col("obs_nt") == n, F.col("count"))), F.lit(0.0)).alias(n.lower()) for n in NTS])
     cells = F.array_sort(F.collect_list(F.struct("idx", F.struct("a", "c", "g", "t").alias("cell"))))  # a site's positions
-    return wide.groupBy(*keys).agg(F.min("idx").alias("first_idx"), F.transform(cells, lambda x: x["cell"]).alias("cells"))
+    return wide.groupBy(*keys).agg(cells.alias("cells"))
 
 
 def long_from_matrix(wide: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
     """One row a cell other than the reference's; ``sites`` has site, seq, pos0_idx."""
-    rows = wide.join(sites.select("site", "seq", "pos0_idx"), "site").select(*keys, "first_idx", "seq", "pos0_idx", F.posexplode("cells").alias("off", "cell"))
-    rows = rows.withColumn("idx", F.col("first_idx") + F.col("off")).withColumn("ref_nt", F.substring(F.col("seq"), F.col("idx") + 1, F.lit(1)))
+    rows = wide.join(sites.select("site", "seq", "pos0_idx"), "site").select(*keys, "seq", "pos0_idx", F.inline("cells"))
+    rows = rows.withColumn("ref_nt", F.substring(F.col("seq"), F.col("idx") + 1, F.lit(1)))
     pairs = F.array(*[F.struct(F.lit(n).alias("obs_nt"), F.col("cell")[n.lower()].alias("count")) for n in NTS])
     rows = rows.withColumn("pair", F.explode(pairs)).where("pair.obs_nt <> ref_nt")
     return rows.select(*keys, "idx", (F.col("idx") - F.col("pos0_idx")).alias("position"), "ref_nt", F.col("pair.obs_nt").alias("obs_nt"), F.col("pair.count").alias("count"))

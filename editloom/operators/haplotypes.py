@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions.seq import apply_haplotype, edited, has_edit, hap_text, impute, is_edited, n_edits, position_of, substr0, translate_frame, window30
+from editloom.functions.special import pearson
 
 SITE = ["condition", "site"]
 #: Editor-specific centre positions; others use 6.
@@ -142,7 +143,7 @@ def compare_conditions(haps: DataFrame, key: str = "site") -> DataFrame:
         sums = part.groupBy(key, "c1", "c2", hap_text(F.col("h")).alias("hap_key")).agg(F.sum("count").alias("n"))
         sides.append(sums.withColumn(f"f{i}", F.col("n") / F.sum("n").over(Window.partitionBy(key, "c1", "c2"))).drop("n"))
     full = sides[0].join(sides[1], [key, "c1", "c2", "hap_key"], "full").na.fill(0.0, ["f1", "f2"])
-    return full.groupBy(key, "c1", "c2").agg(F.count("*").alias("haplotypes"), F.corr("f1", "f2").alias("pearson"))
+    return full.groupBy(key, "c1", "c2").agg(F.count("*").alias("haplotypes"), pearson("f1", "f2").alias("pearson"))
 
 
 def endogenous_summary(haps: DataFrame, indels: DataFrame) -> DataFrame:

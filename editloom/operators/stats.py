@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.functions.special import binom_cdf, binom_minus_binom, binom_sf, f_sf, hash_int, normal_two_sided, t_two_sided
+from editloom.functions.special import binom_cdf, binom_minus_binom, binom_sf, f_sf, hash_int, normal_two_sided, pearson, t_two_sided
 from editloom.operators.counts import paired
 
 MUTATION = ["position", "ref_nt", "obs_nt"]
@@ -94,7 +94,7 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         rows = rows.withColumn(f"__r_{c}", average_rank(c, by))
     rows = rows.withColumn("__mean", F.avg(y).over(Window.partitionBy(*by)))
     out = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr(f"__r_{x}", f"__r_{y}").alias("spearman"),
+        F.count("*").alias("n"), pearson(x, y).alias("pearson"), pearson(f"__r_{x}", f"__r_{y}").alias("spearman"),
         (1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(x), 2)), F.sum(F.pow(F.col(y) - F.col("__mean"), 2)))).alias("r2"),
     )
     r, n = F.col("pearson"), F.col("n").cast("double")

@@ -206,7 +206,7 @@ def a21_transversion(s: Source) -> DataFrame:
 
 
 @query("j12_pairwise", oracle("""
-SELECT site, c1, c2, count(*) AS haplotypes, round(corr(f1, f2), 6) + 0.0 AS pearson FROM (
+SELECT site, c1, c2, count(*) AS haplotypes, round(covar_pop(f1, f2) / nullif(stddev_pop(f1) * stddev_pop(f2), 0), 6) + 0.0 AS pearson FROM (
   SELECT coalesce(a.site, b.site) AS site, coalesce(a.c1, b.c1) AS c1, coalesce(a.c2, b.c2) AS c2, coalesce(a.f, 0.0) AS f1, coalesce(b.f, 0.0) AS f2
   FROM (SELECT t.site, t.condition AS c1, o.condition AS c2, t.hap, t.n / sum(t.n) OVER (PARTITION BY t.site, t.condition, o.condition) AS f FROM ed t JOIN cs o ON t.site = o.site AND t.condition < o.condition) a
   FULL JOIN (SELECT t.site, o.condition AS c1, t.condition AS c2, t.hap, t.n / sum(t.n) OVER (PARTITION BY t.site, o.condition, t.condition) AS f FROM ed t JOIN cs o ON t.site = o.site AND o.condition < t.condition) b

@@ -143,7 +143,7 @@ def t12_bootstrap_poisson(s: Source) -> DataFrame:
 
 
 @query("t13_corr", oracle("""
-SELECT condition, count(*) AS n, round(corr(x, y), 6) + 0.0 AS pearson, round(corr(rx, ry), 6) + 0.0 AS spearman, round(1 - sum((y - x) * (y - x)) / sum((y - m) * (y - m)), 6) AS r2 FROM (
+SELECT condition, count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + 0.0 AS pearson, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) + 0.0 AS spearman, round(1 - sum((y - x) * (y - x)) / sum((y - m) * (y - m)), 6) AS r2 FROM (
   SELECT *, avg(y) OVER (PARTITION BY condition) AS m, rank() OVER (PARTITION BY condition ORDER BY x) + (count(*) OVER (PARTITION BY condition, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY condition ORDER BY y) + (count(*) OVER (PARTITION BY condition, y) - 1) / 2.0 AS ry
   FROM (SELECT condition, base_edit_freq AS x, fraction_edited AS y FROM ratios) a) b GROUP BY ALL""", *V, ctes=ANNOT))
 def t13_corr(s: Source) -> DataFrame:
