@@ -279,3 +279,23 @@ def m8_endo_match(s: Source) -> DataFrame:
     endo = s.spark.createDataFrame([("HEK2", "BE4"), ("HEK3", "ABE"), ("EMX1", "BE4")], "locus string, editor string")
     names = s.spark.createDataFrame([("HEK2", "s1", "s2"), ("HEK3", "", ""), ("EMX1", None, "s9")], "locus string, `12kChar` string, CtoT string")
     return dim.library_matches(endo, names, ["12kChar", "CtoT"], s.v_cond).select("locus", "editor", "library", "site_name", "condition")
+
+
+@query("m2_lookup", oracle("SELECT condition, concat(condition, '_', library, '_', editor) AS name, library FROM v_cond", "v_cond"))
+def m2_lookup(s: Source) -> DataFrame:
+    """The library of a name whose design row has none, from the known library that the name contains."""
+    name = F.concat_ws("_", "condition", "library", "editor")
+    found = dim.library_of(name, F.lit(None).cast("string"), ["LibA", "12kChar", "CtoT", "AtoG", "CtoGA", "PAMvar"])
+    return s.v_cond.select("condition", name.alias("name"), found.alias("library"))
+
+
+@query("m7_position", oracle("SELECT site, CAST(idx AS INT) AS idx, CAST(idx - pos0_idx AS INT) AS position FROM v_site, (SELECT unnest(range(0, 64)) AS idx) r", "v_site"))
+def m7_position(s: Source) -> DataFrame:
+    rows = s.v_site.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.select("site", "idx", dim.position(F.col("idx"), F.col("pos0_idx")).cast("int").alias("position"))
+
+
+@query("x16_logs", oracle("SELECT condition, site, round(log10(ratio + 1), 6) AS log10_ratio, round(CASE WHEN ratio > 0 THEN log2(ratio) END, 6) AS log2_ratio FROM ratios WHERE ratio IS NOT NULL", *V, ctes=ANNOT))
+def x16_logs(s: Source) -> DataFrame:
+    rows = ratios(s).where("ratio is not null")
+    return rounded(rows.select("condition", "site", F.log10(F.col("ratio") + 1).alias("log10_ratio"), F.when(F.col("ratio") > 0, F.log2("ratio")).alias("log2_ratio")))
