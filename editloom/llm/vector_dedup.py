@@ -1,8 +1,10 @@
 """Embedding near-dedup by a forest of random-projection trees with spill overlap.
 
 Equal vectors are one class with a count. The trees are fitted on a bounded sample: a node splits at the
-median of a random projection, and vectors within ``spill`` of the ranks around it go both ways. Every
-class goes down every tree. Classes in one leaf are compared, block by block, by cosine in double
+median of a random projection, and vectors near it go both ways: those within ``spill`` of the ranks
+around it, and those within the distance that a pair at the cosine threshold spreads over in a random
+direction. A group of near copies therefore goes down together and ends in leaves that hold all of it,
+however large, which are compared in blocks. Every class goes down every tree. Classes in one leaf are compared, block by block, by cosine in double
 precision; a pair that meets in several leaves is counted in the first, told by the leaves both carry,
 so links are counted without writing pairs. Leaves are joined by their local components and then unioned.
 
@@ -24,28 +26,35 @@ from pyspark.sql import functions as F
 from editloom.llm.base import save, ship
 from editloom.llm.graph import block_units, components, local_labels, stream_groups
 
-COSINE, TREES, LEAF, SPILL, SAMPLE, BLOCK, SEED = 0.9, 12, 512, 0.05, 20_000, 1024, 5
-MOST_LEVELS = 11
+COSINE, TREES, LEAF, SPILL, SAMPLE, BLOCK, SEED = 0.9, 8, 512, 0.05, 20_000, 1024, 5
+MOST_LEVELS, MOST_SHARED = 11, 0.4
 
 
 class Forest:
     """Directions, and two thresholds a node: below the upper goes left, from the lower goes right."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE, seed: int = SEED) -> None:
         self.levels = max(0, min(MOST_LEVELS, ceil(log2(max(rows, 1) / leaf)))) if rows > leaf and len(sample) > 1 else 0
         draw = np.random.default_rng(seed)
         nodes = (1 << self.levels) - 1
         self.trees = trees
         self.directions = draw.standard_normal((trees, max(nodes, 1), sample.shape[1])).astype(np.float32)
-        self.low = np.zeros((trees, max(nodes, 1)))
-        self.high = np.zeros((trees, max(nodes, 1)))
+        # A node without a split sends everything left, so that its rows stay together.
+        self.low = np.full((trees, max(nodes, 1)), np.inf)
+        self.high = np.full((trees, max(nodes, 1)), np.inf)
+        # In a random direction a pair at the threshold lies this far apart, in the mean square.
+        apart = np.linalg.norm(self.directions, axis=2) * np.sqrt(max(0.0, 2 - 2 * cosine) / sample.shape[1])
         for t in range(trees):
             held = {0: np.arange(len(sample))}
             for node in range(nodes):
                 mine = held.pop(node, np.zeros(0, int))
                 if len(mine):
                     shadow = sample[mine] @ self.directions[t, node]
-                    self.low[t, node], cut, self.high[t, node] = np.quantile(shadow, [0.5 - spill, 0.5, 0.5 + spill])
+                    low, cut, high = np.quantile(shadow, [0.5 - spill, 0.5, 0.5 + spill])
+                    low, high = min(low, cut - apart[t, node] / 2), max(high, cut + apart[t, node] / 2)
+                    if ((shadow >= low) & (shadow <= high)).mean() > MOST_SHARED:
+                        continue  # a dense group: splitting would only copy it
+                    self.low[t, node], self.high[t, node] = low, high
                     held[2 * node + 1], held[2 * node + 2] = mine[shadow < cut], mine[shadow >= cut]
 
     def leaves(self, vectors: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +75,13 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def keyed(table: DataFrame) -> DataFrame:
-    """vec_id, embedding as doubles, and a digest that is null for vectors that can't link."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id, embedding (floats stay floats), and a digest that is null for vectors that can't link."""
+    kind = "array<float>" if dict(table.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     can = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     # -0.0 and 0.0 are one value
-    text = F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string")))
+    text = F.concat_ws(",", F.transform("embedding", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")))
     return rows.withColumn("digest", F.when(F.coalesce(can, F.lit(False)), F.sha2(text, 256)))
 
 
@@ -84,7 +94,7 @@ def linked(classes: DataFrame, rows: int, cosine: float = COSINE, trees: int = T
     size = max(set(sizes), key=sizes.count) if sizes else 1
     sample = np.array([x for x in drawn if len(x) == size], np.float64).reshape(-1, size)
     sample /= np.maximum(np.sqrt((sample * sample).sum(axis=1, keepdims=True)), 1e-300)
-    forest = spark.sparkContext.broadcast(Forest(sample.astype(np.float32), rows, trees, leaf, spill))  # bounded by MOST_LEVELS
+    forest = spark.sparkContext.broadcast(Forest(sample.astype(np.float32), rows, trees, leaf, spill, cosine))  # bounded by MOST_LEVELS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -106,7 +116,7 @@ def linked(classes: DataFrame, rows: int, cosine: float = COSINE, trees: int = T
                 )
 
     chosen = classes.where(F.size("embedding") == size).select("rep", "copies", "embedding")
-    spilled = chosen.mapInArrow(spread, "leaf long, rep long, copies long, leaves array<long>, embedding array<double>")
+    spilled = chosen.mapInArrow(spread, f"leaf long, rep long, copies long, leaves array<long>, embedding {dict(classes.dtypes)['embedding']}")
     units = block_units(save(spilled, "vec-leaves"), "leaf", "rep", BLOCK, "vec")
     keys = ["leaf", "unit_i", "unit_j"]
 
@@ -125,18 +135,13 @@ def linked(classes: DataFrame, rows: int, cosine: float = COSINE, trees: int = T
             lists = table.column("leaves").combine_chunks()
             off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             # A pair counts where it meets first: none of the leaves before this one is common.
-            earlier = {}
-            for r in np.unique(x):
-                mine = flat[off[r] : off[r + 1]]
-                earlier[r] = mine[mine < here]
-            wide = max((len(e) for e in earlier.values()), default=0)
-            grid = np.full((len(reps), max(wide, 1)), -1, np.int64)
-            for r, e in earlier.items():
-                grid[r, : len(e)] = e
-            first = np.ones(len(x), bool)
-            for c in range(wide):
-                mark = grid[x, c]
-                first &= ~((mark[:, None] == grid[y]) & (mark[:, None] >= 0)).any(axis=1)
+            some, at = np.unique(x, return_inverse=True)
+            earlier = [(m := flat[off[r] : off[r + 1]])[m < here] for r in some]
+            names, column = np.unique(np.concatenate(earlier), return_inverse=True)
+            grid = np.zeros((len(some), len(names)), np.float32)
+            grid[np.repeat(np.arange(len(some)), [len(e) for e in earlier]), column] = 1
+            met = grid @ grid.T > 0
+            first = ~met[at, np.searchsorted(some, y)]
             counts = np.bincount(x[first], weights=copies[y[first]], minlength=len(reps)).astype(np.int64)
             label = local_labels(near)
             told = near.any(axis=1)
