@@ -1 +1 @@
-
+"""Empty by choice: the surveyed work has no streams, so no streaming operator is claimed."""
