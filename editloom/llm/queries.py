@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
 }

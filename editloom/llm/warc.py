@@ -193,3 +193,13 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(chunks(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((((strpos('0123456789abcdef', substr(h, 5 * k // 4 + 1, 1)) - 1) * 16
+    + strpos('0123456789abcdef', substr(h, 5 * k // 4 + 2, 1)) - 1) >> (3 - 5 * k % 4)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p
+"""
