@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from editloom.sources.fixtures import Source
 
-MODULES = ("positions", "haplotypes", "indels", "summaries", "models")
+MODULES = ("positions", "haplotypes", "indels", "summaries", "models", "drivers")
 _queries: dict[str, Callable[[Source], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
