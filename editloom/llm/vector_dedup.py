@@ -16,7 +16,7 @@ kept; repeated rows are copies of each other and link; an empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +27,43 @@ from editloom.llm.base import save, ship
 from editloom.llm.graph import block_units, components, local_labels, stream_groups
 
 COSINE, TREES, LEAF, SPILL, SAMPLE, BLOCK, SEED = 0.9, 8, 512, 0.05, 20_000, 1024, 5
-MOST_LEVELS, MOST_SHARED = 11, 0.4
+SPREAD, MOST_LEVELS, MOST_SHARED = 0.75, 12, 0.4
 
 
 class Forest:
     """Directions, and two thresholds a node: below the upper goes left, from the lower goes right."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE, seed: int = SEED) -> None:
-        self.levels = max(0, min(MOST_LEVELS, ceil(log2(max(rows, 1) / leaf)))) if rows > leaf and len(sample) > 1 else 0
+    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE, seed: int = SEED, spread: float = SPREAD) -> None:
         draw = np.random.default_rng(seed)
-        nodes = (1 << self.levels) - 1
-        self.trees = trees
-        self.directions = draw.standard_normal((trees, max(nodes, 1), sample.shape[1])).astype(np.float32)
+        weight = rows / max(len(sample), 1)  # rows that a sampled one stands for
+        nodes = (1 << MOST_LEVELS) - 1
+        self.trees, self.levels = trees, 0
+        self.directions = draw.standard_normal((trees, nodes, sample.shape[1])).astype(np.float32)
         # A node without a split sends everything left, so that its rows stay together.
-        self.low = np.full((trees, max(nodes, 1)), np.inf)
-        self.high = np.full((trees, max(nodes, 1)), np.inf)
+        self.low = np.full((trees, nodes), np.inf)
+        self.high = np.full((trees, nodes), np.inf)
         # In a random direction a pair at the threshold lies this far apart, in the mean square.
         apart = np.linalg.norm(self.directions, axis=2) * np.sqrt(max(0.0, 2 - 2 * cosine) / sample.shape[1])
         for t in range(trees):
             held = {0: np.arange(len(sample))}
             for node in range(nodes):
                 mine = held.pop(node, np.zeros(0, int))
-                if len(mine):
-                    shadow = sample[mine] @ self.directions[t, node]
-                    low, cut, high = np.quantile(shadow, [0.5 - spill, 0.5, 0.5 + spill])
-                    low, high = min(low, cut - apart[t, node] / 2), max(high, cut + apart[t, node] / 2)
-                    if ((shadow >= low) & (shadow <= high)).mean() > MOST_SHARED:
-                        continue  # a dense group: splitting would only copy it
-                    self.low[t, node], self.high[t, node] = low, high
-                    held[2 * node + 1], held[2 * node + 2] = mine[shadow < cut], mine[shadow >= cut]
+                # Spilled rows are counted too, so leaves keep their size however deep the tree is.
+                wanted = ceil(len(mine) * weight / leaf)
+                if wanted < 2 or len(mine) < 2:
+                    continue
+                shadow = sample[mine] @ self.directions[t, node]
+                at, margin = wanted // 2 / wanted, apart[t, node] * spread / 2
+                low, cut, high = np.quantile(shadow, [max(at - spill, 0), at, min(at + spill, 1)])
+                low, high = min(low, cut - margin), max(high, cut + margin)
+                left, right = shadow <= high, shadow >= low
+                if (left & right).mean() > MOST_SHARED:
+                    continue  # a dense group: splitting would only copy it
+                self.low[t, node], self.high[t, node] = low, high
+                held[2 * node + 1], held[2 * node + 2] = mine[left], mine[right]
+                self.levels = max(self.levels, (node + 1).bit_length())
+        used = max((1 << self.levels) - 1, 1)
+        self.directions, self.low, self.high = self.directions[:, :used].copy(), self.low[:, :used].copy(), self.high[:, :used].copy()
 
     def leaves(self, vectors: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaf numbers of tree ``t``: a row for each leaf a vector falls in."""

@@ -93,3 +93,23 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark):
     for docs in (odd_documents(spark), empty_documents(spark)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, folder).collect()
+
+
+def test_forest_brings_pairs_at_the_threshold_together():
+    from editloom.llm.vector_dedup import LEAF, Forest
+
+    draw = np.random.default_rng(3)
+    unit = draw.standard_normal((6000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    away = draw.standard_normal((6000, 64))
+    away -= (away * unit).sum(axis=1, keepdims=True) * unit
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    rows = np.concatenate([unit, 0.901 * unit + np.sqrt(1 - 0.901**2) * away]).astype(np.float32)
+    forest = Forest(rows[draw.permutation(len(rows))[:4000]], len(rows))
+    met, largest = np.zeros(6000, bool), 0
+    for t in range(forest.trees):
+        row, leaf = forest.leaves(rows, t)
+        largest = max(largest, np.unique(leaf, return_counts=True)[1].max())
+        placed = set(zip(row.tolist(), leaf.tolist()))
+        met[[r for r, n in placed if r < 6000 and (r + 6000, n) in placed]] = True
+    assert met.mean() > 0.995 and forest.levels > 3 and largest < 2 * LEAF
