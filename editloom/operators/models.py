@@ -120,40 +120,92 @@ def classification_metrics(df: DataFrame, label: str, score: str, by: list[str])
     return sums.select(*by, F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"), F.try_divide(F.col("ap"), F.col("n1")).alias("average_precision"), "cross_entropy")
 
 
-def covariate_model(y: DataFrame, steps: int = 60, step_size: float = 0.05, folder: str | None = None) -> DataFrame:
-    """Mean activity as a_condition**2 * e_editor,mutation**2 + b_batch,mutation**2 + g**2, fitted by full-batch
-    Adam on squared error. ``y``: condition, editor, batch, mutation, value. Rows out: kind, key, value, step.
+#: Beyond this many cells (condition, editor and batch with a mutation) a step is a Spark job, not a pass in one worker.
+FIT_CELLS = 1_000_000
+
 
-    Parameters are one table of (kind, key). A step joins the data with each kind, sums gradients by key with
-    map-side combining, moves the parameters in a projection and writes them to the shared folder: a step reads
-    them five times, so lineage must not reach further back, and a lost executor costs no earlier step."""
+def covariate_model(y: DataFrame, steps: int = 1200, step_size: float = 0.1, folder: str | None = None, fit_cells: int = FIT_CELLS) -> DataFrame:
+    """Mean activity as a_condition**2 * e_editor,mutation**2 + b_batch,mutation**2 + g**2, fitted by full-batch
+    Adam on squared error. ``y``: condition, editor, batch, mutation, value. Rows out: kind, key, value.
+
+    Rows of one cell share all four parameters, so their count and mean give the whole gradient: the data is first
+    summed by cell. Up to ``fit_cells`` cells all steps run in one worker. Beyond, parameters are one table of (kind,
+    key): a step joins the cells with each kind, sums gradients by key with map-side combining, moves the parameters
+    in a projection and writes them to the shared folder, since it reads them five times; a lost executor costs no
+    earlier step. Both take the same steps from the same hash-drawn start in [0, 1); the step size shrinks by 0.9995 a
+    step, down to 0.001."""
     spark = y.sparkSession
     kinds = {"a": F.col("condition"), "e": F.concat_ws("|", "editor", "mutation"), "b": F.concat_ws("|", "batch", "mutation"), "g": F.lit("all")}
+    folder = folder or _folder(spark)
     data = y.where(F.col("value").isNotNull()).select("value", *[k.alias(f"key_{n}") for n, k in kinds.items()])
-    rows = data.agg(F.count("*")).first()[0]
+    data = _written(data.groupBy(*[f"key_{n}" for n in kinds]).agg(F.count("*").alias("n"), F.avg("value").alias("value")), f"{folder}/cells")
+    cells, rows = data.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = [data.select(F.lit(n).alias("kind"), F.col(f"key_{n}").alias("key")).distinct() for n in kinds]
     keys = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    params = keys.select("kind", "key", (hash_int(F.concat_ws("|", "kind", "key")) / F.lit(2.0**32) * 0.1 + 0.1).alias("p"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
-    folder = folder or _folder(spark)
+    params = keys.select("kind", "key", (hash_int(F.concat_ws("|", "kind", "key")) / F.lit(2.0**32)).alias("p"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    sizes = _step_sizes(steps, step_size)
+    if cells <= fit_cells:
+        full = data
+        for n in kinds:
+            full = full.withColumn(n, hash_int(F.concat_ws("|", F.lit(n), F.col(f"key_{n}"))) / F.lit(2.0**32))
+        names = list(kinds)
+        return full.coalesce(1).mapInPandas(lambda frames: _fit_cells(frames, names, sizes), "kind string, key string, value double")
     params = _written(params, f"{folder}/step-0")
-    for step in range(1, steps + 1):
+    for step, size in enumerate(sizes, 1):
         full = data
         for n in kinds:
             full = full.join(params.where(F.col("kind") == n).select(F.col("key").alias(f"key_{n}"), F.col("p").alias(n)), f"key_{n}")
-        error = 2.0 * (F.pow("a", 2) * F.pow("e", 2) + F.pow("b", 2) + F.pow("g", 2) - F.col("value")) / rows
+        error = 2.0 * F.col("n") * (F.pow("a", 2) * F.pow("e", 2) + F.pow("b", 2) + F.pow("g", 2) - F.col("value")) / rows
         slopes = {"a": 2 * F.col("a") * F.pow("e", 2), "e": 2 * F.col("e") * F.pow("a", 2), "b": 2 * F.col("b"), "g": 2 * F.col("g")}
         each = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(f"key_{n}").alias("key"), (error * s).alias("g")) for n, s in slopes.items()])
         slope = full.select(F.explode(each).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.key").alias("key")).agg(F.sum("s.g").alias("slope"))
-        fix = float(np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
         params = (
             params.join(slope, ["kind", "key"])
             .select("kind", "key", "p", (0.9 * F.col("m") + 0.1 * F.col("slope")).alias("m"), (0.999 * F.col("v") + 0.001 * F.pow("slope", 2)).alias("v"))
-            .withColumn("p", F.col("p") - step_size * fix * F.col("m") / (F.sqrt("v") + 1e-8))
+            .withColumn("p", F.col("p") - size * F.col("m") / (1 - 0.9**step) / (F.sqrt(F.col("v") / (1 - 0.999**step)) + 1e-8))
         )
         params = _written(params, f"{folder}/step-{step}")
     return params.select("kind", "key", F.col("p").alias("value"))
 
 
+def _step_sizes(steps: int, size: float) -> list[float]:
+    sizes = []
+    for _ in range(steps):
+        size = size * 0.9995 if size > 0.001 else size
+        sizes.append(size)
+    return sizes
+
+
+def _fit_cells(frames, kinds: list[str], sizes: list[float]):
+    """All Adam steps over cells (key, start and sums of each kind), in one worker."""
+    import pandas as pd
+
+    found = [f for f in frames if len(f)]
+    if not found:
+        return
+    # Sorted cells: sums, and so rows out, do not depend on how they were partitioned.
+    cells = pd.concat(found).sort_values([f"key_{k}" for k in kinds], ignore_index=True)
+    del found
+    at, names, p = {}, {}, {}
+    for k in kinds:
+        at[k], names[k] = pd.factorize(cells[f"key_{k}"])
+        p[k] = np.zeros(len(names[k]))
+        p[k][at[k]] = cells[k]
+    value, n = cells["value"].to_numpy(), cells["n"].to_numpy(dtype=float)
+    del cells
+    m, v = {k: np.zeros(len(x)) for k, x in p.items()}, {k: np.zeros(len(x)) for k, x in p.items()}
+    for step, size in enumerate(sizes, 1):
+        a, e, b, g = (p[k][at[k]] for k in kinds)
+        error = 2.0 * n * (a**2 * e**2 + b**2 + g**2 - value) / n.sum()
+        for k, s in zip(kinds, (2 * a * e**2, 2 * e * a**2, 2 * b, 2 * g)):
+            slope = np.bincount(at[k], error * s, len(p[k]))
+            m[k] = 0.9 * m[k] + 0.1 * slope
+            v[k] = 0.999 * v[k] + 0.001 * slope**2
+            p[k] = p[k] - size * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    for k in kinds:
+        yield pd.DataFrame({"kind": k, "key": names[k], "value": p[k]})
+
+
 def _folder(spark) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     import tempfile

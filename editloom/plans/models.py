@@ -115,4 +115,4 @@ def l11_collate(s: Source) -> DataFrame:
 @query("t18_covariate")
 def t18_covariate(s: Source) -> DataFrame:
     rows = pq.activity(s).withColumn("mutation", F.concat_ws(",", "ref_nt", "position", "obs_nt"))
-    return models.covariate_model(rows.select("condition", "editor", "batch", "mutation", F.col("mean_activity").alias("value")), steps=8)
+    return models.covariate_model(rows.select("condition", "editor", "batch", "mutation", F.col("mean_activity").alias("value")))

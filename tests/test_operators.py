@@ -117,6 +117,37 @@ def test_covariate_model_lowers_the_error(spark):
     assert error(6) < error(1)
 
 
+def covariate_error(data, fit):
+    p = {(r.kind, r.key): r.value for r in fit.collect()}
+    cells = [(r.value, p["a", r.condition], p["e", f"{r.editor}|{r.mutation}"], p["b", f"{r.batch}|{r.mutation}"], p["g", "all"]) for r in data.collect()]
+    return sum((a**2 * e**2 + b**2 + g**2 - v) ** 2 for v, a, e, b, g in cells) / len(cells)
+
+
+def test_covariate_model_fits_data_of_its_own_form(spark):
+    rows = [(f"c{i}", "xy"[i % 2], "pq"[i // 2 % 2], f"m{j}", (0.3 + 0.1 * i) * (0.2 + 0.1 * j) + 0.02 * (i // 2 % 2) * j + 0.05) for i in range(8) for j in range(6)]
+    data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
+    assert covariate_error(data, models.covariate_model(data)) < 1e-6
+
+
+def test_covariate_model_takes_equal_steps_at_any_size(spark):
+    rows = [(c, e, b, m, v) for c, e, b in (("c0", "x", "p"), ("c1", "x", "q"), ("c2", "y", "p")) for m, v in (("m1", 0.3), ("m2", 0.05), ("m2", 0.15))]
+    data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
+    one, many = ({(r.kind, r.key): r.value for r in models.covariate_model(data, steps=3, fit_cells=n).collect()} for n in (models.FIT_CELLS, 0))
+    assert one == pytest.approx(many, abs=1e-12)
+
+
+def test_covariate_query_takes_the_reference_number_of_steps(spark, sf):
+    from editloom.plans import models as plans
+    from editloom.plans import positions as pq
+    from editloom.sources.fixtures import Source
+
+    s = Source(spark, sf)
+    data = pq.activity(s).withColumn("mutation", F.concat_ws(",", "ref_nt", "position", "obs_nt")).withColumn("value", F.col("mean_activity")).where("value is not null").cache()
+    fit = plans.t18_covariate(s)
+    assert fit.orderBy("kind", "key").collect() == models.covariate_model(data, steps=1200, step_size=0.1).orderBy("kind", "key").collect()
+    assert covariate_error(data, fit) < 0.5 * covariate_error(data, models.covariate_model(data, steps=8, step_size=0.05))
+
+
 def test_bootstraps_cover_their_mean(spark):
     df = spark.createDataFrame([("c", i, float(i % 7)) for i in range(60)], "condition string, k int, v double")
     for found in (stats.bootstrap(df, "v", ["condition"], ["k"], 100), stats.bootstrap_poisson(df, "v", ["condition"], ["k"], 100)):
