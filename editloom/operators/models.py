@@ -1,8 +1,8 @@
 """Grouped regression and classification: features, closed-form ridge, MLlib learners, metrics, covariate model.
 
 Fits that the reference runs as one process a condition take a ``group`` column here. Gram sums are one
-aggregation over all groups; only feature-sized systems are solved on the driver. MLlib's learners take one
-data set each, so those drivers go through the (few) groups asked for.
+aggregation over all groups; only feature-sized systems are solved on the driver. Trees and logistic fits of groups
+that fit a worker run there, many at once; MLlib's learners take one data set each and serve larger groups in turn.
 """
 
 from __future__ import annotations
@@ -106,6 +106,39 @@ def learn(df: DataFrame, kind: str, features: str, target: str, where: str = "sp
     return scored.withColumn("predicted", vector_to_array("probability")[1]).drop("__features", "__y", "rawPrediction", "probability", "prediction")
 
 
+#: Rows of a group beyond which MLlib fits it: 80 features of as many rows take about 200 MB in a worker.
+FIT_ROWS = 300_000
+
+
+def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target: str, row_order: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """All rows with ``predicted``, from one learner a group of ``by`` fitted on its rows of split 'train'. Features
+    are 0/1 of ``context``, of one length within a group. Nothing is predicted in a group without training rows."""
+    import pandas as pd
+
+    from editloom.operators import trees
+
+    rows = df.where(F.col(target).isNotNull())
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        # Sorted rows: sums do not depend on how they were partitioned.
+        group = group.sort_values(row_order, ignore_index=True)
+        train = (group["split"] == "train").to_numpy()
+        if not train.any():
+            return group.assign(predicted=None)
+        x, y = trees.encoded(group[context]), group[target].to_numpy(dtype=float)
+        return group.assign(predicted=trees.logistic(x, y, train) if kind == "logistic" else trees.boosted(x, y, train, kind == "gbt_classifier"))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", predicted double"
+    large = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.length(context)).alias("length")).where(F.col("n") > fit_rows).collect()  # at most rows / fit_rows
+    if not large:
+        return rows.groupBy(*by).applyInPandas(fit, schema)
+    out = rows.join(F.broadcast(df.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in large], ", ".join(f"{c} string" for c in by))), by, "left_anti").groupBy(*by).applyInPandas(fit, schema)
+    for r in large:
+        group = rows.where(F.forall(F.array(*[F.col(c) == r[c] for c in by]), lambda same: same)).withColumn("__x", one_hot(F.col(context), r.length))
+        out = out.unionByName(learn(group, kind, "__x", target).drop("__x"))
+    return out
+
+
 def classification_metrics(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Area under the curve (average ranks), average precision, cross-entropy."""
     y = F.col(label).cast("double")

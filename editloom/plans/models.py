@@ -68,24 +68,32 @@ def l3_ridge(s: Source) -> DataFrame:
     return models.ridge(data(s).where("split = 'train'"), "condition", "features", "frequency", models.feature_names(2 * RADIUS))
 
 
-def fitted(s: Source, kind: str, target: str = "frequency") -> DataFrame:
-    rows = data(s).withColumn("label", (F.col("frequency") > 0.05).cast("int"))
-    return models.learn(rows, kind, "features", target).select("condition", "site", "idx", "frequency", "label", "split", "predicted")
+GROUP = ["driver", "class", "condition"]
+
+
+def fitted(s: Source, kind: str) -> DataFrame:
+    """Rows of all drivers' training sets with predictions, one fit a driver, class and condition: regressors take the
+    logit of frequencies between 0 and 1, classifiers tell those above 0."""
+    from editloom.plans.drivers import rows
+
+    name = F.concat_ws("_", "condition", "site", "position", "class")
+    sets = rows(s).withColumn("split", models.split(name)).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
+    return models.learn_groups(sets, GROUP, kind, "context", "logit" if kind == "gbt_regressor" else "label", ["site", "position"])
 
 
 @query("l4_gbtr")
 def l4_gbtr(s: Source) -> DataFrame:
-    return stats.correlation(fitted(s, "gbt_regressor"), "predicted", "frequency", ["split"])
+    return stats.correlation(fitted(s, "gbt_regressor"), "predicted", "logit", [*GROUP, "split"])
 
 
 @query("l5_logit")
 def l5_logit(s: Source) -> DataFrame:
-    return models.classification_metrics(fitted(s, "logistic", "label"), "label", "predicted", ["split"])
+    return models.classification_metrics(fitted(s, "logistic"), "label", "predicted", [*GROUP, "split"])
 
 
 @query("l6_gbtc")
 def l6_gbtc(s: Source) -> DataFrame:
-    return models.classification_metrics(fitted(s, "gbt_classifier", "label"), "label", "predicted", ["split"])
+    return models.classification_metrics(fitted(s, "gbt_classifier"), "label", "predicted", [*GROUP, "split"])
 
 
 @query("l7_metrics", oracle("""
