@@ -122,7 +122,7 @@ def mann_whitney(df: DataFrame, value: str, label: str, by: list[str]) -> DataFr
 
 
 def bootstrap(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, kind: str = "mean", seed: str = "boot") -> DataFrame:
-    """Percentile intervals of the mean or geometric mean from ``replicates`` resamples.
+    """Percentile intervals of the mean, geometric mean or median from ``replicates`` resamples.
 
     Draws are hashes of (replicate, draw), so every engine draws alike. The fan-out is rows x replicates,
     aggregated before it is shuffled again; for groups too large for that use ``bootstrap_poisson``."""
@@ -131,7 +131,7 @@ def bootstrap(df: DataFrame, value: str, by: list[str], row_order: list[str], re
     rows = rows.select(*by, x.alias("__x"), (F.row_number().over(Window.partitionBy(*by).orderBy(*row_order)) - 1).alias("__at"), F.count("*").over(Window.partitionBy(*by)).alias("__n"))
     drawn = rows.select(*by, "__n", F.col("__at").alias("__i")).withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = drawn.withColumn("__at", F.pmod(hash_int(F.concat_ws("|", F.lit(seed), F.col("__rep"), F.col("__i"))), F.col("__n")).cast("int"))
-    means = drawn.join(rows.drop("__n"), [*by, "__at"]).groupBy(*by, "__rep").agg(F.avg("__x").alias("__m"))
+    means = drawn.join(rows.drop("__n"), [*by, "__at"]).groupBy(*by, "__rep").agg((F.percentile("__x", 0.5) if kind == "median" else F.avg("__x")).alias("__m"))
     out = means.withColumn("__m", F.exp("__m") if kind == "gmean" else F.col("__m"))
     return out.groupBy(*by).agg(*[F.percentile("__m", q).alias(f"p{n}") for q, n in ((0.025, "025"), (0.16, "16"), (0.84, "84"), (0.975, "975"))])
 

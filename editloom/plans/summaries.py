@@ -139,7 +139,31 @@ def t12_bootstrap(s: Source) -> DataFrame:
 
 @query("t12_bootstrap_poisson")
 def t12_bootstrap_poisson(s: Source) -> DataFrame:
-    return stats.bootstrap_poisson(ratios(s), "ratio", ["condition"], ["condition", "site"], replicates=200)
+    return stats.bootstrap_poisson(ratios(s), "ratio", ["condition"], ["condition", "site"], replicates=5000)
+
+
+def boot(kind: str, replicates: int) -> str:
+    """SQL of the intervals of one statistic, with the draws of ``stats.bootstrap``."""
+    each = {"mean": "avg(x)", "gmean": "exp(avg(ln(x)))", "median": "quantile_cont(x, 0.5)"}[kind]
+    return oracle("SELECT condition, round(quantile_cont(m, 0.025), 6) AS p025, round(quantile_cont(m, 0.16), 6) AS p16, round(quantile_cont(m, 0.84), 6) AS p84, round(quantile_cont(m, 0.975), 6) AS p975 FROM means GROUP BY ALL", *V, ctes=ANNOT + f""",
+boot_rows AS (SELECT condition, ratio AS x, row_number() OVER (PARTITION BY condition ORDER BY site) - 1 AS spot, count(*) OVER (PARTITION BY condition) AS n FROM ratios WHERE ratio {"> 0" if kind == "gmean" else "IS NOT NULL"}),
+draws AS (SELECT condition, rep, {HASH.format(x="'boot|' || rep || '|' || spot")} % n AS pick FROM boot_rows, (SELECT unnest(range(1, {replicates + 1})) AS rep) r),
+means AS (SELECT draws.condition, rep, {each} AS m FROM draws JOIN boot_rows ON draws.condition = boot_rows.condition AND pick = spot GROUP BY ALL)""")
+
+
+@query("t12_mean", boot("mean", 5000))
+def t12_mean(s: Source) -> DataFrame:
+    return rounded(stats.bootstrap(ratios(s), "ratio", ["condition"], ["site"], replicates=5000))
+
+
+@query("t12_gmean", boot("gmean", 10000))
+def t12_gmean(s: Source) -> DataFrame:
+    return rounded(stats.bootstrap(ratios(s), "ratio", ["condition"], ["site"], replicates=10000, kind="gmean"))
+
+
+@query("t12_median", boot("median", 10000))
+def t12_median(s: Source) -> DataFrame:
+    return rounded(stats.bootstrap(ratios(s), "ratio", ["condition"], ["site"], replicates=10000, kind="median"))
 
 
 @query("t13_corr", oracle("""

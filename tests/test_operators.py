@@ -156,6 +156,24 @@ def test_bootstraps_cover_their_mean(spark):
         assert row.p025 <= row.p16 <= mean <= row.p84 <= row.p975
 
 
+def test_bootstrap_of_the_median_is_not_moved_by_an_outlier(spark):
+    df = spark.createDataFrame([("c", i, 1e6 if i == 0 else float(i % 7)) for i in range(60)], "condition string, k int, v double")
+    row = stats.bootstrap(df, "v", ["condition"], ["k"], 100, kind="median").first()
+    assert 1 <= row.p025 <= row.p16 <= 3 <= row.p84 <= row.p975 <= 5
+
+
+def test_bootstrap_queries_draw_as_often_as_the_reference(spark, sf, monkeypatch):
+    from editloom.plans import registry
+
+    asked = {}
+    real = stats.bootstrap, stats.bootstrap_poisson
+    monkeypatch.setattr(stats, "bootstrap", lambda *a, **k: asked.__setitem__(k.get("kind", "mean"), k["replicates"]) or real[0](*a, **k))
+    monkeypatch.setattr(stats, "bootstrap_poisson", lambda *a, **k: asked.__setitem__("poisson", k["replicates"]) or real[1](*a, **k))
+    for name in ("t12_mean", "t12_gmean", "t12_median", "t12_bootstrap_poisson"):
+        registry.queries()[name](spark, sf)
+    assert asked == {"mean": 5000, "gmean": 10000, "median": 10000, "poisson": 5000}
+
+
 def test_rows_do_not_depend_on_partitions(spark):
     t = spark.createDataFrame([("c", s, 15, 5, "C", o, float(10 * s + len(o))) for s in range(9) for o in "CTG"], G4)
     c = t.withColumn("count", F.col("count") / 3 + F.col("site"))
