@@ -1,14 +1,17 @@
 """Vectorised text kernels for Arrow batches: words, shingles and hashes straight from UTF-8 bytes.
 
 Words are maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D), so byte
-positions never split a code point. A word's hash is a polynomial over random byte codes,
-modulo 2**64, read off one running sum per slice and then mixed; equal words have equal
-hashes wherever they stand. 64-bit hashes stand for words and shingles throughout.
+positions never split a code point. Words of a slice are told apart by their bytes, in a
+dictionary; each distinct word gets a 128-bit BLAKE2b digest, of which the first 64 bits stand
+for it in signatures. Where a decision rests on equal shingles, ``exact_sets`` numbers them by
+their words, without any hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,32 +20,14 @@ SLICE_BYTES = 1 << 21
 _U = np.uint64
 
 
-def _random_codes(seed: int, fold: bool) -> np.ndarray:
-    codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-    if fold:
-        codes[ord("A") : ord("Z") + 1] = codes[ord("a") : ord("z") + 1]
-    return codes
-
-
-CODES = {fold: _random_codes(20240611, fold) for fold in (False, True)}
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+#: A-Z to a-z, other bytes as they are.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | _U(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept per worker and grown on demand."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def steps(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what is made of a batch stays small."""
     for batch in batches:
@@ -86,6 +71,23 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = min(to, n)
 
 
+def segments(raw: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts of one text, each at white space, so that what is made of a part stays small whatever the
+    text's length; a word longer than ``most`` is not cut."""
+    at = 0
+    while at < len(raw):
+        to, step = at + most, 1 << 16
+        while to < len(raw):
+            found = np.flatnonzero(IS_SPACE[raw[to : to + step]])
+            if len(found):
+                to += int(found[0])
+                break
+            to += step
+        to = min(to, len(raw))
+        yield at, to
+        at = to
+
+
 def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the range of its words."""
     n = len(raw)
@@ -101,11 +103,44 @@ def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(CODES[fold][raw] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+def gathered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of ascending spans that don't overlap, one after another."""
+    sizes = ends - starts
+    off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    if off[-1] != len(raw):
+        mark = np.zeros(len(raw) + 1, np.int8)
+        full = sizes > 0
+        mark[starts[full]] += 1
+        mark[ends[full]] -= 1
+        raw = raw[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each span the number of its bytes among the distinct ones, and those."""
+    told = gathered(raw, starts, ends).dictionary_encode()
+    return told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
+
+
+@lru_cache(1 << 16)
+def digest(word: bytes) -> bytes:
+    return blake2b(word, digest_size=16).digest()
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    """uint64 (words, 2)."""
+    return np.frombuffer(b"".join(map(digest, words)), np.uint64).reshape(-1, 2)
+
+
+def word_digests(raw: np.ndarray, off: np.ndarray, lanes: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 (words, lanes) of all words, A-Z lowered, and for each text the range of its words."""
+    if len(off) == 2 and len(raw) > SLICE_BYTES:
+        parts = [word_digests(raw[a:b], np.array([0, b - a]), lanes)[0] for a, b in segments(raw)]
+        out = np.concatenate(parts)
+        return out, np.array([0, len(out)])
+    starts, ends, bounds = spans(raw, off)
+    codes, words = distinct(FOLD[raw], starts, ends)
+    return digests(words)[codes, :lanes] if len(codes) else np.zeros((0, lanes), np.uint64), bounds
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +174,8 @@ def text_shingles(column: pa.Array, k: int = 5) -> Iterator[tuple[int, int, np.n
     """For runs of texts: first, last, shingle hashes and their bounds."""
     raw, off = buffers(column)
     for a, b in slices(off):
-        part, rel = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-        starts, ends, bounds = spans(part, rel)
-        yield (a, b, *shingles(span_hashes(part, starts, ends), bounds, k))
+        words, bounds = word_digests(raw[off[a] : off[b]], off[a : b + 1] - off[a], 1)
+        yield (a, b, *shingles(words[:, 0], bounds, k))
 
 
 def sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
@@ -149,6 +183,47 @@ def sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     return [np.unique(h[bounds[i] : bounds[i + 1]]) for a, b, h, bounds in text_shingles(column, k) for i in range(b - a)]
 
 
+def word_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of all texts, A-Z lowered, equal for equal words only, and the texts' ranges of words."""
+    raw, off = buffers(column)
+    parts, words, counts = [], [], []
+    for a, b in slices(off):
+        rel = off[a : b + 1] - off[a]
+        cuts = segments(raw[off[a] : off[b]]) if b == a + 1 else [(0, rel[-1])]
+        found = np.zeros(b - a, np.int64)
+        for x, y in cuts:
+            part = raw[off[a] + x : off[a] + y]
+            starts, ends, bounds = spans(part, rel if b > a + 1 else np.array([0, y - x]))
+            told = gathered(FOLD[part], starts, ends).dictionary_encode()
+            parts.append(told.indices.to_numpy(zero_copy_only=False))
+            words.append(told.dictionary)
+            found += np.diff(bounds)
+        counts.append(found)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    whole = pa.concat_arrays(words).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum([0, *(len(w) for w in words)])
+    numbers = np.concatenate([whole[at[i] : at[i + 1]][p] for i, p in enumerate(parts)])
+    return numbers, np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def exact_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
+    """Sorted numbers of each text's distinct shingles; within one call, equal numbers mean equal words."""
+    words, bounds = word_numbers(column)
+    runs, top = words, int(words.max()) + 1 if len(words) else 1
+    for j in range(1, k):
+        runs = runs[: max(len(words) - j, 0)] * top + words[j:]
+        runs = np.unique(runs, return_inverse=True)[1].astype(np.int64) if len(runs) else runs
+    few: dict[tuple, int] = {}
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(runs[a : b - k + 1]))
+        else:
+            out.append(np.array([few.setdefault(tuple(words[a:b].tolist()), len(words) + len(few))][: b - a], np.int64))
+    return out
+
+
 class Permutations:
     """Universal hashes x -> (a*x + b mod 2**64) >> 32; a signature holds the least value under each."""
 

@@ -1,10 +1,11 @@
 """Token ids for Arrow batches, by a tokenizer of the ``tokenizers`` library whose file is a parameter.
 
 Texts are cut into pieces at places no token can span, each distinct piece is encoded once while it
-stays in a bounded per-worker store, and ids are gathered back in order. The cut places rest on the
-split patterns of the public byte-level and word-end vocabularies: a new run of ASCII white space
-after a letter or an ASCII mark, and an ASCII mark other than an apostrophe after a letter. The ids
-equal those of encoding the whole text at once, which the tests check.
+stays in a bounded per-worker store, and ids are gathered back in order. Pieces are told apart by
+their bytes. The cut places rest on the split patterns of the public byte-level and word-end
+vocabularies: a new run of ASCII white space after a letter or an ASCII mark, and an ASCII mark other
+than an apostrophe after a letter. A tokenizer of another kind (``cuts`` tells by its pre-tokenizer)
+encodes whole texts. The ids equal those of encoding the whole text at once, which the tests check.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from editloom.llm.text import IS_SPACE, buffers, slices, span_hashes
+from editloom.llm.text import FOLD, IS_SPACE, buffers, distinct, slices
 
-STORE_PIECES, SLOTS = 1 << 21, 1 << 22
+STORE_PIECES, RUN_PIECES = 1 << 19, 1 << 17
 _encoders: dict[str, "PieceEncoder"] = {}
 
 _LETTER = np.zeros(256, bool)
@@ -43,6 +44,12 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def cuts(told: dict) -> bool:
+    """Whether the tokenizer splits words as the two public vocabularies do, so that texts may be cut."""
+    split = json.dumps(told["pre_tokenizer"] or {})
+    return "'s|'t|'re|'ve|'m|'ll|'d" in split or ('"ByteLevel"' in split and '"use_regex": true' in split and '"add_prefix_space": false' in split)
+
+
 def _piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where pieces begin. White space leads the piece that follows it."""
     n = len(raw)
@@ -57,12 +64,8 @@ def _piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64), (hashes >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 class PieceEncoder:
-    """A table from piece hashes, at two places each, to rows of a ragged store of ids, both of bounded size.
+    """A dictionary from pieces to rows of a ragged store of ids, both of bounded size.
 
     For a vocabulary that lowers case and drops white space, pieces that differ in A-Z or in the
     white space before them share a row."""
@@ -71,38 +74,37 @@ class PieceEncoder:
         self.tokenizer = tokenizer(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         told = json.loads(self.tokenizer.to_str())
+        self.cuts = cuts(told)
         self.fold = "Lowercase" in json.dumps(told["normalizer"]) and "Removed" in json.dumps(told["pre_tokenizer"])
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.rows = np.full(SLOTS, -1, np.int32)
+        self.rows: dict[bytes, int] = {}
         self.starts = np.zeros(STORE_PIECES, np.int64)
         self.sizes = np.zeros(STORE_PIECES, np.int32)
         self.ids = np.zeros(1 << 20, self.dtype)
-        self.pieces = self.used = 0
+        self.used = 0
 
-    def _add(self, strings: list[str]) -> np.ndarray:
-        """Encode new pieces into the store; their rows."""
-        if self.pieces + len(strings) > STORE_PIECES:
-            self._clear()
+    def _add(self, pieces: list[bytes]) -> None:
+        """Encode new pieces into the store."""
+        strings = [p.decode("utf-8", "replace") for p in pieces]
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         sizes = np.array([len(x) for x in lists], np.int64)
         flat = np.array([i for x in lists for i in x], self.dtype)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
-        rows = np.arange(self.pieces, self.pieces + len(strings))
-        if len(strings) > STORE_PIECES - self.pieces:
-            raise ValueError("a slice holds more new pieces than the store")
+        first = len(self.rows)
+        at = slice(first, first + len(pieces))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[rows] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[rows] = sizes
-        self.pieces += len(strings)
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at] = sizes
         self.used += len(flat)
-        return rows
+        self.rows.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
+        if not self.cuts:
+            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
         raw, off = buffers(column)
         out: list[np.ndarray] = []
         for a, b in slices(off):
@@ -113,41 +115,30 @@ class PieceEncoder:
         starts = _piece_starts(raw, off)
         if not len(starts):
             return [np.zeros(0, self.dtype)] * (len(off) - 1)
-        if len(starts) > STORE_PIECES:  # one very long text of tiny pieces
-            runs = np.array_split(starts, len(starts) // (STORE_PIECES // 2) + 1)
-            ends = [*(int(r[0]) for r in runs[1:]), len(raw)]
-            parts = [self._ids(raw, r, np.append(r[1:], e)) for r, e in zip(runs, ends)]
-            ids, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        else:
-            ids, sizes = self._ids(raw, starts, np.append(starts[1:], len(raw)))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        cuts = ends[np.searchsorted(starts, off)]
-        return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
-
-    def _ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        heads = starts
+        ids, sizes = [], []
+        for at in range(0, len(starts), RUN_PIECES):  # more than one run in a very long text
+            run = starts[at : at + RUN_PIECES]
+            lo, hi = run[0], starts[at + RUN_PIECES] if at + RUN_PIECES < len(starts) else len(raw)
+            got = self._ids(raw[lo:hi], run - lo)
+            ids.append(got[0])
+            sizes.append(got[1])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        flat, at = np.concatenate(ids), ends[np.searchsorted(starts, off)]
+        return [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+
+    def _ids(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.append(starts[1:], len(raw))
         if self.fold:
             solid = np.append(np.flatnonzero(~IS_SPACE[raw]), len(raw))
-            heads = np.minimum(solid[np.searchsorted(solid, starts)], ends)
-        hashes = span_hashes(raw, heads, ends, self.fold)
-        if self.pieces > STORE_PIECES * 3 // 4:
+            starts, raw = np.minimum(solid[np.searchsorted(solid, starts)], ends), FOLD[raw]
+        codes, pieces = distinct(raw, starts, ends)
+        missing = [p for p in pieces if p not in self.rows]
+        if len(self.rows) + len(missing) > STORE_PIECES:
             self._clear()
-        one, two = _places(hashes)
-        rows = np.where(self.keys[one] == hashes, self.rows[one], np.where(self.keys[two] == hashes, self.rows[two], -1)).astype(np.int64)
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            at = missing[first]
-            whole = raw.tobytes()
-            strings = [whole[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            if self.pieces + len(strings) > STORE_PIECES:
-                self._clear()
-                return self._ids(raw, starts, ends)
-            added = self._add(strings)
-            rows[missing] = added[back]
-            one, two = _places(new)
-            slots = np.where((self.rows[one] >= 0) & (self.rows[two] < 0), two, one)
-            self.keys[slots], self.rows[slots] = new, added
+            missing = pieces
+        if missing:
+            self._add(missing)
+        rows = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))[codes]
         sizes = self.sizes[rows].astype(np.int64)
         total = np.cumsum(sizes)
         if not len(total) or not total[-1]:
