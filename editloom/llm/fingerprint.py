@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editloom.llm.base import save, ship, width
-from editloom.llm.graph import components
-from editloom.llm.near_dedup import verified
-from editloom.llm.text import Permutations, steps, text_shingles
+from editloom.llm.base import drop, save, ship, width
+from editloom.llm.near_dedup import near_components, signed
+from editloom.llm.text import Permutations, text_shingles
 
 PERMUTATIONS, SHINGLE, BAND = 128, 5, 4
 LOWEST = -(1 << 63)
@@ -126,37 +125,25 @@ def fingerprints(docs: DataFrame, count: int = PERMUTATIONS, k: int = SHINGLE) -
     return with_next(docs, width(docs.sparkSession)).mapInArrow(run, PRINTS)
 
 
-def band_edges(docs: DataFrame, count: int = PERMUTATIONS, band: int = BAND, k: int = SHINGLE) -> DataFrame:
-    """Edges (a, b): members of a band bucket to its smallest member."""
-    ship(docs.sparkSession)
+def banded(docs: DataFrame, count: int = PERMUTATIONS, k: int = SHINGLE) -> DataFrame:
+    """``near_dedup.signed`` with a fingerprint's lanes for its signature."""
+    return signed(docs, count, k).withColumn("sig", F.transform("sig", lambda v: v.bitwiseAND(0xFFFF)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            rows = lanes(batch.column(1), count, k)
-            keys = np.ascontiguousarray(rows).view(np.uint64 if band == 4 else f"V{2 * band}")
-            full = ~(rows == 0xFFFF).all(axis=1)
-            for j in range(keys.shape[1]):
-                marks = [keys[i, j].tobytes() for i in np.flatnonzero(full)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(pa.array(full)), pa.array([j] * len(marks), pa.int32()), pa.array(marks, pa.binary())], names=["doc_id", "number", "mark"]
-                )
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bands = save(rows.mapInArrow(run, "doc_id long, number int, mark binary"), "bands")
-    heads = save(bands.groupBy("number", "mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("number", "mark", "a"), "band-heads")
-    return bands.join(heads, ["number", "mark"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-
-
-def near_groups(docs: DataFrame, percent: int = 80, count: int = PERMUTATIONS, band: int = BAND, k: int = SHINGLE) -> DataFrame:
-    """doc_id, component_id of every distinct doc_id: linked where the full shingle sets of two documents
-    that bands bring into one group have that similarity. Documents without words, or linked with none, are alone."""
-    roots = save(components(band_edges(docs, count, band, k), "bands"), "band-groups")
-    groups = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(
-        roots.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct()
-    )
-    final = components(save(verified(groups, docs, percent, k), "band-links"))
-    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+def band_edges(reps: DataFrame, percent: int = 80, band: int = BAND) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) over ``reps`` (cid, sig): members of a band bucket to its smallest member; no class is on a hot list."""
+    number = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("sig") / F.lit(band)).cast("int") - 1), lambda i: F.concat_ws(",", F.slice("sig", i * band + 1, band).cast("array<string>")))).alias("number", "mark")
+    bands = save(reps.select("cid", number), "bands")
+    heads = save(bands.groupBy("number", "mark").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("number", "mark", "a"), "band-heads")
+    edges = save(bands.join(heads, ["number", "mark"]).where("cid > a").select("a", F.col("cid").alias("b")).distinct(), "band-edges")
+    drop(bands, heads)
+    return edges, reps.select("cid", F.lit(0).cast("long").alias("heat")).limit(0)
+
+
+def near_groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row: documents that bands of lanes bring into one group are
+    linked where their full shingle sets have that similarity."""
+    return near_components(docs, percent, k, banded, band_edges)
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:

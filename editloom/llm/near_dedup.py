@@ -1,39 +1,47 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Every distinct shingle set is posted under each (coordinate, value) pair of its signature.
-Posting lists longer than ``hot`` are skipped in the merge: what they could add is bounded by
-the number of hot coordinates a document has, so the collision count asked of the short lists
-is lowered by exactly that. Short lists are joined over a prefix of each document's cold
-coordinates (all but as many as the threshold allows to differ, plus a margin that must be
-collided on), counts are summed, and pairs above the threshold are kept. Documents hot in so
-many coordinates that they could match on hot lists alone are grouped by those lists. The groups
-of candidates are then compared on full shingle sets, in blocks, inside tasks.
+Texts of equal words are one class. Every class is posted under each (coordinate, value) pair of its
+signature. Posting lists longer than ``hot`` are skipped in the merge: what they could add is bounded by
+the number of hot coordinates a class has, so the collision count asked of the short lists is lowered by
+exactly that. Short lists are joined over a prefix of each class's cold coordinates (all but as many as
+the threshold allows to differ, plus a margin that must be collided on); of the pairs met, all coordinates
+are then counted, and those at the match threshold are kept. Classes hot in so many coordinates that they
+could match on hot lists alone are grouped by those lists.
+
+Links are decided on full shingle sets, numbered by their words without hashes. Each group of candidates
+up to ``BLOCK`` texts is one unit, its texts shipped once. In a larger group all texts first meet one
+leader, the text on most hot lists; only texts that it does not link go on to meet the rest of the group,
+block by block. Units are dealt to tasks by number, so those of one group are spread; blocks hold at most
+about ``BLOCK`` texts or ``BLOCK_CHARS`` characters.
 
 Only the signature is random: a pair at the threshold itself is missed with a chance of about 1e-6.
 
 Defined cases: a null or blank text has no shingles, links with nothing and is its own component;
 a null doc_id takes no part, its component is null and it is kept; repeated rows and equal texts
-share a component, and every row that carries the smallest doc_id is kept (rows that repeat a
-doc_id are one document). Other columns are ignored, whatever their names.
+share a component, and every row that carries the smallest doc_id is kept; rows that repeat a doc_id
+with different texts are compared each, and a component is named by the smallest doc_id in it.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.llm.base import drop, save, ship, unused
-from editloom.llm.graph import block_units, components, local_labels, stream_groups
-from editloom.llm.text import Permutations, mix, sets, steps
+from editloom.llm.base import drop, save, ship, unused, width
+from editloom.llm.graph import components, local_labels, stream_groups
+from editloom.llm.text import Permutations, buffers, exact_sets, shingles, slices, steps, word_digests
 
 COORDINATES, SHINGLE, PERCENT = 64, 5, 80
-HOT, MARGIN, BLOCK = 32, 16, 256
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"
+HOT, MARGIN, BLOCK, BLOCK_CHARS = 32, 16, 256, 1 << 25
+_SIGNED = "doc_id long, mark binary, n_shingles long, words binary, sig array<int>"
+_UNIT = ["grp", "unit_i", "unit_j"]
 
 
 def match_threshold(share: float, coordinates: int = COORDINATES, miss: float = 1e-6) -> int:
@@ -46,98 +54,138 @@ def match_threshold(share: float, coordinates: int = COORDINATES, miss: float =
     return coordinates
 
 
+def text_mark(text: Column) -> Column:
+    """128 bits of a text's SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
+
+
 def signed(docs: DataFrame, coordinates: int = COORDINATES, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set (h1, h2) and the signature."""
+    """doc_id, mark (of the text), n_shingles, a 128-bit digest of the words in order, and the signature of the shingle set."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(coordinates)
         for batch in steps(batches):
-            found = sets(batch.column(1), k)
+            raw, off = buffers(batch.column(2))
+            found, names = [], []
+            for a, b in slices(off):
+                words, bounds = word_digests(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                runs, ends = shingles(np.ascontiguousarray(words[:, 0]), bounds, k)
+                for i in range(b - a):
+                    found.append(np.unique(runs[ends[i] : ends[i + 1]]))
+                    names.append(blake2b(words[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest())
             sizes = np.array([len(s) for s in found], np.int64)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            sig = perms.signatures(flat, bounds)
-            marks = []
-            for salt in (0x1234567, 0x89ABCDEF0):
-                total = np.zeros(len(flat) + 1, np.uint64)
-                np.cumsum(mix(flat + np.uint64(salt)), out=total[1:])
-                marks.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sig = perms.signatures(np.concatenate(found) if found else np.zeros(0, np.uint64), ends)
             lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * coordinates, pa.array(sig.view(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(marks[0]), pa.array(marks[1]), lists], names=["doc_id", "n_shingles", "h1", "h2", "sig"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(names, pa.binary()), lists], names=["doc_id", "mark", "n_shingles", "words", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), text_mark(F.col("text")), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
 
 
-def candidates(reps: DataFrame, threshold: int, coordinates: int = COORDINATES, hot: int = HOT, margin: int = MARGIN) -> DataFrame:
-    """Edges (a, b) over ``reps`` (doc_id, sig): all pairs of at least ``threshold`` equal coordinates lie in
-    one component of them. A pair shows at least threshold - hot coordinates cold collisions, or both
-    documents are hot in ``threshold`` coordinates and share a hot list."""
-    posts = reps.select("doc_id", F.posexplode("sig").alias("c", "v")).select(
-        "doc_id", "c", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("token")
+def candidates(reps: DataFrame, percent: int, coordinates: int = COORDINATES, hot: int = HOT, margin: int = MARGIN) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) over ``reps`` (cid, sig), and (cid, heat) of those on hot lists: all pairs that match in
+    enough coordinates lie in one component of the edges. Such a pair shows at least the threshold less its
+    heat in cold collisions, or both are hot in so many coordinates and share a hot list."""
+    threshold = match_threshold(percent / 100, coordinates)
+    posts = reps.select("cid", F.posexplode("sig").alias("c", "v")).select(
+        "cid", "c", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("token")
     )
-    lists = save(posts.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("leader")).where("df > 1"), "near-lists")
+    lists = save(posts.groupBy("token").agg(F.count("*").alias("df"), F.min("cid").alias("leader")).where("df > 1"), "near-lists")
     hits = save(posts.join(lists, "token"), "near-hits")
-    heat = hits.groupBy("doc_id").agg(F.sum(F.when(F.col("df") > hot, 1).otherwise(0)).alias("heat")).where("heat > 0")
-    heat = save(heat, "near-heat")
-    warm = hits.join(heat, "doc_id", "left").withColumn("heat", F.coalesce("heat", F.lit(0)))
-    # A cold coordinate shared with nobody never collides, so a document's prefix ends where its
-    # coordinate number does: two documents cut theirs at the same order of coordinates.
+    hot_hits = hits.where(F.col("df") > hot)
+    heat = save(hot_hits.groupBy("cid").agg(F.count("*").alias("heat"), F.array_sort(F.collect_set("c")).alias("hot_at")), "near-heat")  # at most one entry a coordinate
+    # A cold coordinate shared with nobody never collides, so a prefix ends where its coordinate number
+    # does: two classes cut theirs at the same order of coordinates.
     prefix = coordinates - threshold + margin
-    hot_mask = save(
-        hits.where(F.col("df") > hot).groupBy("doc_id").agg(F.array_sort(F.collect_set("c")).alias("hot_at")), "near-mask"
-    )  # at most one entry a coordinate
     cold = (
-        warm.where(F.col("df") <= hot)
-        .join(hot_mask, "doc_id", "left")
+        hits.where(F.col("df") <= hot)
+        .join(heat, "cid", "left")
         .withColumn("place", F.col("c") - F.coalesce(F.size(F.filter("hot_at", lambda x: x < F.col("c"))), F.lit(0)))
         .where(F.col("place") < prefix)
-        .select("token", "doc_id", "heat")
+        .select("token", "cid", F.coalesce("heat", F.lit(0)).alias("heat"))
     )
-    left = cold.select("token", F.col("doc_id").alias("b"), F.col("heat").alias("heat_b"))
-    right = cold.select("token", F.col("doc_id").alias("a"), F.col("heat").alias("heat_a"))
-    least = F.least("heat_a", "heat_b")
+    left = cold.select("token", F.col("cid").alias("b"), F.col("heat").alias("heat_b"))
+    right = cold.select("token", F.col("cid").alias("a"), F.col("heat").alias("heat_a"))
+    least = F.least(F.min("heat_a"), F.min("heat_b"))
     need = F.when(least >= threshold, F.lit(threshold)).otherwise(F.lit(threshold) - least)
-    pairs = (
-        left.join(right, "token")
-        .where("a < b")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"), F.first("heat_a").alias("heat_a"), F.first("heat_b").alias("heat_b"))
-        .where(F.col("n") >= F.least(need, F.lit(margin)))
-        .select("a", "b")
-    )
-    stars = warm.where((F.col("df") > hot) & (F.col("heat") >= threshold)).select(F.col("leader"), "doc_id", "token")
-    # The list's smallest member may itself be too cold to be compared; the edge to it only groups.
-    stars = stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+    met = left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), need.alias("need")).where(F.col("n") >= F.least("need", F.lit(margin)))
+    full = met.select("a", "b").join(reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
+    full = full.join(reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    matches = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    pairs = full.where(matches >= threshold).select("a", "b")
+    # The list's smallest member may itself be too cold to match; the edge to it only groups.
+    stars = hot_hits.join(heat.where(F.col("heat") >= threshold).select("cid"), "cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).where("a < b").distinct()
     out = save(pairs.unionByName(stars), "near-pairs")
-    drop(hits, heat, hot_mask, lists)
-    return out
+    drop(hits, lists)
+    return out, heat.select("cid", "heat")
 
 
-def verified(groups: DataFrame, docs: DataFrame, percent: int, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that span the links within ``groups`` (doc_id, cluster): 100 * shared >= percent * joint."""
-    # By merge at any size: what is small here on a small table is not bounded on a large one.
-    texts = groups.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
-    units = block_units(texts, "cluster", "doc_id", block, "near").select("cluster", "unit_i", "unit_j", "doc_id", "text")
-    keys = ["cluster", "unit_i", "unit_j"]
+def _dealt(units: DataFrame) -> DataFrame:
+    """Units to partitions: those of one group one after another from a place of its own."""
+    parts = width(units.sparkSession)
+    place = F.pmod(F.xxhash64("grp"), F.lit(parts)) + F.col("unit_i") * F.lit(7919) + F.col("unit_j")
+    return units.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions(*_UNIT, "cid")
+
+
+def _compare(units: DataFrame, percent: int, k: int, of: str) -> DataFrame:
+    """Edges (a, b) found in each unit of rows cid, text, first. ``of`` says which pairs: 'all', or those with
+    at least one of the ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in stream_groups(batches, keys):
-            ids = table.column("doc_id").to_numpy()
+        for table in stream_groups(batches, _UNIT):
+            table = table.set_column(table.schema.get_field_index("text"), "text", table.column("text").cast(pa.large_string()))
+            # A text that stands there as first and as one of the rest is compared as first.
+            table = table.sort_by([("first", "descending"), ("cid", "ascending")])
+            names, at = np.unique(table.column("cid").to_numpy(), return_index=True)
+            table = table.take(np.sort(at))
+            ids = table.column("cid").to_numpy()
             if len(ids) < 2:
                 continue
-            label = local_labels(_links(sets(table.column("text"), k), percent))
+            found = exact_sets(table.column("text"), k)
+            if of == "all":
+                linked = _links(found, percent)
+            else:
+                n = int(np.sum(table.column("first").to_numpy(zero_copy_only=False)))
+                linked = _links(found, percent, heads=n)
+            label = local_labels(linked)
             away = label != np.arange(len(ids))
             if away.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[label[away]]), pa.array(ids[away])], names=["a", "b"])
 
-    return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return _dealt(units.select(*_UNIT, "cid", "text", "first")).mapInArrow(run, "a long, b long")
+
 
+def verified(groups: DataFrame, percent: int, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that span the links within ``groups`` (grp, cid, heat, text): 100 * shared >= percent * joint."""
+    ship(groups.sparkSession)
+    chars = F.sum(F.length("text"))
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.ceil(chars / BLOCK_CHARS)).cast("int")
+    sizes = groups.groupBy("grp").agg(blocks(F.count("*")).alias("blocks"), F.max(F.struct("heat", (-F.col("cid")).alias("minus"))).alias("top"))
+    big = save(sizes.where("blocks > 1").select("grp", "blocks", (-F.col("top.minus")).alias("leader")), "near-sizes")
+    zero, no = F.lit(0), F.lit(False)
+    small = groups.join(big.select("grp"), "grp", "left_anti").select("grp", zero.alias("unit_i"), zero.alias("unit_j"), "cid", "text", no.alias("first"))
+    links = save(_compare(small, percent, k, "all"), "near-links")
+    if big.isEmpty():
+        return links
+    mine = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), n).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = groups.join(big, "grp")
+    led = rows.where("cid = leader").select("grp", over(F.col("blocks")).alias("unit_i"), zero.alias("unit_j"), "cid", "text", F.lit(True).alias("first"))
+    rest = rows.where("cid <> leader").select("grp", mine(F.col("blocks"), 11).alias("unit_i"), zero.alias("unit_j"), "cid", "text", no.alias("first"))
+    near = save(_compare(led.unionByName(rest), percent, k, "first"), "near-led")
+    # What meets its leader carries its link as (leader, cid) or (cid, leader).
+    ends = near.select(F.col("a").alias("end")).unionByName(near.select(F.col("b").alias("end"))).distinct()
+    far = save(rows.where("cid <> leader").select("grp", "cid", "blocks", "text").join(ends, F.col("cid") == F.col("end"), "left_anti"), "near-far")
+    again = far.groupBy("grp").agg(blocks(F.count("*")).alias("heads"))
+    firsts = far.join(again, "grp").select("grp", mine(F.col("heads"), 13).alias("unit_i"), over(F.col("blocks")).alias("unit_j"), "cid", "text", F.lit(True).alias("first"))
+    others = rows.where("cid <> leader").join(again, "grp").select("grp", over(F.col("heads")).alias("unit_i"), mine(F.col("blocks"), 11).alias("unit_j"), "cid", "text", no.alias("first"))
+    return links.unionByName(near).unionByName(save(_compare(firsts.unionByName(others), percent, k, "first"), "near-crossed"))
 
-def _links(found: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
-    """Which pairs of sets are similar enough: shared sizes by products of 0/1 blocks over the shared hashes."""
+
+def _links(found: list[np.ndarray], percent: int, heads: int | None = None, columns: int = 4096) -> np.ndarray:
+    """Which pairs of sets are similar enough: shared sizes by products of 0/1 blocks over the shared numbers.
+    With ``heads``, only pairs with one of the first so many sets."""
     sizes = np.array([len(s) for s in found], np.int64)
     flat = np.concatenate(found)
     owner = np.repeat(np.arange(len(found)), sizes)
@@ -148,60 +196,81 @@ def _links(found: list[np.ndarray], percent: int, columns: int = 4096) -> np.nda
     at, owner = number[where[keep]], owner[keep]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    shared = np.zeros((len(found), len(found)), np.float32)
+    top = len(found) if heads is None else heads
+    shared = np.zeros((top, len(found)), np.float32)
     for c in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
         lo, hi = np.searchsorted(at, [c, c + columns])
         grid = np.zeros((len(found), columns), np.float32)
         grid[owner[lo:hi], at[lo:hi] - c] = 1
-        shared += grid @ grid.T
+        shared += grid[:top] @ grid.T
     both = shared.astype(np.int64)
-    joint = sizes[:, None] + sizes[None, :] - both
-    out = (100 * both >= percent * joint) & (both > 0)
+    joint = sizes[:top, None] + sizes[None, :] - both
+    out = np.zeros((len(found), len(found)), bool)
+    out[:top] = (100 * both >= percent * joint) & (both > 0)
+    out[:, :top] |= out[:top].T
     np.fill_diagonal(out, False)
     return out
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    table = save(signed(docs, k=k), "near-signed")
+def grouped_texts(edges: DataFrame, classes: DataFrame, docs: DataFrame, heat: DataFrame) -> DataFrame:
+    """grp, cid, heat, text, saved: the texts of the classes (cid, doc_id, mark) that ``edges`` group."""
+    roots = components(edges, "near-groups")
+    members = roots.select(F.col("node").alias("cid"), F.col("root").alias("grp")).unionByName(roots.select(F.col("root").alias("cid"), F.col("root").alias("grp")).distinct())
+    members = members.join(classes.select("cid", F.col("doc_id").alias("of"), F.col("mark").alias("own")), "cid").join(heat, "cid", "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    # By merge at any size: what is small here on a small table is not bounded on a large one.
+    found = members.hint("merge").join(texts, F.col("id") == F.col("of")).where(text_mark(F.col("text")) == F.col("own"))
+    out = save(found.select("grp", "cid", F.coalesce("heat", F.lit(0)).cast("long").alias("heat"), "text").dropDuplicates(["cid"]), "near-texts")
+    drop(roots)
+    return out
+
+
+def told(docs: DataFrame, percent: int, k: int, sign: Callable = signed, find: Callable = candidates) -> tuple[DataFrame, DataFrame]:
+    """(table, classes): the signed rows, and for each class (words) its first row (doc_id, mark) and the
+    component's first row ``head`` where others are in it. ``sign`` makes the signatures, ``find`` the candidates."""
+    table = save(sign(docs, k=k), "near-signed")
     real = table.where("doc_id is not null and n_shingles > 0")
-    classes = save(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = (
-        table.join(classes, (table.doc_id == classes.rep) & (table.h1 == classes.h1) & (table.h2 == classes.h2))
-        .select(table.doc_id, table.sig)
-        .dropDuplicates(["doc_id"])
-    )
-    edges = candidates(reps, match_threshold(percent / 100))
-    roots = save(components(edges, "near-groups"), "near-clusters")
-    groups = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(
-        roots.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct()
-    )
-    links = save(verified(groups, docs, percent, k), "near-links")
-    final = components(links)
-    # Only classes with a smaller representative elsewhere, or with copies, need telling.
-    sizes = real.groupBy("h1", "h2", "n_shingles").agg(F.count("*").alias("copies"))
-    told = (
-        classes.join(final, F.col("rep") == F.col("node"), "left")
-        .join(sizes.where("copies > 1").select("h1", "h2", F.col("n_shingles").alias("n2"), F.lit(True).alias("copied")), ["h1", "h2"], "left")
-        .where("root is not null or copied")
-        .select("h1", "h2", F.col("n_shingles").alias("n3"), F.coalesce("root", "rep").alias("root"))
-    )
-    told = save(told, "near-told")
-    out = (
-        table.select("doc_id", "n_shingles", "h1", "h2")
-        .join(told, (table.h1 == told.h1) & (table.h2 == told.h2) & (table.n_shingles == told.n3), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    classes = real.groupBy("words").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
+    classes = save(classes.select(F.monotonically_increasing_id().alias("cid"), "words", "first.doc_id", "first.mark", "copies", "sig"), "near-classes")
+    edges, heat = find(classes.select("cid", "sig"), percent)
+    texts = grouped_texts(edges, classes, docs, heat)
+    final = components(verified(texts, percent, k))
+    rooted = final.select(F.col("node").alias("cid"), "root").unionByName(final.select(F.col("root").alias("cid"), "root").distinct())
+    named = save(rooted.join(classes.select("cid", F.struct("doc_id", "mark").alias("own")), "cid"), "near-named")
+    heads = named.groupBy("root").agg(F.min("own").alias("head"))
+    drop(edges, heat, texts, final)
+    return table, classes.join(named.join(heads, "root").select("cid", "head"), "cid", "left")
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, sign: Callable = signed, find: Callable = candidates) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    table, classes = told(docs, percent, k, sign, find)
+    # Only classes with others in their component, or with copies, need telling.
+    few = save(classes.where("head is not null or copies > 1").select(F.col("words").alias("of"), F.coalesce("head.doc_id", "doc_id").alias("root")), "near-told")
+    drop(classes)
+    out = table.select("doc_id", "n_shingles", "words").join(few, F.col("words") == F.col("of"), "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document of the smallest id, once."""
-    marks = save(near_components(docs, percent, k).where("kept").select("doc_id").distinct(), "near-kept")
-    name = unused(docs, "kept_id")
-    kept = marks.where("doc_id is not null").select(F.col("doc_id").alias(name))
-    stay = docs.join(kept, docs["doc_id"].cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that stay: of each component the first text of the smallest id, once; of rows that
+    repeat an id and a blank text, one. Which of several rows with that id and text stays is decided by a
+    digest of the whole row."""
+    table, classes = told(docs, percent, k)
+    heads = classes.where("head is null or (head.doc_id = doc_id and head.mark = mark)").select("doc_id", "mark")
+    blank = table.where("doc_id is not null and n_shingles = 0").select("doc_id", "mark")
+    rows = table.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    identity, mark, n, place = (unused(docs, x) for x in ("kept_id", "kept_mark", "kept_rows", "kept_place"))
+    stay = heads.unionByName(blank.distinct()).join(rows, ["doc_id", "mark"])
+    stay = save(stay.select(F.col("doc_id").alias(identity), F.col("mark").alias(mark), F.col("n").alias(n)), "near-kept")
+    drop(table, classes)
+    own = docs.withColumn(place, text_mark(F.col("text")))
+    on = (own["doc_id"].cast("long") == F.col(identity)) & (own[place] == F.col(mark))
+    once = own.join(stay.where(F.col(n) == 1), on, "left_semi").select(*docs.columns)
+    order = Window.partitionBy(identity, mark).orderBy(F.xxhash64(F.to_json(F.struct(*[own[c] for c in docs.columns]))))
+    repeated = own.join(stay.where(F.col(n) > 1), on).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return once.unionByName(repeated.select(*docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

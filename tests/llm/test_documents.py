@@ -34,7 +34,7 @@ def test_near_components_equal_brute_force(docs, texts, percent):
 
 
 def test_large_groups_are_compared_in_blocks(docs, texts, monkeypatch):
-    monkeypatch.setattr(near_dedup.verified, "__defaults__", (5, 8))
+    monkeypatch.setattr(near_dedup.verified, "__defaults__", (5, 8))  # nearly all groups have a leader, and texts that it doesn't link
     got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs, 85).collect()}
     assert got == components(texts, 85)
 
@@ -141,11 +141,45 @@ def test_odd_rows(spark):
     assert len(set(same)) == 1 and len(same) == 3
     rows = token_output.read_back(token_output.write_ordered(docs, BYTE)).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 1, 2, 3, 4, 5, 6, 7] and [r.n_tokens for r in rows if r.doc_id in (2, 3)] == [1, 1]
-    assert fingerprint.near_groups(docs, 85).count() == 7
+    assert fingerprint.near_groups(docs, 85).count() == 9
     pieces = packing.packed(docs, WORDS, 128).collect()
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
 
 
+def thue_morse(letters, n):
+    """Two words whose polynomial hashes modulo 2**64 agree, whatever the base and the letters' codes."""
+    word, other = letters
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("n", [1024, 65536])
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark, n):
+    a, b = thue_morse("ab", n)
+    texts = {1: a, 2: b, 3: f"{a} x y z w", 4: f"{b} x y z w", 5: f"x {a}", 6: f"x {a}"}
+    docs = frame(spark, texts.items())
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert {r.doc_id: r.component_id for r in fingerprint.near_groups(docs, 85).collect()} == got
+    encode = tokenizer(BYTE)
+    for r in token_output.read_back(token_output.write_ordered(docs, BYTE)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*encode.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4").tobytes())
+    check_pieces(packing.packed(docs, WORDS, 4096).collect(), texts, 4096)
+
+
+def test_rows_that_repeat_an_id_with_different_texts_are_compared_each(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, two), (7, two + " end"), (9, one + " end"), (9, one + " end"), (11, "alone here with five words")]
+    docs = frame(spark, rows).withColumn("text", F.col("text"))
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_components(docs, 85).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 5, False), (11, 11, True)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicate(docs, 85).collect()) == sorted([(5, one), (5, two), (11, "alone here with five words")])
+    again = docs.unionByName(docs.withColumn("lang", F.lit("zz")))
+    kept = {(r.doc_id, r.text): r.lang for r in near_dedup.deduplicate(again, 85).collect()}
+    assert kept == {(r.doc_id, r.text): r.lang for r in near_dedup.deduplicate(again.repartition(3), 85).collect()} and len(kept) == 3
+
+
 def test_empty_tables(spark):
     docs = empty_documents(spark)
     assert near_dedup.near_components(docs).count() == 0 and near_dedup.deduplicate(docs).count() == 0
