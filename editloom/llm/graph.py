@@ -43,12 +43,12 @@ def _is_star(edges: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def block_units(df: DataFrame, key: str, identity: str, size: int, name: str) -> DataFrame:
+def block_units(df: DataFrame, key: str, identity: str, size: int, name: str, keys: DataFrame | None = None) -> DataFrame:
     """Rows with ``unit_i``, ``unit_j``, ``block``: each pair of rows of one key meets in a unit of at most
     about two blocks of ``size`` rows. Small keys are one unit; a key of n rows makes (n/size)**2/2 units,
-    each a small task of its own, and no pair is written out."""
+    each a small task of its own, and no pair is written out. ``keys``: the same keys, if they are at hand."""
     big = save(
-        df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > size).select(key, F.ceil(F.col("__n") / size).cast("int").alias("__blocks")),
+        (df if keys is None else keys).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > size).select(key, F.ceil(F.col("__n") / size).cast("int").alias("__blocks")),
         f"{name}-big",
     )
     block = F.coalesce(F.pmod(F.xxhash64(identity, F.lit(11)), F.col("__blocks")).cast("int"), F.lit(0))

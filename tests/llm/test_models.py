@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -95,8 +96,9 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark):
             stage(spark, docs, folder).collect()
 
 
-def test_forest_brings_pairs_at_the_threshold_together():
-    from editloom.llm.vector_dedup import LEAF, Forest
+@pytest.mark.parametrize("sample_rows", [20_000, 500])
+def test_forest_brings_pairs_at_the_threshold_together(spark, sample_rows):
+    from editloom.llm.vector_dedup import LEAF, SPILL, TREES, grown
 
     draw = np.random.default_rng(3)
     unit = draw.standard_normal((6000, 64))
@@ -105,11 +107,10 @@ def test_forest_brings_pairs_at_the_threshold_together():
     away -= (away * unit).sum(axis=1, keepdims=True) * unit
     away /= np.linalg.norm(away, axis=1, keepdims=True)
     rows = np.concatenate([unit, 0.901 * unit + np.sqrt(1 - 0.901**2) * away]).astype(np.float32)
-    forest = Forest(rows[draw.permutation(len(rows))[:4000]], len(rows))
-    met, largest = np.zeros(6000, bool), 0
-    for t in range(forest.trees):
-        row, leaf = forest.leaves(rows, t)
-        largest = max(largest, np.unique(leaf, return_counts=True)[1].max())
-        placed = set(zip(row.tolist(), leaf.tolist()))
-        met[[r for r, n in placed if r < 6000 and (r + 6000, n) in placed]] = True
-    assert met.mean() > 0.995 and forest.levels > 3 and largest < 2 * LEAF
+    classes = spark.createDataFrame(pd.DataFrame({"rep": np.arange(len(rows)), "embedding": rows.tolist()}), "rep long, embedding array<float>")
+    placed = grown(classes, len(rows), 64, 0.9, TREES, LEAF, SPILL, sample_rows).toPandas()
+    held = placed.groupby("rep")["leaf"].agg(set)
+    met = np.mean([bool(held[i] & held[i + 6000]) for i in range(6000)])
+    # A small sample leaves nodes open, which the next stage splits.
+    assert met > 0.995 and placed.groupby("leaf").size().max() < 3 * LEAF and len(held) == len(rows)
+    assert placed.leaf.nunique() > 8 * 8
