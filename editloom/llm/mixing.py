@@ -1,19 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations alone.
 
-Each source's documents are shuffled by a digest and queued, once an epoch. A document's virtual
-finish time is its source's cumulative words divided by the source's target, so all sources are
-served in proportion; the queues are merged by that time and cut where the total budget is spent.
-At the cut, the documents in service keep the words served so far.
+Each source's documents are shuffled by a digest and queued, once an epoch, and served in packets of at
+most ``PACKET`` words. A packet's virtual finish time is its source's cumulative words divided by the
+source's target, so all sources are served in proportion. The queues are merged by that time over the
+whole mix, and the merged order is truncated where the total budget is spent: what a document is given
+is what its packets before the cut hold, and the packet at the cut is cut.
 
 Running totals are taken in two levels: sums per source and digest bucket, then rows within a bucket,
 so a source with a third of all rows is spread over as many tasks as any other share of the table.
+Sources are ranked by ranges, and the share that a target stops at is found by sums over them.
 
 Targets: sources ordered by code point, null last, weigh as ``weights`` repeat, and share ``budget``
 times all sizes; a target stops at ``epochs`` times its source's size and the excess is shared anew.
+A source's words in the mix miss its target by about a packet.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own,
 unlike the empty string; repeated rows are queued each; an empty table gives no rows. Columns other
-than doc_id, text and source pass through unread in ``mixed_rows`` and are ignored in ``mixed``.
+than doc_id, text and source pass through unread in ``mix_copies`` and are ignored in ``mixed``.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.llm.base import save, unused
+from editloom.llm.base import drop, save, unused, width
 
-WEIGHTS, BUDGET, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2, "mix-1"
+WEIGHTS, BUDGET, EPOCHS, SEED, PACKET = (3.0, 1.0, 2.0), 1.5, 2, "mix-1", 128
 ROWS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 256, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,75 +59,80 @@ def running_before(df: DataFrame, by: list[str], bucket: str, order: list, value
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
-    """queue, source_size, target from (queue, size): one row a source, water filling in closed form.
-
-    With sources ordered by how little of the share fills them, the first whose share at the level left
-    by all before it stays under its stop fixes the level for itself and the rest."""
+    """queue, source_size, target from (queue, size): one row a source. The level that a weight of 1 gets rises as
+    sources stop, until the sources that it stops are those that it was computed with."""
     one = sizes.groupBy("queue").agg(F.sum("size").alias("source_size"))
-    ranks = Window.orderBy("queue")
-    weighed = one.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(ranks) - 1, F.lit(len(weights))) + 1).cast("int")))
-    by_fill = Window.orderBy(F.col("source_size") / F.col("weight"), "queue")
-    before, rest = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    stop = F.lit(float(epochs)) * F.col("source_size")
-    levels = (
-        weighed.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(budget)))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum(stop).over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-        .withColumn("fits", F.col("level") * F.col("weight") <= stop)
-        .withColumn("final", F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), F.col("queue"), F.col("level")))).over(everything)["level"])
-    )
-    return levels.select("queue", "source_size", F.when(F.col("final").isNull(), stop).otherwise(F.least(F.col("final") * F.col("weight"), stop)).alias("target"))
-
-
-def queued(docs: DataFrame, weights: tuple[float, ...], budget: float, epochs: int, seed: str) -> tuple[DataFrame, int]:
+    ranged = save(one.repartitionByRange(width(sizes.sparkSession), "queue").withColumns({"range": F.spark_partition_id(), "one": F.lit(1)}), "mix-sources")
+    ranked = running_before(ranged, [], "range", ["queue"], "one", "rank", "mix-ranks")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = save(ranked.select("queue", "source_size", weight.alias("weight"), (F.lit(float(epochs)) * F.col("source_size")).alias("stop")), "mix-weights")
+    total = (rows.agg(F.sum("source_size")).first()[0] or 0) * float(budget)
+    level, stopped = None, F.lit(False)
+    while True:
+        sums = rows.agg(F.sum(F.when(stopped, F.col("stop")).otherwise(0.0)).alias("stop"), F.sum(F.when(~stopped, F.col("weight"))).alias("weight")).first()
+        if not sums.weight:  # all stop, or there are none
+            return rows.select("queue", "source_size", F.col("stop").alias("target"))
+        then = (total - sums.stop) / sums.weight
+        if then == level:
+            return rows.select("queue", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("stop")).alias("target"))
+        level, stopped = then, F.lit(then) * F.col("weight") > F.col("stop")
+
+
+def queued(docs: DataFrame, weights: tuple[float, ...], budget: float, epochs: int, seed: str) -> tuple[DataFrame, int, int]:
     """Rows of doc_id, queue, digest, size, source_size, target and ``start``: the words of the source's queue
-    before the row in the first epoch. Saved; with the number of digest ranges used."""
+    before the row in the first epoch. Saved; with the number of digest ranges used and the words of the mix."""
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
     narrow = save(docs.select("doc_id", queue_key(F.col("source")).alias("queue"), words(F.col("text")).alias("size"), digest.alias("digest")), "mix-sizes")
-    buckets = buckets_for(narrow.count())
-    aims = save(targets(narrow.select("queue", "size"), weights, budget, epochs), "mix-targets")
+    told = narrow.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    buckets = buckets_for(told.rows)
+    aims = targets(narrow.select("queue", "size"), weights, budget, epochs)
     ranged = narrow.withColumn("bucket", digest_bucket(F.col("digest"), buckets))
     lined = running_before(ranged, ["queue"], "bucket", ["digest", "size"], "size", "start", "mix-base").drop("bucket")
-    return save(lined.join(aims, "queue"), "mix-queues"), buckets
+    out = save(lined.join(aims, "queue"), "mix-queues")
+    drop(narrow, aims)
+    return out, buckets, int(told.words * min(float(budget), float(epochs)))
 
 
-def served(rows: DataFrame, epochs: int) -> DataFrame:
-    """One row a document and epoch with words in the mix: ``finish`` is the virtual time at which its last
-    word is served; all queues run at the rate of their targets, so the budget is spent at time 1, and what
-    is in service then keeps the words served (``part``)."""
-    ahead = F.col("start") + F.col("epoch") * F.col("source_size")
-    due = F.floor(F.col("target") + F.lit(0.5)).cast("long")
+def served(rows: DataFrame, buckets: int, budget: int, epochs: int, packet: int = PACKET) -> DataFrame:
+    """queue, start, epoch, size, part, position: what each packet is given of the ``budget``. Packets are merged by
+    virtual finish time, and ``position`` counts the words of the mix before one."""
     entries = rows.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(epochs)])))
-    entries = entries.withColumn("part", F.least(F.col("size"), due - ahead)).where("part > 0")
-    return entries.withColumn("finish", F.least(F.lit(1.0), (ahead + F.col("size")) / F.col("target")))
-
-
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    entries = entries.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / packet))))
+    end = F.least((F.col("number") + 1) * packet, F.col("size"))
+    finish = (F.col("start") + F.col("epoch") * F.col("source_size") + end) / F.col("target")
+    entries = entries.select("queue", "start", "epoch", "number", "size", (end - F.col("number") * packet).alias("words"), finish.alias("finish"))
+    # Up to 1 finish times are even in words; beyond, ranges narrow towards the last.
+    late = F.lit(buckets) + F.floor((1 - 1 / F.col("finish")) * buckets)
+    ranged = entries.withColumn("range", F.when(F.col("finish") <= 1, F.floor(F.col("finish") * buckets)).otherwise(late).cast("int"))
+    merged = running_before(ranged, [], "range", ["finish", "queue", "start", "epoch", "number"], "words", "position", "mix-merged")
+    return merged.withColumn("part", F.least(F.col("words"), F.lit(budget) - F.col("position"))).where("part > 0")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = SEED, packet: int = PACKET) -> DataFrame:
     """doc_id, size, source_size, target, taken, position for every row of ``docs`` (doc_id, text, source).
     ``position``: the words of the mix before the document's first, in order of finish time; null if none is taken."""
-    rows, buckets = queued(docs, weights, budget, epochs, seed)
-    entries = served(rows, epochs).select("queue", "start", "part", "finish")
-    # Finish times are even in words, so equal ranges of them are equal shares of the mix.
-    ranged = entries.withColumn("range", F.least(F.floor(F.col("finish") * buckets), F.lit(buckets - 1)).cast("int"))
-    merged = running_before(ranged, [], "range", ["finish", "queue", "start"], "part", "position", "mix-merged")
-    spent = save(merged.groupBy("queue", "start").agg(F.sum("part").alias("taken"), F.min("position").alias("position")), "mix-taken")
-    both = rows.join(spent.withColumn("full", F.lit(True)), ["queue", "start"], "left")
+    rows, buckets, whole = queued(docs, weights, budget, epochs, seed)
+    spent = save(served(rows, buckets, whole, epochs, packet).groupBy("queue", "start").agg(F.sum("part").alias("taken"), F.min("position").alias("position")), "mix-taken")
+    # Rows of no size share their start with the next of their queue.
+    both = rows.join(spent.withColumn("some", F.lit(True)), ["queue", "start"], "left")
     keep = (F.col("size") > 0) & F.col("taken").isNotNull()
     return both.select(
         "doc_id", "size", "source_size", "target", F.when(keep, F.col("taken")).otherwise(F.lit(0)).cast("long").alias("taken"), F.when(keep, F.col("position")).alias("position")
     )
 
 
-def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = SEED, packet: int = PACKET) -> DataFrame:
     """The mix as rows of ``docs`` with all columns: a document stands there once for each epoch in which at
     least half of its words are served; blank documents, which weigh nothing, stay."""
-    rows, _ = queued(docs, weights, budget, epochs, seed)
-    whole = served(rows, epochs).where("2 * part >= size").groupBy("doc_id", "size").agg(F.count("*").alias("__uses"))
-    counts = rows.where("size > 0").groupBy("doc_id", "size").agg(F.count("*").alias("__rows"))
+    rows, buckets, budget_words = queued(docs, weights, budget, epochs, seed)
+    whole = served(rows, buckets, budget_words, epochs, packet).groupBy("queue", "start", "epoch").agg(F.sum("part").alias("part"), F.first("size").alias("size")).where("2 * part >= size")
+    times = whole.groupBy("queue", "start").agg(F.count("*").alias("uses"))
+    counts = rows.where("size > 0").join(times, ["queue", "start"], "left").groupBy("doc_id", "size").agg(F.sum(F.coalesce("uses", F.lit(0))).alias("uses"), F.count("*").alias("rows"))
     identity, size, copies = (unused(docs, x) for x in ("mix_id", "mix_size", "mix_copies"))
     # Rows that repeat a doc_id and a size share their uses evenly, rounded up.
-    each = F.ceil(F.col("__uses") / F.col("__rows")).cast("int")
-    uses = save(counts.join(whole.withColumnsRenamed({"doc_id": "__i", "size": "__s"}), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("size") == F.col("__s"))).select(F.col("doc_id").alias(identity), F.col("size").alias(size), each.alias(copies)), "mix-uses")
+    each = F.ceil(F.col("uses") / F.col("rows")).cast("int")
+    uses = save(counts.select(F.col("doc_id").alias(identity), F.col("size").alias(size), each.alias(copies)).where(F.col(copies) > 0), "mix-uses")
+    drop(rows)
     n = words(F.col("text"))
     joined = docs.join(uses, docs["doc_id"].eqNullSafe(F.col(identity)) & (n == F.col(size)), "left")
     times = F.when(n == 0, F.lit(1)).otherwise(F.coalesce(F.col(copies), F.lit(0)))
@@ -152,11 +160,12 @@ queued AS (
   SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.queue ORDER BY digest, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
   FROM d JOIN aims USING (queue)),
 entries AS (
-  SELECT queue, start, part, least(1.0::DOUBLE, (start + e * source_size + size) / target) AS finish FROM (
-    SELECT *, least(size, CAST(floor(target + 0.5) AS BIGINT) - start - e * source_size) AS part
-    FROM queued, (VALUES (0), (1)) AS t(e) WHERE size > 0 AND target > 0) x WHERE part > 0),
-merged AS (SELECT *, CAST(sum(part) OVER (ORDER BY finish, queue, start ROWS UNBOUNDED PRECEDING) - part AS BIGINT) AS position FROM entries),
-spent AS (SELECT queue, start, CAST(sum(part) AS BIGINT) AS taken, min(position) AS position FROM merged GROUP BY queue, start)
+  SELECT queue, start, e, p, least((p + 1) * 128, size) - p * 128 AS words, (start + e * source_size + least((p + 1) * 128, size)) / target AS finish
+  FROM (SELECT *, unnest(range(0, (size - 1) // 128 + 1)) AS p FROM queued, (VALUES (0), (1)) AS t(e) WHERE size > 0 AND target > 0) x),
+merged AS (SELECT *, CAST(sum(words) OVER (ORDER BY finish, queue, start, e, p ROWS UNBOUNDED PRECEDING) - words AS BIGINT) AS position FROM entries),
+spent AS (
+  SELECT queue, start, CAST(sum(least(words, budget - position)) AS BIGINT) AS taken, min(position) AS position
+  FROM merged, (SELECT CAST(floor(sum(size) * 1.5::DOUBLE) AS BIGINT) AS budget FROM d) b WHERE position < budget GROUP BY queue, start)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS taken, CASE WHEN size > 0 THEN position END AS position
 FROM queued LEFT JOIN spent USING (queue, start)
 """
