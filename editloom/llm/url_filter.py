@@ -49,7 +49,9 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, broadcast
     empty = F.lit("")
     table = rules.select("verdict", F.lower(F.coalesce("host", empty)).alias("rule_host"), F.coalesce("path", empty).alias("rule_path")).where("rule_host <> ''")
     table = table.withColumn("digest", _digest(F.col("rule_host"), _stem(F.col("rule_path")))).withColumn("short", F.substring("digest", 1, 8))
-    table = save(table, "url-rules")
+    # Rules are numbered in the order that they win in, so that the best of a url's is the largest number.
+    order = [F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("verdict") == "block", "rule_host", "rule_path"]
+    table = save(table.orderBy(*order).withColumn("no", F.monotonically_increasing_id()), "url-rules")
     told = table.agg(
         F.count("*").alias("n"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_path", "/"))).alias("steps")
     ).first()
@@ -72,9 +74,9 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, broadcast
     )
     side = F.broadcast(table) if told.n <= broadcast_rules else table
     met = expressions.join(side, "short").where((F.col("full") == F.col("digest")) & F.startswith(F.col("path"), F.col("rule_path")))
-    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), (F.col("verdict") == "block"), "rule_host", "rule_path")
-    best = met.groupBy("url").agg(F.max_by(F.struct("verdict", F.concat("rule_host", "rule_path").alias("rule")), rank).alias("best"))
-    best = save(best.select("url", "best.verdict", "best.rule"), "url-best")
+    best = met.groupBy("url").agg(F.max("no").alias("no"))
+    named = table.select("no", "verdict", F.concat("rule_host", "rule_path").alias("rule"))
+    best = save(best.join(F.broadcast(named) if told.n <= broadcast_rules else named, "no").select("url", "verdict", "rule"), "url-best")
     return rows.join(best, "url", "left").select(
         "page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
