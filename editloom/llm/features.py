@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
-from editloom.llm.text import FOLD, buffers, digest, digests, distinct, shingles, slices, spans
+from editloom.llm.text import FOLD, buffers, mix, shingles, slices, span_hashes, spans
 
 #: Marks whose share of words is a feature of its own.
 MARKS = "#$%&*|!?.,;:@=_/<>{}[]()\"'-"
@@ -45,8 +43,7 @@ def dense(column: pa.Array) -> np.ndarray:
         starts, ends, bounds = spans(part, rel)
         count = np.diff(bounds)
         words = np.maximum(count, 1)
-        codes, found = distinct(FOLD[part], starts, ends)
-        hashes = digests(found)[codes, 0] if len(codes) else np.zeros(0, np.uint64)
+        hashes = span_hashes(FOLD[part], starts, ends)
         doc = np.repeat(np.arange(n), np.diff(rel))
         kinds = np.bincount(doc * 64 + _CLASS[part], minlength=n * 64).reshape(n, 64).astype(float)
         size = np.maximum(np.diff(rel), 1)
@@ -77,12 +74,6 @@ def dense(column: pa.Array) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, len(DENSE)))
 
 
-@lru_cache(1 << 16)
-def _marks(word: bytes) -> bytes:
-    """64-bit marks of a word and of its first bytes."""
-    return digest(word)[:8] + b"".join(digest(word[:k] + b"\0")[:8] for k in PREFIXES if len(word) > k)
-
-
 def word_marks(column: pa.Array) -> list[np.ndarray]:
     """Per text, the sorted distinct marks of its words of letters (A-Z lowered) and of their first bytes."""
     raw, off = buffers(column)
@@ -99,10 +90,14 @@ def word_marks(column: pa.Array) -> list[np.ndarray]:
         begin[1:] |= ~solid[:-1]
         end[:-1] |= ~solid[1:]
         starts, ends = np.flatnonzero(begin & solid), np.flatnonzero(end & solid) + 1
-        codes, words = distinct(FOLD[part], starts, ends)
-        marks = [np.frombuffer(_marks(w), np.uint64) for w in words]
-        bounds = np.searchsorted(starts, rel)
-        for i in range(b - a):
-            held = [marks[c] for c in np.unique(codes[bounds[i] : bounds[i + 1]]).tolist()]
-            out.append(np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64))
+        folded, owner = FOLD[part], np.searchsorted(rel, starts, "right") - 1
+        marks, owners = [span_hashes(folded, starts, ends)], [owner]
+        for k in PREFIXES:
+            long = ends - starts > k
+            marks.append(mix(span_hashes(folded, starts[long], starts[long] + k) + np.uint64(k)))
+            owners.append(owner[long])
+        mark, who = np.concatenate(marks), np.concatenate(owners)
+        order = np.argsort(who, kind="stable")
+        mark, bounds = mark[order], np.searchsorted(who[order], np.arange(b - a + 1))
+        out += [np.unique(mark[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
     return out

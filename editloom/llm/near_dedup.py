@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from editloom.llm.base import drop, save, ship, unused, width
 from editloom.llm.graph import components, local_labels, stream_groups
-from editloom.llm.text import Permutations, buffers, exact_sets, shingles, slices, steps, word_digests
+from editloom.llm.text import FOLD, IS_SPACE, Permutations, buffers, exact_sets, shingles, slices, steps, word_hashes
 
 COORDINATES, SHINGLE, PERCENT = 64, 5, 80
 HOT, MARGIN, BLOCK, BLOCK_CHARS = 32, 16, 256, 1 << 25
@@ -69,11 +69,15 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES, k: int = SHINGLE) ->
             raw, off = buffers(batch.column(2))
             found, names = [], []
             for a, b in slices(off):
-                words, bounds = word_digests(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                runs, ends = shingles(np.ascontiguousarray(words[:, 0]), bounds, k)
+                part = raw[off[a] : off[b]]
+                words, lengths, bounds = word_hashes(part, off[a : b + 1] - off[a])
+                runs, ends = shingles(words, bounds, k)
+                solid, cuts = FOLD[part[~IS_SPACE[part]]], np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[bounds]
                 for i in range(b - a):
                     found.append(np.unique(runs[ends[i] : ends[i + 1]]))
-                    names.append(blake2b(words[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest())
+                    name = blake2b(solid[cuts[i] : cuts[i + 1]].data, digest_size=16)
+                    name.update(lengths[bounds[i] : bounds[i + 1]].data)
+                    names.append(name.digest())
             sizes = np.array([len(s) for s in found], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             sig = perms.signatures(np.concatenate(found) if found else np.zeros(0, np.uint64), ends)

@@ -1,22 +1,21 @@
 """Vectorised text kernels for Arrow batches: words, shingles and hashes straight from UTF-8 bytes.
 
 Words are maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D), so byte
-positions never split a code point. Words of a slice are told apart by their bytes, in a
-dictionary; each distinct word gets a 128-bit BLAKE2b digest, of which the first 64 bits stand
-for it in signatures. Where a decision rests on equal shingles, ``exact_sets`` numbers them by
+positions never split a code point. A word's 64-bit hash mixes its bytes in blocks of eight, each
+step a bijection of the state, and is BLAKE2b for very long words; it stands for the word in
+signatures and features. Where a decision rests on equal shingles, ``exact_sets`` numbers them by
 their words, without any hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, LONG_WORD = 1 << 21, 1 << 12
 _U = np.uint64
 
 
@@ -116,31 +115,60 @@ def gathered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeB
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each span the number of its bytes among the distinct ones, and those."""
-    told = gathered(raw, starts, ends).dictionary_encode()
-    return told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-@lru_cache(1 << 16)
-def digest(word: bytes) -> bytes:
-    return blake2b(word, digest_size=16).digest()
+def eights(raw: np.ndarray, padded: bool = False) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros past the end; ``padded``: seven bytes more are there."""
+    held = raw if padded else np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(held) - 7,), "<u8", held.data, strides=(1,))
 
 
-def digests(words: list[bytes]) -> np.ndarray:
-    """uint64 (words, 2)."""
-    return np.frombuffer(b"".join(map(digest, words)), np.uint64).reshape(-1, 2)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans; equal bytes have equal hashes."""
+    sizes, view = ends - starts, eights(raw)
+    out = mix(sizes.astype(np.uint64) * _STEP[0] + _STEP[1])
+    long = sizes > LONG_WORD
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    live, at = np.flatnonzero(~long & (sizes > 0)), 0
+    while len(live):
+        left = sizes[live] - at
+        block = view[starts[live] + at] & _MASK[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ block) * _STEP[2] + _STEP[3])
+        live, at = live[left > 8], at + 8
+    return out
 
 
-def word_digests(raw: np.ndarray, off: np.ndarray, lanes: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """uint64 (words, lanes) of all words, A-Z lowered, and for each text the range of its words."""
+def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether spans of ``raw`` have the bytes of those of ``other``, which end eight bytes before it does, one by one."""
+    sizes = ends - starts
+    same = sizes == to - from_
+    long = sizes > LONG_WORD
+    for i in np.flatnonzero(same & long).tolist():
+        same[i] = np.array_equal(raw[starts[i] : ends[i]], other[from_[i] : to[i]])
+    mine, its = eights(raw), eights(other, True)
+    live, at = np.flatnonzero(same & ~long & (sizes > 0)), 0
+    while len(live):
+        left = sizes[live] - at
+        equal = ((mine[starts[live] + at] ^ its[from_[live] + at]) & _MASK[np.minimum(left, 8)]) == 0
+        same[live[~equal]] = False
+        live, at = live[equal & (left > 8)], at + 8
+    return same
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and sizes of all words, A-Z lowered, and for each text the range of its words."""
     if len(off) == 2 and len(raw) > SLICE_BYTES:
-        parts = [word_digests(raw[a:b], np.array([0, b - a]), lanes)[0] for a, b in segments(raw)]
-        out = np.concatenate(parts)
-        return out, np.array([0, len(out)])
+        parts = [_words(raw[a:b], np.array([0, b - a])) for a, b in segments(raw)]
+        hashes, sizes = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return hashes, sizes, np.array([0, len(hashes)])
+    return _words(raw, off)
+
+
+def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, bounds = spans(raw, off)
-    codes, words = distinct(FOLD[raw], starts, ends)
-    return digests(words)[codes, :lanes] if len(codes) else np.zeros((0, lanes), np.uint64), bounds
+    return span_hashes(FOLD[raw], starts, ends), (ends - starts).astype(np.int32), bounds
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +202,8 @@ def text_shingles(column: pa.Array, k: int = 5) -> Iterator[tuple[int, int, np.n
     """For runs of texts: first, last, shingle hashes and their bounds."""
     raw, off = buffers(column)
     for a, b in slices(off):
-        words, bounds = word_digests(raw[off[a] : off[b]], off[a : b + 1] - off[a], 1)
-        yield (a, b, *shingles(words[:, 0], bounds, k))
+        words, _, bounds = word_hashes(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+        yield (a, b, *shingles(words, bounds, k))
 
 
 def sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:

@@ -1,8 +1,8 @@
 """Token ids for Arrow batches, by a tokenizer of the ``tokenizers`` library whose file is a parameter.
 
 Texts are cut into pieces at places no token can span, each distinct piece is encoded once while it
-stays in a bounded per-worker store, and ids are gathered back in order. Pieces are told apart by
-their bytes. The cut places rest on the split patterns of the public byte-level and word-end
+stays in a bounded per-worker store, and ids are gathered back in order. A piece is found by its hash and
+counts as found only if its bytes are those stored. The cut places rest on the split patterns of the public byte-level and word-end
 vocabularies: a new run of ASCII white space after a letter or an ASCII mark, and an ASCII mark other
 than an apostrophe after a letter. A tokenizer of another kind (``cuts`` tells by its pre-tokenizer)
 encodes whole texts. The ids equal those of encoding the whole text at once, which the tests check.
@@ -16,9 +16,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from editloom.llm.text import FOLD, IS_SPACE, buffers, distinct, slices
+from editloom.llm.text import FOLD, IS_SPACE, buffers, same_spans, slices, span_hashes
 
-STORE_PIECES, RUN_PIECES = 1 << 19, 1 << 17
+STORE_PIECES, STORE_BYTES, SLOTS, RUN_PIECES = 1 << 20, 1 << 26, 1 << 21, 1 << 17
 _encoders: dict[str, "PieceEncoder"] = {}
 
 _LETTER = np.zeros(256, bool)
@@ -64,8 +64,12 @@ def _piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64), (hashes >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 class PieceEncoder:
-    """A dictionary from pieces to rows of a ragged store of ids, both of bounded size.
+    """A table from piece hashes, at two places each, to rows of a ragged store of pieces and ids, of bounded size.
 
     For a vocabulary that lowers case and drops white space, pieces that differ in A-Z or in the
     white space before them share a row."""
@@ -79,27 +83,29 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.starts = np.zeros(STORE_PIECES, np.int64)
-        self.sizes = np.zeros(STORE_PIECES, np.int32)
-        self.ids = np.zeros(1 << 20, self.dtype)
-        self.used = 0
-
-    def _add(self, pieces: list[bytes]) -> None:
-        """Encode new pieces into the store."""
-        strings = [p.decode("utf-8", "replace") for p in pieces]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], self.dtype)
+        self.keys, self.rows = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.at, self.sizes = np.zeros(STORE_PIECES, np.int64), np.zeros(STORE_PIECES, np.int32)
+        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
+        self.begin, self.end = np.zeros(STORE_PIECES, np.int64), np.zeros(STORE_PIECES, np.int64)
+        self.text, self.pieces, self.filled = np.zeros(1 << 20, np.uint8), 0, 0
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces into the store; their rows."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        sizes, lengths = np.array([len(x) for x in lists], np.int64), np.array([len(p) for p in pieces], np.int64)
+        flat, text = np.array([i for x in lists for i in x], self.dtype), np.frombuffer(b"".join(pieces), np.uint8)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
-        first = len(self.rows)
-        at = slice(first, first + len(pieces))
+        while self.filled + len(text) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint8)])
+        rows = np.arange(self.pieces, self.pieces + len(pieces))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[at] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[at] = sizes
-        self.used += len(flat)
-        self.rows.update(zip(pieces, range(first, first + len(pieces))))
+        self.text[self.filled : self.filled + len(text)] = text
+        self.at[rows], self.sizes[rows] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.end[rows] = self.filled + np.cumsum(lengths)
+        self.begin[rows] = self.end[rows] - lengths
+        self.pieces, self.used, self.filled = self.pieces + len(pieces), self.used + len(flat), self.filled + len(text)
+        return rows
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
@@ -131,17 +137,27 @@ class PieceEncoder:
         if self.fold:
             solid = np.append(np.flatnonzero(~IS_SPACE[raw]), len(raw))
             starts, raw = np.minimum(solid[np.searchsorted(solid, starts)], ends), FOLD[raw]
-        codes, pieces = distinct(raw, starts, ends)
-        missing = [p for p in pieces if p not in self.rows]
-        if len(self.rows) + len(missing) > STORE_PIECES:
+        if self.pieces + 2 * len(starts) > STORE_PIECES or self.filled > STORE_BYTES:
             self._clear()
-            missing = pieces
-        if missing:
-            self._add(missing)
-        rows = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))[codes]
+        hashes = span_hashes(raw, starts, ends)
+        one, two = _places(hashes)
+        rows = np.where(self.keys[one] == hashes, self.rows[one], np.where(self.keys[two] == hashes, self.rows[two], -1)).astype(np.int64)
+        cut = lambda where: [raw[s:e].tobytes() for s, e in zip(starts[where].tolist(), ends[where].tolist())]
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            added = self._add(cut(missing[first]))
+            rows[missing] = added[back]
+            one, two = _places(new)
+            slots = np.where((self.rows[one] >= 0) & (self.rows[two] < 0), two, one)
+            self.keys[slots], self.rows[slots] = new, added
+        # Pieces whose bytes are not those of the row with their hash get rows of their own.
+        other = np.flatnonzero(~same_spans(raw, starts, ends, self.text, self.begin[rows], self.end[rows]))
+        if len(other):
+            rows[other] = self._add(cut(other))
         sizes = self.sizes[rows].astype(np.int64)
         total = np.cumsum(sizes)
         if not len(total) or not total[-1]:
             return np.zeros(0, self.dtype), sizes
-        index = np.repeat(self.starts[rows] - (total - sizes), sizes) + np.arange(total[-1])
+        index = np.repeat(self.at[rows] - (total - sizes), sizes) + np.arange(total[-1])
         return self.ids[index], sizes

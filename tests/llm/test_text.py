@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from editloom.llm.text import Permutations, buffers, sets, slices, spans
+from editloom.llm.text import Permutations, buffers, exact_sets, sets, slices, spans
 from editloom.llm.tokens import PieceEncoder
 from tests.llm.helpers import WORD, shingles
 
@@ -57,3 +57,35 @@ def test_pieces_encode_like_whole_texts(name):
         assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.string()))] == whole(texts)
 
     check()
+
+
+def test_pieces_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    from editloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda raw, starts, ends: np.full(len(starts), 7, np.uint64))
+    encoder = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two three two", "two words", "x" * 9000 + " one", "x" * 8999 + "y one"]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+def test_hashes_of_words_made_to_collide_differ(n):
+    word, other = "ab"
+    while len(word) < n:
+        word, other = word + other, other + word
+    found = sets(pa.array([word, other, word + " x", other + " x"]))
+    assert len({int(f[0]) for f in found}) == 4
+    assert [len(x) for x in exact_sets(pa.array([word, other, word]))] == [1, 1, 1]
+
+
+def test_long_texts_are_worked_on_in_parts(monkeypatch):
+    from editloom.llm import text
+
+    words = " ".join(f"w{i % 97}" for i in range(3000))
+    texts = pa.array(["a b", words, words + " end", None, "x" * 700])
+    whole, exact = sets(texts), [len(x) for x in exact_sets(texts)]
+    monkeypatch.setattr(text, "SLICE_BYTES", 300)
+    monkeypatch.setattr(text.slices, "__defaults__", (300,))
+    monkeypatch.setattr(text.segments, "__defaults__", (300,))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, sets(texts))) and exact == [len(x) for x in exact_sets(texts)]
