@@ -4,11 +4,11 @@ From labelled documents, preference pairs (a good over a bad one) are drawn, and
 logistic loss on feature differences. A threshold at the score quantile of the low-quality share splits
 the ranking; scores are mapped to 0..1 so that the threshold falls on ``cut``.
 
-The fit sees at most ``SAMPLE`` labelled rows and ``PAIRS`` pairs, drawn by digests of ids; features are made
+The fit sees at most ``SAMPLE`` labelled ids, one text a label of each, and ``PAIRS`` pairs, drawn by digests of ids; features are made
 in tasks and the driver holds SAMPLE rows of numbers. Scoring covers every whole text.
 
 Defined cases: null and empty texts score like a text whose features are all 0; null labels and labels
-without a document are ignored; rows that repeat a doc_id are scored each; with labels of one kind only,
+without a document are ignored; rows that repeat a doc_id are scored each, and one of them is learned from; with labels of one kind only,
 all scores are 1 (or 0 if none is good); a null doc_id is scored and not held out. Other columns are ignored.
 """
 
@@ -33,11 +33,13 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """doc_id, text, label of at most ``most`` labelled rows, those of the least digests of their ids."""
+    """doc_id, text, label of at most ``most`` labelled ids, those of the least digests; of rows that repeat an id, the
+    text of the least digest."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("label"))
     few = known.distinct().orderBy(F.xxhash64("__id"), "__id", "label").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")  # at most ``most`` rows
+    found = rows.join(F.broadcast(few), F.col("doc_id") == F.col("__id"))  # at most ``most`` rows
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("doc_id", "least.text", "label")
 
 
 def _columns(column: pa.Array) -> np.ndarray:

@@ -1,17 +1,20 @@
 """Toxicity scores by a logistic classifier with counterfactual regularisation.
 
 Features are the presence of words and of their first bytes; those frequent among toxic and rare among
-other labelled documents are kept. Sentences of labelled documents that name a group are written again
-with the term swapped for another of its kind, and the fit penalises the squared change of score between
-the two, so that naming a group moves no score.
+other labelled documents are kept, and so is every term that is swapped. Sentences of labelled documents
+that hold a term are written again with the term swapped for the next of its kind, and the fit penalises
+the squared change of score between the two, so that naming a group moves no score. Terms are those of
+``IDENTITY``, which name groups in four languages, and up to ``NEUTRAL`` words that the labelled documents
+use most and alike in both kinds (rates within a factor of ``ALIKE``), next to each other in use.
+A fitted model tells how many pairs it was given (``pairs``) and their mean change of log odds (``change``).
 
-The fit sees at most ``SAMPLE`` labelled rows, drawn by digests of ids, and keeps at most ``FEATURES``
-features; features are counted in tasks, and the driver holds the kept ones of those rows. Scoring covers
-every whole text.
+The fit sees at most ``SAMPLE`` labelled ids, drawn by digests, one text a label of each, and at most
+``PAIRS`` swapped sentences, drawn likewise, and keeps at most ``FEATURES`` features besides the terms'; features are
+counted in tasks, and the driver holds the kept ones of those rows. Scoring covers every whole text.
 
 Defined cases: null and empty texts score like a text without features; null labels and labels without a
-document are ignored; rows that repeat a doc_id are scored each; without toxic labels all scores are 0;
-a null doc_id is scored and not held out. Other columns are ignored.
+document are ignored; rows that repeat a doc_id are scored each, and one of them is learned from; without
+toxic labels all scores are 0; a null doc_id is scored and not held out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from editloom.llm.quality import fold, labelled
 from editloom.llm.text import steps
 
 SAMPLE, FEATURES, LEAST, ODDS, CUT, FOLDS = 6_000, 4_096, 4, 3.0, 0.7, 3
+PAIRS, NEUTRAL, ALIKE, COMMON = 20_000, 32, 1.25, 0.05
 STEPS, RIDGE, FAIRNESS = 400, 1e-3, 10.0
 STEP_ROWS = 128  # rows whose features are held at once
 #: Terms that name groups, by kind; a swap takes the next of its kind.
@@ -37,30 +41,49 @@ IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"),
     ("muslim", "christian", "jewish", "hindu", "buddhist"), ("muslims", "christians", "jews", "hindus", "buddhists"),
     ("black", "white", "asian", "latino"), ("immigrants", "natives"), ("disabled", "abled"), ("old", "young"),
+    ("frauen", "männer"), ("mädchen", "jungen"), ("muslime", "christen", "juden"), ("schwarze", "weiße"), ("ausländer", "einheimische"),
+    ("femmes", "hommes"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs"), ("noirs", "blancs"), ("immigrés", "français"),
+    ("mujeres", "hombres"), ("chicas", "chicos"), ("musulmanes", "cristianos", "judíos"), ("negros", "blancos"), ("inmigrantes", "nacionales"),
 )
-_NEXT = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY for i, term in enumerate(kind)}
-_TERMS = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def swapped(text: str) -> list[tuple[str, str]]:
-    """The sentences that name a group, each with its terms swapped."""
-    out = []
-    for sentence in _SENTENCE.findall(text):
-        other = _TERMS.sub(lambda m: _NEXT[m[0].lower()], sentence)
-        if other != sentence:
-            out.append((sentence, other))
-    return out
+class Swaps:
+    """The next term of each term's kind."""
+
+    def __init__(self, kinds: tuple[tuple[str, ...], ...] = IDENTITY) -> None:
+        self.then = {term: kind[(i + 1) % len(kind)] for kind in kinds for i, term in enumerate(kind)}
+        self.terms = re.compile(r"\b(" + "|".join(sorted(map(re.escape, self.then), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+
+    def swapped(self, text: str) -> list[tuple[str, str]]:
+        """The sentences that hold a term, each with its terms swapped."""
+        out = []
+        for sentence in _SENTENCE.findall(text):
+            other = self.terms.sub(lambda m: self.then.get(m[0].lower(), m[0]), sentence)
+            if other != sentence:
+                out.append((sentence, other))
+        return out
+
+
+def neutral_terms(rows: DataFrame, toxic: int, n: int, most: int = NEUTRAL) -> list[tuple[str, str]]:
+    """Pairs of words of four letters and more that most of ``rows`` (text, label) use, about as often in toxic ones as in others."""
+    named = {term for kind in IDENTITY for term in kind}
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), 1)))
+    counts = rows.select("label", words.alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    ratio = (F.col("toxic") / max(toxic, 1)) / ((F.col("n") - F.col("toxic")) / max(n - toxic, 1))
+    alike = counts.where((F.col("n") >= COMMON * n) & (F.col("n") > F.col("toxic")) & ratio.between(1 / ALIKE, ALIKE) & ~F.col("word").isin(*named))
+    found = [r.word for r in alike.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return list(zip(found[::2], found[1::2]))
 
 
 class Classifier:
-    """Sorted feature hashes, their weights, a bias, and the threshold's place."""
+    """Sorted feature marks, their weights, a bias, and the threshold's place."""
 
     def __init__(self, marks: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], cut: float = CUT, fairness: float = FAIRNESS) -> None:
         """``rows``: positions in ``marks`` per document; ``pairs``: per swapped sentence, before and after."""
         self.marks = marks
         self.weights, self.bias = np.zeros(len(marks)), 0.0
-        self.empty = not toxic.any()
+        self.empty, self.pairs, self.change = not toxic.any(), len(pairs), 0.0
         if self.empty:
             return
         y = toxic.astype(float)
@@ -81,6 +104,8 @@ class Classifier:
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             w, b = w - 0.05 * fix * m / (np.sqrt(v) + 1e-9), b - 0.05 * fix * mb / (np.sqrt(vb) + 1e-9)
+        if len(gaps):
+            self.change = float(np.abs(np.bincount(who, weights=sign * w[where], minlength=len(pairs))).mean())
         score = b + np.bincount(owner, weights=w[at], minlength=len(rows))
         # The threshold with fewest errors, in the middle of its gap, is put at the cut.
         order = np.argsort(score, kind="stable")
@@ -109,8 +134,7 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, fairness: float = FAIRNESS) -> Classifier:
     """``labels``: doc_id, toxic, already without held-out rows."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = save(labelled(docs, labels, "toxic", sample), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,30 +153,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = C
     odds = F.log(rate(F.col("toxic"), totals.toxic) / rate(F.col("n") - F.col("toxic"), totals.n - totals.toxic))
     kept = counts.where(F.col("toxic") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= float(np.log(ODDS)))
     top = kept.orderBy((F.col("odds") * F.col("toxic")).desc(), "mark").limit(FEATURES).select("mark").toArrow()
-    marks = np.sort(top.column("mark").to_numpy().view(np.uint64))
+    kinds = (*IDENTITY, *neutral_terms(rows, totals.toxic, totals.n))
+    terms = np.concatenate(word_marks(pa.array([term for kind in kinds for term in kind])))
+    marks = np.union1d(top.column("mark").to_numpy().view(np.uint64), terms)
     blank = Classifier(marks, [], np.zeros(0, bool), [])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, STEP_ROWS):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = blank.find(word_marks(batch.column(1)))
-            out = list(zip(batch.column(0).to_pylist(), [0] * len(at), batch.column(2).to_pylist(), at))
-            pairs = [p for t in texts for p in swapped(t)]
-            if pairs:
-                for side, part in ((1, 0), (2, 1)):
-                    marks_at = blank.find(word_marks(pa.array([p[part] for p in pairs])))
-                    out += [(i, side, 0, a) for i, a in enumerate(marks_at)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()),
-                 pa.array([a[3].tolist() for a in out], pa.list_(pa.int32())), pa.array([len(texts)] * len(out), pa.int64())],
-                names=["id", "side", "label", "at", "batch"],
-            )
-
-    told = rows.select("doc_id", "text", "label").mapInArrow(find, "id long, side int, label int, at array<int>, batch long").toArrow().to_pylist()
-    real = sorted((t for t in told if t["side"] == 0), key=lambda t: (t["id"], t["label"], t["at"]))
-    before, after = ([np.array(t["at"], np.int64) for t in told if t["side"] == s] for s in (1, 2))
-    moved = [(x, y) for x, y in zip(before, after) if not np.array_equal(x, y)]
-    return Classifier(marks, [np.array(t["at"], np.int64) for t in real], np.array([t["label"] == 1 for t in real], bool), moved, cut, fairness)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists(blank.find(word_marks(batch.column(1))))], names=["id", "label", "at"])
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps = Swaps(kinds)
+        for batch in steps(batches, STEP_ROWS):
+            pairs = [p for t in batch.column(0).to_pylist() for p in swaps.swapped(t or "")]
+            for i in range(0, len(pairs), 1024):
+                sides = [_lists(blank.find(word_marks(pa.array([p[side] for p in pairs[i : i + 1024]])))) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays(sides, names=["before", "after"])
+
+    told = rows.select("doc_id", "text", "label").mapInArrow(find, "id long, label int, at array<int>").toArrow().to_pylist()
+    real = sorted((t for t in told), key=lambda t: (t["id"], t["label"], t["at"]))
+    moved = rows.select("text").mapInArrow(swap, "before array<int>, after array<int>").where("before <> after").orderBy(F.xxhash64("before", "after"), "before", "after").limit(PAIRS).toArrow().to_pylist()
+    pairs = [(np.array(m["before"], np.int64), np.array(m["after"], np.int64)) for m in moved]
+    return Classifier(marks, [np.array(t["at"], np.int64) for t in real], np.array([t["label"] == 1 for t in real], bool), pairs, cut, fairness)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    return pa.array([f.tolist() for f in found], pa.list_(pa.int32()))
 
 
 def score(spark: SparkSession, model: Classifier) -> Callable[[Column], Column]:

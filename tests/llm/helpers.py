@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -68,3 +69,34 @@ def odd_documents(spark):
 
 def empty_documents(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def plain_mix(rows, packet, weights=(3, 1, 2), budget=1.5, epochs=2, seed="mix-1"):
+    """doc_id to words taken: every packet of every queue in one list by virtual finish time, cut at the budget."""
+    queues = {}
+    for i, text, source in rows:
+        queues.setdefault((source is None, source or ""), []).append((hashlib.md5(f"{i}:{seed}".encode()).hexdigest(), len(WORD.findall(text or "")), i))
+    total = sum(size for q in queues.values() for _, size, _ in q)
+    weigh = {k: weights[n % 3] for n, k in enumerate(sorted(queues))}
+    full = {k: sum(size for _, size, _ in q) for k, q in queues.items()}
+    stopped = set()
+    while True:
+        level = (total * budget - sum(epochs * full[k] for k in stopped)) / sum(weigh[k] for k in queues if k not in stopped)
+        then = {k for k in queues if level * weigh[k] > epochs * full[k]}
+        if then == stopped:
+            break
+        stopped = then
+    packets = []
+    for k, q in queues.items():
+        for epoch in range(epochs):
+            at = epoch * full[k]
+            for _, size, i in sorted(q):
+                for p in range(0, size, packet):
+                    n = min(packet, size - p)
+                    packets.append(((at + p + n) / min(level * weigh[k], epochs * full[k]), k, at, p, n, i))
+                at += size
+    left, taken = int(total * budget), {i: 0 for i, _, _ in rows}
+    for *_, n, i in sorted(packets):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    return taken

@@ -1,5 +1,10 @@
+import re
+import zlib
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +12,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from editloom.llm import quality, queries, toxicity
 from editloom.llm.features import dense, word_marks
+from editloom.llm.tokens import tokenizer
 from tests.conftest import DATA
-from tests.llm.helpers import components, empty_documents, frame, odd_documents
+from tests.llm.helpers import WORD, components, empty_documents, frame, odd_documents, plain_mix
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -43,14 +49,121 @@ def test_swaps_change_a_biased_score_less_with_the_penalty(spark):
     for fairness in (0.0, 10.0):
         model = toxicity.fit(docs, known, fairness=fairness)
         a, b = (model.scores(pa.array([f"the {w} were there."]))[0] for w in ("women", "men"))
+        assert model.pairs > 0 and model.change > 0
         gaps[fairness] = abs(np.log(a / (1 - a)) - np.log(b / (1 - b)))
         assert model.scores(pa.array(["vile trash talk"]))[0] > 0.7
     assert gaps[10.0] < 0.3 * gaps[0.0]
 
 
 def test_swaps_are_whole_words():
-    assert toxicity.swapped("A Gay man. No one") == [("A Gay man", "A straight woman")]
-    assert toxicity.swapped("mankind, yellow blacksmiths") == []
+    swaps = toxicity.Swaps()
+    assert swaps.swapped("A Gay man. No one") == [("A Gay man", "A straight woman")]
+    assert swaps.swapped("Die Männer da! mankind, yellow blacksmiths") == [("Die Männer da", "Die frauen da")]
+    assert toxicity.Swaps((*toxicity.IDENTITY, ("tall", "short"))).swapped("tall women") == [("tall women", "short men")]
+
+
+def letter_words(text):
+    """Lower-cased (A-Z) runs of ASCII letters and bytes beyond ASCII, and their first 4, 5 and 6 bytes."""
+    found = set()
+    for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+        word = word.lower() if word.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        found |= {word} | {word[:k] + b"\0" for k in (4, 5, 6) if len(word) > k}
+    return {np.frombuffer(blake2b(w, digest_size=16).digest()[:8], np.uint64)[0] for w in found}
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    folder = f"{DATA}/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.toxic is not None}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    learned = sorted(i for i in known if i in docs and fold(i) != 1)
+    held = {i: letter_words(t) for i, t in docs.items()}
+    y = np.array([known[i] for i in learned], float)
+    toxic, n, seen, hits = y.sum(), len(y), {}, {}
+    for i, label in zip(learned, y):
+        for m in held[i]:
+            seen[m], hits[m] = seen.get(m, 0) + 1, hits.get(m, 0) + label
+    odds = {m: np.log((hits[m] + 0.5) / (toxic + 1) / ((seen[m] - hits[m] + 0.5) / (n - toxic + 1))) for m in seen if hits[m] >= toxicity.LEAST}
+    kept = sorted((m for m in odds if odds[m] >= np.log(3)), key=lambda m: (-odds[m] * hits[m], np.int64(m.view(np.int64))))[: toxicity.FEATURES]
+    counts = {}
+    for i, label in zip(learned, y):
+        for w in set(re.findall(r"[^\W\d_]{4,}", docs[i].lower())):
+            a, b = counts.get(w, (0, 0))
+            counts[w] = a + label, b + 1
+    named = {t for kind in toxicity.IDENTITY for t in kind}
+    alike = [w for w, (a, b) in counts.items() if b >= 0.05 * n and b > a and 1 / 1.25 <= a / toxic / ((b - a) / (n - toxic)) <= 1.25 and w not in named]
+    alike = sorted(alike, key=lambda w: (-counts[w][1], w))[: toxicity.NEUTRAL]
+    kinds = (*toxicity.IDENTITY, *zip(alike[::2], alike[1::2]))
+    marks = sorted({*kept, *(m for kind in kinds for t in kind for m in letter_words(t))})
+    row = lambda found: np.array([m in found for m in marks], float)
+    x = np.array([row(held[i]) for i in learned])
+    swaps = toxicity.Swaps(kinds)
+    pairs = [(row(letter_words(a)), row(letter_words(b))) for i in learned for a, b in swaps.swapped(docs[i])]
+    gap = np.array([a - b for a, b in pairs if (a != b).any()])
+    assert len(gap) > 100 and len(gap) <= toxicity.PAIRS
+    w, b = np.zeros(len(marks)), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    m, v, mb, vb = 0 * w, 0 * w, 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / n
+        g, gb = x.T @ error + toxicity.RIDGE * w / n + 2 * toxicity.FAIRNESS * gap.T @ (gap @ w) / len(gap), error.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        w, b = w - 0.05 * fix * m / (np.sqrt(v) + 1e-9), b - 0.05 * fix * mb / (np.sqrt(vb) + 1e-9)
+    raw = np.sort(x @ w + b)
+    labels = y[np.argsort(x @ w + b, kind="stable")]
+    errors = [labels[:k].sum() + (1 - labels[k:]).sum() for k in range(n + 1)]
+    edges = [raw[0] - 2, *((raw[1:] + raw[:-1]) / 2), raw[-1] + 2]
+    gaps = [1.0, *np.diff(raw), 1.0]
+    best = min(range(n + 1), key=lambda k: (errors[k], -gaps[k]))
+    got = {r.doc_id: r for r in queries.QUERIES["op7_toxicity"](spark, folder).collect()}
+    assert len(got) == len(docs)
+    for i, r in got.items():
+        want = 1 / (1 + np.exp(-np.clip(row(held[i]) @ w + b - edges[best] + np.log(0.7 / 0.3), -30, 30)))
+        assert r.held_out == (fold(i) == 1) and abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.7)
+
+
+MARKS = "#$%&*|!?.,;:@=_/<>{}[]()\"'-"
+
+
+def plain_features(text):
+    raw = (text or "").encode()
+    words = [w.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    if not words:
+        return np.zeros(len(MARKS) + 11)
+    n, size, lines = len(words), len(raw), raw.count(b"\n") + 1
+    same = [i for i in range(1, n) if words[i] == words[i - 1]]
+    runs = lambda k: [tuple(words[i : i + k]) for i in range(n - k + 1)] or [tuple(words)]
+    out = [raw.count(m.encode()) / n for m in MARKS]
+    out += [sum(65 <= c <= 90 for c in raw) / size, sum(48 <= c <= 57 for c in raw) / size, sum(c >= 128 for c in raw) / size, sum(map(len, words)) / n, np.log1p(n)]
+    out += [len(same) / n, *(1 - len(set(runs(k))) / len(runs(k)) for k in (2, 3)), sum(i - 1 in set(same) for i in same) / n, lines / n, np.log1p(lines)]
+    return np.array(out)
+
+
+def test_quality_equals_a_plain_version(spark):
+    folder = f"{DATA}/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality is not None}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    x = {i: np.concatenate([f := plain_features(t), np.sqrt(f)]) for i, t in docs.items()}
+    learned = sorted(i for i in known if i in docs and fold(i) != 0)
+    good = np.array([known[i] == 1 for i in learned])
+    base = np.array([x[i] for i in learned])
+    mean, spread = base.mean(0), base.std(0) + 1e-9
+    z = {i: np.clip((x[i] - mean) / spread, -20, 20) for i in docs}
+    draw = np.random.default_rng(0)
+    better, worse = draw.choice(np.flatnonzero(good), quality.PAIRS), draw.choice(np.flatnonzero(~good), quality.PAIRS)
+    gap = np.array([z[i] for i in learned])[better] - np.array([z[i] for i in learned])[worse]
+    w = np.zeros(gap.shape[1])
+    for _ in range(quality.STEPS):
+        p = 1 / (1 + np.exp(np.clip(gap @ w, -50, 50)))
+        w = w + np.linalg.solve(gap.T @ (gap * (p * (1 - p))[:, None]) / len(gap) + quality.RIDGE * np.eye(len(w)), gap.T @ p / len(gap) - quality.RIDGE * w)
+    raw = np.sort([z[i] @ w for i in learned])
+    edge, scale = raw[(~good).sum() - 1 : (~good).sum() + 1].mean(), raw.std() / 3
+    got = {r.doc_id: r for r in queries.QUERIES["op3_quality"](spark, folder).collect()}
+    assert len(got) == len(docs)
+    for i, r in got.items():
+        want = 1 / (1 + np.exp(-np.clip((z[i] @ w - edge) / scale + np.log(0.3 / 0.7), -30, 30)))
+        assert r.held_out == (fold(i) == 0) and abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.3)
 
 
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
@@ -72,21 +185,46 @@ def test_features_of_empty_texts_are_zero():
     assert [len(m) for m in word_marks(pa.array([None, "", "12 !", "Ab ab"]))] == [0, 0, 0, 1]
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_against_plain_versions(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "MinHash near-dedup", "mixing sources to target weights", "packing"]
     folder = f"{DATA}/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    columns = docs.columns
-    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()} if n < 4 else before
-        after = stage(spark, docs, folder)
-        if n < 4:
-            after = after.cache()
-            assert after.columns == columns and {r.doc_id for r in after.collect()} <= set(before)
-        if n == 2:
-            assert sorted(r.doc_id for r in after.collect()) == sorted(set(components(before, 80).values()))
-        docs = after
-    assert sum(r.length for r in docs.collect()) > 0
+    labels, columns = spark.read.parquet(f"{folder}/labels.parquet"), docs.columns
+    before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = stage(spark, docs, folder).cache()
+        rows = [(r.doc_id, r.text, r.source) for r in after.collect()]
+        assert after.columns == columns and set(rows) <= set(before)
+        if n < 2:  # the scores themselves are held against plain ones above
+            module, cut, folds, out = ((toxicity, 0.7, 3, 1), (quality, 0.3, 5, 0))[n]
+            model = module.fit(docs, labels.where(F.expr(f"crc32(cast(doc_id as string)) % {folds} <> {out}")))
+            scores = model.scores(pa.array([t for _, t, _ in before]))
+            assert sorted(rows) == sorted(d for d, s in zip(before, scores) if (s < cut if n == 0 else s >= cut))
+        elif n == 2:
+            want = components({i: t for i, t, _ in before}, 80)
+            assert sorted(i for i, _, _ in rows) == sorted(set(want.values()))
+        else:
+            taken, sizes = plain_mix(before, 128), {i: len(WORD.findall(t)) for i, t, _ in before}
+            for i, size in sizes.items():
+                times = sum(r[0] == i for r in rows)
+                assert abs(times - taken[i] / size) <= 1 if size else times == 1
+        docs, before = after, rows
+    texts = {}
+    for i, t, _ in before:
+        texts.setdefault(i, (t, []))[1].append(1)
+    encode = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: np.array([*encode.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, (t, _) in texts.items()}
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()
+    got = {}
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == {i: len(ids[i]) * len(n) for i, (_, n) in texts.items()}
+    ends = {}
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert sorted(ends.values())[1:] == [4096] * (len(ends) - 1)
 
 
 def test_pipeline_stages_on_odd_and_empty_tables(spark):
