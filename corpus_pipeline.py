@@ -1,65 +1,5 @@
-"""A corpus pipeline over the documents table; counted as part of the llm subpackage.
+"""The corpus pipeline; its stages are in ``editloom.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame,
-which is written as Parquet and read again as the next one's docs. All but the last return the columns
-of documents.
-"""
+from editloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from editloom.llm import mixing, near_dedup, packing, quality, toxicity
-from editloom.llm.base import save
-
-TOKENIZER = "word_bpe_49k.json"
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels.where(quality.fold(F.col("doc_id"), toxicity.FOLDS) != 1))
-    return docs.where(toxicity.score(spark, model)(F.col("text")) < toxicity.CUT)
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(docs, labels.where(quality.fold(F.col("doc_id"), quality.FOLDS) != 0))
-    return docs.where(quality.score(spark, model)(F.col("text")) >= quality.CUT)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    return near_dedup.deduplicate(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand once for each epoch that the mix serves them in."""
-    return mixing.mix_copies(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 token ids."""
-    import public_tokenizers
-
-    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality classifier", drop_poor),
-    ("MinHash near-dedup", drop_near_copies),
-    ("mixing sources to target weights", mix_sources),
-    ("packing", pack),
-]
-#: Models and shingle signatures are beyond SQL; tests hold the stages against plain versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
