@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.operators.stats import MUTATION, anova, fdr_flag
+from editloom.operators.stats import MUTATION, anova_parts, fdr_global
 
 SIGNATURE = ["category", "indel_start", "indel_end", "indel_length", "mh_length", "inserted_bases"]
 
@@ -53,21 +53,24 @@ def drop_islands(pool: DataFrame, group: str, seeds: list[tuple[str, int, str]]
 
 def indel_batch_effects(indels: DataFrame, conditions: DataFrame, alpha: float = 0.01, least: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """(tests, culprits). ANOVA of each indel's frequency across batches, where a condition that carries
-    any indel at the site but not this one counts as 0, and one that carries none is no observation."""
+    any indel at the site but not this one counts as 0, and one that carries none is no observation. Zeros are
+    not written out: a batch's count is that of its conditions at the site, the rest comes from the rows there are."""
     share = F.col("count") / F.sum("count").over(Window.partitionBy("condition", "site"))
-    rows = indels.withColumn("frequency", share).where("category <> 'wildtype'")
-    seen = rows.select("condition", "site").distinct().join(F.broadcast(conditions.select("condition", "batch")), "condition")
-    kinds = rows.select("site", *SIGNATURE).distinct()
-    pairs = kinds.join(seen, "site")
-    full = _null_safe(pairs, rows.select("condition", "site", *SIGNATURE, "frequency"), ["condition", "site", *SIGNATURE], "left")
-    full = full.withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
+    rows = indels.withColumn("frequency", share).where("category <> 'wildtype'").join(F.broadcast(conditions.select("condition", "batch")), "condition")
+    seen = rows.groupBy("site", "batch").agg(F.count_distinct("condition").alias("n"))
     keys = ["site", *SIGNATURE]
-    batches = full.groupBy(*keys, "batch").agg(F.count("*").alias("n"), F.avg("frequency").alias("m"), F.stddev_pop("frequency").alias("sd"), F.max("frequency").alias("top"))
+    held = rows.groupBy(*keys, "batch").agg(F.count("*").alias("held"), F.avg("frequency").alias("mean"), F.var_pop("frequency").alias("var"), F.max("frequency").alias("top"))
+    grid = held.select(*keys).distinct().join(seen, "site")
+    full = _null_safe(grid, held, [*keys, "batch"], "left")
+    held_n, mean = F.coalesce("held", F.lit(0)), F.coalesce("mean", F.lit(0.0))
+    m = mean * held_n / F.col("n")
+    ss = F.coalesce("var", F.lit(0.0)) * held_n + held_n * F.pow(mean - m, 2) + (F.col("n") - held_n) * F.pow(m, 2)
+    batches = full.select(*keys, "batch", "n", m.alias("m"), ss.alias("ss"), F.coalesce("top", F.lit(0.0)).alias("top"))
     lone = F.max((F.col("n") == 1) & (F.col("top") > 0))
-    shape = batches.groupBy(*keys).agg(F.count("*").alias("groups"), F.max(F.col("sd") > 0).alias("varies"), lone.alias("lone"), F.avg("m").alias("mean_means"))
+    shape = batches.groupBy(*keys).agg(F.count("*").alias("groups"), F.max(F.col("ss") > 0).alias("varies"), lone.alias("lone"), F.avg("m").alias("mean_means"))
     sound = shape.where("groups >= 2 and (varies or not lone)")
-    tests = _null_safe(anova(full, "frequency", "batch", keys).where("p_value is not null"), sound.select(*keys, "mean_means"), keys)
-    tests = fdr_flag(tests.withColumn("__all", F.lit(1)), "p_value", ["__all"], keys, alpha).drop("__all")
+    tests = _null_safe(anova_parts(batches, keys).where("p_value is not null"), sound.select(*keys, "mean_means"), keys)
+    tests = fdr_global(tests, "p_value", keys, alpha)
     found = _null_safe(batches.select(*keys, "batch", F.col("m").alias("batch_mean")), tests.where("accept").select(*keys, F.col("mean_means").alias("level")), keys)
     return tests, found.where((F.col("batch_mean") >= F.col("level")) | (F.col("batch_mean") >= least)).drop("level")
 

@@ -1,8 +1,8 @@
 """Grouped regression and classification: features, closed-form ridge, MLlib learners, metrics, covariate model.
 
 Fits that the reference runs as one process a condition take a ``group`` column here. Gram sums are one
-aggregation over all groups; only feature-sized systems are solved on the driver. Trees and logistic fits of groups
-that fit a worker run there, many at once; MLlib's learners take one data set each and serve larger groups in turn.
+aggregation over all groups, and each group's system is solved in a task. Learners of groups that fit a worker
+run there, many at once; MLlib's learners take one data set each and serve larger groups in turn.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from editloom.functions.special import hash_int
 from editloom.operators.stats import average_rank
+from editloom.sources.shared import new_folder, written
 
 NTS = ("A", "C", "G", "T")
 
 
-def one_hot(text: Column, length: int) -> Column:
-    """L1: 0/1 for each position and nucleotide, A C G T."""
-    return F.array(*[F.when(F.substring(text, i + 1, 1) == n, 1.0).otherwise(0.0) for i in range(length) for n in NTS])
+def one_hot(text: Column, length: int, letters: str = "".join(NTS)) -> Column:
+    """L1: 0/1 for each position and nucleotide, A C G T; none past the end of a shorter text."""
+    return F.array(*[F.when(F.substring(text, i + 1, 1) == n, 1.0).otherwise(0.0) for i in range(length) for n in letters])
 
 
 def feature_names(length: int) -> list[str]:
@@ -44,19 +45,33 @@ def gram(df: DataFrame, group: str, features: str, target: str, weight: str | No
 
 
 def ridge(df: DataFrame, group: str, features: str, target: str, names: list[str], alpha: float = 1.0, intercept: bool = True, weight: str | None = None) -> DataFrame:
-    """Group, feature, coefficient. The intercept is not penalised; a constant without intercept is left out."""
+    """Group, feature, coefficient, of the features that a group has. The intercept is not penalised; a constant
+    without intercept is left out. Each group's system, at most (features + 2)**2 sums, is solved in a task."""
+    import pandas as pd
+
     n = len(names)
-    sums: dict[str, np.ndarray] = {}
-    for r in gram(df, group, features, target, weight).collect():  # at most (features + 2)**2 rows a group
-        m = sums.setdefault(r.group, np.zeros((n + 2, n + 2)))
-        m[r.i, r.j] = m[r.j, r.i] = r.value
-    out = []
-    for g, m in sorted(sums.items()):
-        size = n + 1 if intercept else n
-        left = m[:size, :size] + np.diag([alpha] * n + [0.0] * (size - n))
-        solved = np.linalg.lstsq(left, m[:size, n + 1], rcond=None)[0]
-        out += [(g, f, float(c)) for f, c in zip([*names, "intercept"], solved)]
-    return df.sparkSession.createDataFrame(out, "group string, feature string, coefficient double")
+
+    def solve(sums: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((n + 2, n + 2))
+        m[sums["i"], sums["j"]] = m[sums["j"], sums["i"]] = sums["value"]
+        has = [i for i in range(n + int(intercept)) if m[i, i] > 0]
+        left = m[np.ix_(has, has)] + np.diag([alpha if i < n else 0.0 for i in has])
+        solved = np.linalg.lstsq(left, m[has, n + 1], rcond=None)[0]
+        return pd.DataFrame({"group": sums["group"].iloc[0], "feature": [[*names, "intercept"][i] for i in has], "coefficient": solved})
+
+    return gram(df, group, features, target, weight).groupBy("group").applyInPandas(solve, "group string, feature string, coefficient double")
+
+
+def ridge_residuals(df: DataFrame, group: str, features: str, target: str, names: list[str], fit: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """group, feature, residual: what a fit with intercept leaves of its normal equations, X'(y - Xb) - alpha * b."""
+    table = fit.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coefficient"))).alias("b"))  # a group's features
+    named = F.transform(F.col(features), lambda v, i: F.struct(F.element_at(F.array(*[F.lit(x) for x in names]), i + 1).alias("feature"), v.alias("v")))
+    entries = F.concat(F.filter(named, lambda e: e["v"] != 0), F.array(F.struct(F.lit("intercept").alias("feature"), F.lit(1.0).alias("v"))))
+    rows = df.where(F.col(target).isNotNull()).select(F.col(group).alias("group"), F.col(target).alias("y"), entries.alias("x")).join(table, "group")
+    left = F.col("y") - F.aggregate("x", F.lit(0.0), lambda a, e: a + e["v"] * F.element_at("b", e["feature"]))
+    sums = rows.withColumn("left", left).select("group", "left", F.explode("x").alias("e")).groupBy("group", F.col("e.feature").alias("feature")).agg(F.sum(F.col("left") * F.col("e.v")).alias("slope"))
+    penalty = F.when(F.col("feature") == "intercept", 0.0).otherwise(alpha) * F.col("coefficient")
+    return sums.join(fit, ["group", "feature"]).select("group", "feature", (F.col("slope") - penalty).alias("residual"))
 
 
 def two_way(df: DataFrame, value: str, factors: tuple[str, str], weight: str | None = None, alpha: float = 1e-10) -> DataFrame:
@@ -85,11 +100,11 @@ def vectors(df: DataFrame, features: str) -> DataFrame:
 
 
 def learn(df: DataFrame, kind: str, features: str, target: str, where: str = "split = 'train'") -> DataFrame:
-    """All rows with ``predicted`` from a learner fitted on the rows of ``where``: gradient-boosted
-    regression or classification (100 trees of depth 3, step 0.1), or logistic regression (L2, C = 1)."""
+    """All rows with ``predicted`` from a learner fitted on the rows of ``where``: gradient-boosted
+    regression or classification (100 trees of depth 3, step 0.1), ridge (alpha = 1) or logistic regression (L2, C = 1)."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
 
     rows = vectors(df, features).withColumn("__y", F.col(target).cast("double"))
     train = rows.where(where).where(F.col("__y").isNotNull())
@@ -97,6 +112,10 @@ def learn(df: DataFrame, kind: str, features: str, target: str, where: str = "sp
     trees = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 0}
     if kind == "gbt_regressor":
         return GBTRegressor(**common, **trees, predictionCol="predicted").fit(train).transform(rows).drop("__features", "__y")
+    if kind == "ridge":
+        n = train.count()
+        model = LinearRegression(**common, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, predictionCol="predicted")
+        return model.fit(train).transform(rows).drop("__features", "__y")
     if kind == "logistic":
         n = train.count()
         model = LogisticRegression(**common, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
@@ -110,9 +129,10 @@ def learn(df: DataFrame, kind: str, features: str, target: str, where: str = "sp
 FIT_ROWS = 300_000
 
 
-def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target: str, row_order: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """All rows with ``predicted``, from one learner a group of ``by`` fitted on its rows of split 'train'. Features
-    are 0/1 of ``context``, of one length within a group. Nothing is predicted in a group without training rows."""
+def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target: str, row_order: list[str], fit_rows: int = FIT_ROWS, letters: str = "".join(NTS)) -> DataFrame:
+    """All rows with ``predicted``, from one learner a group of ``by`` fitted on its rows of split 'train'. Features
+    are 0/1 of ``context`` (in ``letters``), of one length within a group. Nothing is predicted in a group without training rows.
+    ``kind``: ridge, logistic, gbt_regressor or gbt_classifier."""
     import pandas as pd
 
     from editloom.operators import trees
@@ -125,8 +145,10 @@ def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target:
         train = (group["split"] == "train").to_numpy()
         if not train.any():
             return group.assign(predicted=None)
-        x, y = trees.encoded(group[context]), group[target].to_numpy(dtype=float)
-        return group.assign(predicted=trees.logistic(x, y, train) if kind == "logistic" else trees.boosted(x, y, train, kind == "gbt_classifier"))
+        x, y = trees.encoded(group[context], letters), group[target].to_numpy(dtype=float)
+        if kind in ("ridge", "logistic"):
+            return group.assign(predicted=(trees.ridge if kind == "ridge" else trees.logistic)(x, y, train))
+        return group.assign(predicted=trees.boosted(x, y, train, kind == "gbt_classifier"))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", predicted double"
     large = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.length(context)).alias("length")).where(F.col("n") > fit_rows).collect()  # at most rows / fit_rows
@@ -134,7 +156,7 @@ def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target:
         return rows.groupBy(*by).applyInPandas(fit, schema)
     out = rows.join(F.broadcast(df.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in large], ", ".join(f"{c} string" for c in by))), by, "left_anti").groupBy(*by).applyInPandas(fit, schema)
     for r in large:
-        group = rows.where(F.forall(F.array(*[F.col(c) == r[c] for c in by]), lambda same: same)).withColumn("__x", one_hot(F.col(context), r.length))
+        group = rows.where(F.forall(F.array(*[F.col(c) == r[c] for c in by]), lambda same: same)).withColumn("__x", one_hot(F.col(context), r.length, letters))
         out = out.unionByName(learn(group, kind, "__x", target).drop("__x"))
     return out
 
@@ -169,9 +191,9 @@ def covariate_model(y: DataFrame, steps: int = 1200, step_size: float = 0.1, fol
     step, down to 0.001."""
     spark = y.sparkSession
     kinds = {"a": F.col("condition"), "e": F.concat_ws("|", "editor", "mutation"), "b": F.concat_ws("|", "batch", "mutation"), "g": F.lit("all")}
-    folder = folder or _folder(spark)
+    folder = folder or new_folder(spark, "covariate")
     data = y.where(F.col("value").isNotNull()).select("value", *[k.alias(f"key_{n}") for n, k in kinds.items()])
-    data = _written(data.groupBy(*[f"key_{n}" for n in kinds]).agg(F.count("*").alias("n"), F.avg("value").alias("value")), f"{folder}/cells")
+    data = written(data.groupBy(*[f"key_{n}" for n in kinds]).agg(F.count("*").alias("n"), F.avg("value").alias("value")), f"{folder}/cells")
     cells, rows = data.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = [data.select(F.lit(n).alias("kind"), F.col(f"key_{n}").alias("key")).distinct() for n in kinds]
     keys = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -183,7 +205,7 @@ def covariate_model(y: DataFrame, steps: int = 1200, step_size: float = 0.1, fol
             full = full.withColumn(n, hash_int(F.concat_ws("|", F.lit(n), F.col(f"key_{n}"))) / F.lit(2.0**32))
         names = list(kinds)
         return full.coalesce(1).mapInPandas(lambda frames: _fit_cells(frames, names, sizes), "kind string, key string, value double")
-    params = _written(params, f"{folder}/step-0")
+    params = written(params, f"{folder}/step-0")
     for step, size in enumerate(sizes, 1):
         full = data
         for n in kinds:
@@ -197,7 +219,7 @@ def covariate_model(y: DataFrame, steps: int = 1200, step_size: float = 0.1, fol
             .select("kind", "key", "p", (0.9 * F.col("m") + 0.1 * F.col("slope")).alias("m"), (0.999 * F.col("v") + 0.001 * F.pow("slope", 2)).alias("v"))
             .withColumn("p", F.col("p") - size * F.col("m") / (1 - 0.9**step) / (F.sqrt(F.col("v") / (1 - 0.999**step)) + 1e-8))
         )
-        params = _written(params, f"{folder}/step-{step}")
+        params = written(params, f"{folder}/step-{step}")
     return params.select("kind", "key", F.col("p").alias("value"))
 
 
@@ -238,16 +260,3 @@ def _fit_cells(frames, kinds: list[str], sizes: list[float]):
     for k in kinds:
         yield pd.DataFrame({"kind": k, "key": names[k], "value": p[k]})
 
-
-def _folder(spark) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/covariate-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="spark-covariate-")
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from editloom.functions.special import binom_cdf, binom_minus_binom, binom_sf, f_sf, hash_int, normal_two_sided, pearson, t_two_sided
 from editloom.operators.counts import paired
+from editloom.sources.shared import new_folder, written
 
 MUTATION = ["position", "ref_nt", "obs_nt"]
 
@@ -18,11 +19,13 @@ def control_explained(t: DataFrame, c: DataFrame) -> DataFrame:
     return rows.withColumn("p_value", binom_sf(F.col("t_count"), F.col("t_total"), rate))
 
 
-def sequencing_error(t: DataFrame, quality: Column) -> DataFrame:
-    """P(treatment errors exceed control errors by the count) at the position's Phred quality."""
-    p = F.pow(F.lit(10.0), -F.coalesce(quality, F.lit(30)) / 10.0)
+def sequencing_error(t: DataFrame, quality: DataFrame) -> DataFrame:
+    """P(treatment errors exceed control errors by the count) at the least Phred qualities of either side.
+    ``quality``: site, idx, t_quality, c_quality; what it lacks is taken as 30."""
     rows = t.withColumn("t_total", F.sum("count").over(Window.partitionBy("condition", "site", "idx"))).where("obs_nt <> ref_nt and count > 0")
-    return rows.withColumn("p_value", binom_minus_binom(F.col("count"), p, p, F.col("t_total")))
+    rows = rows.join(quality.select("site", "idx", "t_quality", "c_quality"), ["site", "idx"], "left")
+    t_p, c_p = (F.pow(F.lit(10.0), -F.coalesce(q, F.lit(30)) / 10.0) for q in ("t_quality", "c_quality"))
+    return rows.withColumn("p_value", binom_minus_binom(F.col("count"), t_p, c_p, F.col("t_total"))).drop("t_quality", "c_quality")
 
 
 def fdr_flag(df: DataFrame, p: str, by: list[str], order: list[str], alpha: float, mode: str = "pointwise", carve: float | None = 0.995) -> DataFrame:
@@ -42,6 +45,26 @@ def fdr_flag(df: DataFrame, p: str, by: list[str], order: list[str], alpha: floa
     return rows.withColumn("accept", F.coalesce("__ok", F.lit(False))).drop("__in", "__rank", "__n", "__ok")
 
 
+def fdr_global(df: DataFrame, p: str, order: list[str], alpha: float, mode: str = "pointwise", carve: float | None = 0.995) -> DataFrame:
+    """``fdr_flag`` over the whole table: ranks come from ranges of p, each sorted by a task of its own, and the rows that
+    earlier ranges hold; which prefix is accepted is one number."""
+    spark = df.sparkSession
+    counts = F.coalesce(F.col(p) <= carve, F.lit(False)) if carve is not None else F.col(p).isNotNull()
+    ranged = df.withColumn("__in", counts).repartitionByRange(F.desc("__in"), F.col(p), *order).withColumn("__range", F.spark_partition_id())
+    rows = written(ranged, new_folder(spark, "fdr"))
+    sizes = rows.where("__in").groupBy("__range").agg(F.count("*").alias("__size"))  # a row a range
+    base = sizes.withColumn("__base", F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).withColumn("__n", F.sum("__size").over(Window.partitionBy()))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc("__in"), p, *order))
+    rows = rows.withColumn("__place", place).join(F.broadcast(base), "__range", "left").withColumn("__rank", F.col("__base") + F.col("__place"))
+    rows = rows.withColumn("__ok", F.coalesce(F.col("__in") & (F.col(p) <= F.col("__rank") / F.col("__n") * alpha), F.lit(False)))
+    if mode != "pointwise":
+        edge = F.min(F.when(F.col("__in") & ~F.col("__ok"), F.col("__rank"))) if mode == "step_down" else F.max(F.when(F.col("__ok"), F.col("__rank")))
+        rows = rows.join(F.broadcast(rows.agg(edge.alias("__edge"))))
+        kept = F.col("__edge").isNull() | (F.col("__rank") < F.col("__edge")) if mode == "step_down" else F.col("__rank") <= F.col("__edge")
+        rows = rows.withColumn("__ok", F.coalesce(F.col("__in") & kept, F.lit(False))).drop("__edge")
+    return rows.withColumn("accept", F.col("__ok")).drop("__in", "__range", "__size", "__base", "__n", "__place", "__rank", "__ok")
+
+
 def background_test(zero: DataFrame, last: int = 5, most_mean: float = 0.025, least_sites: int = 50, alpha: float = 0.001) -> DataFrame:
     """T5: few zeros mark real signal. The baseline is the mean zero share of the last positions' quiet
     mutations; p is the lower tail of the zero count; rows not accepted are background."""
@@ -54,7 +77,11 @@ def background_test(zero: DataFrame, last: int = 5, most_mean: float = 0.025, le
 
 def anova(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """One-way ANOVA of ``value`` by ``group`` for each key: F, degrees of freedom and p, from sums alone."""
-    parts = df.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ss"))
+    return anova_parts(df.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ss")), by)
+
+
+def anova_parts(parts: DataFrame, by: list[str]) -> DataFrame:
+    """``anova`` from each group's count n, mean m and sum of squared deviations ss."""
     sums = parts.groupBy(*by).agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("ss").alias("within"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), 2) / F.sum("n")).alias("between")
     )
@@ -84,7 +111,7 @@ def rank_aggregation(df: DataFrame, value: str, keys: list[str], condition: str
     tail = lambda r, k: F.when(r >= 1, F.lit(1.0)).otherwise(betainc(k.cast("double"), (n + 1 - k).cast("double"), r))
     sums = F.transform("ranks", lambda r, i: F.aggregate(F.transform(F.sequence(i + 1, n), lambda k: tail(r, k)), F.lit(0.0), lambda a, x: a + x))
     found = per.select(*keys, (F.array_min(sums) * n).alias("rho"))
-    return fdr_flag(found.withColumn("__all", F.lit(1)), "rho", ["__all"], keys, alpha, "step_down", None).drop("__all")
+    return fdr_global(found, "rho", keys, alpha, "step_down", None)
 
 
 def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

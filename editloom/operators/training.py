@@ -91,7 +91,7 @@ def window_names(length: int = 30, first: int = -9) -> list[str]:
     return [f"{first + i}{n}" for i in range(length) for n in NTS] + [f"Num. {n}" for n in NTS]
 
 
-def design_stats(sites: DataFrame, found: DataFrame, key: str = "site") -> DataFrame:
+def design_stats(sites: DataFrame, found: DataFrame, key: str | list[str] = "site") -> DataFrame:
     """The design and its measurements, rows of either side kept, and which side a row is from."""
     left = sites.withColumn("designed", F.lit(True))
     right = found.withColumn("measured", F.lit(True))

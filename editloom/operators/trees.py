@@ -1,4 +1,4 @@
-"""Learners of one group's rows in one worker: gradient boosting on 0/1 features, and logistic regression."""
+"""Learners of one group's rows in one worker: gradient boosting on 0/1 features, ridge and logistic regression."""
 
 from __future__ import annotations
 
@@ -57,7 +57,16 @@ def logistic(x: np.ndarray, y: np.ndarray, train: np.ndarray) -> np.ndarray:
     return sigmoid(np.column_stack([x, np.ones(len(x))]) @ w)
 
 
-def encoded(texts) -> np.ndarray:
-    """0/1 for each place and nucleotide of texts of one length."""
+def ridge(x: np.ndarray, y: np.ndarray, train: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """L3: predictions of all rows, fitted on those of ``train`` with L2 but for the constant."""
+    xt, yt = x[train], y[train]
+    mean = xt.mean(0)
+    z = xt - mean
+    w = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (yt - yt.mean()))
+    return (x - mean) @ w + yt.mean()
+
+
+def encoded(texts, letters: str = "ACGT") -> np.ndarray:
+    """0/1 for each place and letter of texts of one length."""
     codes = np.array([list(t.encode()) for t in texts], dtype=np.uint8)
-    return (codes[:, :, None] == np.frombuffer(b"ACGT", dtype=np.uint8)).reshape(len(codes), -1).astype(float)
+    return (codes[:, :, None] == np.frombuffer(letters.encode(), dtype=np.uint8)).reshape(len(codes), -1).astype(float)

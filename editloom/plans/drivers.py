@@ -39,13 +39,14 @@ def l10_training_rows(s: Source) -> DataFrame:
 
 @query("l10_fits")
 def l10_fits(s: Source) -> DataFrame:
-    """Ridge coefficients by driver, class and condition, context with position, of the drivers with a radius of ten."""
+    """Ridge coefficients of the logit of frequencies between 0 and 1, by driver, class and condition, on the driver's own
+    context with the position; l3_metrics tells how such fits do."""
     name = F.concat_ws("_", "condition", "site", "position", "class")
-    sets = rows(s).where("length(context) = 20").withColumn("split", models.split(name)).where("split = 'train'")
-    places = range(3, 9)
+    sets = rows(s).withColumn("split", models.split(name)).where("split = 'train'").withColumn("logit", seq.logit(F.col("frequency")))
+    places = range(-4, 9)
     sets = sets.withColumn("features", training.with_position(models.one_hot(F.col("context"), 20), F.col("position"), places))
     sets = sets.withColumn("group", F.concat_ws("|", "driver", "class", "condition"))
-    return models.ridge(sets, "group", "features", "frequency", [*models.feature_names(20), *[f"at {p}" for p in places]])
+    return models.ridge(sets, "group", "features", "logit", [*models.feature_names(20), *[f"at {p}" for p in places]])
 
 
 WIDE = "wide AS (SELECT condition, site, position, " + ", ".join(f"coalesce(avg(count / total) FILTER (obs_nt = '{n}'), 0) AS c_{n.lower()}" for n in "AGT") + " FROM freq WHERE ref_nt = 'C' AND obs_nt <> 'C' GROUP BY ALL)"
@@ -114,11 +115,12 @@ def f2_positions(s: Source) -> DataFrame:
 
 
 @query("j9_design_stats", oracle("""
-SELECT coalesce(v.site, a.site) AS site, category, round(fraction_edited, 6) AS fraction_edited, v.site IS NOT NULL AS designed, a.site IS NOT NULL AS measured
-FROM (SELECT * FROM v_site WHERE category = 'satmut') v FULL JOIN (SELECT * FROM annot WHERE condition = 'c1') a ON v.site = a.site""", *V, "v_site", ctes=ANNOT))
+SELECT coalesce(v.condition, a.condition) AS condition, coalesce(v.site, a.site) AS site, category, round(fraction_edited, 6) AS fraction_edited, v.site IS NOT NULL AS designed, a.site IS NOT NULL AS measured
+FROM (SELECT condition, site, category FROM v_site, v_cond WHERE category = 'satmut') v FULL JOIN annot a ON v.site = a.site AND v.condition = a.condition""", *V, "v_site", ctes=ANNOT))
 def j9_design_stats(s: Source) -> DataFrame:
-    found = haplotypes.annotate(hq.reads(s).where("condition = 'c1'")).select("site", "fraction_edited")
-    return rounded(training.design_stats(s.v_site.where("category = 'satmut'").select("site", "category"), found))
+    found = haplotypes.annotate(hq.reads(s)).select("condition", "site", "fraction_edited")
+    design = s.v_site.where("category = 'satmut'").select("site", "category").join(F.broadcast(s.v_cond.select("condition")))
+    return rounded(training.design_stats(design, found, ["condition", "site"]))
 
 
 @query("a23_name_counts", oracle("SELECT driver_split AS split, count(*) AS rows, count(DISTINCT site) AS sites, count(DISTINCT condition) AS conditions FROM (SELECT *, CASE WHEN " + HASH.format(x="'0|' || condition || '_' || site") + " % 4 < 3 THEN 'train' ELSE 'test' END AS driver_split FROM ratios) x GROUP BY ALL", *V, ctes=ANNOT))

@@ -68,6 +68,16 @@ def l3_ridge(s: Source) -> DataFrame:
     return models.ridge(data(s).where("split = 'train'"), "condition", "features", "frequency", models.feature_names(2 * RADIUS))
 
 
+@query("l3_residuals", oracle("""
+SELECT condition AS "group", CAST(i // 4 AS VARCHAR) || substr('ACGT', CAST(i % 4 + 1 AS INT), 1) AS feature, 0.0 AS residual FROM data, (SELECT unnest(range(0, 40)) AS i) r
+WHERE split = 'train' AND substr(context, CAST(i // 4 + 1 AS INT), 1) = substr('ACGT', CAST(i % 4 + 1 AS INT), 1) GROUP BY ALL UNION ALL SELECT DISTINCT condition, 'intercept', 0.0 FROM data WHERE split = 'train'""", "v_g4", ctes=DATA))
+def l3_residuals(s: Source) -> DataFrame:
+    """What ridge leaves of its normal equations: nothing."""
+    rows, names = data(s).where("split = 'train'"), models.feature_names(2 * RADIUS)
+    fit = models.ridge(rows, "condition", "features", "frequency", names)
+    return rounded(models.ridge_residuals(rows, "condition", "features", "frequency", names, fit))
+
+
 GROUP = ["driver", "class", "condition"]
 
 
@@ -78,7 +88,12 @@ def fitted(s: Source, kind: str) -> DataFrame:
 
     name = F.concat_ws("_", "condition", "site", "position", "class")
     sets = rows(s).withColumn("split", models.split(name)).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
-    return models.learn_groups(sets, GROUP, kind, "context", "logit" if kind == "gbt_regressor" else "label", ["site", "position"])
+    return models.learn_groups(sets, GROUP, kind, "context", "logit" if kind in ("ridge", "gbt_regressor") else "label", ["site", "position"])
+
+
+@query("l3_metrics")
+def l3_metrics(s: Source) -> DataFrame:
+    return stats.correlation(fitted(s, "ridge"), "predicted", "logit", [*GROUP, "split"])
 
 
 @query("l4_gbtr")
@@ -109,15 +124,65 @@ def l7_metrics(s: Source) -> DataFrame:
     return rounded(models.classification_metrics(rows, "y", "p", ["condition"]))
 
 
+RARE = ["fraction", "condition"]
+PLACES = range(3, 9)
+
+
+def rare(s: Source, kind: str) -> DataFrame:
+    """Rows of the outcome fractions of C with predictions, one fit a fraction and condition of a C-to-T editor, on the context
+    of ten to either side and the position, which stands behind it as a letter of its own."""
+    from editloom.operators import training
+    from editloom.plans.drivers import freq
+    from editloom.sources.dimensions import editor_kind
+
+    kinds = s.v_cond.where(editor_kind(F.col("editor")) == "CBE").select("condition")
+    rows = training.outcome_fractions(freq(s)).where(F.col("position").isin(*PLACES)).join(F.broadcast(kinds), "condition").join(F.broadcast(s.v_site.select("site", "seq", "pos0_idx")), "site")
+    place = F.translate(F.col("position").cast("string"), "".join(map(str, PLACES)), "abcdef")
+    rows = rows.withColumn("around", seq.context(F.col("seq"), F.col("position") + F.col("pos0_idx"), 10)).where("around is not null")
+    rows = rows.select(*RARE, "site", "position", F.concat("around", place).alias("context"), F.col("value").alias("frequency"))
+    sets = rows.withColumn("split", models.split(F.concat_ws("_", "site", "position", "fraction"))).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
+    target = "logit" if kind in ("ridge", "gbt_regressor") else "label"
+    return models.learn_groups(sets, RARE, kind, "context", target, ["site", "position"], letters="ACGTabcdef").withColumn("model", F.lit(kind))
+
+
+@query("l10_rare_regress")
+def l10_rare_regress(s: Source) -> DataFrame:
+    return stats.correlation(rare(s, "ridge").unionByName(rare(s, "gbt_regressor")), "predicted", "logit", ["model", *RARE, "split"])
+
+
+@query("l10_rare_classify")
+def l10_rare_classify(s: Source) -> DataFrame:
+    return models.classification_metrics(rare(s, "logistic").unionByName(rare(s, "gbt_classifier")), "label", "predicted", ["model", *RARE, "split"])
+
+
 @query("l11_collate")
 def l11_collate(s: Source) -> DataFrame:
-    """Coefficients of every condition beside its test correlation, with signed position labels."""
+    """Coefficients of every condition, with signed position labels, beside the correlation of its fit on the test rows."""
     rows = data(s)
     coefficients = models.ridge(rows.where("split = 'train'"), "condition", "features", "frequency", models.feature_names(2 * RADIUS)).where("feature <> 'intercept'")
     number, nt = F.regexp_extract("feature", r"^\d+", 0).cast("int"), F.regexp_extract("feature", r"[ACGT]$", 0)
     named = coefficients.select("group", seq.label(number, RADIUS).alias("position"), nt.alias("nt"), "coefficient")
-    sizes = rows.groupBy(F.col("condition").alias("group")).agg(F.count("*").alias("rows"), F.count_distinct("site").alias("sites"))
-    return named.join(F.broadcast(sizes), "group")
+    scored = models.learn_groups(rows.drop("features"), ["condition"], "ridge", "context", "frequency", ["site", "idx"])
+    told = stats.correlation(scored.where("split = 'test'"), "predicted", "frequency", ["condition"]).select(F.col("condition").alias("group"), F.col("n").alias("test_rows"), F.col("pearson").alias("test_pearson"))
+    return named.join(F.broadcast(told), "group", "left")
+
+
+@query("l11_curve")
+def l11_curve(s: Source) -> DataFrame:
+    """The learning curve of the edited fraction's fit: test correlation by share of the training rows (tenths) and replicate,
+    whose rows are drawn by hashes."""
+    from editloom.functions.special import hash_int
+    from editloom.plans.drivers import windows
+
+    rows = windows(s).where("total_be >= 100").select("condition", "site", "window", "fraction_edited", "split")
+    shares, replicates = F.explode(F.sequence(F.lit(1), F.lit(10))), F.explode(F.sequence(F.lit(0), F.lit(2)))
+    runs = rows.withColumn("tenths", shares).withColumn("replicate", replicates)
+    draw = hash_int(F.concat_ws("|", F.lit("curve"), "replicate", "condition", "site")) * 10 / F.lit(2.0**32)
+    runs = runs.where((F.col("split") == "test") | (draw < F.col("tenths"))).withColumn("logit", seq.logit(F.col("fraction_edited")))
+    keys = ["condition", "tenths", "replicate"]
+    scored = models.learn_groups(runs.withColumns({"tenths": F.col("tenths").cast("string"), "replicate": F.col("replicate").cast("string")}), keys, "ridge", "window", "logit", ["site"])
+    sizes = scored.groupBy(*keys).agg(F.count_if(F.col("split") == "train").alias("train_rows"))
+    return stats.correlation(scored.where("split = 'test'"), "predicted", "logit", keys).join(sizes, keys).withColumn("fraction", F.col("tenths").cast("int") / 10).drop("tenths")
 
 
 @query("t18_covariate")

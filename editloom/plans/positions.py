@@ -102,10 +102,20 @@ def t1_binom_tail(s: Source) -> DataFrame:
     return rounded(stats.control_explained(*sides(s)).select("condition", "site", "idx", "obs_nt", "t_count", "c_count", "t_total", "c_total", "p_value"))
 
 
-@query("t2_error_tail")
+PMF = "exp(lgamma({n} + 1) - lgamma({j} + 1) - lgamma({n} - {j} + 1) + {j} * ln({p}) + ({n} - {j}) * ln(1 - {p}))"
+
+
+@query("t2_error_tail", oracle(f"""
+, rows AS (SELECT condition, site, idx, obs_nt, count, CAST(floor(count) AS BIGINT) AS k, CAST(floor(sum(count) OVER (PARTITION BY condition, site, idx)) AS BIGINT) AS n, ref_nt,
+  pow(10.0, -(30 + (site + idx) % 7) / 10.0) AS tp, pow(10.0, -(30 + (site + 2 * idx) % 7) / 10.0) AS cp FROM t),
+terms AS (SELECT *, list_transform(range(0, least(n, 24) + 1), lambda i: {PMF.format(n="n", j="i", p="cp")} *
+  coalesce(list_sum(list_transform(range(i + k, least(n, i + k + 60) + 1), lambda j: {PMF.format(n="n", j="j", p="tp")})), 0.0)) AS ts FROM rows WHERE obs_nt <> ref_nt AND count > 0)
+SELECT condition, site, idx, obs_nt, count, round(list_sum(ts[1:coalesce(list_position(list_transform(ts, lambda x: x <= 1e-6), true), len(ts))]), 5) AS p_value FROM terms""", "v_g4", ctes=SIDES).replace("\n\n, rows", ",\nrows"))
 def t2_error_tail(s: Source) -> DataFrame:
-    quality = F.lit(30) + (F.col("site") + F.col("idx")) % 7
-    return stats.sequencing_error(sides(s)[0], quality).select("condition", "site", "idx", "obs_nt", "count", "p_value")
+    """Errors at the least qualities of each side, from a table of them by site and index."""
+    places = s.v_site.select("site", F.explode(F.sequence(F.lit(15), F.lit(21))).alias("idx"))
+    quality = places.select("site", "idx", (30 + (F.col("site") + F.col("idx")) % 7).alias("t_quality"), (30 + (F.col("site") + 2 * F.col("idx")) % 7).alias("c_quality"))
+    return rounded(stats.sequencing_error(sides(s)[0], quality).select("condition", "site", "idx", "obs_nt", "count", "p_value"), 5)
 
 
 @query("t3_wipe", oracle("""
@@ -189,9 +199,19 @@ def t6_anova(s: Source) -> DataFrame:
     return rounded(stats.anova(activity(s), "mean_activity", "batch", stats.MUTATION).drop("p_value"), 4)
 
 
-@query("t6_anova_p")
+SERIES = """exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b})) *
+  list_sum(list_transform(range(0, 300), lambda i: exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({x}))))"""
+F_TAIL = """CASE WHEN {f} IS NULL THEN NULL WHEN {f} <= 0 THEN 1.0 WHEN {x} <= 0.5 THEN """ + SERIES.format(a="({d2} / 2.0)", b="({d1} / 2.0)", x="({x})") + " ELSE 1 - " + SERIES.format(a="({d1} / 2.0)", b="({d2} / 2.0)", x="(1 - {x})") + " END"
+
+
+def f_tail(f: str, d1: str, d2: str) -> str:
+    """SQL of the upper tail of the F distribution, by the series of the incomplete beta function."""
+    return F_TAIL.format(f=f, d1=d1, d2=d2, x=f"({d2} / ({d2} + {d1} * {f}))")
+
+
+@query("t6_anova_p", oracle(f"SELECT position, ref_nt, obs_nt, round(f_stat, 4) AS f_stat, df_between, df_within, round({f_tail('f_stat', 'df_between', 'df_within')}, 4) AS p_value FROM anova", "v_g4", "v_cond", ctes=ACTIVITY + ",\n" + ANOVA))
 def t6_anova_p(s: Source) -> DataFrame:
-    return stats.anova(activity(s), "mean_activity", "batch", stats.MUTATION)
+    return rounded(stats.anova(activity(s), "mean_activity", "batch", stats.MUTATION), 4)
 
 
 @query("t7_bonferroni", oracle("SELECT condition, site, idx, obs_nt, p_value <= 0.005 / (SELECT count(*) FROM tested) AS accept FROM tested", "v_g4", ctes=TESTED))
@@ -242,9 +262,17 @@ def t11_islands(s: Source) -> DataFrame:
     return rounded(batch.drop_islands(pool(s), "batch").select("batch", "position", "ref_nt", "obs_nt", "pool_fraction"))
 
 
-@query("t10_rra")
+@query("t10_rra", oracle("""
+, many AS (SELECT count(DISTINCT condition) AS n FROM activity),
+common AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY position, ref_nt, obs_nt) AS seen FROM activity) x, many WHERE seen = n),
+ranks AS (SELECT position, ref_nt, obs_nt, n, row_number() OVER (PARTITION BY condition ORDER BY mean_activity DESC, position, ref_nt, obs_nt) / CAST(count(*) OVER (PARTITION BY condition) AS DOUBLE) AS r FROM common),
+per AS (SELECT position, ref_nt, obs_nt, n, list_sort(list(r)) AS rs FROM ranks GROUP BY ALL),
+rho AS (SELECT position, ref_nt, obs_nt, n * list_min(list_transform(range(1, n + 1), lambda i: list_sum(list_transform(range(i, n + 1), lambda j:
+  (j - i + 1) * CAST(factorial(CAST(n AS INT)) / (factorial(CAST(j AS INT)) * factorial(CAST(n - j AS INT))) AS DOUBLE) * pow(rs[i], j) * pow(1 - rs[i], n - j))))) AS rho FROM per),
+placed AS (SELECT *, row_number() OVER w AS place, rho <= row_number() OVER w / CAST(count(*) OVER () AS DOUBLE) * 0.01 AS ok FROM rho WINDOW w AS (ORDER BY rho, position, ref_nt, obs_nt))
+SELECT position, ref_nt, obs_nt, round(rho, 6) AS rho, bool_and(ok) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS accept FROM placed""", "v_g4", "v_cond", ctes=ACTIVITY).replace("\n\n, many", ",\nmany"))
 def t10_rra(s: Source) -> DataFrame:
-    return stats.rank_aggregation(activity(s), "mean_activity", stats.MUTATION)
+    return rounded(stats.rank_aggregation(activity(s), "mean_activity", stats.MUTATION))
 
 
 @query("t10_ranks", oracle("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +94,11 @@ def r3_melt(s: Source) -> DataFrame:
 
 
 @query("r4_reps_long", oracle("""
-SELECT site, replicate, round(value, 6) AS value FROM (SELECT a.site, a.ratio AS r0, b.ratio AS r1 FROM ratios a JOIN ratios b ON a.site = b.site WHERE a.condition = 'c0' AND b.condition = 'c2') x
-UNPIVOT INCLUDE NULLS (value FOR replicate IN (r0, r1))""", *V, ctes=ANNOT))
+SELECT rep1, rep2, site, replicate, round(value, 6) AS value FROM (SELECT rep1, rep2, a.site, a.ratio AS r0, b.ratio AS r1 FROM reps JOIN ratios a ON rep1 = a.condition JOIN ratios b ON rep2 = b.condition AND a.site = b.site) x
+UNPIVOT INCLUDE NULLS (value FOR replicate IN (r0, r1))""", *V, ctes=ANNOT + ", " + PAIRS))
 def r4_reps_long(s: Source) -> DataFrame:
-    r = ratios(s)
-    both = r.where("condition = 'c0'").select("site", F.col("ratio").alias("r0")).join(r.where("condition = 'c2'").select("site", F.col("ratio").alias("r1")), "site")
-    return rounded(summary.melt(both, ["site"], ["r0", "r1"], "replicate", "value"))
+    both = summary.replicates(ratios(s), summary.replicate_pairs(s.v_cond), ["site"], "ratio").select("rep1", "rep2", "site", F.col("v1").alias("r0"), F.col("v2").alias("r1"))
+    return rounded(summary.melt(both, ["rep1", "rep2", "site"], ["r0", "r1"], "replicate", "value"))
 
 
 @query("r5_union", oracle("SELECT condition, site, round(ratio, 6) AS ratio, NULL AS indel_freq FROM ratios UNION ALL SELECT condition, site, NULL, round(indel_freq, 6) FROM isum", *V, ctes=ANNOT))
@@ -137,9 +138,16 @@ def t12_bootstrap(s: Source) -> DataFrame:
     return rounded(stats.bootstrap(ratios(s), "ratio", ["condition"], ["site"], replicates=200))
 
 
-@query("t12_bootstrap_poisson")
+CUTS = ", ".join(repr(sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+@query("t12_bootstrap_poisson", oracle(f"""
+, draws AS (SELECT condition, rep, ratio, len(list_filter([{CUTS}], lambda c: ({HASH.format(x="'boot|' || rep || '|' || condition || '|' || site")} + 0.5) / 4294967296.0 > c)) AS w
+  FROM ratios, (SELECT unnest(range(1, 5001)) AS rep) r WHERE ratio IS NOT NULL),
+means AS (SELECT condition, rep, sum(ratio * w) / nullif(sum(w), 0) AS m FROM draws GROUP BY ALL)
+SELECT condition, round(quantile_cont(m, 0.025), 6) AS p025, round(quantile_cont(m, 0.16), 6) AS p16, round(quantile_cont(m, 0.84), 6) AS p84, round(quantile_cont(m, 0.975), 6) AS p975 FROM means GROUP BY ALL""", *V, ctes=ANNOT).replace("\n\n, draws", ",\ndraws"))
 def t12_bootstrap_poisson(s: Source) -> DataFrame:
-    return stats.bootstrap_poisson(ratios(s), "ratio", ["condition"], ["condition", "site"], replicates=5000)
+    return rounded(stats.bootstrap_poisson(ratios(s), "ratio", ["condition"], ["condition", "site"], replicates=5000))
 
 
 def boot(kind: str, replicates: int) -> str:
@@ -183,10 +191,26 @@ def t14_mwu(s: Source) -> DataFrame:
     return rounded(stats.mann_whitney(rows, "ratio", "label", ["condition"]).drop("p_value"))
 
 
+def by_factors(s: Source) -> DataFrame:
+    return summary.weighted(good(s)).join(F.broadcast(s.v_cond.select("condition", "editor", "batch")), "condition")
+
+
 @query("t15_twoway")
 def t15_twoway(s: Source) -> DataFrame:
-    rows = summary.weighted(good(s)).join(F.broadcast(s.v_cond.select("condition", "editor", "batch")), "condition")
-    return models.two_way(rows, "ratio", ("editor", "batch"), "weight")
+    return models.two_way(by_factors(s), "ratio", ("editor", "batch"), "weight")
+
+
+@query("t15_residuals", oracle("""
+SELECT factor, level, 0.0 AS residual FROM (SELECT DISTINCT unnest(['editor', 'batch']) AS factor, unnest([editor, batch]) AS level FROM good JOIN v_cond USING (condition) WHERE ratio > 0) x""", *V, ctes=ANNOT))
+def t15_residuals(s: Source) -> DataFrame:
+    """What the fit leaves in each level: weighted residuals add up to nothing where it solves the normal equations."""
+    rows = by_factors(s).where("ratio > 0")
+    fit = models.two_way(rows, "ratio", ("editor", "batch"), "weight")
+    part = lambda name: F.broadcast(fit.where(F.col("factor") == name).select(F.col("level").alias(name), F.col("coefficient").alias(f"at_{name}")))
+    both = rows.join(part("editor"), "editor").join(part("batch"), "batch")
+    left = F.col("weight") * (F.ln("ratio") - F.col("at_editor") - F.col("at_batch"))
+    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("level")) for n in ("editor", "batch")]))
+    return rounded(both.select(levels.alias("l"), left.alias("left")).groupBy("l.factor", "l.level").agg(F.sum("left").alias("residual")))
 
 
 @query("t16_adjust", oracle("""
@@ -236,10 +260,10 @@ def x2_revcomp(s: Source) -> DataFrame:
     return s.v_site.select("site", seq.reverse_complement(F.col("seq")).alias("revcomp"))
 
 
-@query("x5_match", oracle("SELECT a.site, b.site AS other, CAST(len(list_filter(range(1, 21), lambda i: substr(a.grna, CAST(i AS INT), 1) = substr(b.seq, CAST(b.pos0_idx + 1 + i AS INT), 1))) AS INT) AS matches FROM v_site a, v_site b WHERE b.site = (a.site + 1) % 40", "v_site"))
+@query("x5_match", oracle("SELECT a.site, b.site AS other, CAST(len(list_filter(range(1, 21), lambda i: substr(a.grna, CAST(i AS INT), 1) = substr(b.seq, CAST(b.pos0_idx + 1 + i AS INT), 1))) AS INT) AS matches FROM v_site a JOIN v_site b ON b.site = a.site + 1", "v_site"))
 def x5_match(s: Source) -> DataFrame:
     other = s.v_site.select(F.col("site").alias("other"), F.col("seq").alias("other_seq"), F.col("pos0_idx").alias("zero"))
-    rows = s.v_site.withColumn("other", (F.col("site") + 1) % 40).join(other, "other")
+    rows = s.v_site.withColumn("other", F.col("site") + 1).join(other, "other")
     return rows.select("site", "other", seq.match_count(F.col("grna"), F.col("other_seq"), F.col("zero") + 1).alias("matches"))
 
 

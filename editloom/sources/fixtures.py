@@ -1,5 +1,8 @@
 """Count tables in the engine's shapes, viewed over the driver's tables.
 
+Sites follow part keys, ten to a site, and reads follow customer keys, so sites, cells and reads grow with the tables; the
+eight conditions are the experiment's design. Quantities stand for five reads each, so that depths are those of a screen.
+
 The SQL of each view runs unchanged in Spark and DuckDB, so an oracle can start from the same rows.
 """
 
@@ -18,13 +21,13 @@ SELECT site, seq, substr(seq, 12, 20) AS grna, 10 AS pos0_idx,
  CASE WHEN site % 5 = 0 THEN 'mismatch' ELSE 'satmut' END AS category FROM (
  SELECT site, concat(translate(md5(CAST(site AS STRING)),'0123456789abcdef','ACGTACGTACGTACGT'),
                      translate(md5(concat('s',CAST(site AS STRING))),'0123456789abcdef','ACGTACGTACGTACGT')) AS seq
- FROM (SELECT DISTINCT p_partkey % 40 AS site FROM part) a) b""",
+ FROM (SELECT DISTINCT CAST((p_partkey - p_partkey % 10) / 10 AS BIGINT) AS site FROM part) a) b""",
     "v_g4": """
 SELECT role, condition, site, idx, idx - pos0_idx AS position, ref_nt, obs_nt, CAST(sum(qty) AS DOUBLE) AS count FROM (
  SELECT CASE WHEN l_linestatus = 'O' THEN 'T' ELSE 'C' END AS role, concat('c', CAST(l_suppkey % 8 AS STRING)) AS condition,
   s.site AS site, s.pos0_idx AS pos0_idx, 14 + l_linenumber AS idx, substr(s.seq, 15 + l_linenumber, 1) AS ref_nt,
   CASE WHEN l_orderkey % 10 < 7 THEN substr(s.seq, 15 + l_linenumber, 1) ELSE substr('ACGT', CAST(1 + (l_orderkey + l_partkey) % 4 AS INT), 1) END AS obs_nt,
-  l_quantity AS qty FROM lineitem JOIN v_site s ON l_partkey % 40 = s.site) x
+  l_quantity * 5 AS qty FROM lineitem JOIN v_site s ON CAST((l_partkey - l_partkey % 10) / 10 AS BIGINT) = s.site) x
  GROUP BY role, condition, site, idx, idx - pos0_idx, ref_nt, obs_nt""",
     "v_g5_long": """
 SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'C' END AS role,
@@ -34,11 +37,11 @@ SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'C' END
         THEN CASE WHEN substr(s.seq, s.pos0_idx + p.pos + 1, 1) = 'C' THEN substr('TTGA', CAST(1 + o_orderkey % 4 AS INT), 1) ELSE 'G' END
       WHEN substr(md5(concat(CAST(o_orderkey AS STRING),'|',CAST(p.pos AS STRING))),1,1) = 'f' THEN '.'
       ELSE substr(s.seq, s.pos0_idx + p.pos + 1, 1) END AS obs_nt, CAST(1 + o_orderkey % 50 AS DOUBLE) AS count
- FROM orders JOIN v_site s ON o_orderkey % 40 = s.site CROSS JOIN (VALUES (3),(4),(5),(6),(7),(8),(9)) AS p(pos)
+ FROM orders JOIN v_site s ON CAST((o_custkey - o_custkey % 8) / 8 AS BIGINT) = s.site CROSS JOIN (VALUES (3),(4),(5),(6),(7),(8),(9)) AS p(pos)
  WHERE substr(s.seq, s.pos0_idx + p.pos + 1, 1) IN ('A','C')""",
     "v_h6": """
 SELECT role, condition, site, category, indel_start, indel_end, indel_length, mh_length, inserted_bases, CAST(sum(c) AS DOUBLE) AS count FROM (
- SELECT CASE WHEN l_linestatus = 'O' THEN 'T' ELSE 'C' END AS role, concat('c', CAST(l_suppkey % 8 AS STRING)) AS condition, l_partkey % 40 AS site,
+ SELECT CASE WHEN l_linestatus = 'O' THEN 'T' ELSE 'C' END AS role, concat('c', CAST(l_suppkey % 8 AS STRING)) AS condition, CAST((l_partkey - l_partkey % 10) / 10 AS BIGINT) AS site,
   CASE l_returnflag WHEN 'A' THEN 'del' WHEN 'R' THEN 'ins' ELSE 'wildtype' END AS category,
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_quantity % 3 AS INT) + 5 END AS indel_start,
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_quantity % 3 AS INT) + 6 + (l_linenumber - 1) % 3 END AS indel_end,

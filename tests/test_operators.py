@@ -1,5 +1,9 @@
 """Hand-sized cases: one row per hazard, worked out by hand."""
 
+import random
+from math import comb
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +190,43 @@ def test_pairs_and_folds(spark):
     pairs = spark.createDataFrame([("c0", "c1")], "rep1 string, rep2 string")
     assert [(r.difference, r.log2_fold) for r in summary.replicates(df, pairs, ["site"], "v").collect()] == [(6.0, 2.0)]
     assert {r.site: r.row_mean for r in summary.fold(df, ["site"], "v", ["c0", "c1"]).collect()} == {1: 5.0, 2: None}
+
+
+@pytest.mark.parametrize("mode", ["pointwise", "step_down", "step_up"])
+def test_global_fdr_equals_the_window_form(spark, mode):
+    draw = random.Random(4)
+    values = [(i, draw.choice([None, 0.999, 0.001, draw.random() ** 3, draw.random() / 50])) for i in range(300)]
+    df = spark.createDataFrame(values, "i int, p double").repartition(3)
+    want = {r.i for r in stats.fdr_flag(df.withColumn("all", F.lit(1)), "p", ["all"], ["i"], 0.2, mode).where("accept").collect()}
+    rows = stats.fdr_global(df, "p", ["i"], 0.2, mode).collect()
+    assert {r.i for r in rows if r.accept} == want and len(rows) == 300 and want
+    assert stats.fdr_global(df.where("p > 0.995"), "p", ["i"], 0.2, mode).where("accept").count() == 0
+
+
+def test_error_tail_takes_the_quality_of_each_side(spark):
+    rows = [("c", 1, 15, 5, "C", "C", 198.0), ("c", 1, 15, 5, "C", "T", 2.0), ("c", 2, 15, 5, "C", "C", 99.0), ("c", 2, 15, 5, "C", "G", 1.0)]
+    t = spark.createDataFrame(rows, "condition string, site long, idx int, position int, ref_nt string, obs_nt string, count double")
+    quality = spark.createDataFrame([(1, 15, 20, 30)], "site long, idx int, t_quality int, c_quality int")
+    pmf = lambda j, n, p: comb(n, j) * p**j * (1 - p) ** (n - j)
+    tail = lambda k, n, tp, cp: sum(pmf(i, n, cp) * sum(pmf(j, n, tp) for j in range(i + k, n + 1)) for i in range(n + 1))
+    got = {r.site: r.p_value for r in stats.sequencing_error(t, quality).collect()}
+    assert abs(got[1] - tail(2, 200, 1e-2, 1e-3)) < 1e-5 and abs(got[2] - tail(1, 100, 1e-3, 1e-3)) < 1e-5
+
+
+def test_ridge_of_groups_against_numpy(spark):
+    draw = np.random.default_rng(1)
+    x = (draw.random((120, 5)) < 0.4).astype(float)
+    x[:60, 4] = 0  # a feature that the first group lacks
+    y = x @ [1.0, -2.0, 0.5, 0.0, 3.0] + draw.standard_normal(120)
+    df = spark.createDataFrame([("ab"[i >= 60], x[i].tolist(), float(y[i])) for i in range(120)], "g string, x array<double>, y double").repartition(4)
+    names = list("vwxyz")
+    fit = models.ridge(df, "g", "x", "y", names)
+    got = {(r.group, r.feature): r.coefficient for r in fit.collect()}
+    assert ("a", "z") not in got and len(got) == 11
+    for g, part in (("a", slice(0, 60)), ("b", slice(60, 120))):
+        has = [i for i in range(5) if (g, names[i]) in got]
+        z = np.column_stack([x[part][:, has], np.ones(60)])
+        want = np.linalg.solve(z.T @ z + np.diag([1.0] * len(has) + [0.0]), z.T @ y[part])
+        assert np.allclose([got[g, names[i]] for i in has] + [got[g, "intercept"]], want)
+    left = models.ridge_residuals(df, "g", "x", "y", names, fit).collect()
+    assert len(left) == 11 and max(abs(r.residual) for r in left) < 1e-9

@@ -14,7 +14,10 @@ from tests.conftest import DATA
 
 FOLDER = f"{DATA}/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"l4_gbtr", "l5_logit", "l6_gbtc", "t18_covariate"}
+#: Run once each in other tests, or in the bench alone.
+SLOW = {"l4_gbtr", "l5_logit", "l6_gbtc", "t18_covariate", "t12_mean", "t12_gmean", "t12_median", "t12_bootstrap_poisson", "l10_rare_regress", "l10_rare_classify", "l11_curve"}
+#: Queries that find nothing on the smallest tables.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +40,9 @@ def plain(df: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
 def test_query(spark, con, name):
     got = registry.queries()[name](spark, FOLDER).toPandas()
+    assert len(got) > 0 or name in EMPTY
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns) > 0
         return
     want = con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
