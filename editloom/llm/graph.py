@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editloom.llm.base import drop, save
+from editloom.llm.base import drop, save, width
+
+EDGES_A_TASK = 100_000
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -20,17 +22,21 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     exchanges, which adaptive execution splits, and pre-aggregated minima. Null ends and loops are ignored.
     """
     a, b = F.col("a"), F.col("b")
-    now = save(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
-        f"{name}-edges",
-    )
+    pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    now = save(pairs, f"{name}-edges")
+    # Few edges are worked on by few tasks; their number never grows.
+    tasks = now.count() // EDGES_A_TASK + 1
+
+    def keep(df: DataFrame, part: str) -> DataFrame:
+        return save(df.coalesce(tasks) if tasks < width(df.sparkSession) else df, f"{name}-{part}")
+
     while not _is_star(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
-        large = save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
-        low2 = save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low2 = keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = save(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        then = keep(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop(now, low, large, low2)
         now = then
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
