@@ -8,14 +8,18 @@ run there, many at once; MLlib's learners take one data set each and serve large
 from __future__ import annotations
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions.special import hash_int
+from editloom.operators import trees
 from editloom.operators.stats import average_rank
 from editloom.sources.shared import new_folder, written
 
 NTS = ("A", "C", "G", "T")
+# The learners go to executors within the tasks, so that these need not have this package.
+cloudpickle.register_pickle_by_value(trees)
 
 
 def one_hot(text: Column, length: int, letters: str = "".join(NTS)) -> Column:
@@ -135,8 +139,6 @@ def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target:
     ``kind``: ridge, logistic, gbt_regressor or gbt_classifier."""
     import pandas as pd
 
-    from editloom.operators import trees
-
     rows = df.where(F.col(target).isNotNull())
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +206,7 @@ def covariate_model(y: DataFrame, steps: int = 1200, step_size: float = 0.1, fol
         for n in kinds:
             full = full.withColumn(n, hash_int(F.concat_ws("|", F.lit(n), F.col(f"key_{n}"))) / F.lit(2.0**32))
         names = list(kinds)
-        return full.coalesce(1).mapInPandas(lambda frames: _fit_cells(frames, names, sizes), "kind string, key string, value double")
+        return full.coalesce(1).mapInPandas(lambda frames: trees.fit_cells(frames, names, sizes), "kind string, key string, value double")
     params = written(params, f"{folder}/step-0")
     for step, size in enumerate(sizes, 1):
         full = data
@@ -229,34 +231,3 @@ def _step_sizes(steps: int, size: float) -> list[float]:
         size = size * 0.9995 if size > 0.001 else size
         sizes.append(size)
     return sizes
-
-
-def _fit_cells(frames, kinds: list[str], sizes: list[float]):
-    """All Adam steps over cells (key, start and sums of each kind), in one worker."""
-    import pandas as pd
-
-    found = [f for f in frames if len(f)]
-    if not found:
-        return
-    # Sorted cells: sums, and so rows out, do not depend on how they were partitioned.
-    cells = pd.concat(found).sort_values([f"key_{k}" for k in kinds], ignore_index=True)
-    del found
-    at, names, p = {}, {}, {}
-    for k in kinds:
-        at[k], names[k] = pd.factorize(cells[f"key_{k}"])
-        p[k] = np.zeros(len(names[k]))
-        p[k][at[k]] = cells[k]
-    value, n = cells["value"].to_numpy(), cells["n"].to_numpy(dtype=float)
-    del cells
-    m, v = {k: np.zeros(len(x)) for k, x in p.items()}, {k: np.zeros(len(x)) for k, x in p.items()}
-    for step, size in enumerate(sizes, 1):
-        a, e, b, g = (p[k][at[k]] for k in kinds)
-        error = 2.0 * n * (a**2 * e**2 + b**2 + g**2 - value) / n.sum()
-        for k, s in zip(kinds, (2 * a * e**2, 2 * e * a**2, 2 * b, 2 * g)):
-            slope = np.bincount(at[k], error * s, len(p[k]))
-            m[k] = 0.9 * m[k] + 0.1 * slope
-            v[k] = 0.999 * v[k] + 0.001 * slope**2
-            p[k] = p[k] - size * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    for k in kinds:
-        yield pd.DataFrame({"kind": k, "key": names[k], "value": p[k]})
-

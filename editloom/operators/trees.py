@@ -1,4 +1,5 @@
-"""Learners of one group's rows in one worker: gradient boosting on 0/1 features, ridge and logistic regression."""
+"""Learners of one group's rows in one worker: gradient boosting on 0/1 features, ridge and logistic regression, and the
+steps of the covariate model."""
 
 from __future__ import annotations
 
@@ -70,3 +71,33 @@ def encoded(texts, letters: str = "ACGT") -> np.ndarray:
     """0/1 for each place and letter of texts of one length."""
     codes = np.array([list(t.encode()) for t in texts], dtype=np.uint8)
     return (codes[:, :, None] == np.frombuffer(letters.encode(), dtype=np.uint8)).reshape(len(codes), -1).astype(float)
+
+
+def fit_cells(frames, kinds: list[str], sizes: list[float]):
+    """All Adam steps over cells (key, start and sums of each kind), in one worker."""
+    import pandas as pd
+
+    found = [f for f in frames if len(f)]
+    if not found:
+        return
+    # Sorted cells: sums, and so rows out, do not depend on how they were partitioned.
+    cells = pd.concat(found).sort_values([f"key_{k}" for k in kinds], ignore_index=True)
+    del found
+    at, names, p = {}, {}, {}
+    for k in kinds:
+        at[k], names[k] = pd.factorize(cells[f"key_{k}"])
+        p[k] = np.zeros(len(names[k]))
+        p[k][at[k]] = cells[k]
+    value, n = cells["value"].to_numpy(), cells["n"].to_numpy(dtype=float)
+    del cells
+    m, v = {k: np.zeros(len(x)) for k, x in p.items()}, {k: np.zeros(len(x)) for k, x in p.items()}
+    for step, size in enumerate(sizes, 1):
+        a, e, b, g = (p[k][at[k]] for k in kinds)
+        error = 2.0 * n * (a**2 * e**2 + b**2 + g**2 - value) / n.sum()
+        for k, s in zip(kinds, (2 * a * e**2, 2 * e * a**2, 2 * b, 2 * g)):
+            slope = np.bincount(at[k], error * s, len(p[k]))
+            m[k] = 0.9 * m[k] + 0.1 * slope
+            v[k] = 0.999 * v[k] + 0.001 * slope**2
+            p[k] = p[k] - size * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    for k in kinds:
+        yield pd.DataFrame({"kind": k, "key": names[k], "value": p[k]})
