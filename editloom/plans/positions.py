@@ -227,17 +227,17 @@ kinds AS (SELECT position, ref_nt, obs_nt, quantile_cont(m, 0.5) FILTER (kind =
 
 
 @query("a20_batch_means", oracle("""
-SELECT position, ref_nt, obs_nt, round(mean_means, 6) AS mean_means, round(median_means, 6) AS median_means, round(spread, 6) AS spread, round(cbe_median, 6) AS cbe_median, round(abe_median, 6) AS abe_median
+SELECT position, ref_nt, obs_nt, round(mean_means, 8) AS mean_means, round(median_means, 8) AS median_means, round(spread, 8) AS spread, round(cbe_median, 8) AS cbe_median, round(abe_median, 8) AS abe_median
 FROM means JOIN kinds USING (position, ref_nt, obs_nt)""", "v_g4", "v_cond", ctes=MEANS))
 def a20_batch_means(s: Source) -> DataFrame:
-    return rounded(batch.batch_means(activity(s)))
+    return rounded(batch.batch_means(activity(s)), 8)
 
 
 @query("t8_culprits", oracle("""
-SELECT position, ref_nt, obs_nt, batch, round(m, 6) AS batch_mean FROM bm JOIN means USING (position, ref_nt, obs_nt) JOIN kinds USING (position, ref_nt, obs_nt)
+SELECT position, ref_nt, obs_nt, batch, round(m, 8) AS batch_mean FROM bm JOIN means USING (position, ref_nt, obs_nt) JOIN kinds USING (position, ref_nt, obs_nt)
 WHERE spread >= 0.002 AND coalesce(cbe_median, 0) <= 0.05 AND coalesce(abe_median, 0) <= 0.05 AND m >= 0.002""", "v_g4", "v_cond", ctes=MEANS))
 def t8_culprits(s: Source) -> DataFrame:
-    return rounded(batch.culprits(activity(s), background=0.05))
+    return rounded(batch.culprits(activity(s), background=0.05), 8)
 
 
 POOL = MEANS + """,
