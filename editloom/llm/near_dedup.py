@@ -39,7 +39,7 @@ from editloom.llm.graph import components, local_labels, stream_groups
 from editloom.llm.text import FOLD, IS_SPACE, Permutations, buffers, exact_sets, shingles, slices, steps, word_hashes
 
 COORDINATES, SHINGLE, PERCENT = 64, 5, 80
-HOT, MARGIN, BLOCK, BLOCK_CHARS = 32, 16, 256, 1 << 25
+HOT, MARGIN, BLOCK, BLOCK_CHARS = 32, 16, 256, 1 << 22
 _SIGNED = "doc_id long, mark binary, n_shingles long, words binary, sig array<int>"
 _UNIT = ["grp", "unit_i", "unit_j"]
 
@@ -65,7 +65,7 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES, k: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(coordinates)
-        for batch in steps(batches):
+        for batch in steps(batches, 512):
             raw, off = buffers(batch.column(2))
             found, names = [], []
             for a, b in slices(off):
