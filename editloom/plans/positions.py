@@ -235,9 +235,9 @@ def a20_batch_means(s: Source) -> DataFrame:
 
 @query("t8_culprits", oracle("""
 SELECT position, ref_nt, obs_nt, batch, round(m, 8) AS batch_mean FROM bm JOIN means USING (position, ref_nt, obs_nt) JOIN kinds USING (position, ref_nt, obs_nt)
-WHERE spread >= 0.002 AND coalesce(cbe_median, 0) <= 0.05 AND coalesce(abe_median, 0) <= 0.05 AND m >= 0.002""", "v_g4", "v_cond", ctes=MEANS))
+WHERE spread >= 0.002 AND coalesce(cbe_median, 0) <= 0.1 AND coalesce(abe_median, 0) <= 0.1 AND m >= 0.002""", "v_g4", "v_cond", ctes=MEANS))
 def t8_culprits(s: Source) -> DataFrame:
-    return rounded(batch.culprits(activity(s), background=0.05), 8)
+    return rounded(batch.culprits(activity(s), background=0.1), 8)
 
 
 POOL = MEANS + """,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editloom.sources.fixtures import Source
+from editloom.sources.fixtures import NUDGE, Source
 
 MODULES = ("positions", "haplotypes", "indels", "summaries", "models", "drivers")
 _queries: dict[str, Callable[[Source], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that sums in another order compare equal."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + NUDGE, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _load() -> None:
