@@ -112,11 +112,14 @@ def precise_correction(haps: DataFrame, key: Column, correct: Column) -> DataFra
 
 
 def amino_outcomes(haps: DataFrame, sites: DataFrame) -> DataFrame:
-    """Edited reads by what they do to the protein. ``sites``: site, seq, pos0_idx, frame, strand, snp, correct."""
-    rows = haps.withColumn("hap", impute(F.col("hap"))).where(is_edited(F.col("hap"))).join(sites, "site").withColumn("w", window30(F.col("seq"), F.col("pos0_idx")))
+    """Edited reads by what they do to the protein. ``sites``: site, seq, pos0_idx, frame, strand, snp, correct.
+    Each distinct edited sequence of a site is translated once, and the site's own and wanted ones once a site."""
     aas = lambda s: translate_frame(s, F.col("frame"), F.col("snp"), F.col("strand"))
     goal = F.concat(substr0(F.col("w"), F.lit(0), F.col("snp") + 9), F.col("correct"), substr0(F.col("w"), F.col("snp") + 10, 30))
-    rows = rows.withColumns({"obs": aas(apply_haplotype(F.col("w"), F.col("hap"))), "path": aas(F.col("w")), "goal": aas(goal)})
+    told = sites.withColumn("w", window30(F.col("seq"), F.col("pos0_idx"))).select("site", "w", "frame", "strand", "snp", aas(F.col("w")).alias("path"), aas(goal).alias("goal"))
+    reads = haps.withColumn("hap", impute(F.col("hap"))).where(is_edited(F.col("hap"))).join(told.select("site", "w"), "site")
+    edited = reads.select(*SITE, apply_haplotype(F.col("w"), F.col("hap")).alias("edited"), "count").groupBy(*SITE, "edited").agg(F.sum("count").alias("count"))
+    rows = edited.join(told.drop("w"), "site").withColumn("obs", aas(F.col("edited")))
     part = lambda cond: F.sum(F.when(cond, F.col("count")).otherwise(0.0))
     return rows.groupBy(*SITE).agg(part(F.col("obs") == F.col("path")).alias("unedited_aa"), part(F.col("obs") != F.col("path")).alias("edited_aa"), part(F.col("obs") == F.col("goal")).alias("goal_aa"))
 
