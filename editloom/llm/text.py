@@ -70,14 +70,14 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = min(to, n)
 
 
-def segments(raw: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Cuts of one text, each at white space, so that what is made of a part stays small whatever the
+def segments(raw: np.ndarray, most: int = SLICE_BYTES, gap: np.ndarray = IS_SPACE) -> Iterator[tuple[int, int]]:
+    """Cuts of one text, each at a byte of ``gap``, so that what is made of a part stays small whatever the
     text's length; a word longer than ``most`` is not cut."""
     at = 0
     while at < len(raw):
         to, step = at + most, 1 << 16
         while to < len(raw):
-            found = np.flatnonzero(IS_SPACE[raw[to : to + step]])
+            found = np.flatnonzero(gap[raw[to : to + step]])
             if len(found):
                 to += int(found[0])
                 break
@@ -87,10 +87,10 @@ def segments(raw: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
-def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text the range of its words."""
+def spans(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text the range of its words; ``gap`` marks the bytes in no word."""
     n = len(raw)
-    space = IS_SPACE[raw]
+    space = gap[raw]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     solid = ~space

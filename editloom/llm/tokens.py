@@ -5,7 +5,9 @@ stays in a bounded per-worker store, and ids are gathered back in order. A piece
 counts as found only if its bytes are those stored. The cut places rest on the split patterns of the public byte-level and word-end
 vocabularies: a new run of ASCII white space after a letter or an ASCII mark, and an ASCII mark other
 than an apostrophe after a letter. A tokenizer of another kind (``cuts`` tells by its pre-tokenizer)
-encodes whole texts. The ids equal those of encoding the whole text at once, which the tests check.
+encodes whole texts, and so are texts encoded that hold the string of an added token, A-Z in either case: the
+library gives such a string one id, unless ``ordinary`` is asked for. The ids equal those of encoding the whole
+text at once, which the tests check.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from editloom.llm.text import FOLD, IS_SPACE, buffers, same_spans, slices, span_hashes
 
 STORE_PIECES, STORE_BYTES, SLOTS, RUN_PIECES = 1 << 20, 1 << 26, 1 << 21, 1 << 17
-_encoders: dict[str, "PieceEncoder"] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -27,21 +29,22 @@ _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file; strings of special tokens in a text are ordinary text."""
+def tokenizer(path: str, ordinary: bool = False):
+    """The tokenizer of a file; with ``ordinary``, strings of special tokens in a text are ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    if ordinary:
+        found.encode_special_tokens = True
     return found
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder a worker and file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, ordinary: bool = False) -> PieceEncoder:
+    """One encoder a worker, file and way."""
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = PieceEncoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
 def cuts(told: dict) -> bool:
@@ -71,35 +74,43 @@ def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class PieceEncoder:
     """A table from piece hashes, at two places each, to rows of a ragged store of pieces and ids, of bounded size.
 
-    For a vocabulary that lowers case and drops white space, pieces that differ in A-Z or in the
-    white space before them share a row."""
+    For a vocabulary that lowers case and drops white space, ASCII pieces that differ in A-Z and pieces that differ
+    in the white space before them share a row. Other pieces keep their case: normal forms may compose a capital
+    and a mark otherwise than the small letter and that mark."""
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer = tokenizer(path)
+    def __init__(self, path: str, ordinary: bool = False) -> None:
+        self.tokenizer = tokenizer(path, ordinary)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         told = json.loads(self.tokenizer.to_str())
         self.cuts = cuts(told)
         self.fold = "Lowercase" in json.dumps(told["normalizer"]) and "Removed" in json.dumps(told["pre_tokenizer"])
+        self.added = [] if ordinary else [t["content"].encode().lower() for t in told["added_tokens"]]
         self._clear()
 
+    def _lists(self, pieces: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+
+    def _starts(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return _piece_starts(raw, off)
+
     def _clear(self) -> None:
         self.keys, self.rows = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.at, self.sizes = np.zeros(STORE_PIECES, np.int64), np.zeros(STORE_PIECES, np.int32)
-        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
+        self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
         self.begin, self.end = np.zeros(STORE_PIECES, np.int64), np.zeros(STORE_PIECES, np.int64)
         self.text, self.pieces, self.filled = np.zeros(1 << 20, np.uint8), 0, 0
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
         """Encode new pieces into the store; their rows."""
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        lists = self._lists(pieces)
         sizes, lengths = np.array([len(x) for x in lists], np.int64), np.array([len(p) for p in pieces], np.int64)
         flat, text = np.array([i for x in lists for i in x], self.dtype), np.frombuffer(b"".join(pieces), np.uint8)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
         while self.filled + len(text) + 8 > len(self.text):
             self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint8)])
         rows = np.arange(self.pieces, self.pieces + len(pieces))
-        self.ids[self.used : self.used + len(flat)] = flat
+        self.flat[self.used : self.used + len(flat)] = flat
         self.text[self.filled : self.filled + len(text)] = text
         self.at[rows], self.sizes[rows] = self.used + np.cumsum(sizes) - sizes, sizes
         self.end[rows] = self.filled + np.cumsum(lengths)
@@ -114,11 +125,26 @@ class PieceEncoder:
         raw, off = buffers(column)
         out: list[np.ndarray] = []
         for a, b in slices(off):
-            out += self._slice(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+            part, rel = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+            found = self._slice(part, rel)
+            for i in self._marked(part, rel):
+                found[i] = np.array(self._lists([part[rel[i] : rel[i + 1]].tobytes()])[0], self.dtype)
+            out += found
         return out
 
+    def _marked(self, raw: np.ndarray, off: np.ndarray) -> list[int]:
+        """Texts that hold the string of an added token."""
+        low, found = raw.tobytes().lower() if self.added else b"", set()
+        for mark in self.added:
+            at = low.find(mark)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                found.add(i)
+                at = low.find(mark, int(off[i + 1]))
+        return sorted(found)
+
     def _slice(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-        starts = _piece_starts(raw, off)
+        starts = self._starts(raw, off)
         if not len(starts):
             return [np.zeros(0, self.dtype)] * (len(off) - 1)
         ids, sizes = [], []
@@ -135,8 +161,9 @@ class PieceEncoder:
     def _ids(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(raw))
         if self.fold:
-            solid = np.append(np.flatnonzero(~IS_SPACE[raw]), len(raw))
-            starts, raw = np.minimum(solid[np.searchsorted(solid, starts)], ends), FOLD[raw]
+            solid, wide = np.append(np.flatnonzero(~IS_SPACE[raw]), len(raw)), np.concatenate([[0], np.cumsum(raw >= 0x80)])
+            kept = np.repeat(wide[ends] > wide[starts], ends - starts)
+            starts, raw = np.minimum(solid[np.searchsorted(solid, starts)], ends), np.where(kept, raw, FOLD[raw])
         if self.pieces + 2 * len(starts) > STORE_PIECES or self.filled > STORE_BYTES:
             self._clear()
         hashes = span_hashes(raw, starts, ends)
@@ -160,4 +187,4 @@ class PieceEncoder:
         if not len(total) or not total[-1]:
             return np.zeros(0, self.dtype), sizes
         index = np.repeat(self.at[rows] - (total - sizes), sizes) + np.arange(total[-1])
-        return self.ids[index], sizes
+        return self.flat[index], sizes
