@@ -32,9 +32,9 @@ LENGTH, PACKET, END_ID, SEED = 4096, 512, 2, "pack-1"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, ordinary: bool = False) -> DataFrame:
     """Index of record files with each row's queue."""
-    return write_tokens(docs.select("doc_id", "text", queue_key(F.col("source")).alias("queue")), tokenizer_file, end_id, "pack")
+    return write_tokens(docs.select("doc_id", "text", queue_key(F.col("source")).alias("queue")), tokenizer_file, end_id, "pack", ordinary)
 
 
 def schedule(index: DataFrame, length: int = LENGTH, packet: int = PACKET, shares: dict[str, float] | None = None) -> DataFrame:

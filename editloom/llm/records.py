@@ -72,9 +72,10 @@ def read_record(stream, where: str) -> bytes | None:
     return body[:size]
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, name: str) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, name: str, ordinary: bool = False) -> DataFrame:
     """Encode ``text`` of each row, append ``end_id``, write record files in the order of the partitions'
-    rows; the index, saved. Columns of ``docs`` other than doc_id and text are carried into the index."""
+    rows; the index, saved. Columns of ``docs`` other than doc_id and text are carried into the index.
+    ``ordinary``: strings of special tokens are encoded like other text, not as those tokens."""
     spark = docs.sparkSession
     ship(spark)
     folder = new_path(spark, name)
@@ -87,7 +88,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, name: str) -
         part = TaskContext.get().partitionId()
         file = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec"
         store, path = open_store(file)
-        encode, stream, at = encoder(tokenizer_file), None, 0
+        encode, stream, at = encoder(tokenizer_file, ordinary), None, 0
         for batch in batches:
             if stream is None:
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)

@@ -70,7 +70,7 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = min(to, n)
 
 
-def segments(raw: np.ndarray, most: int = SLICE_BYTES, gap: np.ndarray = IS_SPACE) -> Iterator[tuple[int, int]]:
+def segments(raw: np.ndarray, most: int = SLICE_BYTES, *, gap: np.ndarray = IS_SPACE) -> Iterator[tuple[int, int]]:
     """Cuts of one text, each at a byte of ``gap``, so that what is made of a part stays small whatever the
     text's length; a word longer than ``most`` is not cut."""
     at = 0

@@ -16,11 +16,12 @@ from editloom.llm.records import crc, read_files, write_tokens
 END_ID = 2
 
 
-def write_ordered(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
-    """The index of record files written in ascending doc_id order: a file a range of ids."""
+def write_ordered(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, ordinary: bool = False) -> DataFrame:
+    """The index of record files written in ascending doc_id order: a file a range of ids. ``ordinary``: strings of special
+    tokens are encoded like other text; else as those tokens, as the library does."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = narrow.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return write_tokens(ranged, tokenizer_file, end_id, "tokens")
+    return write_tokens(ranged, tokenizer_file, end_id, "tokens", ordinary)
 
 
 def read_back(index: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from editloom.llm import fingerprint, near_dedup, packing, records, token_output
 from editloom.llm.graph import components as graph_components
-from editloom.llm.tokens import tokenizer
 from tests.llm.helpers import components, corpus, empty_documents, frame, odd_documents, shingles
 
 BYTE, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -76,7 +76,7 @@ def test_fingerprints_against_a_plain_version(docs, texts):
 def test_token_files_hold_every_id_in_order(docs, texts):
     rows = sorted(token_output.read_back(token_output.write_ordered(docs, BYTE)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted(texts)
-    at, encode = 0, tokenizer(BYTE)
+    at, encode = 0, Tokenizer.from_file(BYTE)
     for r in rows:
         ids = np.array([*encode.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
@@ -95,7 +95,7 @@ def test_damaged_records_are_found(tmp_path):
 
 
 def check_pieces(rows, texts, length):
-    encode = tokenizer(WORDS)
+    encode = Tokenizer.from_file(WORDS)
     ids = {i: np.array([*encode.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
     whole = sum(map(len, ids.values()))
     for r in rows:
@@ -162,7 +162,7 @@ def test_words_that_collide_under_polynomial_hashes_stay_apart(spark, n):
     got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs, 85).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
     assert {r.doc_id: r.component_id for r in fingerprint.near_groups(docs, 85).collect()} == got
-    encode = tokenizer(BYTE)
+    encode = Tokenizer.from_file(BYTE)
     for r in token_output.read_back(token_output.write_ordered(docs, BYTE)).collect():
         assert r.ids_crc32 == zlib.crc32(np.array([*encode.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4").tobytes())
     check_pieces(packing.packed(docs, WORDS, 4096).collect(), texts, 4096)

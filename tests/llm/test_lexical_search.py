@@ -91,7 +91,7 @@ def test_long_texts_are_cut_between_terms():
     raw = b"".join(b"ab%d." % i for i in range(2000))
     import numpy as np
 
-    parts = list(segments(np.frombuffer(raw, np.uint8), 100, lexical_search.GAP))
+    parts = list(segments(np.frombuffer(raw, np.uint8), 100, gap=lexical_search.GAP))
     assert len(parts) > 50 and all(raw[b - 1 : b + 1].count(b".") or b == len(raw) for _, b in parts)
     known = pa.array([b"ab5", b"ab1999"], pa.large_binary())
     n, owner, number = lexical_search._numbered(FOLD[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), known)

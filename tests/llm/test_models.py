@@ -8,11 +8,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from editloom.llm import quality, queries, toxicity
 from editloom.llm.features import dense, word_marks
-from editloom.llm.tokens import tokenizer
 from tests.conftest import DATA
 from tests.llm.helpers import WORD, components, empty_documents, frame, odd_documents, plain_mix
 
@@ -212,7 +212,7 @@ def test_pipeline_stages_against_plain_versions(spark):
     texts = {}
     for i, t, _ in before:
         texts.setdefault(i, (t, []))[1].append(1)
-    encode = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {i: np.array([*encode.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, (t, _) in texts.items()}
     pieces = corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()
     got = {}

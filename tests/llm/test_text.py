@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from editloom.llm.text import Permutations, buffers, exact_sets, sets, slices, spans
 from editloom.llm.tokens import PieceEncoder
@@ -47,8 +50,8 @@ def test_signature_shares_estimate_jaccard():
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_encode_like_whole_texts(name):
-    encoder = PieceEncoder(public_tokenizers.path(name))
-    whole = lambda texts: [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    encoder, library = PieceEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    whole = lambda texts: [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode(pa.array(ODD))] == whole(ODD)
 
     @settings(max_examples=80, deadline=None)
@@ -59,6 +62,29 @@ def test_pieces_encode_like_whole_texts(name):
     check()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_that_compose_with_capitals_alone(name):
+    """Capitals whose composition with a mark differs from the small letter's, and 100,000 random texts of letters and marks."""
+    encoder, library = PieceEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    pairs = [f"{a}{b}{m}" for m in "\u0331\u0308\u030c\u030a\u0307\u0327\u0323\u0338" for a in ("", "the ", "x-") for b in "HTJWYhtjwyABEae<=>"]
+    draw = random.Random(5)
+    texts = pairs + ["".join(draw.choice("HTJWYhtjwy aE.,'-\u0331\u0308\u030c\u030aé\u212aß<>") for _ in range(draw.randrange(1, 12))) for _ in range(100_000)]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 10_000):
+        assert [x.tolist() for x in encoder.encode(pa.array(texts[at : at + 10_000]))] == want[at : at + 10_000]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_strings_of_added_tokens(name):
+    """Each one id, as the library has it, unless they are to be ordinary text."""
+    path = public_tokenizers.path(name)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|startoftext|><|endoftext|>x", "<|EndOfText|>", "no |endoftext| here", None, "x" * 5000 + "<|endoftext|>" * 3, "é <|startoftext|>", "<|endoftext"]
+    library = Tokenizer.from_file(path)
+    assert [x.tolist() for x in PieceEncoder(path).encode(pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    library.encode_special_tokens = True
+    assert [x.tolist() for x in PieceEncoder(path, ordinary=True).encode(pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
     from editloom.llm import tokens
 
