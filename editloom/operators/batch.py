@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.operators.stats import MUTATION, anova_parts, fdr_global
+from editloom.operators.stats import MUTATION, anova_test, fdr_global
 
 SIGNATURE = ["category", "indel_start", "indel_end", "indel_length", "mh_length", "inserted_bases"]
 
@@ -51,37 +51,36 @@ def drop_islands(pool: DataFrame, group: str, seeds: list[tuple[str, int, str]]
     return rows.withColumn("__hit", hit).where(~F.col("__hit")).drop("__island", "__hit")
 
 
-def indel_batch_effects(indels: DataFrame, conditions: DataFrame, alpha: float = 0.01, least: float = 0.005) -> tuple[DataFrame, DataFrame]:
-    """(tests, culprits). ANOVA of each indel's frequency across batches, where a condition that carries
-    any indel at the site but not this one counts as 0, and one that carries none is no observation. Zeros are
-    not written out: a batch's count is that of its conditions at the site, the rest comes from the rows there are."""
+def indel_anova(indels: DataFrame, conditions: DataFrame) -> DataFrame:
+    """ANOVA of each indel's frequency across batches, where a condition that carries any indel at the site but not this one counts
+    as 0, and one that carries none is no observation. Zeros are not written out: batches without the indel add nothing to
+    the sums, and the counts of batches and conditions are the site's. ``batches`` has the means of those with it.
+
+    Everything is by site, so that one shuffle by site serves all steps."""
+    by_site, rows = Window.partitionBy("site"), indels.repartition("site")
     share = F.col("count") / F.sum("count").over(Window.partitionBy("condition", "site"))
-    rows = indels.withColumn("frequency", share).where("category <> 'wildtype'").join(F.broadcast(conditions.select("condition", "batch")), "condition")
-    seen = rows.groupBy("site", "batch").agg(F.count_distinct("condition").alias("n"))
+    rows = rows.withColumn("frequency", share).where("category <> 'wildtype'").join(F.broadcast(conditions.select("condition", "batch")), "condition")
+    some = lambda c, *by: F.size(F.collect_set(c).over(Window.partitionBy("site", *by))).cast("long")  # noqa: E731  the design's conditions and batches
+    rows = rows.withColumns({"n": some("condition", "batch"), "k": some("batch"), "whole": F.size(F.collect_set("condition").over(by_site)).cast("long")})
+    keys = ["site", *SIGNATURE]
+    held = rows.groupBy(*keys, "batch", "n", "k", "whole").agg(F.count("*").alias("held"), F.avg("frequency").alias("mean"), F.var_pop("frequency").alias("var"), F.max("frequency").alias("top"))
+    m = F.col("mean") * F.col("held") / F.col("n")
+    ss = F.col("var") * F.col("held") + F.col("held") * F.pow(F.col("mean") - m, 2) + (F.col("n") - F.col("held")) * F.pow(m, 2)
+    sums = held.withColumns({"m": m, "ss": ss}).groupBy(*keys, "k", "whole").agg(
+        F.sum("ss").alias("within"), F.sum(F.col("n") * F.col("m")).alias("one"), F.sum(F.col("n") * F.pow("m", 2)).alias("two"), F.sum("m").alias("means"),
+        F.max(F.col("ss") > 0).alias("varies"), F.max((F.col("n") == 1) & (F.col("top") > 0)).alias("lone"), F.collect_list(F.struct("batch", "m")).alias("batches"),
+    )
+    sound = sums.where("k >= 2 and (varies or not lone)")
+    told = anova_test(sound, F.col("k"), F.col("whole"), F.col("within"), F.col("two") - F.pow("one", 2) / F.col("whole"))
+    return told.select(*keys, "f_stat", "df_between", "df_within", "p_value", (F.col("means") / F.col("k")).alias("mean_means"), "batches").where("p_value is not null")
+
+
+def indel_batch_effects(indels: DataFrame, conditions: DataFrame, alpha: float = 0.01, least: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    """(tests, culprits): ``indel_anova`` with the indels accepted over all sites, and the batches in which those are frequent."""
     keys = ["site", *SIGNATURE]
-    held = rows.groupBy(*keys, "batch").agg(F.count("*").alias("held"), F.avg("frequency").alias("mean"), F.var_pop("frequency").alias("var"), F.max("frequency").alias("top"))
-    grid = held.select(*keys).distinct().join(seen, "site")
-    full = _null_safe(grid, held, [*keys, "batch"], "left")
-    held_n, mean = F.coalesce("held", F.lit(0)), F.coalesce("mean", F.lit(0.0))
-    m = mean * held_n / F.col("n")
-    ss = F.coalesce("var", F.lit(0.0)) * held_n + held_n * F.pow(mean - m, 2) + (F.col("n") - held_n) * F.pow(m, 2)
-    batches = full.select(*keys, "batch", "n", m.alias("m"), ss.alias("ss"), F.coalesce("top", F.lit(0.0)).alias("top"))
-    lone = F.max((F.col("n") == 1) & (F.col("top") > 0))
-    shape = batches.groupBy(*keys).agg(F.count("*").alias("groups"), F.max(F.col("ss") > 0).alias("varies"), lone.alias("lone"), F.avg("m").alias("mean_means"))
-    sound = shape.where("groups >= 2 and (varies or not lone)")
-    tests = _null_safe(anova_parts(batches, keys).where("p_value is not null"), sound.select(*keys, "mean_means"), keys)
-    tests = fdr_global(tests, "p_value", keys, alpha)
-    found = _null_safe(batches.select(*keys, "batch", F.col("m").alias("batch_mean")), tests.where("accept").select(*keys, F.col("mean_means").alias("level")), keys)
-    return tests, found.where((F.col("batch_mean") >= F.col("level")) | (F.col("batch_mean") >= least)).drop("level")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join in which null keys match null keys; the left side's keys stay."""
-    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
+    tests = fdr_global(indel_anova(indels, conditions), "p_value", keys, alpha)
+    found = tests.where("accept").select(*keys, "mean_means", F.explode("batches").alias("b")).select(*keys, "b.batch", F.col("b.m").alias("batch_mean"), "mean_means")
+    return tests.drop("batches"), found.where((F.col("batch_mean") >= F.col("mean_means")) | (F.col("batch_mean") >= least)).drop("mean_means")
 
 
 def adjust_ratio(ratios: DataFrame, coefficients: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from editloom.operators.ranges import order_statistics
+
 NTS = ("A", "C", "G", "T")
 CELL = ["condition", "site", "idx"]
 
@@ -116,10 +118,9 @@ def pool_replicates(g4: DataFrame, groups: DataFrame, keys: list[str]) -> DataFr
 
 def median_background(freq: DataFrame, positions: tuple[int, int], value: str = "frequency") -> DataFrame:
     """The substitution's median over far positions taken off, nothing below 0."""
-    far = F.when(F.col("position").between(*positions), F.col(value))
     keys = ["condition", "ref_nt", "obs_nt"]
-    level = freq.groupBy(*keys).agg(F.percentile(far, 0.5).alias("background"))
-    return freq.join(level, keys).withColumn("adjusted", F.greatest(F.lit(0.0), F.col(value) - F.coalesce("background", F.lit(0.0))))
+    level = order_statistics(freq.where(F.col("position").between(*positions)), keys, value, {"background": 0.5})
+    return freq.join(level, keys, "left").withColumn("adjusted", F.greatest(F.lit(0.0), F.col(value) - F.coalesce("background", F.lit(0.0))))
 
 
 def substitution_shares(g4: DataFrame, edited_least: float = 1000, rows_least: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from editloom.functions.seq import left_shift, run_length, substr0
 from editloom.functions.special import binom_sf
 from editloom.operators.batch import SIGNATURE
+from editloom.operators.ranges import order_statistics
 
 SITE = ["condition", "site"]
 
@@ -122,6 +123,13 @@ def position_spectrum(h6: DataFrame) -> DataFrame:
     return rows.groupBy(*SITE, "position").agg(F.sum("frequency").alias("frequency"))
 
 
+def single_base_positions(h6: DataFrame) -> DataFrame:
+    """The frequency of one-base indels at every position of a condition that has any, of every site of it, zeros included."""
+    found = position_length(h6).where("abs(signed_length) = 1").groupBy(*SITE, "position").agg(F.sum("frequency").alias("frequency"))
+    grid = h6.select(*SITE).distinct().join(found.select("condition", "position").distinct(), "condition")
+    return grid.join(found, [*SITE, "position"], "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
+
+
 def position_length(h6: DataFrame, whole: bool = False) -> DataFrame:
     """Frequency by position and signed length; ``whole`` adds counts at the start position over all sites."""
     if whole:
@@ -173,4 +181,5 @@ def cas9_fraction(h6: DataFrame, edited: tuple[str, ...] = ("del", "ins", "del_n
 
 def mean_heatmap(h6: DataFrame) -> DataFrame:
     """Mean and median over sites of the frequency at each position and length."""
-    return position_length(h6).groupBy("condition", "position", "signed_length").agg(F.avg("frequency").alias("mean_frequency"), F.percentile("frequency", 0.5).alias("median_frequency"))
+    rows, keys = position_length(h6), ["condition", "position", "signed_length"]
+    return rows.groupBy(*keys).agg(F.avg("frequency").alias("mean_frequency")).join(order_statistics(rows, keys, "frequency", {"median_frequency": 0.5}), keys)

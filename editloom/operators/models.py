@@ -1,25 +1,19 @@
-"""Grouped regression and classification: features, closed-form ridge, MLlib learners, metrics, covariate model.
+"""Grouped regression: features, closed-form ridge, metrics. Learners of groups are in ``learners``, the covariate model in ``covariate``.
 
 Fits that the reference runs as one process a condition take a ``group`` column here. Gram sums are one
-aggregation over all groups, and each group's system is solved in a task. Learners of groups that fit a worker
-run there, many at once; MLlib's learners take one data set each and serve larger groups in turn.
+aggregation over all groups, and each group's system is solved in a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editloom.functions.special import hash_int
-from editloom.operators import trees
-from editloom.operators.stats import average_rank
-from editloom.sources.shared import new_folder, written
+from editloom.operators.ranges import value_counts
 
 NTS = ("A", "C", "G", "T")
-# The learners go to executors within the tasks, so that these need not have this package.
-cloudpickle.register_pickle_by_value(trees)
 
 
 def one_hot(text: Column, length: int, letters: str = "".join(NTS)) -> Column:
@@ -97,137 +91,14 @@ def two_way(df: DataFrame, value: str, factors: tuple[str, str], weight: str | N
     return df.sparkSession.createDataFrame(out, "factor string, level string, coefficient double")
 
 
-def vectors(df: DataFrame, features: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return df.withColumn("__features", array_to_vector(features))
-
-
-def learn(df: DataFrame, kind: str, features: str, target: str, where: str = "split = 'train'") -> DataFrame:
-    """All rows with ``predicted`` from a learner fitted on the rows of ``where``: gradient-boosted
-    regression or classification (100 trees of depth 3, step 0.1), ridge (alpha = 1) or logistic regression (L2, C = 1)."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
-
-    rows = vectors(df, features).withColumn("__y", F.col(target).cast("double"))
-    train = rows.where(where).where(F.col("__y").isNotNull())
-    common = {"featuresCol": "__features", "labelCol": "__y"}
-    trees = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 0}
-    if kind == "gbt_regressor":
-        return GBTRegressor(**common, **trees, predictionCol="predicted").fit(train).transform(rows).drop("__features", "__y")
-    if kind == "ridge":
-        n = train.count()
-        model = LinearRegression(**common, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, predictionCol="predicted")
-        return model.fit(train).transform(rows).drop("__features", "__y")
-    if kind == "logistic":
-        n = train.count()
-        model = LogisticRegression(**common, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
-    else:
-        model = GBTClassifier(**common, **trees)
-    scored = model.fit(train).transform(rows)
-    return scored.withColumn("predicted", vector_to_array("probability")[1]).drop("__features", "__y", "rawPrediction", "probability", "prediction")
-
-
-#: Rows of a group beyond which MLlib fits it: 80 features of as many rows take about 200 MB in a worker.
-FIT_ROWS = 300_000
-
-
-def learn_groups(df: DataFrame, by: list[str], kind: str, context: str, target: str, row_order: list[str], fit_rows: int = FIT_ROWS, letters: str = "".join(NTS)) -> DataFrame:
-    """All rows with ``predicted``, from one learner a group of ``by`` fitted on its rows of split 'train'. Features
-    are 0/1 of ``context`` (in ``letters``), of one length within a group. Nothing is predicted in a group without training rows.
-    ``kind``: ridge, logistic, gbt_regressor or gbt_classifier."""
-    import pandas as pd
-
-    rows = df.where(F.col(target).isNotNull())
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        # Sorted rows: sums do not depend on how they were partitioned.
-        group = group.sort_values(row_order, ignore_index=True)
-        train = (group["split"] == "train").to_numpy()
-        if not train.any():
-            return group.assign(predicted=None)
-        x, y = trees.encoded(group[context], letters), group[target].to_numpy(dtype=float)
-        if kind in ("ridge", "logistic"):
-            return group.assign(predicted=(trees.ridge if kind == "ridge" else trees.logistic)(x, y, train))
-        return group.assign(predicted=trees.boosted(x, y, train, kind == "gbt_classifier"))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", predicted double"
-    large = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.length(context)).alias("length")).where(F.col("n") > fit_rows).collect()  # at most rows / fit_rows
-    if not large:
-        return rows.groupBy(*by).applyInPandas(fit, schema)
-    out = rows.join(F.broadcast(df.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in large], ", ".join(f"{c} string" for c in by))), by, "left_anti").groupBy(*by).applyInPandas(fit, schema)
-    for r in large:
-        group = rows.where(F.forall(F.array(*[F.col(c) == r[c] for c in by]), lambda same: same)).withColumn("__x", one_hot(F.col(context), r.length, letters))
-        out = out.unionByName(learn(group, kind, "__x", target).drop("__x"))
-    return out
-
-
 def classification_metrics(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the curve (average ranks), average precision, cross-entropy."""
-    y = F.col(label).cast("double")
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__rank", average_rank(score, by)).withColumn("__y", y)
-    rows = rows.withColumns({"__hits": F.sum("__y").over(down), "__seen": F.count("*").over(down)})
+    """Area under the curve (average ranks), average precision, cross-entropy, all from the counts of each score."""
+    counts = value_counts(df, by, score, label)
     p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
-    sums = rows.groupBy(*by).agg(
-        F.sum("__y").alias("n1"), F.sum(1 - F.col("__y")).alias("n0"), F.sum(F.col("__y") * F.col("__rank")).alias("r1"),
-        F.sum(F.col("__y") * F.col("__hits") / F.col("__seen")).alias("ap"), (-F.avg(F.col("__y") * F.ln(p) + (1 - F.col("__y")) * F.ln(1 - p))).alias("cross_entropy"),
+    ones, n = F.col("ones"), F.col("n")
+    hits, seen = F.col("ones_before_all") - F.col("ones_before"), F.col("before_all") - F.col("before")  # at this score and above
+    sums = counts.groupBy(*by).agg(
+        F.sum(ones).alias("n1"), F.sum(n - ones).alias("n0"), F.sum(ones * (F.col("before") + (n + 1) / 2.0)).alias("r1"),
+        F.sum(ones * hits / seen).alias("ap"), (-F.sum(ones * F.ln(p) + (n - ones) * F.ln(1 - p)) / F.sum(n)).alias("cross_entropy"),
     )
     return sums.select(*by, F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"), F.try_divide(F.col("ap"), F.col("n1")).alias("average_precision"), "cross_entropy")
-
-
-#: Beyond this many cells (condition, editor and batch with a mutation) a step is a Spark job, not a pass in one worker.
-FIT_CELLS = 1_000_000
-
-
-def covariate_model(y: DataFrame, steps: int = 1200, step_size: float = 0.1, folder: str | None = None, fit_cells: int = FIT_CELLS) -> DataFrame:
-    """Mean activity as a_condition**2 * e_editor,mutation**2 + b_batch,mutation**2 + g**2, fitted by full-batch
-    Adam on squared error. ``y``: condition, editor, batch, mutation, value. Rows out: kind, key, value.
-
-    Rows of one cell share all four parameters, so their count and mean give the whole gradient: the data is first
-    summed by cell. Up to ``fit_cells`` cells all steps run in one worker. Beyond, parameters are one table of (kind,
-    key): a step joins the cells with each kind, sums gradients by key with map-side combining, moves the parameters
-    in a projection and writes them to the shared folder, since it reads them five times; a lost executor costs no
-    earlier step. Both take the same steps from the same hash-drawn start in [0, 1); the step size shrinks by 0.9995 a
-    step, down to 0.001."""
-    spark = y.sparkSession
-    kinds = {"a": F.col("condition"), "e": F.concat_ws("|", "editor", "mutation"), "b": F.concat_ws("|", "batch", "mutation"), "g": F.lit("all")}
-    folder = folder or new_folder(spark, "covariate")
-    data = y.where(F.col("value").isNotNull()).select("value", *[k.alias(f"key_{n}") for n, k in kinds.items()])
-    data = written(data.groupBy(*[f"key_{n}" for n in kinds]).agg(F.count("*").alias("n"), F.avg("value").alias("value")), f"{folder}/cells")
-    cells, rows = data.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = [data.select(F.lit(n).alias("kind"), F.col(f"key_{n}").alias("key")).distinct() for n in kinds]
-    keys = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    params = keys.select("kind", "key", (hash_int(F.concat_ws("|", "kind", "key")) / F.lit(2.0**32)).alias("p"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
-    sizes = _step_sizes(steps, step_size)
-    if cells <= fit_cells:
-        full = data
-        for n in kinds:
-            full = full.withColumn(n, hash_int(F.concat_ws("|", F.lit(n), F.col(f"key_{n}"))) / F.lit(2.0**32))
-        names = list(kinds)
-        return full.coalesce(1).mapInPandas(lambda frames: trees.fit_cells(frames, names, sizes), "kind string, key string, value double")
-    params = written(params, f"{folder}/step-0")
-    for step, size in enumerate(sizes, 1):
-        full = data
-        for n in kinds:
-            full = full.join(params.where(F.col("kind") == n).select(F.col("key").alias(f"key_{n}"), F.col("p").alias(n)), f"key_{n}")
-        error = 2.0 * F.col("n") * (F.pow("a", 2) * F.pow("e", 2) + F.pow("b", 2) + F.pow("g", 2) - F.col("value")) / rows
-        slopes = {"a": 2 * F.col("a") * F.pow("e", 2), "e": 2 * F.col("e") * F.pow("a", 2), "b": 2 * F.col("b"), "g": 2 * F.col("g")}
-        each = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(f"key_{n}").alias("key"), (error * s).alias("g")) for n, s in slopes.items()])
-        slope = full.select(F.explode(each).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.key").alias("key")).agg(F.sum("s.g").alias("slope"))
-        params = (
-            params.join(slope, ["kind", "key"])
-            .select("kind", "key", "p", (0.9 * F.col("m") + 0.1 * F.col("slope")).alias("m"), (0.999 * F.col("v") + 0.001 * F.pow("slope", 2)).alias("v"))
-            .withColumn("p", F.col("p") - size * F.col("m") / (1 - 0.9**step) / (F.sqrt(F.col("v") / (1 - 0.999**step)) + 1e-8))
-        )
-        params = written(params, f"{folder}/step-{step}")
-    return params.select("kind", "key", F.col("p").alias("value"))
-
-
-def _step_sizes(steps: int, size: float) -> list[float]:
-    sizes = []
-    for _ in range(steps):
-        size = size * 0.9995 if size > 0.001 else size
-        sizes.append(size)
-    return sizes

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from editloom.functions.special import binom_cdf, binom_minus_binom, binom_sf, f_sf, hash_int, normal_two_sided, pearson, t_two_sided
 from editloom.operators.counts import paired
+from editloom.operators.ranges import value_counts, with_average_rank
 from editloom.sources.shared import new_folder, written
 
 MUTATION = ["position", "ref_nt", "obs_nt"]
@@ -85,10 +86,15 @@ def anova_parts(parts: DataFrame, by: list[str]) -> DataFrame:
     sums = parts.groupBy(*by).agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("ss").alias("within"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), 2) / F.sum("n")).alias("between")
     )
-    rows = sums.withColumn("df_between", F.col("k") - 1).withColumn("df_within", F.col("n") - F.col("k"))
-    ratio = F.try_divide(F.try_divide(F.greatest(F.col("between"), F.lit(0.0)), F.col("df_between")), F.try_divide(F.col("within"), F.col("df_within")))
+    return anova_test(sums, F.col("k"), F.col("n"), F.col("within"), F.col("between")).select(*by, "f_stat", "df_between", "df_within", "p_value")
+
+
+def anova_test(df: DataFrame, k: Column, n: Column, within: Column, between: Column) -> DataFrame:
+    """``df`` with F, degrees of freedom and p from k groups of n rows and their sums of squares."""
+    rows = df.withColumn("df_between", k - 1).withColumn("df_within", n - k)
+    ratio = F.try_divide(F.try_divide(F.greatest(between, F.lit(0.0)), F.col("df_between")), F.try_divide(within, F.col("df_within")))
     rows = rows.withColumn("f_stat", F.when((F.col("df_between") > 0) & (F.col("df_within") > 0), ratio))
-    return rows.withColumn("p_value", f_sf(F.col("f_stat"), F.col("df_between").cast("double"), F.col("df_within").cast("double"))).select(*by, "f_stat", "df_between", "df_within", "p_value")
+    return rows.withColumn("p_value", f_sf(F.col("f_stat"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
 
 
 def bonferroni(df: DataFrame, p: str = "p_value", alpha: float = 0.005) -> DataFrame:
@@ -116,35 +122,29 @@ def rank_aggregation(df: DataFrame, value: str, keys: list[str], condition: str
 
 def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson with its two-sided p, Spearman over average ranks, and R2 of y predicted by x."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    rows = written(rows, new_folder(df.sparkSession, "correlation"))
     for c in (x, y):
-        rows = rows.withColumn(f"__r_{c}", average_rank(c, by))
-    rows = rows.withColumn("__mean", F.avg(y).over(Window.partitionBy(*by)))
+        rows = with_average_rank(rows, by, c, f"__r_{c}")
     out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), pearson(x, y).alias("pearson"), pearson(f"__r_{x}", f"__r_{y}").alias("spearman"),
-        (1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(x), 2)), F.sum(F.pow(F.col(y) - F.col("__mean"), 2)))).alias("r2"),
+        (1 - F.try_divide(F.sum(F.pow(F.col(y) - F.col(x), 2)), F.var_pop(y) * F.count("*"))).alias("r2"),
     )
     r, n = F.col("pearson"), F.col("n").cast("double")
     return out.withColumn("p_value", F.when((n > 2) & (F.abs(r) < 1), t_two_sided(r * F.sqrt((n - 2) / (1 - r * r)), n - 2)))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1; ties share their mean."""
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
-
-
 def mann_whitney(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
-    """U of label 1 against 0, two-sided by the tie-corrected normal approximation."""
-    rows = df.withColumn("__rank", average_rank(value, by)).withColumn("__ties", F.count("*").over(Window.partitionBy(*by, value)))
-    one = F.col(label) == 1
-    sums = rows.groupBy(*by).agg(
-        F.sum(F.when(one, 1).otherwise(0)).alias("n1"), F.sum(F.when(one, 0).otherwise(1)).alias("n0"), F.sum(F.when(one, F.col("__rank")).otherwise(0.0)).alias("r1"),
-        F.sum(F.pow(F.col("__ties"), 2) - 1).alias("tied"),
+    """U of label 1 against 0, two-sided by the tie-corrected normal approximation, from counts by value."""
+    counts = value_counts(df, by, value, label)
+    ones = F.col("ones")
+    sums = counts.groupBy(*by).agg(
+        F.sum("ones").alias("n1"), F.sum(F.col("n") - ones).alias("n0"), F.sum(ones * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("r1"),
+        F.sum(F.col("n") * (F.pow("n", F.lit(2)) - 1)).alias("tied"),
     )
     n = (F.col("n1") + F.col("n0")).cast("double")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.col("tied") / (n * (n - 1))))
+    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.try_divide(F.col("tied"), n * (n - 1))))
     return sums.select(*by, "n1", "n0", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n0") / 2.0, spread).alias("z")).withColumn("p_value", normal_two_sided(F.col("z")))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions.seq import core_count
+from editloom.operators.ranges import order_statistics
+
+QUARTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
 
 def edit_indel_ratio(edits: DataFrame, indels: DataFrame) -> DataFrame:
@@ -27,18 +30,17 @@ def ratio_summary(ratios: DataFrame, value: str, by: list[str], pseudo: float =
     x = F.col(value) + pseudo
     rows = ratios.where(x > 0).withColumn("__x", x)
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.exp(F.avg(F.ln("__x"))).alias("gmean"), F.exp(F.stddev_pop(F.ln("__x"))).alias("gstd"), F.percentile("__x", 0.5).alias("median"),
-        F.percentile("__x", 0.25).alias("p25"), F.percentile("__x", 0.75).alias("p75"),
-    )
+        F.count("*").alias("n"), F.exp(F.avg(F.ln("__x"))).alias("gmean"), F.exp(F.stddev_pop(F.ln("__x"))).alias("gstd")
+    ).join(order_statistics(rows, by, "__x", QUARTILES), by)
 
 
 def efficiency(ratios: DataFrame, depth: float = 100) -> DataFrame:
     """Editing efficiency of a condition over its sites."""
     x = "base_edit_freq"
-    return ratios.groupBy("condition").agg(
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"),
-        F.sum(F.when(F.col("total_indel") >= depth, 1).otherwise(0)).alias("deep_sites"), F.sum("total_indel").alias("total_reads"),
-    )
+    sums = ratios.groupBy("condition").agg(
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.sum(F.when(F.col("total_indel") >= depth, 1).otherwise(0)).alias("deep_sites"), F.sum("total_indel").alias("total_reads")
+    )
+    return sums.join(order_statistics(ratios, ["condition"], x, QUARTILES), "condition", "left")
 
 
 def replicate_pairs(conditions: DataFrame) -> DataFrame:

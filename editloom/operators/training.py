@@ -55,7 +55,7 @@ def training_rows(freq: DataFrame, sites: DataFrame, kinds: DataFrame, drivers:
     table = freq.sparkSession.createDataFrame(rows, "driver string, kind string, class string, substitution string, first int, last int, radius int")
     members = F.broadcast(kinds.select("condition", "kind").join(F.broadcast(table), "kind"))
     cells = freq.withColumn("substitution", F.concat_ws("_", "ref_nt", "obs_nt")).join(members, ["condition", "substitution"])
-    cells = cells.where(F.col("position").between(F.col("first"), F.col("last"))).join(F.broadcast(sites.select("site", "seq")), "site")
+    cells = cells.where(F.col("position").between(F.col("first"), F.col("last"))).join(sites.select("site", "seq"), "site")
     cells = cells.withColumn("context", seq.context(F.col("seq"), F.col("idx"), F.col("radius"))).where("context is not null")
     return cells.groupBy("driver", "class", "condition", "site", "position", "context").agg(F.sum("frequency").alias("frequency"))
 

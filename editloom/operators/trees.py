@@ -1,5 +1,4 @@
-"""Learners of one group's rows in one worker: gradient boosting on 0/1 features, ridge and logistic regression, and the
-steps of the covariate model."""
+"""What is learned in one worker: gradient boosting of a group's cells on 0/1 features, and the steps of the covariate model."""
 
 from __future__ import annotations
 
@@ -10,88 +9,55 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def boosted(x: np.ndarray, y: np.ndarray, train: np.ndarray, classify: bool, trees: int = 100, depth: int = 3, step: float = 0.1) -> np.ndarray:
-    """Scores of all rows, fitted on those of ``train``: squared error or log loss, splits by Friedman's gain,
-    the first feature among equals, leaves the mean residual or one Newton step."""
-    xt, yt = x[train], y[train]
-    mean = yt.mean()
+def boosted(x: np.ndarray, n: np.ndarray, y: np.ndarray, classify: bool, count: int = 100, depth: int = 3, step: float = 0.1) -> np.ndarray:
+    """Scores of all cells, fitted on the ``n`` training rows and their sum ``y`` of targets of each: squared error or log
+    loss, splits by Friedman's gain, the first feature among those within a billionth of the best, leaves the mean
+    residual or one Newton step."""
+    mean = y.sum() / n.sum()
     if classify and mean in (0, 1):
         return np.full(len(x), mean)
     score = np.full(len(x), np.log(mean / (1 - mean)) if classify else mean)
-    for _ in range(trees):
-        p = sigmoid(score[train]) if classify else score[train]
-        residual = yt - p
+    for _ in range(count):
+        p = sigmoid(score) if classify else score
+        residual = y - n * p
         node = np.zeros(len(x), dtype=int)
         for level in range(depth):
-            member = node[train][:, None] == np.arange(2**level)
-            n, total = member.sum(0), residual @ member
-            n1, s1 = xt.T @ member, xt.T @ (member * residual[:, None])
-            n0, s0 = n - n1, total - s1
+            member = node[:, None] == np.arange(2**level)
+            all_n, all_s = n @ member, residual @ member
+            n1, s1 = x.T @ (member * n[:, None]), x.T @ (member * residual[:, None])
+            n0, s0 = all_n - n1, all_s - s1
             split = (n1 > 0) & (n0 > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(split, n1 * n0 / n * (s1 / n1 - s0 / n0) ** 2, 0.0)
-            best, most = gain.argmax(0), gain.max(0)
+                gain = np.where(split, n1 * n0 / all_n * (s1 / n1 - s0 / n0) ** 2, 0.0)
+            most = gain.max(0)
+            best = (gain >= most * (1 - 1e-9)).argmax(0)
             node = 2 * node + np.where(most[node] > 1e-15, x[np.arange(len(x)), best[node]], 0).astype(int)
-        top = np.bincount(node[train], residual, 2**depth)
-        base = np.bincount(node[train], p * (1 - p) if classify else None, 2**depth)
+        top = np.bincount(node, residual, 2**depth)
+        base = np.bincount(node, n * p * (1 - p) if classify else n, 2**depth)
         score = score + step * np.divide(top, base, out=np.zeros_like(top), where=base > 1e-150)[node]
     return sigmoid(score) if classify else score
 
 
-def logistic(x: np.ndarray, y: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Chances of all rows, fitted on those of ``train`` with L2 (C = 1) but for the constant, by damped Newton steps."""
-    xt, yt = np.column_stack([x[train], np.ones(train.sum())]), y[train]
-    if yt.mean() in (0, 1):
-        return np.full(len(x), yt.mean())
-    penalty = np.array([1.0] * x.shape[1] + [0.0])
-    w = np.zeros(len(penalty))
-    loss = lambda w: np.logaddexp(0, xt @ w).sum() - yt @ (xt @ w) + penalty @ w**2 / 2
-    for _ in range(100):
-        p = sigmoid(xt @ w)
-        slope = xt.T @ (p - yt) + penalty * w
-        if np.abs(slope).max() < 1e-8:
-            break
-        move, size = np.linalg.solve(xt.T @ (xt * (p * (1 - p))[:, None]) + np.diag(penalty), slope), 1.0
-        while size > 1e-10 and loss(w - size * move) > loss(w):
-            size /= 2
-        w = w - size * move
-    return sigmoid(np.column_stack([x, np.ones(len(x))]) @ w)
-
-
-def ridge(x: np.ndarray, y: np.ndarray, train: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """L3: predictions of all rows, fitted on those of ``train`` with L2 but for the constant."""
-    xt, yt = x[train], y[train]
-    mean = xt.mean(0)
-    z = xt - mean
-    w = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (yt - yt.mean()))
-    return (x - mean) @ w + yt.mean()
-
-
 def encoded(texts, letters: str = "ACGT") -> np.ndarray:
     """0/1 for each place and letter of texts of one length."""
     codes = np.array([list(t.encode()) for t in texts], dtype=np.uint8)
     return (codes[:, :, None] == np.frombuffer(letters.encode(), dtype=np.uint8)).reshape(len(codes), -1).astype(float)
 
 
-def fit_cells(frames, kinds: list[str], sizes: list[float]):
-    """All Adam steps over cells (key, start and sums of each kind), in one worker."""
+def cell_steps(cells, state, kinds: list[str], before: int, sizes: list[float]):
+    """The state (seed, kind, key, p, m, v) after Adam steps over cells (keys, n and value), ``before`` of which were taken earlier."""
     import pandas as pd
 
-    found = [f for f in frames if len(f)]
-    if not found:
-        return
-    # Sorted cells: sums, and so rows out, do not depend on how they were partitioned.
-    cells = pd.concat(found).sort_values([f"key_{k}" for k in kinds], ignore_index=True)
-    del found
-    at, names, p = {}, {}, {}
+    # In an order of their own: sums, and so rows out, do not depend on how the cells were partitioned.
+    cells = cells.sort_values([f"key_{k}" for k in kinds], ignore_index=True)
+    at, names, p, m, v = {}, {}, {}, {}, {}
     for k in kinds:
-        at[k], names[k] = pd.factorize(cells[f"key_{k}"])
-        p[k] = np.zeros(len(names[k]))
-        p[k][at[k]] = cells[k]
+        own = state[state["kind"] == k].set_index("key").sort_index()
+        names[k] = own.index
+        at[k] = own.index.get_indexer(cells[f"key_{k}"])
+        p[k], m[k], v[k] = (own[c].to_numpy() for c in ("p", "m", "v"))
     value, n = cells["value"].to_numpy(), cells["n"].to_numpy(dtype=float)
-    del cells
-    m, v = {k: np.zeros(len(x)) for k, x in p.items()}, {k: np.zeros(len(x)) for k, x in p.items()}
-    for step, size in enumerate(sizes, 1):
+    for step, size in enumerate(sizes, before + 1):
         a, e, b, g = (p[k][at[k]] for k in kinds)
         error = 2.0 * n * (a**2 * e**2 + b**2 + g**2 - value) / n.sum()
         for k, s in zip(kinds, (2 * a * e**2, 2 * e * a**2, 2 * b, 2 * g)):
@@ -99,5 +65,5 @@ def fit_cells(frames, kinds: list[str], sizes: list[float]):
             m[k] = 0.9 * m[k] + 0.1 * slope
             v[k] = 0.999 * v[k] + 0.001 * slope**2
             p[k] = p[k] - size * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    for k in kinds:
-        yield pd.DataFrame({"kind": k, "key": names[k], "value": p[k]})
+    seed = state["seed"].iloc[0]
+    return pd.concat([pd.DataFrame({"seed": seed, "kind": k, "key": names[k], "p": p[k], "m": m[k], "v": v[k]}) for k in kinds])

@@ -70,7 +70,7 @@ def l10_outcome_fractions(s: Source) -> DataFrame:
 def windows(s: Source) -> DataFrame:
     """Sites with their 30-base window, edited fraction, ratio and split."""
     sites = s.v_site.select("site", seq.window30(F.col("seq"), F.col("pos0_idx")).alias("window"))
-    return ratios(s).join(F.broadcast(sites), "site").withColumn("split", models.split(F.concat_ws("_", "condition", "site")))
+    return ratios(s).join(sites, "site").withColumn("split", models.split(F.concat_ws("_", "condition", "site")))
 
 
 @query("l10_windows", oracle(f"""

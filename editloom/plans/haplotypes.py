@@ -115,7 +115,7 @@ def f10_noisy(s: Source) -> DataFrame:
 SELECT condition, site, hap, sum(count) AS count FROM (
   SELECT read_id, condition, site, string_agg(key || '=' || CASE WHEN (site % 4 = 1 AND key = 'C6' AND obs_nt = 'T') OR (site % 4 = 2 AND key = 'A5' AND obs_nt = 'G') THEN '.' ELSE obs_nt END, ',' ORDER BY pos) AS hap, max(count) AS count FROM h0 GROUP BY ALL) x GROUP BY ALL""", "v_g5_long", ctes=LONG))
 def f11_mask(s: Source) -> DataFrame:
-    base = s.v_cond.select("condition").join(F.broadcast(s.v_site.select("site")))
+    base = s.v_site.select("site").join(F.broadcast(s.v_cond.select("condition")))
     rules = base.where("site % 4 = 1").select("condition", "site", F.lit("C6").alias("key"), F.lit("T").alias("obs_nt")).unionByName(
         base.where("site % 4 = 2").select("condition", "site", F.lit("A5").alias("key"), F.lit("G").alias("obs_nt"))
     )

@@ -79,23 +79,40 @@ tests AS (SELECT site, {SIG}, count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(ss
 SELECT site, {SIG}, round(greatest(b, 0.0) / (k - 1) / (w / (n - k)), 3) AS f_stat, k - 1 AS df_between, n - k AS df_within, round(mean_means, 6) AS mean_means
 FROM tests WHERE k >= 2 AND n > k AND w > 0 AND (varies OR NOT lone)""", "v_h6", "v_cond", ctes=T9))
 def t9_indel_anova(s: Source) -> DataFrame:
-    tests, _ = batch.indel_batch_effects(sides(s)[0], s.v_cond)
-    found = tests.select("site", *SIGNATURE, "f_stat", "df_between", "df_within", "mean_means")
+    found = batch.indel_anova(sides(s)[0], s.v_cond).select("site", *SIGNATURE, "f_stat", "df_between", "df_within", "mean_means")
     return rounded(found.withColumn("f_stat", F.round("f_stat", 3)))
 
 
-@query("t9_culprits", oracle(f"""
+def culprits(alpha: float) -> str:
+    return f"""
 , scored AS (SELECT *, k - 1 AS d1, n - k AS d2, greatest(b, 0.0) / (k - 1) / (w / (n - k)) AS f FROM tests WHERE k >= 2 AND n > k AND w > 0 AND (varies OR NOT lone)),
 tailed AS (SELECT *, {f_tail("f", "d1", "d2")} AS p FROM scored),
-placed AS (SELECT *, p <= row_number() OVER (ORDER BY p, site, {NULLS}) / CAST(count(*) OVER () AS DOUBLE) * 1.5 AS accept FROM tailed WHERE p <= 0.995)
+placed AS (SELECT *, p <= row_number() OVER (ORDER BY p, site, {NULLS}) / CAST(count(*) OVER () AS DOUBLE) * {alpha} AS accept FROM tailed WHERE p <= 0.995)
 SELECT {", ".join(f"bt.{c}" for c in ["site", *SIGNATURE])}, batch, round(m, 6) AS batch_mean FROM bt JOIN placed ON bt.site = placed.site AND {" AND ".join(f"bt.{c} IS NOT DISTINCT FROM placed.{c}" for c in SIGNATURE)}
-WHERE accept AND (m >= mean_means OR m >= 0.005)""", "v_h6", "v_cond", ctes=T9).replace("\n\n, scored", ",\nscored"))
+WHERE accept AND (m >= mean_means OR m >= 0.005)"""
+
+
+@query("t9_culprits", oracle(culprits(1.5), "v_h6", "v_cond", ctes=T9).replace("\n\n, scored", ",\nscored"))
 def t9_culprits(s: Source) -> DataFrame:
     """Batches that carry an indel more than others. The tables hold no batch effects: at the reference's level of
     0.01 nothing is accepted, so that of this query, 1.5, lets through what lies below the ranks of chance."""
     return rounded(batch.indel_batch_effects(sides(s)[0], s.v_cond, alpha=1.5)[1])
 
 
+PLANTED = T9.replace(SIDES, f"""real AS (SELECT condition, site, {SIG}, count FROM v_h6 WHERE role = 'T'),
+t AS (SELECT * FROM real UNION ALL SELECT condition, site, 'ins', 7, 8, 1, 0, 'T', sum(count) * (0.4 + 0.01 * k) FROM real JOIN v_cond USING (condition) WHERE batch = 'b1' AND site % 7 = 0 GROUP BY condition, site, k)""")
+
+
+@query("t9_planted", oracle(culprits(0.01), "v_h6", "v_cond", ctes=PLANTED).replace("\n\n, scored", ",\nscored"))
+def t9_planted(s: Source) -> DataFrame:
+    """Batches that carry an indel more than others, at the reference's level: one batch has an insertion of its own at every
+    seventh site, as much as two fifths of the site's reads."""
+    t = sides(s)[0]
+    depth = t.where("site % 7 = 0").groupBy("condition", "site").agg(F.sum("count").alias("depth")).join(F.broadcast(s.v_cond.where("batch = 'b1'").select("condition", "k")), "condition")
+    own = depth.select("condition", "site", F.lit("ins").alias("category"), F.lit(7).alias("indel_start"), F.lit(8).alias("indel_end"), F.lit(1).alias("indel_length"), F.lit(0).alias("mh_length"), F.lit("T").alias("inserted_bases"), (F.col("depth") * (0.4 + 0.01 * F.col("k"))).alias("count"))
+    return rounded(batch.indel_batch_effects(t.unionByName(own), s.v_cond, alpha=0.01)[1])
+
+
 @query("a6_indel_summary", oracle("""
 SELECT *, round(indel_count / total_count, 6) AS indel_freq, round(del_count / total_count, 6) AS del_freq, round(ins_count / total_count, 6) AS ins_freq, round(wildtype_count / total_count, 6) AS wildtype_freq FROM (
   SELECT condition, site, sum(count) AS total_count, sum(CASE WHEN category <> 'wildtype' THEN count ELSE 0.0 END) AS indel_count, sum(CASE WHEN category = 'del' THEN count ELSE 0.0 END) AS del_count,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions import seq
-from editloom.operators import counts, models, stats
+from editloom.operators import counts, covariate, learners, models, stats
+from editloom.plans import drivers as dq
 from editloom.plans import positions as pq
 from editloom.plans.registry import query, rounded
 from editloom.plans.summaries import HASH
@@ -22,7 +23,7 @@ data AS (SELECT f.condition, f.site, CAST(f.idx AS INT) AS idx, f.count / f.tota
 def data(s: Source) -> DataFrame:
     """Frequency of C to T with its local context and split, one row a condition, site and position."""
     freq = counts.frequencies(pq.dense(s), depth=100).where("ref_nt = 'C' and obs_nt = 'T'")
-    rows = freq.join(F.broadcast(s.v_site.select("site", "seq")), "site").withColumn("context", seq.context(F.col("seq"), F.col("idx"), RADIUS)).where("context is not null")
+    rows = freq.join(s.v_site.select("site", "seq"), "site").withColumn("context", seq.context(F.col("seq"), F.col("idx"), RADIUS)).where("context is not null")
     name = F.concat_ws("_", "condition", "site", "idx")
     return rows.select("condition", "site", F.col("idx").cast("int").alias("idx"), "frequency", "context", models.split(name).alias("split"), models.one_hot(F.col("context"), 2 * RADIUS).alias("features"))
 
@@ -48,8 +49,6 @@ def a30_split_sizes(s: Source) -> DataFrame:
 SELECT condition, site, idx, CAST(frequency > 0 AS INT) AS label, round(CASE WHEN frequency > 0 AND frequency < 1 THEN ln(frequency / (1 - frequency)) END, 6) AS logit,
   round((frequency - avg(frequency) OVER w) / nullif(stddev_pop(frequency) OVER w, 0), 5) AS z FROM data WINDOW w AS (PARTITION BY condition, idx)""", "v_g4", ctes=DATA))
 def l9_targets(s: Source) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("condition", "idx")
     z = F.try_divide(F.col("frequency") - F.avg("frequency").over(w), F.stddev_pop("frequency").over(w))
     out = data(s).select("condition", "site", "idx", (F.col("frequency") > 0).cast("int").alias("label"), seq.logit(F.col("frequency")).alias("logit"), F.round(z, 5).alias("z"))
@@ -81,14 +80,64 @@ def l3_residuals(s: Source) -> DataFrame:
 GROUP = ["driver", "class", "condition"]
 
 
+def training_sets(s: Source) -> DataFrame:
+    """Rows of all drivers' training sets with split, label and logit."""
+    name = F.concat_ws("_", "condition", "site", "position", "class")
+    return dq.rows(s).withColumn("split", models.split(name)).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
+
+
 def fitted(s: Source, kind: str) -> DataFrame:
     """Rows of all drivers' training sets with predictions, one fit a driver, class and condition: regressors take the
     logit of frequencies between 0 and 1, classifiers tell those above 0."""
-    from editloom.plans.drivers import rows
-
-    name = F.concat_ws("_", "condition", "site", "position", "class")
-    sets = rows(s).withColumn("split", models.split(name)).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
-    return models.learn_groups(sets, GROUP, kind, "context", "logit" if kind in ("ridge", "gbt_regressor") else "label", ["site", "position"])
+    return learners.learn_groups(training_sets(s), GROUP, kind, "context", "logit" if kind in ("ridge", "gbt_regressor") else "label")
+
+
+#: The rows of ``training_sets``, those with a target alone.
+SETS = pq.DENSE + f""",
+driver AS (SELECT * FROM (VALUES {dq.PARAMETERS}) AS x(driver, kind, class, substitution, first, last, radius)),
+cell AS (SELECT driver, class, f.condition, f.site, position, substr(seq, CAST(idx - radius + 1 AS INT), radius) || substr(seq, CAST(idx + 2 AS INT), radius) AS context, sum(count / total) AS frequency
+  FROM freq f JOIN v_cond v ON f.condition = v.condition JOIN driver d ON d.kind = {dq.KIND} AND d.substitution = ref_nt || '_' || obs_nt AND f.position BETWEEN first AND last
+  JOIN v_site ON f.site = v_site.site WHERE idx >= radius AND idx + radius < length(seq) GROUP BY ALL),
+train AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM cell WHERE """ + HASH.format(x="'0|' || condition || '_' || site || '_' || position || '_' || class") + """ % 4 < 3)"""
+
+
+@query("l5_residuals", oracle("""
+, mixed AS (SELECT driver, class, condition FROM train GROUP BY ALL HAVING min(frequency) <= 0 AND max(frequency) > 0)
+SELECT driver, class, condition, feature, 0.0 AS residual FROM mixed JOIN (
+  SELECT DISTINCT driver, class, condition, CAST(i AS VARCHAR) || substr(context, CAST(i + 1 AS INT), 1) AS feature FROM train, (SELECT unnest(range(0, 20)) AS i) x WHERE i < length(context)) f USING (driver, class, condition)
+UNION ALL SELECT driver, class, condition, 'intercept', 0.0 FROM mixed""", "v_g4", "v_cond", ctes=SETS).replace("\n\n, mixed", ",\nmixed"))
+def l5_residuals(s: Source) -> DataFrame:
+    """What logistic fits leave of the slope of their penalised loss: nothing."""
+    table = learners.cells(training_sets(s), GROUP, "context", "label")
+    return rounded(learners.logistic_slopes(table, GROUP, learners.logistic_fits(table, GROUP)))
+
+
+def _first_tree_sql(depth: int = 3) -> str:
+    """Each level: sums by node and feature, the best split of a node, and the rows below it."""
+    out = [
+        "target AS MATERIALIZED (SELECT driver, class, condition, r, context, ln(frequency / (1 - frequency)) - avg(ln(frequency / (1 - frequency))) OVER (PARTITION BY driver, class, condition) AS y, 1 AS node FROM train WHERE frequency > 0 AND frequency < 1)",
+        "has AS MATERIALIZED (SELECT r, CAST(i * 4 + instr('ACGT', substr(context, CAST(i + 1 AS INT), 1)) - 1 AS INT) AS f FROM target, (SELECT unnest(range(0, 20)) AS i) x WHERE i < length(context))",
+        "row0 AS (SELECT * FROM target)",
+    ]
+    for i in range(depth):
+        out += [
+            f"whole{i} AS MATERIALIZED (SELECT driver, class, condition, node, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s FROM row{i} GROUP BY ALL)",
+            f"part{i} AS (SELECT driver, class, condition, node, f, CAST(count(*) AS DOUBLE) AS n1, sum(y) AS s1 FROM row{i} JOIN has USING (r) GROUP BY ALL)",
+            f"gain{i} AS MATERIALIZED (SELECT w.*, f, CASE WHEN n1 < n THEN n1 * (n - n1) / n * pow(s1 / n1 - (s - s1) / (n - n1), 2) ELSE 0 END AS gain FROM whole{i} w JOIN part{i} USING (driver, class, condition, node))",
+            f"most{i} AS MATERIALIZED (SELECT driver, class, condition, node, any_value(n) AS n, max(gain) AS gain FROM gain{i} GROUP BY ALL)",
+            f"split{i} AS MATERIALIZED (SELECT m.*, CASE WHEN max(m.gain) > {learners.LEAST_GAIN} THEN min(f) END AS f FROM most{i} m JOIN gain{i} g USING (driver, class, condition, node) WHERE g.gain >= m.gain * (1 - {learners.SAME_GAIN}) GROUP BY ALL)",
+            f"row{i + 1} AS MATERIALIZED (SELECT t.driver, t.class, t.condition, t.r, t.context, t.y, 2 * t.node + CASE WHEN h.r IS NULL THEN 0 ELSE 1 END AS node FROM row{i} t JOIN split{i} p USING (driver, class, condition, node) LEFT JOIN has h ON h.r = t.r AND h.f = p.f)",
+        ]
+    picks = " UNION ALL ".join(f"SELECT driver, class, condition, CAST(node AS INT) AS node, CAST(f // 4 AS VARCHAR) || substr('ACGT', CAST(f % 4 + 1 AS INT), 1) AS feature, n, round(gain, 6) AS gain FROM split{i}" for i in range(depth))
+    return ",\n".join(out) + "\n" + picks
+
+
+@query("l4_first_tree", oracle(_first_tree_sql(), "v_g4", "v_cond", ctes=SETS).replace("\ntarget AS", ",\ntarget AS"))
+def l4_first_tree(s: Source) -> DataFrame:
+    """The splits of each group's first regression tree, from sums by node and feature."""
+    table = learners.cells(training_sets(s), GROUP, "context", "logit")
+    found = learners.first_tree(table, GROUP)
+    return rounded(found.select(*GROUP, "node", F.when(F.col("f").isNotNull(), learners.feature_name(F.col("f"))).alias("feature"), "n", "gain"))
 
 
 @query("l3_metrics")
@@ -136,13 +185,13 @@ def rare(s: Source, kind: str) -> DataFrame:
     from editloom.sources.dimensions import editor_kind
 
     kinds = s.v_cond.where(editor_kind(F.col("editor")) == "CBE").select("condition")
-    rows = training.outcome_fractions(freq(s)).where(F.col("position").isin(*PLACES)).join(F.broadcast(kinds), "condition").join(F.broadcast(s.v_site.select("site", "seq", "pos0_idx")), "site")
+    rows = training.outcome_fractions(freq(s)).where(F.col("position").isin(*PLACES)).join(F.broadcast(kinds), "condition").join(s.v_site.select("site", "seq", "pos0_idx"), "site")
     place = F.translate(F.col("position").cast("string"), "".join(map(str, PLACES)), "abcdef")
     rows = rows.withColumn("around", seq.context(F.col("seq"), F.col("position") + F.col("pos0_idx"), 10)).where("around is not null")
     rows = rows.select(*RARE, "site", "position", F.concat("around", place).alias("context"), F.col("value").alias("frequency"))
     sets = rows.withColumn("split", models.split(F.concat_ws("_", "site", "position", "fraction"))).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
     target = "logit" if kind in ("ridge", "gbt_regressor") else "label"
-    return models.learn_groups(sets, RARE, kind, "context", target, ["site", "position"], letters="ACGTabcdef").withColumn("model", F.lit(kind))
+    return learners.learn_groups(sets, RARE, kind, "context", target, letters="ACGTabcdef").withColumn("model", F.lit(kind))
 
 
 @query("l10_rare_regress")
@@ -162,7 +211,7 @@ def l11_collate(s: Source) -> DataFrame:
     coefficients = models.ridge(rows.where("split = 'train'"), "condition", "features", "frequency", models.feature_names(2 * RADIUS)).where("feature <> 'intercept'")
     number, nt = F.regexp_extract("feature", r"^\d+", 0).cast("int"), F.regexp_extract("feature", r"[ACGT]$", 0)
     named = coefficients.select("group", seq.label(number, RADIUS).alias("position"), nt.alias("nt"), "coefficient")
-    scored = models.learn_groups(rows.drop("features"), ["condition"], "ridge", "context", "frequency", ["site", "idx"])
+    scored = learners.learn_groups(rows.drop("features"), ["condition"], "ridge", "context", "frequency")
     told = stats.correlation(scored.where("split = 'test'"), "predicted", "frequency", ["condition"]).select(F.col("condition").alias("group"), F.col("n").alias("test_rows"), F.col("pearson").alias("test_pearson"))
     return named.join(F.broadcast(told), "group", "left")
 
@@ -180,12 +229,23 @@ def l11_curve(s: Source) -> DataFrame:
     draw = hash_int(F.concat_ws("|", F.lit("curve"), "replicate", "condition", "site")) * 10 / F.lit(2.0**32)
     runs = runs.where((F.col("split") == "test") | (draw < F.col("tenths"))).withColumn("logit", seq.logit(F.col("fraction_edited")))
     keys = ["condition", "tenths", "replicate"]
-    scored = models.learn_groups(runs.withColumns({"tenths": F.col("tenths").cast("string"), "replicate": F.col("replicate").cast("string")}), keys, "ridge", "window", "logit", ["site"])
+    scored = learners.learn_groups(runs, keys, "ridge", "window", "logit")
     sizes = scored.groupBy(*keys).agg(F.count_if(F.col("split") == "train").alias("train_rows"))
-    return stats.correlation(scored.where("split = 'test'"), "predicted", "logit", keys).join(sizes, keys).withColumn("fraction", F.col("tenths").cast("int") / 10).drop("tenths")
+    return stats.correlation(scored.where("split = 'test'"), "predicted", "logit", keys).join(sizes, keys).withColumn("fraction", F.col("tenths") / 10).drop("tenths")
+
+
+def mutation_activity(s: Source) -> DataFrame:
+    rows = pq.activity(s).withColumn("mutation", F.concat_ws(",", "ref_nt", "position", "obs_nt"))
+    return rows.select("condition", "editor", "batch", "mutation", F.col("mean_activity").alias("value"))
 
 
 @query("t18_covariate")
 def t18_covariate(s: Source) -> DataFrame:
-    rows = pq.activity(s).withColumn("mutation", F.concat_ws(",", "ref_nt", "position", "obs_nt"))
-    return models.covariate_model(rows.select("condition", "editor", "batch", "mutation", F.col("mean_activity").alias("value")))
+    return covariate.covariate_model(mutation_activity(s))
+
+
+@query("t18_seeds")
+def t18_seeds(s: Source) -> DataFrame:
+    """The loss of each of ten starts, and which of them is the best."""
+    told = covariate.losses(*covariate.covariate_fits(mutation_activity(s)))
+    return told.withColumn("best", F.col("loss") == F.min("loss").over(Window.partitionBy()))  # a row a start

@@ -21,3 +21,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

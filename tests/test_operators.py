@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from editloom.operators import batch, counts, haplotypes, indels, models, stats, summary
+from editloom.operators import batch, counts, covariate, haplotypes, indels, models, stats, summary
 
 G4 = "condition string, site int, idx int, position int, ref_nt string, obs_nt string, count double"
 H6 = "condition string, site int, category string, indel_start int, indel_end int, indel_length int, mh_length int, inserted_bases string, count double"
@@ -115,7 +115,7 @@ def test_covariate_model_lowers_the_error(spark):
     data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
 
     def error(steps):
-        p = {(r.kind, r.key): r.value for r in models.covariate_model(data, steps=steps).collect()}
+        p = {(r.kind, r.key): r.value for r in covariate.covariate_model(data, steps=steps).collect()}
         return sum((p["a", c] ** 2 * p["e", f"{e}|{m}"] ** 2 + p["b", f"{b}|{m}"] ** 2 + p["g", "all"] ** 2 - v) ** 2 for c, e, b, m, v in rows)
 
     assert error(6) < error(1)
@@ -130,16 +130,52 @@ def covariate_error(data, fit):
 def test_covariate_model_fits_data_of_its_own_form(spark):
     rows = [(f"c{i}", "xy"[i % 2], "pq"[i // 2 % 2], f"m{j}", (0.3 + 0.1 * i) * (0.2 + 0.1 * j) + 0.02 * (i // 2 % 2) * j + 0.05) for i in range(8) for j in range(6)]
     data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
-    assert covariate_error(data, models.covariate_model(data)) < 1e-6
+    assert covariate_error(data, covariate.covariate_model(data)) < 1e-6
 
 
 def test_covariate_model_takes_equal_steps_at_any_size(spark):
     rows = [(c, e, b, m, v) for c, e, b in (("c0", "x", "p"), ("c1", "x", "q"), ("c2", "y", "p")) for m, v in (("m1", 0.3), ("m2", 0.05), ("m2", 0.15))]
     data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
-    one, many = ({(r.kind, r.key): r.value for r in models.covariate_model(data, steps=3, fit_cells=n).collect()} for n in (models.FIT_CELLS, 0))
+    one, many = ({(r.kind, r.key): r.value for r in covariate.covariate_model(data, steps=3, fit_cells=n).collect()} for n in (covariate.FIT_CELLS, 0))
     assert one == pytest.approx(many, abs=1e-12)
 
 
+def test_covariate_runs_go_on_from_their_snapshots(spark, tmp_path, monkeypatch):
+    rows = [(f"c{i}", "xy"[i % 2], "pq"[i // 2 % 2], f"m{j}", 0.1 * i + 0.03 * j) for i in range(4) for j in range(3) for _ in range(2)]
+    data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
+    plain = lambda state: {(r.seed, r.kind, r.key): (r.p, r.m, r.v) for r in state.collect()}
+    whole = plain(covariate.covariate_fits(data, 3, steps=8, every=8)[0])
+    real, calls = covariate._kept, []
+
+    def killed(df, path):
+        calls.append(path)
+        if path.endswith("step-6"):
+            df.limit(1).write.parquet(path + "/_temporary")  # a part of a snapshot
+            raise RuntimeError("killed")
+        return real(df, path)
+
+    for most in (covariate.FIT_CELLS, 0):
+        folder = f"file://{tmp_path}/{most}"
+        monkeypatch.setattr(covariate, "_kept", killed)
+        with pytest.raises(RuntimeError):
+            covariate.covariate_fits(data, 3, steps=8, every=3, folder=folder, fit_cells=most)
+        monkeypatch.setattr(covariate, "_kept", real)
+        assert covariate.last_step(spark, folder) == (3 if most else 5)
+        again = plain(covariate.covariate_fits(data.limit(0), 3, steps=8, every=3, folder=folder, fit_cells=most)[0])
+        assert {k: pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in whole.items()} == again
+    assert plain(covariate.covariate_fits(data.limit(0), 2)[0]) == {}
+
+
+def test_covariate_losses_are_those_of_the_rows(spark):
+    rows = [(f"c{i}", "xy"[i % 2], "pq"[i // 2], f"m{j}", 0.1 * i + 0.03 * j + 0.01 * k) for i in range(4) for j in range(3) for k in range(2)]
+    data = spark.createDataFrame(rows, "condition string, editor string, batch string, mutation string, value double")
+    state, cells = covariate.covariate_fits(data, 2, steps=3)
+    for r in covariate.losses(state, cells).collect():
+        p = {(x.kind, x.key): x.p for x in state.where(F.col("seed") == r.seed).collect()}
+        want = sum((p["a", c] ** 2 * p["e", f"{e}|{m}"] ** 2 + p["b", f"{b}|{m}"] ** 2 + p["g", "all"] ** 2 - v) ** 2 for c, e, b, m, v in rows) / len(rows)
+        assert r.loss == pytest.approx(want) and r.rows == len(rows)
+
+
 def test_covariate_query_takes_the_reference_number_of_steps(spark, sf):
     from editloom.plans import models as plans
     from editloom.plans import positions as pq
@@ -148,8 +184,8 @@ def test_covariate_query_takes_the_reference_number_of_steps(spark, sf):
     s = Source(spark, sf)
     data = pq.activity(s).withColumn("mutation", F.concat_ws(",", "ref_nt", "position", "obs_nt")).withColumn("value", F.col("mean_activity")).where("value is not null").cache()
     fit = plans.t18_covariate(s)
-    assert fit.orderBy("kind", "key").collect() == models.covariate_model(data, steps=1200, step_size=0.1).orderBy("kind", "key").collect()
-    assert covariate_error(data, fit) < 0.5 * covariate_error(data, models.covariate_model(data, steps=8, step_size=0.05))
+    assert fit.orderBy("kind", "key").collect() == covariate.covariate_model(data, steps=1200, step_size=0.1).orderBy("kind", "key").collect()
+    assert covariate_error(data, fit) < 0.5 * covariate_error(data, covariate.covariate_model(data, steps=8, step_size=0.05))
 
 
 def test_bootstraps_cover_their_mean(spark):

@@ -51,28 +51,6 @@ def test_selections(spark):
     assert spark.range(1).select(training.error_rate(F.lit(20)), training.error_rate(F.lit(None))).first() == (0.01, 0.001)
 
 
-def test_each_group_has_its_own_learner(spark):
-    """Groups of opposite sense: a pooled fit could tell nothing."""
-    import itertools
-
-    texts = ["".join(x) for x in itertools.product("ACGT", repeat=3)]
-    rows = [(g, i, x, "test" if i % 4 == 0 else "train", int((x[0] in "AC") == (g == "one"))) for g in ("one", "two") for i, x in enumerate(texts)]
-    df = spark.createDataFrame(rows, "grp string, i int, context string, split string, y int")
-    for kind in ("gbt_regressor", "logistic", "gbt_classifier"):
-        got = models.learn_groups(df, ["grp"], kind, "context", "y", ["i"]).collect()
-        assert len(got) == len(rows) and all((r.predicted > 0.5) == (r.y == 1) for r in got)
-
-
-def test_learners_of_a_worker_agree_with_mllib(spark):
-    import itertools
-
-    texts = ["".join(x) for x in itertools.product("ACGT", repeat=3)]
-    rows = [("one", i, x, "test" if i % 4 == 0 else "train", int(x.count("A") + i % 3 > 1)) for i, x in enumerate(texts)]
-    df = spark.createDataFrame(rows, "grp string, i int, context string, split string, y int")
-    here, there = ({r.i: r.predicted for r in models.learn_groups(df, ["grp"], "logistic", "context", "y", ["i"], n).collect()} for n in (models.FIT_ROWS, 0))
-    assert here == pytest.approx(there, abs=1e-3)
-
-
 def test_learner_queries_cover_drivers_classes_and_conditions(spark, sf):
     from editloom.plans import drivers
     from editloom.plans import models as plans
