@@ -56,17 +56,18 @@ def _schema(df: DataFrame, by: list[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in by)
 
 
-def _solved(table: DataFrame, by: list[str], letters: str, held: dict[tuple, np.ndarray] | None, penalty: float) -> DataFrame:
-    """``by``, loss, steepest, solution: for ridge (``held`` None) the coefficients; else, at the coefficients held, the loss, the
-    largest slope and the Newton step. The last coefficient is the constant's, which isn't penalised."""
+def _sums(table: DataFrame, by: list[str], letters: str, held: dict[tuple, np.ndarray] | None) -> DataFrame:
+    """``by``, sums: of each task's cells of a group the loss, the slopes and the matrix of weighted products of features and constant, one after
+    another; for ridge (``held`` None) the products with the target stand for the slopes."""
     import pandas as pd
 
-    sums = _schema(table, by) + "features int, sums array<double>"
+    def framed(found: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, v) for k, v in found.items()], columns=[*by, "sums"])
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple, np.ndarray] = {}
         for frame in frames:
-            for key, part in frame.groupby(by, sort=False, dropna=False):
+            for key, part in frame.groupby(by, sort=False):
                 x = np.column_stack([trees.encoded(part["context"], letters), np.ones(len(part))])
                 n, y = part["n"].to_numpy(), part["y"].to_numpy()
                 if held is None:
@@ -80,27 +81,49 @@ def _solved(table: DataFrame, by: list[str], letters: str, held: dict[tuple, np.
                 told = np.concatenate([[loss], slope, (x.T @ (x * weight[:, None])).ravel()])
                 found[key] = found[key] + told if key in found else told
             if len(found) > 2000:
-                yield _frame(found)
+                yield framed(found)
                 found = {}
         if found:
-            yield _frame(found)
+            yield framed(found)
+
+    return table.mapInPandas(partial, _schema(table, by) + "sums array<double>")
+
 
-    def _frame(found: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame([(*k, 0, v) for k, v in found.items()], columns=[*by, "features", "sums"])
+def _solved(table: DataFrame, by: list[str], letters: str, held: dict[tuple, np.ndarray] | None, penalty: float) -> DataFrame:
+    """``by``, loss, steepest, solution: for ridge the coefficients; else, at the coefficients held, the loss, the largest slope and
+    the Newton step. The last coefficient is the constant's, which isn't penalised."""
+    import pandas as pd
 
     def solve(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        # In an order of their own, so that sums don't depend on how the rows were partitioned.
-        whole = np.sum(sorted((np.asarray(s) for s in parts["sums"]), key=lambda s: tuple(s[:3])), axis=0)
-        f = int((np.sqrt(4 * len(whole) - 3) - 1) / 2)
-        loss, slope, left = whole[0], whole[1 : f + 1], whole[f + 1 :].reshape(f, f)
-        alpha = np.append(np.full(f - 1, penalty), 0.0)
+        whole = trees.added(parts["sums"])
+        loss, slope, left = trees.system(whole)
+        alpha = np.append(np.full(len(slope) - 1, penalty), 0.0)
         if held is not None:
             w = held[key]
             loss, slope = loss + alpha @ w**2 / 2, slope + alpha * w
         solution = np.linalg.lstsq(left + np.diag(alpha), slope, rcond=None)[0]
         return pd.DataFrame([(*key, float(loss), float(np.abs(slope).max()), solution)], columns=[*by, "loss", "steepest", "solution"])
 
-    return table.mapInPandas(partial, sums).groupBy(*by).applyInPandas(solve, _schema(table, by) + "loss double, steepest double, solution array<double>")
+    return _sums(table, by, letters, held).groupBy(*by).applyInPandas(solve, _schema(table, by) + "loss double, steepest double, solution array<double>")
+
+
+def ridge_curve(table: DataFrame, by: list[str], part: str, parts: int, letters: str = LETTERS, alpha: float = 1.0) -> DataFrame:
+    """``by``, part, rows and w: ridge fits on the cells of parts 1, 1 and 2, and so on up to all ``parts``. Sums are taken by part, once
+    a row, and added up from part to part; each group's systems are solved in a task."""
+    import pandas as pd
+
+    def solve(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        whole, out = 0.0, []
+        for i in range(1, parts + 1):
+            own = held.loc[held[part] == i, "sums"]
+            whole = whole + trees.added(own) if len(own) else whole
+            if np.ndim(whole):
+                _, right, left = trees.system(whole)
+                penalty = np.append(np.full(len(right) - 1, alpha), 0.0)
+                out.append((*key, i, int(left[-1, -1]), np.linalg.lstsq(left + np.diag(penalty), right, rcond=None)[0]))
+        return pd.DataFrame(out, columns=[*by, part, "rows", "w"])
+
+    return _sums(table.where("n > 0"), [*by, part], letters, None).groupBy(*by).applyInPandas(solve, _schema(table, by) + f"`{part}` int, rows long, w array<double>")
 
 
 def ridge_fits(table: DataFrame, by: list[str], letters: str = LETTERS, alpha: float = 1.0) -> DataFrame:
@@ -129,7 +152,8 @@ def logistic_fits(table: DataFrame, by: list[str], letters: str = LETTERS, penal
             break
         for r in _solved(train, by, letters, trial, penalty).collect():
             k = key(r)
-            if k in base and r.loss > base[k][1] and base[k][3] > 1e-10:
+            # Near rest the losses differ by less than their own rounding.
+            if k in base and r.loss > base[k][1] + 1e-12 * (1 + abs(base[k][1])) and base[k][3] > 1e-10:
                 w, loss, step, share = base[k]
                 base[k] = w, loss, step, share / 2
             elif r.steepest < slope:
@@ -152,13 +176,21 @@ def expit(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def ridge_slopes(table: DataFrame, by: list[str], fits: DataFrame, letters: str = LETTERS, alpha: float = 1.0) -> DataFrame:
+    """``by``, feature, residual: what ridge fits leave of their normal equations."""
+    return _slopes(table.where("n > 0").join(fits.select(*by, "w"), by), by, lambda score: F.col("n") * score - F.col("y"), letters, alpha)
+
+
+def _slopes(rows: DataFrame, by: list[str], left, letters: str, penalty: float) -> DataFrame:
+    each = rows.select(*by, "w", left(linear(F.col("context"), F.col("w"), letters)).alias("left"), F.explode(F.concat(active(F.col("context"), letters), F.array(F.lit(-1)))).alias("f"))
+    sums = each.groupBy(*by, "f").agg(F.sum("left").alias("slope"), F.first(F.when(F.col("f") >= 0, F.get("w", F.col("f"))).otherwise(0.0)).alias("b"))
+    return sums.select(*by, feature_name(F.col("f"), letters).alias("feature"), (F.col("slope") + penalty * F.col("b")).alias("residual"))
+
+
 def logistic_slopes(table: DataFrame, by: list[str], fits: DataFrame, letters: str = LETTERS, penalty: float = 1.0) -> DataFrame:
     """``by``, feature, residual: the slope of the penalised loss that a fit leaves, of groups with both labels."""
     rows = table.where("n > 0").join(fits.where(F.abs(F.element_at("w", -1)) < float("inf")), by)
-    left = F.col("n") * expit(linear(F.col("context"), F.col("w"), letters)) - F.col("y")
-    each = rows.select(*by, "w", left.alias("left"), F.explode(F.concat(active(F.col("context"), letters), F.array(F.lit(-1)))).alias("f"))
-    sums = each.groupBy(*by, "f").agg(F.sum("left").alias("slope"), F.first(F.when(F.col("f") >= 0, F.get("w", F.col("f"))).otherwise(0.0)).alias("b"))
-    return sums.select(*by, feature_name(F.col("f"), letters).alias("feature"), (F.col("slope") + penalty * F.col("b")).alias("residual"))
+    return _slopes(rows, by, lambda score: F.col("n") * expit(score) - F.col("y"), letters, penalty)
 
 
 def _best(hist: DataFrame, keys: list[str]) -> DataFrame:

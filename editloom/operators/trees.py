@@ -38,6 +38,17 @@ def boosted(x: np.ndarray, n: np.ndarray, y: np.ndarray, classify: bool, count:
     return sigmoid(score) if classify else score
 
 
+def added(sums) -> np.ndarray:
+    """The sum of arrays in an order of their own, so that it doesn't depend on how the rows were partitioned."""
+    return np.sum(sorted((np.asarray(s) for s in sums), key=lambda s: tuple(s[:3])), axis=0)
+
+
+def system(sums: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, slopes and matrix out of one array of f * f + f + 1 numbers."""
+    f = int((np.sqrt(4 * len(sums) - 3) - 1) / 2)
+    return sums[0], sums[1 : f + 1], sums[f + 1 :].reshape(f, f)
+
+
 def encoded(texts, letters: str = "ACGT") -> np.ndarray:
     """0/1 for each place and letter of texts of one length."""
     codes = np.array([list(t.encode()) for t in texts], dtype=np.uint8)

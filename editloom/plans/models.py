@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions import seq
+from editloom.functions.special import hash_int
 from editloom.operators import counts, covariate, learners, models, stats
 from editloom.plans import drivers as dq
 from editloom.plans import positions as pq
 from editloom.plans.registry import query, rounded
-from editloom.plans.summaries import HASH
+from editloom.plans.summaries import ANNOT, HASH, V
 from editloom.sources.fixtures import Source, oracle
+from editloom.sources.shared import new_folder, written
 
 RADIUS = 5
 DATA = pq.DENSE + """,
@@ -166,8 +168,6 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY p) + (count(*)
   FROM scored WINDOW d AS (PARTITION BY condition ORDER BY p DESC RANGE UNBOUNDED PRECEDING))
 SELECT condition, round((sum(y * r) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 6) AS auc, round(sum(y * hits / seen) / nullif(sum(y), 0), 6) AS average_precision, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS cross_entropy FROM ranked GROUP BY ALL""", "v_g4", ctes=DATA).replace("\n\n, scored AS", ",\nscored AS"))
 def l7_metrics(s: Source) -> DataFrame:
-    from editloom.functions.special import hash_int
-
     draw = (hash_int(F.concat(F.lit("p|"), F.concat_ws("_", "site", "idx"))) + 0.5) / F.lit(4294967296.0)
     rows = data(s).select("condition", (F.col("frequency") > 0.05).cast("double").alias("y"), draw.alias("p"))
     return rounded(models.classification_metrics(rows, "y", "p", ["condition"]))
@@ -216,22 +216,45 @@ def l11_collate(s: Source) -> DataFrame:
     return named.join(F.broadcast(told), "group", "left")
 
 
+CURVE = ["condition", "replicate"]
+
+
+def curve_rows(s: Source) -> DataFrame:
+    """The edited fraction's rows with split, logit and window; a training row also stands in each of three replicates with the tenth, drawn
+    by a hash, from which on it is among the training rows."""
+    rows = dq.windows(s).where("total_be >= 100").select("condition", "site", "window", "fraction_edited", "split")
+    rows = rows.withColumn("logit", seq.logit(F.col("fraction_edited"))).where("logit is not null").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    draw = hash_int(F.concat_ws("|", F.lit("curve"), "replicate", "condition", "site")) * 10 / F.lit(2.0**32)
+    return rows.withColumn("tenths", (F.floor(draw) + 1).cast("int"))
+
+
+def curve_cells(rows: DataFrame) -> DataFrame:
+    return learners.cells(rows.where("split = 'train'"), [*CURVE, "tenths"], "window", "logit")
+
+
 @query("l11_curve")
 def l11_curve(s: Source) -> DataFrame:
-    """The learning curve of the edited fraction's fit: test correlation by share of the training rows (tenths) and replicate,
-    whose rows are drawn by hashes."""
-    from editloom.functions.special import hash_int
-    from editloom.plans.drivers import windows
-
-    rows = windows(s).where("total_be >= 100").select("condition", "site", "window", "fraction_edited", "split")
-    shares, replicates = F.explode(F.sequence(F.lit(1), F.lit(10))), F.explode(F.sequence(F.lit(0), F.lit(2)))
-    runs = rows.withColumn("tenths", shares).withColumn("replicate", replicates)
-    draw = hash_int(F.concat_ws("|", F.lit("curve"), "replicate", "condition", "site")) * 10 / F.lit(2.0**32)
-    runs = runs.where((F.col("split") == "test") | (draw < F.col("tenths"))).withColumn("logit", seq.logit(F.col("fraction_edited")))
-    keys = ["condition", "tenths", "replicate"]
-    scored = learners.learn_groups(runs, keys, "ridge", "window", "logit")
-    sizes = scored.groupBy(*keys).agg(F.count_if(F.col("split") == "train").alias("train_rows"))
-    return stats.correlation(scored.where("split = 'test'"), "predicted", "logit", keys).join(sizes, keys).withColumn("fraction", F.col("tenths") / 10).drop("tenths")
+    """The learning curve of the edited fraction's fit: test correlation by share of the training rows (tenths) and replicate."""
+    rows = written(curve_rows(s), new_folder(s.spark, "curve"))
+    fits = written(learners.ridge_curve(curve_cells(rows), CURVE, "tenths", 10), new_folder(s.spark, "curve"))
+    keys = [*CURVE, "tenths"]
+    scored = rows.where("split = 'test'").drop("tenths").join(fits, CURVE).withColumn("predicted", learners.linear(F.col("window"), F.col("w")))
+    told = stats.correlation(scored, "predicted", "logit", keys).join(fits.select(*keys, F.col("rows").alias("train_rows")), keys)
+    return told.withColumn("fraction", F.col("tenths") / 10).drop("tenths")
+
+
+@query("l11_curve_residuals", oracle(f"""
+, windows AS (SELECT r.condition, r.site, {dq.WINDOW} AS w FROM ratios r JOIN v_site ON r.site = v_site.site WHERE total_be >= 100 AND fraction_edited > 0 AND fraction_edited < 1 AND {HASH.format(x="'0|' || r.condition || '_' || r.site")} % 4 < 3),
+runs AS (SELECT condition, CAST(replicate AS INT) AS replicate, CAST(tenths AS INT) AS tenths, w FROM windows, (SELECT unnest(range(0, 3)) AS replicate) a, (SELECT unnest(range(1, 11)) AS tenths) b
+  WHERE {HASH.format(x="'curve|' || replicate || '|' || condition || '|' || site")} * 10 / 4294967296.0 < tenths)
+SELECT condition, replicate, tenths, CAST(i AS VARCHAR) || substr(w, CAST(i + 1 AS INT), 1) AS feature, 0.0 AS residual FROM runs, (SELECT unnest(range(0, 30)) AS i) r WHERE i < length(w) GROUP BY ALL
+UNION ALL SELECT DISTINCT condition, replicate, tenths, 'intercept', 0.0 FROM runs""", *V, "v_site", ctes=ANNOT).replace("\n\n, windows", ",\nwindows"))
+def l11_curve_residuals(s: Source) -> DataFrame:
+    """What the fits of the learning curve leave of their normal equations on all rows that they were given: nothing."""
+    table = written(curve_cells(curve_rows(s)), new_folder(s.spark, "curve"))
+    fits = learners.ridge_curve(table, CURVE, "tenths", 10)
+    runs = table.withColumn("tenths", F.explode(F.sequence("tenths", F.lit(10))))
+    return rounded(learners.ridge_slopes(runs, [*CURVE, "tenths"], fits))
 
 
 def mutation_activity(s: Source) -> DataFrame:
