@@ -72,7 +72,7 @@ def indel_anova(indels: DataFrame, conditions: DataFrame) -> DataFrame:
     )
     sound = sums.where("k >= 2 and (varies or not lone)")
     told = anova_test(sound, F.col("k"), F.col("whole"), F.col("within"), F.col("two") - F.pow("one", 2) / F.col("whole"))
-    return told.select(*keys, "f_stat", "df_between", "df_within", "p_value", (F.col("means") / F.col("k")).alias("mean_means"), "batches").where("p_value is not null")
+    return told.select(*keys, "f_stat", "df_between", "df_within", "p_value", (F.col("means") / F.col("k")).alias("mean_means"), "batches").where("f_stat is not null")
 
 
 def indel_batch_effects(indels: DataFrame, conditions: DataFrame, alpha: float = 0.01, least: float = 0.005) -> tuple[DataFrame, DataFrame]:

@@ -6,35 +6,45 @@ the draws that are missing to n, about three square roots of n, are drawn by pla
 in a thousand) takes all its draws by place. Tasks hold a block of rows by replicates, and only sums a replicate leave them.
 
 ``median_law`` draws nothing: the chance that a resample's median is a given value, or the mean of two given values, follows from
-binomial tails over their places. Only places within ten standard deviations of the middle are looked at.
+binomial tails over their places. Only places within seven standard deviations of the middle, where all the chance is but 1e-11, are looked at.
 
-Draws come from integer arithmetic modulo 2**31 - 1, alike in every engine: x**5 permutes the residues, taken once of the row
-and again with the replicate.
+Draws come from 32-bit integer arithmetic that is alike in every engine: a mixing of shifts and products is taken of the row's
+place, and again of that with the replicate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, factorial, sqrt
+from math import exp, factorial, lgamma, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.functions.special import binom_sf, lgamma
+from editloom.functions.special import lgamma as log_gamma
 from editloom.operators.ranges import placed
 from editloom.sources.shared import new_folder, written
 
-#: Fixed values of the draws: the modulus, and factors and shifts of place, replicate and seed.
-P, ROW, REP, SHIFT, PICK = 2**31 - 1, 1_103_515_245, 69_069_069, 12_345_677, 741_103_597
+#: Fixed values of the draws: the factor of the mixing, and those of place, replicate and draw, and a shift.
+FACTOR, ROW, REP, PICK, SHIFT = 0x45D9F3B, 0x1E3779B9, 0x5BD1E995, 0x2C1B3C6D, 0x165667B1
+SPAN = 1 << 32
 #: Standard deviations that the Poisson rate lies below 1, and the most that a row is drawn by it.
 BELOW, MOST = 3.0, 15
 INTERVAL = {"p025": 0.025, "p16": 0.16, "p84": 0.84, "p975": 0.975}
 
 
-def five(x):
-    """x**5 modulo P, for numbers, arrays and columns."""
-    return x * x % P * (x * x % P) % P * x % P
+def mixed(x: Column) -> Column:
+    """The mixing of a number below 2**32."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(FACTOR).cast("long")).bitwiseAND(F.lit(SPAN - 1))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def mixed_array(x: np.ndarray) -> np.ndarray:
+    """``mixed`` of uint32 numbers, whose products wrap."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(FACTOR)
+    return x ^ (x >> np.uint32(16))
 
 
 def rate(n: int) -> float:
@@ -46,11 +56,28 @@ def cuts(n: int) -> list[int]:
     r, total, out = rate(n), 0.0, []
     for k in range(MOST + 1):
         total += r**k / factorial(k)
-        out.append(int(P * (exp(-r) * total)))
+        out.append(int(SPAN * (exp(-r) * total)))
     return out
 
 
-def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, block: int = 1 << 16) -> DataFrame:
+class Counts:
+    """How often draws leave a row, from a table by their upper 16 bits; only where a cut falls inside are all bits looked at."""
+
+    def __init__(self, n: int) -> None:
+        self.edges = np.array(cuts(n), np.uint64)
+        begin = np.arange(1 << 16, dtype=np.uint64) << np.uint64(16)
+        self.table = np.searchsorted(self.edges, begin, "right").astype(np.uint8)
+        self.split = self.table != np.searchsorted(self.edges, begin + np.uint64(0xFFFF), "right")
+
+    def __call__(self, u: np.ndarray) -> np.ndarray:
+        upper = u >> np.uint32(16)
+        out = self.table[upper]
+        near = np.flatnonzero(self.split[upper])
+        out.ravel()[near] = np.searchsorted(self.edges, u.ravel()[near].astype(np.uint64), "right")
+        return out
+
+
+def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, block: int = 1 << 18) -> DataFrame:
     """``by``, rep, mean: the means of resamples of each group's rows with a value."""
     import pandas as pd
 
@@ -59,28 +86,33 @@ def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[
     rows = written(placed(narrow, by, row_order, "__at", "__n").select(*by, "__at", "__n", "__x"), new_folder(spark, "resample"))
 
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shifts = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(REP)).astype(np.uint32)
+        step = max(1, block // replicates)
         for frame in frames:
             for key, part in frame.groupby(by, sort=False):
-                drawn, held, edges = np.zeros(replicates), np.zeros(replicates), np.array(cuts(int(part["__n"].iloc[0])))
-                first, x = five((part["__at"].to_numpy() * ROW + SHIFT) % P), part["__x"].to_numpy()
-                step = max(1, block // replicates)
-                shifts = np.arange(1, replicates + 1, dtype=np.int64) * REP % P
+                n = int(part["__n"].iloc[0])
+                drawn, held, count = np.zeros(replicates), np.zeros(replicates), Counts(n)
+                first = mixed_array((part["__at"].to_numpy().astype(np.uint64) * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))
+                x = part["__x"].to_numpy()
                 for i in range(0, len(x), step):
-                    u = five((first[i : i + step, None] + shifts) % P)
-                    counts = np.searchsorted(edges, u.ravel(), "right").reshape(u.shape).astype(float)
-                    drawn += counts.sum(0)
-                    held += x[i : i + step] @ counts
-                yield pd.DataFrame([(*key, int(part["__n"].iloc[0]), drawn, held)], columns=[*by, "__n", "drawn", "held"])
+                    counts = count(mixed_array(first[i : i + step, None] + shifts))
+                    drawn += counts.sum(0, dtype=np.int64)
+                    some = x[i : i + step] != 0
+                    held += x[i : i + step][some] @ counts[some].astype(float)
+                yield pd.DataFrame([(*key, n, drawn, held)], columns=[*by, "__n", "drawn", "held"])
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in by)
-    sums = rows.mapInPandas(weigh, schema + "__n long, drawn array<double>, held array<double>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = rows.repartition(parts, "__at").mapInPandas(weigh, schema + "__n long, drawn array<double>, held array<double>")
     each = sums.select(*by, "__n", F.posexplode(F.arrays_zip("drawn", "held")).alias("rep", "s")).groupBy(*by, "__n", (F.col("rep") + 1).cast("long").alias("rep"))
     totals = written(each.agg(F.sum("s.drawn").alias("drawn"), F.sum("s.held").alias("held")), new_folder(spark, "resample"))
     fits = F.col("drawn") <= F.col("__n")
     lacking = F.when(fits, F.col("__n") - F.col("drawn").cast("long")).otherwise(F.col("__n"))
+    wrap = lambda c: c.bitwiseAND(F.lit(SPAN - 1))
     picks = totals.where(lacking > 0).select(*by, "rep", "__n", F.explode(F.sequence(F.lit(1).cast("long"), lacking)).alias("j"))
-    picks = picks.select(*by, "rep", (five((five((F.col("j") * PICK + SHIFT) % P) + F.col("rep") * REP) % P) % F.col("__n")).alias("__at"))
-    more = picks.join(rows.drop("__n"), [*by, "__at"]).groupBy(*by, "rep").agg(F.sum("__x").alias("more"))
+    picks = picks.withColumn("h", mixed(wrap(F.col("j") * PICK + SHIFT))).withColumn("h", wrap(F.col("h") + F.col("rep") * REP))
+    picks = picks.select(*by, "rep", (mixed(F.col("h")) % F.col("__n")).alias("__at"))
+    more = picks.join(rows.where("__x <> 0").drop("__n"), [*by, "__at"]).groupBy(*by, "rep").agg(F.sum("__x").alias("more"))
     whole = totals.join(more, [*by, "rep"], "left")
     return whole.select(*by, "rep", ((F.when(fits, F.col("held")).otherwise(0.0) + F.coalesce("more", F.lit(0.0))) / F.col("__n")).alias("mean"))
 
@@ -98,35 +130,56 @@ def bootstrap_means(df: DataFrame, value: str, by: list[str], row_order: list[st
     return intervals(means.withColumn("mean", F.exp("mean")) if kind == "gmean" else means, by)
 
 
-def median_law(df: DataFrame, value: str, by: list[str], deviations: float = 10.0, reach: int = 40) -> DataFrame:
+def upper_tails(n: int, least: int, k: np.ndarray) -> np.ndarray:
+    """P(X >= least) of n draws with chances k / n near a half, by their terms up to where these vanish."""
+    j = np.arange(least, min(n, least + int(9 * sqrt(n)) + 60) + 1)
+    front = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in j.tolist()])
+    out = np.where(k >= n, 1.0, 0.0)
+    inner = np.flatnonzero((k > 0) & (k < n))
+    for some in np.array_split(inner, len(inner) * len(j) // (1 << 22) + 1):
+        p = k[some, None] / n
+        out[some] = np.exp(front + j * np.log(p) + (n - j) * np.log1p(-p)).sum(1)
+    return out
+
+
+def median_law(df: DataFrame, value: str, by: list[str], deviations: float = 7.0, reach: int = 40) -> DataFrame:
     """``by``, median, chance: the law of the median of a resample of each group. Of an even number of rows, the median is the mean of the two
     middle draws; values whose places are further apart than ``reach`` have a chance below exp(-40)."""
-    rows = placed(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x")), by, ["x"], "at", "n")
-    rows = rows.withColumn("k", (F.col("at") + 1).cast("double")).withColumn("n", F.col("n").cast("double"))
-    near = F.abs(F.col("k") - F.col("n") / 2) <= deviations * F.sqrt("n") + reach
-    rows = written(rows.where(near).select(*by, "x", "k", "n"), new_folder(df.sparkSession, "median"))
-    widest = rows.agg(F.coalesce(F.max("n"), F.lit(1.0))).first()[0]
-    steps = int(60 + 2 * sqrt(widest))  # the continued fraction's length near the middle
-    m = F.floor((F.col("n") + 1) / 2).cast("double")
-    odd = F.col("n") % 2 == 1
+    import pandas as pd
+
+    rows = placed(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x")), by, ["__x"], "__at", "__n")
+    rows = rows.withColumn("__k", (F.col("__at") + 1).cast("double")).withColumn("__n", F.col("__n").cast("double"))
+    near = F.abs(F.col("__k") - F.col("__n") / 2) <= deviations * F.sqrt("__n") / 2 + reach
+    rows = rows.where(near).select(*by, "__x", "__k", "__n")
+
+    def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, part in frame.groupby("__n", sort=False):
+                m = (int(n) + 1) // 2
+                part["__before"] = upper_tails(int(n), m, part["__k"].to_numpy() - 1)
+                part["__upto"] = upper_tails(int(n), m if n % 2 else m + 1, part["__k"].to_numpy())
+                yield part
+
+    kinds = dict(df.dtypes)
+    rows = written(rows.mapInPandas(tails, "".join(f"`{c}` {kinds[c]}, " for c in by) + "__x double, __k double, __n double, __before double, __upto double"), new_folder(df.sparkSession, "median"))
+    m = F.floor((F.col("__n") + 1) / 2).cast("double")
+    odd = F.col("__n") % 2 == 1
     # Both middle draws have the value at k: those up to it pass the middle, those before it do not reach it.
-    ends = F.array(F.struct(m.alias("least"), (F.col("k") - 1).alias("k")), F.struct(F.when(odd, m).otherwise(m + 1).alias("least"), F.col("k").alias("k")))
-    rows = rows.withColumn("tails", F.transform(ends, lambda e: binom_sf(e["least"], F.col("n"), e["k"] / F.col("n"), steps)))
-    log_c = lambda n, m: lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1)
+    log_c = lambda n, m: log_gamma(n + 1) - log_gamma(m + 1) - log_gamma(n - m + 1)
     power = lambda base, e: F.when(e == 0, F.lit(0.0)).when(base > 0, e * F.ln(base))
-    split = F.coalesce(F.exp(log_c(F.col("n"), m) + power((F.col("k") - 1) / F.col("n"), m) + power(1 - F.col("k") / F.col("n"), F.col("n") - m)), F.lit(0.0))
-    alone = F.col("tails")[1] - F.col("tails")[0] + F.when(odd, 0.0).otherwise(split)
-    same = rows.select(*by, F.col("x").alias("median"), alone.alias("chance"))
+    split = F.coalesce(F.exp(log_c(F.col("__n"), m) + power((F.col("__k") - 1) / F.col("__n"), m) + power(1 - F.col("__k") / F.col("__n"), F.col("__n") - m)), F.lit(0.0))
+    alone = F.col("__upto") - F.col("__before") + F.when(odd, 0.0).otherwise(split)
+    same = rows.select(*by, F.col("__x").alias("median"), alone.alias("chance"))
     # The lower middle draw has place i, the upper one place i + g: m draws up to i, not all before it, and the least of the rest at i + g.
-    pairs = rows.where(~odd).select(*by, F.col("x").alias("low"), F.col("k").alias("i"), "n", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("g"))
-    pairs = pairs.withColumn("k", F.col("i") + F.col("g")).where("k <= n").join(rows.select(*by, "k", F.col("x").alias("high")), [*by, "k"])
-    n, i, k = F.col("n"), F.col("i"), F.col("k")
+    pairs = rows.where(~odd).select(*by, F.col("__x").alias("__low"), F.col("__k").alias("__i"), "__n", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("__g"))
+    pairs = pairs.withColumn("__k", F.col("__i") + F.col("__g")).where("__k <= __n").join(rows.select(*by, "__k", F.col("__x").alias("__high")), [*by, "__k"])
+    n, i, k = F.col("__n"), F.col("__i"), F.col("__k")
     rest = n - m
     # In logarithms, as the binomial coefficient alone passes a double's range.
     front = log_c(n, m) + power(i / n, m) + power((n - k + 1) / n, rest)
     earlier = F.coalesce(F.exp(power((i - 1) / i, m)), F.lit(0.0))
     later = F.coalesce(F.exp(power((n - k) / (n - k + 1), rest)), F.lit(0.0))
-    apart = pairs.select(*by, ((F.col("low") + F.col("high")) / 2).alias("median"), (F.exp(front) * (1 - earlier) * (1 - later)).alias("chance"))
+    apart = pairs.select(*by, ((F.col("__low") + F.col("__high")) / 2).alias("median"), (F.exp(front) * (1 - earlier) * (1 - later)).alias("chance"))
     return same.unionByName(apart).where("chance > 0")
 
 

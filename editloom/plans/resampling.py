@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editloom.operators import indels, resample
-from editloom.operators.resample import BELOW, MOST, PICK, REP, ROW, SHIFT, P
+from editloom.operators.resample import BELOW, FACTOR, MOST, PICK, REP, ROW, SHIFT, SPAN
 from editloom.plans import indels as iq
 from editloom.plans.registry import query, rounded
 from editloom.plans.summaries import ANNOT, V, ratios
@@ -17,23 +17,25 @@ from editloom.sources.fixtures import Source, oracle
 QUANTILES = ", ".join(f"round(quantile_cont(m, {q}), 6) AS {n}" for n, q in resample.INTERVAL.items())
 
 
-def five(x: str) -> str:
-    return f"({x} * {x} % {P} * ({x} * {x} % {P}) % {P} * {x} % {P})"
+def mixed(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor({x}, ({x}) >> 16) * {FACTOR}) & {SPAN - 1})"
+    return f"xor({x}, {x} >> 16)"
 
 
 def multinomial(rows: str, by: str, replicates: int, value: str = "m") -> str:
     """CTEs up to ``means`` (by, rep, m) with the draws of ``resample.multinomial_means``. ``rows``: by, x and ``spot``, the order."""
     sums = " + ".join(f"pow(r, {k}) / {factorial(k)}.0" for k in range(MOST + 1))
-    cut = ", ".join(f"CAST(floor({P} * (exp(-r) * ({' + '.join(sums.split(' + ')[: k + 1])}))) AS BIGINT)" for k in range(MOST + 1))
+    cut = ", ".join(f"CAST(floor({SPAN} * (exp(-r) * ({' + '.join(sums.split(' + ')[: k + 1])}))) AS BIGINT)" for k in range(MOST + 1))
     return f"""
-numbered AS MATERIALIZED (SELECT *, (spot * {ROW} + {SHIFT}) % {P} AS s FROM ({rows}) x),
-hashed AS MATERIALIZED (SELECT *, {five("s")} AS h FROM numbered),
+numbered AS MATERIALIZED (SELECT *, (spot * {ROW} + {SHIFT}) & {SPAN - 1} AS s FROM ({rows}) x),
+hashed AS MATERIALIZED (SELECT *, {mixed("s")} AS h FROM numbered),
 cut AS MATERIALIZED (SELECT n, [{cut}] AS cuts FROM (SELECT DISTINCT n, greatest(0.0, 1 - {BELOW} / sqrt(n)) AS r FROM numbered) x),
-shifted AS (SELECT {by}, n, x, cuts, rep, (h + rep * {REP} % {P}) % {P} AS v FROM hashed JOIN cut USING (n), (SELECT unnest(range(1, {replicates + 1})) AS rep) r),
-totals AS MATERIALIZED (SELECT {by}, rep, n, sum(w) AS drawn, sum(w * x) AS held FROM (SELECT {by}, rep, n, x, len(list_filter(cuts, lambda c: u >= c)) AS w FROM (SELECT *, {five("v")} AS u FROM shifted) y) z GROUP BY ALL),
+shifted AS (SELECT {by}, n, x, cuts, rep, (h + rep * {REP}) & {SPAN - 1} AS v FROM hashed JOIN cut USING (n), (SELECT unnest(range(1, {replicates + 1})) AS rep) r),
+totals AS MATERIALIZED (SELECT {by}, rep, n, sum(w) AS drawn, sum(w * x) AS held FROM (SELECT {by}, rep, n, x, len(list_filter(cuts, lambda c: u >= c)) AS w FROM (SELECT *, {mixed("v")} AS u FROM shifted) y) z GROUP BY ALL),
 lacking AS (SELECT {by}, rep, n, unnest(range(1, CAST(CASE WHEN drawn <= n THEN n - drawn ELSE n END AS BIGINT) + 1)) AS j FROM totals),
-pick1 AS (SELECT {by}, rep, n, {five("v")} AS h FROM (SELECT *, (j * {PICK} + {SHIFT}) % {P} AS v FROM lacking) x),
-pick2 AS (SELECT {by}, rep, {five("v")} % n AS spot FROM (SELECT *, (h + rep * {REP}) % {P} AS v FROM pick1) x),
+pick1 AS (SELECT {by}, rep, n, {mixed("v")} AS h FROM (SELECT *, (j * {PICK} + {SHIFT}) & {SPAN - 1} AS v FROM lacking) x),
+pick2 AS (SELECT {by}, rep, {mixed("v")} % n AS spot FROM (SELECT *, (h + rep * {REP}) & {SPAN - 1} AS v FROM pick1) x),
 more AS (SELECT {by}, rep, sum(x) AS more FROM pick2 JOIN numbered USING ({by}, spot) GROUP BY ALL),
 means AS (SELECT {by}, {value.replace("m", "(CASE WHEN drawn <= n THEN held ELSE 0 END + coalesce(more, 0)) / n")} AS m FROM totals LEFT JOIN more USING ({by}, rep))"""
 

@@ -68,7 +68,11 @@ def test_multinomial_draws_have_the_law_of_resampling(spark):
 
 
 def test_draws_are_even():
-    u = resample.five((resample.five((np.arange(2000)[:, None] * resample.ROW + resample.SHIFT) % resample.P) + np.arange(500) * resample.REP % resample.P) % resample.P) / resample.P
+    first = resample.mixed_array((np.arange(2000, dtype=np.uint64) * np.uint64(resample.ROW) + np.uint64(resample.SHIFT)).astype(np.uint32))
+    whole = resample.mixed_array(first[:, None] + (np.arange(500, dtype=np.uint64) * np.uint64(resample.REP)).astype(np.uint32))
+    for n in (1, 9, 10, 400, 10**6):
+        assert (resample.Counts(n)(whole[:50]) == np.searchsorted(np.array(resample.cuts(n), np.uint64), whole[:50].astype(np.uint64), "right")).all()
+    u = whole / resample.SPAN
     cells = np.histogram(u.ravel(), 100)[0]
     assert ((cells - u.size / 100) ** 2 / (u.size / 100)).sum() < 160
     assert abs(np.corrcoef(u[:-1].ravel(), u[1:].ravel())[0, 1]) < 0.005 and abs(np.corrcoef(u[:, :-1].ravel(), u[:, 1:].ravel())[0, 1]) < 0.005
