@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from math import exp, factorial, lgamma, sqrt
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editloom.functions.special import lgamma as log_gamma
@@ -33,15 +33,8 @@ BELOW, MOST = 3.0, 15
 INTERVAL = {"p025": 0.025, "p16": 0.16, "p84": 0.84, "p975": 0.975}
 
 
-def mixed(x: Column) -> Column:
-    """The mixing of a number below 2**32."""
-    for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(FACTOR).cast("long")).bitwiseAND(F.lit(SPAN - 1))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def mixed_array(x: np.ndarray) -> np.ndarray:
-    """``mixed`` of uint32 numbers, whose products wrap."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The mixing of uint32 numbers, whose products wrap."""
     for _ in range(2):
         x = (x ^ (x >> np.uint32(16))) * np.uint32(FACTOR)
     return x ^ (x >> np.uint32(16))
@@ -92,10 +85,10 @@ def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[
             for key, part in frame.groupby(by, sort=False):
                 n = int(part["__n"].iloc[0])
                 drawn, held, count = np.zeros(replicates), np.zeros(replicates), Counts(n)
-                first = mixed_array((part["__at"].to_numpy().astype(np.uint64) * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))
+                first = mixed((part["__at"].to_numpy().astype(np.uint64) * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))
                 x = part["__x"].to_numpy()
                 for i in range(0, len(x), step):
-                    counts = count(mixed_array(first[i : i + step, None] + shifts))
+                    counts = count(mixed(first[i : i + step, None] + shifts))
                     drawn += counts.sum(0, dtype=np.int64)
                     some = x[i : i + step] != 0
                     held += x[i : i + step][some] @ counts[some].astype(float)
@@ -108,10 +101,18 @@ def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[
     totals = written(each.agg(F.sum("s.drawn").alias("drawn"), F.sum("s.held").alias("held")), new_folder(spark, "resample"))
     fits = F.col("drawn") <= F.col("__n")
     lacking = F.when(fits, F.col("__n") - F.col("drawn").cast("long")).otherwise(F.col("__n"))
-    wrap = lambda c: c.bitwiseAND(F.lit(SPAN - 1))
-    picks = totals.where(lacking > 0).select(*by, "rep", "__n", F.explode(F.sequence(F.lit(1).cast("long"), lacking)).alias("j"))
-    picks = picks.withColumn("h", mixed(wrap(F.col("j") * PICK + SHIFT))).withColumn("h", wrap(F.col("h") + F.col("rep") * REP))
-    picks = picks.select(*by, "rep", (mixed(F.col("h")) % F.col("__n")).alias("__at"))
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in (f.iloc[i : i + 1000] for f in frames for i in range(0, len(f), 1000)):
+            count, n = frame["lacking"].to_numpy(), frame["__n"].to_numpy()
+            at, ends = np.repeat(np.arange(len(frame)), count), np.cumsum(count)
+            j = (np.arange(len(at)) - np.repeat(ends - count, count) + 1).astype(np.uint64)
+            first = mixed((j * np.uint64(PICK) + np.uint64(SHIFT)).astype(np.uint32))
+            reps = (frame["rep"].to_numpy().astype(np.uint64) * np.uint64(REP)).astype(np.uint32)
+            yield frame[[*by, "rep"]].take(at).assign(__at=mixed(first + reps[at]).astype(np.int64) % n[at])
+
+    wanting = totals.select(*by, "rep", "__n", lacking.alias("lacking")).where("lacking > 0").repartition(parts)
+    picks = wanting.mapInPandas(pick, schema + "rep long, __at long")
     more = picks.join(rows.where("__x <> 0").drop("__n"), [*by, "__at"]).groupBy(*by, "rep").agg(F.sum("__x").alias("more"))
     whole = totals.join(more, [*by, "rep"], "left")
     return whole.select(*by, "rep", ((F.when(fits, F.col("held")).otherwise(0.0) + F.coalesce("more", F.lit(0.0))) / F.col("__n")).alias("mean"))

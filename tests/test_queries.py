@@ -15,7 +15,7 @@ from tests.conftest import DATA
 FOLDER = f"{DATA}/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Run once each in other tests, or in the bench alone.
-SLOW = {"l4_gbtr", "l5_logit", "l6_gbtc", "t18_covariate", "t12_mean", "t12_gmean", "t12_median", "t12_bootstrap_poisson", "l10_rare_regress", "l10_rare_classify", "l11_curve"}
+SLOW = {"l4_gbtr", "l5_logit", "l6_gbtc", "t18_covariate", "t12_mean", "t12_gmean", "t12_median", "t12_bootstrap_poisson", "l10_rare_regress", "l10_rare_classify", "l11_curve", "t12_by_length", "t12_gmean_multinomial", "t18_seeds"}
 #: Queries that find nothing on the smallest tables.
 EMPTY: set[str] = set()
 

@@ -68,8 +68,8 @@ def test_multinomial_draws_have_the_law_of_resampling(spark):
 
 
 def test_draws_are_even():
-    first = resample.mixed_array((np.arange(2000, dtype=np.uint64) * np.uint64(resample.ROW) + np.uint64(resample.SHIFT)).astype(np.uint32))
-    whole = resample.mixed_array(first[:, None] + (np.arange(500, dtype=np.uint64) * np.uint64(resample.REP)).astype(np.uint32))
+    first = resample.mixed((np.arange(2000, dtype=np.uint64) * np.uint64(resample.ROW) + np.uint64(resample.SHIFT)).astype(np.uint32))
+    whole = resample.mixed(first[:, None] + (np.arange(500, dtype=np.uint64) * np.uint64(resample.REP)).astype(np.uint32))
     for n in (1, 9, 10, 400, 10**6):
         assert (resample.Counts(n)(whole[:50]) == np.searchsorted(np.array(resample.cuts(n), np.uint64), whole[:50].astype(np.uint64), "right")).all()
     u = whole / resample.SPAN
