@@ -82,6 +82,29 @@ def with_position(features: Column, position: Column, positions: range) -> Colum
     return F.concat(features, F.array(*[F.when(position == p, 1.0).otherwise(0.0) for p in positions]))
 
 
+def scaled_by_position(rows: DataFrame, by: list[str], value: str = "frequency") -> DataFrame:
+    """``scaled``, the value less its position's mean over its deviation (of the whole), among rows above 0; null for the others and
+    where a position's values don't vary. Means and deviations are one aggregation, joined back."""
+    above = rows.where(F.col(value) > 0).groupBy(*by, "position").agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
+    score = F.when((F.col(value) > 0) & (F.col("__std") > 0), (F.col(value) - F.col("__mean")) / F.col("__std"))
+    return rows.join(above, [*by, "position"], "left").withColumn("scaled", score).drop("__mean", "__std")
+
+
+def with_combined(rows: DataFrame, column: str = "celltype", name: str = "Combined") -> DataFrame:
+    """Every row once under its own cell type and once under all of them together."""
+    return rows.withColumn(column, F.explode(F.array(F.col(column), F.lit(name))))
+
+
+def split_counts(rows: DataFrame, by: list[str], target: str = "site") -> DataFrame:
+    """Rows and distinct targets, of all and of either split, beside a motif table's coefficients. Rows are first counted by
+    target and split, so that no task holds a group's targets."""
+    each = rows.groupBy(*by, target).agg(F.count_if(F.col("split") == "train").alias("a"), F.count_if(F.col("split") == "test").alias("b"))
+    return each.groupBy(*by).agg(
+        F.sum(F.col("a") + F.col("b")).alias("rows"), F.sum("a").alias("train_rows"), F.sum("b").alias("test_rows"),
+        F.count("*").alias("targets"), F.count_if(F.col("a") > 0).alias("train_targets"), F.count_if(F.col("b") > 0).alias("test_targets"),
+    )
+
+
 def window_features(window: Column, length: int = 30) -> Column:
     """L1: 0/1 for each place and nucleotide of the window, and the counts of A, C, G and T in it."""
     return F.concat(one_hot(window, length), F.array(*[seq.count_in(window, n).cast("double") for n in NTS]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from editloom.sources.fixtures import NUDGE, Source
 
-MODULES = ("positions", "haplotypes", "indels", "summaries", "resampling", "models", "drivers")
+MODULES = ("positions", "haplotypes", "indels", "summaries", "resampling", "models", "drivers", "opposite", "stored")
 _queries: dict[str, Callable[[Source], DataFrame]] = {}
 _sql: dict[str, str] = {}
 

@@ -231,6 +231,45 @@ def t16_indel_adjust(s: Source) -> DataFrame:
     return rounded(batch.adjust_indels(rows, coefficients, "batch").drop("batch"))
 
 
+FITTED = ANNOT + """,
+fit_rows AS (SELECT g.condition, site, editor, batch, ratio, total_be, 1.0 / count(*) OVER (PARTITION BY g.condition) AS weight FROM good g JOIN v_cond v ON g.condition = v.condition),
+fit_batch AS (SELECT batch, sum(weight) AS w, sum(weight * ln(ratio)) AS wy, coalesce(sum(weight) FILTER (editor = 'BE4'), 0) AS w2, coalesce(sum(weight * ln(ratio)) FILTER (editor = 'BE4'), 0) AS wy2 FROM fit_rows WHERE ratio > 0 GROUP BY ALL),
+fit_editor AS (SELECT coalesce(sum(wy2 - w2 * wy / w) / nullif(sum(w2 - w2 * w2 / w), 0), 0) AS d FROM fit_batch),
+fit AS (SELECT batch, (wy - w2 * d) / w AS b FROM fit_batch, fit_editor)"""
+
+
+def fitted_batches(s: Source) -> DataFrame:
+    """Coefficients of the batches in the two-way fit; only their differences are told by the data, and only these are used."""
+    return models.two_way(by_factors(s), "ratio", ("editor", "batch"), "weight").where("factor = 'batch'").select(F.col("level").alias("batch"), "coefficient")
+
+
+@query("t16_fitted", oracle("""
+SELECT condition, site, batch, round(ratio, 6) AS ratio, round(CASE WHEN ratio > 0 THEN exp(ln(ratio) + (SELECT avg(b) FROM fit) - b) END, 6) AS adjusted FROM fit_rows JOIN fit USING (batch)""", *V, ctes=FITTED))
+def t16_fitted(s: Source) -> DataFrame:
+    """Ratios adjusted by the batch coefficients of their own two-way fit. The SQL eliminates the batches by hand, as the editors are two."""
+    rows = by_factors(s).select("condition", "site", "batch", "ratio")
+    return rounded(batch.adjust_ratio(rows, fitted_batches(s), "batch", "ratio"))
+
+
+@query("t16_editor_summary", oracle("""
+SELECT editor, count(*) AS n, round(exp(avg(ln(x))), 6) AS gmean, round(exp(stddev_pop(ln(x))), 6) AS gstd, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75
+FROM (SELECT editor, exp(ln(ratio) + (SELECT avg(b) FROM fit) - b) AS x FROM fit_rows JOIN fit USING (batch) WHERE ratio > 0) y GROUP BY ALL""", *V, ctes=FITTED))
+def t16_editor_summary(s: Source) -> DataFrame:
+    """The adjusted ratios of each editor over all its conditions."""
+    rows = by_factors(s).select("condition", "site", "editor", "batch", "ratio")
+    return rounded(summary.ratio_summary(batch.adjust_ratio(rows, fitted_batches(s), "batch", "ratio"), "adjusted", ["editor"]))
+
+
+@query("t16_indel_fitted", oracle("""
+SELECT t.condition, t.site, category, indel_start, indel_end, inserted_bases, mh_length, count, round(CASE WHEN category = 'wildtype' THEN count ELSE exp(ln(count) + b - (SELECT avg(b) FROM fit)) END, 6) AS adjusted
+FROM (SELECT * FROM v_h6 WHERE role = 'T') t JOIN v_cond v ON t.condition = v.condition JOIN fit ON v.batch = fit.batch""", *V, ctes=FITTED))
+def t16_indel_fitted(s: Source) -> DataFrame:
+    """Indel counts moved the other way by the coefficients that the ratios were adjusted by."""
+    rows = iq.sides(s)[0].join(F.broadcast(s.v_cond.select("condition", "batch")), "condition")
+    moved = batch.adjust_indels(rows, fitted_batches(s), "batch")
+    return rounded(moved.select("condition", "site", "category", "indel_start", "indel_end", "inserted_bases", "mh_length", "count", "adjusted"))
+
+
 @query("t19_expit", oracle("""
 SELECT condition, site, round(ln(fraction_edited / (1 - fraction_edited)), 6) AS logit, round(1 / (1 + exp(-(2 * ln(fraction_edited / (1 - fraction_edited)) + ln(m / (1 - m))))), 6) AS recalibrated
 FROM (SELECT *, avg(fraction_edited) OVER (PARTITION BY condition) AS m FROM annot) x WHERE fraction_edited > 0 AND fraction_edited < 1""", *V, ctes=ANNOT))

@@ -35,6 +35,19 @@ def store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("condition").parquet(path)
 
 
+def least_qualities(calls: DataFrame) -> DataFrame:
+    """The least Phred score of each condition, site and index; calls without a score don't count."""
+    return calls.where("quality is not null").groupBy("condition", "site", "idx").agg(F.min("quality").alias("quality"))
+
+
+def load_qualities(spark: SparkSession, treated: str, control: str, dim: DataFrame) -> DataFrame:
+    """Condition, site, idx, t_quality, c_quality from the stored side tables of both sides. Only conditions of level L1 have
+    such tables: rows under a name of another level are left out. A place that one side lacks is null there."""
+    l1 = F.broadcast(dim.where("level = 'L1'").select(F.col("name").alias("condition")).distinct())
+    sides = [load(spark, path).select("condition", "site", "idx", F.col("quality").alias(name)) for path, name in ((treated, "t_quality"), (control, "c_quality"))]
+    return sides[0].join(sides[1], ["condition", "site", "idx"], "full").join(l1, "condition", "left_semi")
+
+
 def publish(df: DataFrame, design: DataFrame, **wanted) -> DataFrame:
     """Rows of conditions with the wanted attributes (editor=, celltype=, library=)."""
     keep = design

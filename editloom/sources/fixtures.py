@@ -2,6 +2,7 @@
 
 Sites follow part keys, ten to a site, and reads follow customer keys, so sites, cells and reads grow with the tables; the
 eight conditions are the experiment's design. Quantities stand for five reads each, so that depths are those of a screen.
+``v_g4`` has the positions of the guide, ``v_g4_early`` those before and at its start, ``v_quality`` a Phred score a call of ``v_g4``.
 
 The SQL of each view runs unchanged in Spark and DuckDB, so an oracle can start from the same rows.
 """
@@ -29,6 +30,16 @@ SELECT role, condition, site, idx, idx - pos0_idx AS position, ref_nt, obs_nt, C
   CASE WHEN l_orderkey % 10 < 7 THEN substr(s.seq, 15 + l_linenumber, 1) ELSE substr('ACGT', CAST(1 + (l_orderkey + l_partkey) % 4 AS INT), 1) END AS obs_nt,
   l_quantity * 5 AS qty FROM lineitem JOIN v_site s ON CAST((l_partkey - l_partkey % 10) / 10 AS BIGINT) = s.site) x
  GROUP BY role, condition, site, idx, idx - pos0_idx, ref_nt, obs_nt""",
+    "v_g4_early": """
+SELECT role, condition, site, idx, idx - pos0_idx AS position, ref_nt, obs_nt, CAST(sum(qty) AS DOUBLE) AS count FROM (
+ SELECT CASE WHEN l_linestatus = 'O' THEN 'T' ELSE 'C' END AS role, concat('c', CAST(l_suppkey % 8 AS STRING)) AS condition,
+  s.site AS site, s.pos0_idx AS pos0_idx, 5 + l_linenumber AS idx, substr(s.seq, 6 + l_linenumber, 1) AS ref_nt,
+  CASE WHEN l_orderkey % 10 < 7 THEN substr(s.seq, 6 + l_linenumber, 1) ELSE substr('ACGT', CAST(1 + (l_orderkey + l_partkey) % 4 AS INT), 1) END AS obs_nt,
+  l_quantity * 5 AS qty FROM lineitem JOIN v_site s ON CAST((l_partkey - l_partkey % 10) / 10 AS BIGINT) = s.site) x
+ GROUP BY role, condition, site, idx, idx - pos0_idx, ref_nt, obs_nt""",
+    "v_quality": """
+SELECT CASE WHEN l_linestatus = 'O' THEN 'T' ELSE 'C' END AS role, concat('c', CAST(l_suppkey % 8 AS STRING)) AS condition,
+ CAST((l_partkey - l_partkey % 10) / 10 AS BIGINT) AS site, 14 + l_linenumber AS idx, 34 + CAST(round(l_tax * 100) AS INT) % 7 AS quality FROM lineitem""",
     "v_g5_long": """
 SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' ELSE 'C' END AS role,
  concat('c', CAST(o_custkey % 8 AS STRING)) AS condition, s.site AS site, p.pos AS pos,
@@ -51,7 +62,7 @@ SELECT role, condition, site, category, indel_start, indel_end, indel_length, mh
   CAST(l_quantity * CASE WHEN l_returnflag = 'N' THEN 20 ELSE 1 END AS DOUBLE) AS c FROM lineitem) x
  GROUP BY role, condition, site, category, indel_start, indel_end, indel_length, mh_length, inserted_bases""",
 }
-READS = {"v_cond": ["supplier"], "v_site": ["part"], "v_g4": ["lineitem", "v_site"], "v_g5_long": ["orders", "v_site"], "v_h6": ["lineitem"]}
+READS = {"v_cond": ["supplier"], "v_site": ["part"], "v_g4": ["lineitem", "v_site"], "v_g4_early": ["lineitem", "v_site"], "v_quality": ["lineitem"], "v_g5_long": ["orders", "v_site"], "v_h6": ["lineitem"]}
 
 
 class Source:
