@@ -57,7 +57,9 @@ def training_rows(freq: DataFrame, sites: DataFrame, kinds: DataFrame, drivers:
     cells = freq.withColumn("substitution", F.concat_ws("_", "ref_nt", "obs_nt")).join(members, ["condition", "substitution"])
     cells = cells.where(F.col("position").between(F.col("first"), F.col("last"))).join(sites.select("site", "seq"), "site")
     cells = cells.withColumn("context", seq.context(F.col("seq"), F.col("idx"), F.col("radius"))).where("context is not null")
-    return cells.groupBy("driver", "class", "condition", "site", "position", "context").agg(F.sum("frequency").alias("frequency"))
+    # Sums in another order miss 1 by rounding, and a logit of what misses it would be a row of its own.
+    whole = F.when(F.sum("frequency") > 1 - 1e-12, 1.0).otherwise(F.sum("frequency"))
+    return cells.groupBy("driver", "class", "condition", "site", "position", "context").agg(whole.alias("frequency"))
 
 
 def pivot_substitutions(freq: DataFrame, ref_nt: str = "C") -> DataFrame:

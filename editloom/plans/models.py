@@ -97,7 +97,7 @@ def fitted(s: Source, kind: str) -> DataFrame:
 #: The rows of ``training_sets``, those with a target alone.
 SETS = pq.DENSE + f""",
 driver AS (SELECT * FROM (VALUES {dq.PARAMETERS}) AS x(driver, kind, class, substitution, first, last, radius)),
-cell AS (SELECT driver, class, f.condition, f.site, position, substr(seq, CAST(idx - radius + 1 AS INT), radius) || substr(seq, CAST(idx + 2 AS INT), radius) AS context, sum(count / total) AS frequency
+cell AS (SELECT driver, class, f.condition, f.site, position, substr(seq, CAST(idx - radius + 1 AS INT), radius) || substr(seq, CAST(idx + 2 AS INT), radius) AS context, CASE WHEN sum(count / total) > 1 - 1e-12 THEN 1.0 ELSE sum(count / total) END AS frequency
   FROM freq f JOIN v_cond v ON f.condition = v.condition JOIN driver d ON d.kind = {dq.KIND} AND d.substitution = ref_nt || '_' || obs_nt AND f.position BETWEEN first AND last
   JOIN v_site ON f.site = v_site.site WHERE idx >= radius AND idx + radius < length(seq) GROUP BY ALL),
 train AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM cell WHERE """ + HASH.format(x="'0|' || condition || '_' || site || '_' || position || '_' || class") + """ % 4 < 3)"""
