@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from editloom.functions.special import binom_cdf, binom_minus_binom, binom_sf, f_sf, hash_int, normal_two_sided, pearson, t_two_sided
 from editloom.operators.counts import paired
-from editloom.operators.ranges import value_counts, with_average_rank
+from editloom.operators.ranges import placed, value_counts, with_average_rank
 from editloom.sources.shared import new_folder, written
 
 MUTATION = ["position", "ref_nt", "obs_nt"]
@@ -33,18 +33,20 @@ def sequencing_error(t: DataFrame, quality: DataFrame) -> DataFrame:
 def fdr_flag(df: DataFrame, p: str, by: list[str], order: list[str], alpha: float, mode: str = "pointwise", carve: float | None = 0.995) -> DataFrame:
     """T4: ``accept`` by rank p values. ``pointwise``: each on its own p <= rank / n * alpha; ``step_down``: the
     prefix before the first failure; ``step_up``: everything up to the last success. Rows with p above
-    ``carve`` (or null) don't count in n and are not accepted; ties are broken by ``order``."""
+    ``carve`` (or null) don't count in n and are not accepted; ties are broken by ``order``. Null group columns make a group
+    of their own. Ranks come from ranges (``ranges.placed``), so one group may hold most rows."""
     counts = F.coalesce(F.col(p) <= carve, F.lit(False)) if carve is not None else F.col(p).isNotNull()
-    keys = [*by, "__in"]
-    ranked = Window.partitionBy(*keys).orderBy(p, *order)
-    rows = df.withColumn("__in", counts)
-    rows = rows.withColumn("__rank", F.row_number().over(ranked)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    rows = rows.withColumn("__ok", F.col("__in") & (F.col(p) <= F.col("__rank") / F.col("__n") * alpha))
-    if mode == "step_down":
-        rows = rows.withColumn("__ok", F.min("__ok").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    elif mode == "step_up":
-        rows = rows.withColumn("__ok", F.max("__ok").over(ranked.rowsBetween(0, Window.unboundedFollowing)))
-    return rows.withColumn("accept", F.coalesce("__ok", F.lit(False))).drop("__in", "__rank", "__n", "__ok")
+    # A struct, since fields of structs that are null are equal, as groups are; rows that don't count are a group of their own.
+    group = F.struct(*by, counts.alias("__in"))
+    rows = placed(df.withColumn("__group", group), ["__group"], [p, *order], "__place", "__n")
+    told = F.col("__group.__in") & (F.col(p) <= (F.col("__place") + 1) / F.col("__n") * alpha)
+    rows = rows.withColumn("__ok", F.coalesce(told, F.lit(False)))
+    if mode != "pointwise":
+        edge = F.min(F.when(~F.col("__ok"), F.col("__place"))) if mode == "step_down" else F.max(F.when(F.col("__ok"), F.col("__place")))
+        rows = rows.join(rows.groupBy("__group").agg(edge.alias("__edge")), "__group")  # a row a group
+        kept = F.col("__edge").isNull() | (F.col("__place") < F.col("__edge")) if mode == "step_down" else F.col("__place") <= F.col("__edge")
+        rows = rows.withColumn("__ok", F.col("__group.__in") & F.coalesce(kept, F.lit(False))).drop("__edge")
+    return rows.withColumnRenamed("__ok", "accept").drop("__group", "__place", "__n")
 
 
 def fdr_global(df: DataFrame, p: str, order: list[str], alpha: float, mode: str = "pointwise", carve: float | None = 0.995) -> DataFrame:

@@ -21,6 +21,27 @@ def accepted(df, mode):
     return [r.accept for r in stats.fdr_flag(df, "p", ["condition"], ["k"], 0.05, mode).orderBy("k").collect()]
 
 
+@pytest.mark.parametrize("mode", ["pointwise", "step_down", "step_up"])
+def test_fdr_of_a_hot_group_over_tasks(spark, mode):
+    """One group with nearly all rows, a null group, ties and nulls, against ranks worked out row by row."""
+    draw = random.Random(7)
+    groups = ["hot"] * 3000 + ["b"] * 40 + [None] * 40
+    rows = [(g, i, None if draw.random() < 0.02 else round(draw.random() ** 4, 3)) for i, g in enumerate(groups)]
+    df = spark.createDataFrame(rows, "g string, i int, p double").repartition(6)
+    want = set()
+    for group in ("hot", "b", None):
+        held = sorted((p, i) for g, i, p in rows if g == group and p is not None and p <= 0.995)
+        ok = [p <= (r + 1) / len(held) * 0.2 for r, (p, _) in enumerate(held)]
+        if mode == "step_down":
+            ok = [all(ok[: r + 1]) for r in range(len(ok))]
+        elif mode == "step_up":
+            ok = [any(ok[r:]) for r in range(len(ok))]
+        want |= {i for yes, (_, i) in zip(ok, held) if yes}
+    told = stats.fdr_flag(df, "p", ["g"], ["i"], 0.2, mode)
+    assert told.columns == ["g", "i", "p", "accept"] and told.count() == len(rows)
+    assert want and {r.i for r in told.where("accept").collect()} == want
+
+
 def test_fdr_modes(spark):
     df = p_values(spark, [0.001, 0.04, 0.03, 0.2])
     assert accepted(df, "pointwise") == [True, False, False, False] and accepted(df, "step_down") == [True, False, False, False]
