@@ -26,7 +26,9 @@ cell AS (SELECT driver, class, f.condition, f.site, CAST(f.position AS INT) AS p
 scaled AS (SELECT *, CASE WHEN {NAMED} < 3 THEN 'train' ELSE 'test' END AS split,
   CASE WHEN frequency > 0 AND stddev_pop(frequency) FILTER (frequency > 0) OVER w > 0 THEN (frequency - avg(frequency) FILTER (frequency > 0) OVER w) / stddev_pop(frequency) FILTER (frequency > 0) OVER w END AS scaled
   FROM cell WINDOW w AS (PARTITION BY driver, class, condition, position)),
-fit AS (SELECT * FROM scaled WHERE scaled IS NOT NULL AND split = 'train')"""
+aimed AS (SELECT *, CASE WHEN driver = 'opposite_context' THEN scaled WHEN frequency > 0 AND frequency < 1 THEN ln(frequency / (1 - frequency)) END AS aim,
+  CASE WHEN driver = 'opposite_context' THEN context ELSE context || substr('abcde', position + 5, 1) END AS text FROM scaled),
+fit AS (SELECT * FROM aimed WHERE aim IS NOT NULL AND split = 'train')"""
 
 
 def rows(s: Source) -> DataFrame:
@@ -38,26 +40,40 @@ def rows(s: Source) -> DataFrame:
     return training.scaled_by_position(sets, GROUP).withColumn("split", models.split(F.concat_ws("_", "condition", "site", "position", "class")))
 
 
-@query("l10_opposite_rows", oracle("SELECT driver, class, condition, site, position, context, split, round(frequency, 6) AS frequency, round(scaled, 5) AS scaled FROM scaled", "v_g4_early", "v_cond", ctes=EARLY))
+LETTERS = "ACGTabcde"
+
+
+def aimed(s: Source) -> DataFrame:
+    """``rows`` with ``aim`` and ``text``: one driver fits the scaled frequency on the context alone, the other the logit of frequencies between
+    0 and 1 on the context and the position, which stands behind it as a letter of its own."""
+    alone = F.col("driver") == "opposite_context"
+    place = F.substring(F.lit("abcde"), F.col("position") + 5, F.lit(1))
+    return rows(s).withColumns({
+        "aim": F.when(alone, F.col("scaled")).otherwise(seq.logit(F.col("frequency"))), "text": F.when(alone, F.col("context")).otherwise(F.concat("context", place)),
+    })
+
+
+@query("l10_opposite_rows", oracle("SELECT driver, class, condition, site, position, text, split, round(frequency, 6) AS frequency, round(scaled, 5) AS scaled, round(aim, 5) AS aim FROM aimed", "v_g4_early", "v_cond", ctes=EARLY))
 def l10_opposite_rows(s: Source) -> DataFrame:
-    return rounded(rows(s).withColumn("scaled", F.round(F.col("scaled") + 1e-10, 5)))
+    near = {c: F.round(F.col(c) + 1e-10, 5) for c in ("scaled", "aim")}
+    return rounded(aimed(s).withColumns(near).drop("context"))
 
 
 @query("l10_opposite_residuals", oracle("""
-SELECT driver, class, condition, CAST(i AS VARCHAR) || substr(context, CAST(i + 1 AS INT), 1) AS feature, 0.0 AS residual FROM fit, (SELECT unnest(range(0, 12)) AS i) r WHERE i < length(context) GROUP BY ALL
+SELECT driver, class, condition, CAST(i AS VARCHAR) || substr(text, CAST(i + 1 AS INT), 1) AS feature, 0.0 AS residual FROM fit, (SELECT unnest(range(0, 13)) AS i) r WHERE i < length(text) GROUP BY ALL
 UNION ALL SELECT DISTINCT driver, class, condition, 'intercept', 0.0 FROM fit""", "v_g4_early", "v_cond", ctes=EARLY))
 def l10_opposite_residuals(s: Source) -> DataFrame:
-    """What the fits of the scaled frequencies on the context leave of their normal equations: nothing."""
-    table = written(learners.cells(rows(s), GROUP, "context", "scaled"), new_folder(s.spark, "opposite"))
-    return rounded(learners.ridge_slopes(table, GROUP, learners.ridge_fits(table, GROUP)))
+    """What both drivers' linear fits leave of their normal equations: nothing."""
+    table = written(learners.cells(aimed(s), GROUP, "text", "aim"), new_folder(s.spark, "opposite"))
+    return rounded(learners.ridge_slopes(table, GROUP, learners.ridge_fits(table, GROUP, LETTERS), LETTERS))
 
 
 @query("l10_opposite_metrics")
 def l10_opposite_metrics(s: Source) -> DataFrame:
-    """How ridge and trees on the context tell the scaled frequency, by driver, class, condition and split."""
-    sets = written(rows(s), new_folder(s.spark, "opposite"))
-    told = [learners.learn_groups(sets, GROUP, kind, "context", "scaled").withColumn("model", F.lit(kind)) for kind in ("ridge", "gbt_regressor")]
-    return stats.correlation(told[0].unionByName(told[1]), "predicted", "scaled", ["model", *GROUP, "split"])
+    """How ridge and trees tell what the drivers aim at, by driver, class, condition and split."""
+    sets = written(aimed(s), new_folder(s.spark, "opposite"))
+    told = [learners.learn_groups(sets, GROUP, kind, "text", "aim", LETTERS).withColumn("model", F.lit(kind)) for kind in ("ridge", "gbt_regressor")]
+    return stats.correlation(told[0].unionByName(told[1]), "predicted", "aim", ["model", *GROUP, "split"])
 
 
 MOTIF = ["editor", "class"]
