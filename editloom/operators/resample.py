@@ -15,6 +15,7 @@ place, and again of that with the replicate.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import exp, factorial, lgamma, sqrt
 
 import numpy as np
@@ -70,8 +71,32 @@ class Counts:
         return out
 
 
-def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, block: int = 1 << 18) -> DataFrame:
-    """``by``, rep, mean: the means of resamples of each group's rows with a value."""
+@lru_cache(maxsize=256)
+def counts_of(n: int) -> Counts:
+    return Counts(n)
+
+
+def picked_blocks(frame, by: list[str], block: int, chunk: int = 1 << 20) -> Iterator[list]:
+    """``by``, number of the block of places, replicates and places in it: the picks that one group's rows (rep, lacking, __n) ask for."""
+    key, n = frame[by].iloc[0].tolist(), int(frame["__n"].iloc[0])
+    count, reps = frame["lacking"].to_numpy(), frame["rep"].to_numpy()
+    ends = np.cumsum(count)
+    for begin in range(0, int(ends[-1]), chunk):
+        at = np.arange(begin, min(begin + chunk, int(ends[-1])))
+        row = np.searchsorted(ends, at, "right")
+        j = (at - (ends - count)[row] + 1).astype(np.uint64)
+        first = mixed((j * np.uint64(PICK) + np.uint64(SHIFT)).astype(np.uint32))
+        shift = (reps[row].astype(np.uint64) * np.uint64(REP)).astype(np.uint32)
+        places = mixed(first + shift).astype(np.int64) % n
+        order = np.argsort(places // block, kind="stable")
+        numbers, starts = np.unique(places[order] // block, return_index=True)
+        for number, some in zip(numbers.tolist(), np.split(order, starts[1:])):
+            yield [*key, number, reps[row[some]].astype(np.int32), (places[some] % block).astype(np.int32)]
+
+
+def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, block: int = 1 << 18, places: int = 1 << 15) -> DataFrame:
+    """``by``, rep, mean: the means of resamples of each group's rows with a value. ``places``: of how many neighbouring places a task adds up
+    the picks, at most some three square roots of it a replicate."""
     import pandas as pd
 
     spark, kinds = df.sparkSession, dict(df.dtypes)
@@ -80,41 +105,66 @@ def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[
 
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shifts = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(REP)).astype(np.uint32)
-        step = max(1, block // replicates)
+        step, most, sums = max(1, block // replicates), max(1, (1 << 22) // replicates), {}
+        out = lambda: pd.DataFrame([(*key, n, *held) for (n, *key), held in sums.items()], columns=[*by, "__n", "drawn", "held"])
         for frame in frames:
-            for key, part in frame.groupby(by, sort=False):
-                n = int(part["__n"].iloc[0])
-                drawn, held, count = np.zeros(replicates), np.zeros(replicates), Counts(n)
-                first = mixed((part["__at"].to_numpy().astype(np.uint64) * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))
-                x = part["__x"].to_numpy()
-                for i in range(0, len(x), step):
+            for n, same in frame.groupby("__n", sort=False):
+                # Groups of as many rows draw alike, so a place is drawn once for all that are here.
+                count, (spots, spot) = counts_of(int(n)), np.unique(same["__at"].to_numpy(), return_inverse=True)
+                first = mixed((spots.astype(np.uint64) * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))
+                # A row at a place's number among these; a group has a place once.
+                parts = [(key, spot[at], same["__x"].to_numpy()[at]) for key, at in same.groupby(by, sort=False).indices.items()]
+                parts = [(key if isinstance(key, tuple) else (key,), at[order], x[order]) for key, at, x in parts for order in [np.argsort(at)]]
+                for i in range(0, len(spots), step):
                     counts = count(mixed(first[i : i + step, None] + shifts))
-                    drawn += counts.sum(0, dtype=np.int64)
-                    some = x[i : i + step] != 0
-                    held += x[i : i + step][some] @ counts[some].astype(float)
-                yield pd.DataFrame([(*key, n, drawn, held)], columns=[*by, "__n", "drawn", "held"])
+                    real = counts.astype(float)
+                    for key, at, x in parts:
+                        lo, hi = np.searchsorted(at, [i, i + step])
+                        if lo == hi:
+                            continue
+                        if (n, *key) not in sums:
+                            sums[n, *key] = np.zeros(replicates), np.zeros(replicates)
+                        drawn, held = sums[n, *key]
+                        here, some = at[lo:hi] - i, np.flatnonzero(x[lo:hi])
+                        drawn += counts.sum(0, dtype=np.int64) if len(here) == len(counts) else counts[here].sum(0, dtype=np.int64)
+                        held += x[lo:hi][some] @ real[here[some]]
+                if len(sums) >= most:
+                    yield out()
+                    sums.clear()
+        if sums:
+            yield out()
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in by)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = rows.repartition(parts, "__at").mapInPandas(weigh, schema + "__n long, drawn array<double>, held array<double>")
+    sums = rows.repartition(parts, "__at").sortWithinPartitions("__at").mapInPandas(weigh, schema + "__n long, drawn array<double>, held array<double>")
     each = sums.select(*by, "__n", F.posexplode(F.arrays_zip("drawn", "held")).alias("rep", "s")).groupBy(*by, "__n", (F.col("rep") + 1).cast("long").alias("rep"))
     totals = written(each.agg(F.sum("s.drawn").alias("drawn"), F.sum("s.held").alias("held")), new_folder(spark, "resample"))
     fits = F.col("drawn") <= F.col("__n")
     lacking = F.when(fits, F.col("__n") - F.col("drawn").cast("long")).otherwise(F.col("__n"))
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (f.iloc[i : i + 1000] for f in frames for i in range(0, len(f), 1000)):
-            count, n = frame["lacking"].to_numpy(), frame["__n"].to_numpy()
-            at, ends = np.repeat(np.arange(len(frame)), count), np.cumsum(count)
-            j = (np.arange(len(at)) - np.repeat(ends - count, count) + 1).astype(np.uint64)
-            first = mixed((j * np.uint64(PICK) + np.uint64(SHIFT)).astype(np.uint32))
-            reps = (frame["rep"].to_numpy().astype(np.uint64) * np.uint64(REP)).astype(np.uint32)
-            yield frame[[*by, "rep"]].take(at).assign(__at=mixed(first + reps[at]).astype(np.int64) % n[at])
-
+        for frame in frames:
+            for _, part in frame.groupby(by, sort=False):
+                for row in picked_blocks(part, by, places):
+                    yield pd.DataFrame([row], columns=[*by, "__block", "reps", "ats"])
+
+    def add(picks: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros(replicates + 1)
+        if len(picks) and len(values):
+            x = np.zeros(places)
+            x[values["__at"].to_numpy() % places] = values["__x"].to_numpy()
+            for reps, ats in zip(picks["reps"], picks["ats"]):
+                sums += np.bincount(reps, x[ats], replicates + 1)
+        found = np.flatnonzero(sums)
+        key = {c: pd.Series([picks[c].iloc[0]] * len(found), dtype=object) for c in by if len(found)}  # plain: strings of other kinds come in chunks
+        return pd.DataFrame(key | {"rep": found, "more": sums[found]}, columns=[*by, "rep", "more"])
+
+    # Picks and rows meet by block of places: a join of single picks would be sent whole to every task while its tables look small.
     wanting = totals.select(*by, "rep", "__n", lacking.alias("lacking")).where("lacking > 0").repartition(parts)
-    picks = wanting.mapInPandas(pick, schema + "rep long, __at long")
-    more = picks.join(rows.where("__x <> 0").drop("__n"), [*by, "__at"]).groupBy(*by, "rep").agg(F.sum("__x").alias("more"))
-    whole = totals.join(more, [*by, "rep"], "left")
+    picks = wanting.mapInPandas(pick, schema + "__block long, reps array<int>, ats array<int>")
+    values = rows.where("__x <> 0").select(*by, F.floor(F.col("__at") / places).alias("__block"), "__at", "__x")
+    met = picks.groupBy(*by, "__block").cogroup(values.groupBy(*by, "__block")).applyInPandas(add, schema + "rep long, more double")
+    whole = totals.join(met.groupBy(*by, "rep").agg(F.sum("more").alias("more")), [*by, "rep"], "left")
     return whole.select(*by, "rep", ((F.when(fits, F.col("held")).otherwise(0.0) + F.coalesce("more", F.lit(0.0))) / F.col("__n")).alias("mean"))
 
 

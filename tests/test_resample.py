@@ -67,6 +67,16 @@ def test_multinomial_draws_have_the_law_of_resampling(spark):
     assert told["b"] == (3.0, 0.0) and told["c"][0] == pytest.approx(3.0, abs=0.12) and told["c"][1] == pytest.approx(2 / 2**0.5, rel=0.05)
 
 
+def test_picks_are_added_up_by_blocks_of_places(spark):
+    """No pick is joined as a row, which a small table's estimate would have broadcast; blocks of any size give the same means."""
+    df = spark.createDataFrame([("ab"[i % 3 == 0], i, float(i % 7)) for i in range(900)], "g string, i int, v double").repartition(5)
+    means = resample.multinomial_means(df, "v", ["g"], ["i"], 50, places=64)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and plan.count("Join") == 1  # of the replicates' sums
+    told = {(r.g, r.rep): r["mean"] for r in resample.multinomial_means(df, "v", ["g"], ["i"], 50, block=200).collect()}
+    assert len(told) == 100 and {(r.g, r.rep): r["mean"] for r in means.collect()} == pytest.approx(told, abs=1e-12)
+
+
 def test_draws_are_even():
     first = resample.mixed((np.arange(2000, dtype=np.uint64) * np.uint64(resample.ROW) + np.uint64(resample.SHIFT)).astype(np.uint32))
     whole = resample.mixed(first[:, None] + (np.arange(500, dtype=np.uint64) * np.uint64(resample.REP)).astype(np.uint32))
