@@ -57,8 +57,9 @@ def cuts(n: int) -> list[int]:
 class Counts:
     """How often draws leave a row, from a table by their upper 16 bits; only where a cut falls inside are all bits looked at."""
 
-    def __init__(self, n: int) -> None:
-        self.edges = np.array(cuts(n), np.uint64)
+    def __init__(self, n: int | list[int]) -> None:
+        """For groups of ``n`` rows, or by cuts of one's own."""
+        self.edges = np.array(n if isinstance(n, list) else cuts(n), np.uint64)
         begin = np.arange(1 << 16, dtype=np.uint64) << np.uint64(16)
         self.table = np.searchsorted(self.edges, begin, "right").astype(np.uint8)
         self.split = self.table != np.searchsorted(self.edges, begin + np.uint64(0xFFFF), "right")

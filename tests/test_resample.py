@@ -1,5 +1,6 @@
 """Order within groups by ranges, and resampling without joining draws with rows."""
 
+import hashlib
 import itertools
 from math import comb
 
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from editloom.operators import ranges, resample
+from editloom.functions.draws import Draws
+from editloom.operators import ranges, resample, stats
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +125,37 @@ def test_intervals_by_kind(spark):
     df = spark.createDataFrame([("g", i, float(2 ** (i % 3))) for i in range(300)] + [("g", 300, -1.0)], "g string, i int, v double")
     row = resample.bootstrap_means(df, "v", ["g"], ["i"], 400, "gmean").first()
     assert row.p025 < row.p16 < 2.0 < row.p84 < row.p975 and row.p975 - row.p025 < 0.5
+
+
+def hashed(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def test_draws_of_many_texts_are_those_of_md5():
+    ends = [*map(str, range(0, 3000, 7)), "", "c1|12", "x" * 47, "y" * 60, "é"]
+    draws = Draws([e.encode() for e in ends])
+    for begin in ("boot|1|", "boot|12|", "boot|123|", "boot|1234|", ""):
+        assert draws(begin.encode()).tolist() == [hashed(begin + e) for e in ends]
+
+
+@pytest.mark.parametrize("kind", ["mean", "gmean", "median"])
+def test_resamples_of_held_and_of_joined_groups_agree(spark, kind):
+    """A group's draws are numbers in a task up to a bound, and rows beyond it; both give the same intervals."""
+    rows = [("ab"[i % 3 == 0], i, float(i * 37 % 101)) for i in range(90)] + [("c", 0, 2.5), ("a", 99, None), (None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(3)
+    some, none = (stats.bootstrap(df, "v", ["g"], ["i"], 40, kind, held=held).orderBy("g").collect() for held in (40, 0))
+    assert [r.g for r in some] == ["a", "b", "c"]
+    for x, y in zip(some, none):
+        assert list(x)[1:] == pytest.approx(list(y)[1:], abs=1e-12)
+
+
+def test_poisson_weights_are_those_of_each_row(spark):
+    rows = [("a", i, float(i % 7)) for i in range(40)] + [(None, i, 2.0 * i) for i in range(3)] + [("a", 99, None)]
+    row = {r.g: r for r in stats.bootstrap_poisson(spark.createDataFrame(rows, "g string, i int, v double").repartition(3), "v", ["g"], ["g", "i"], 60).collect()}
+    cuts = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(8)])
+    for g in ("a", None):
+        means = []
+        for rep in range(1, 61):
+            w = [(sum((hashed("|".join(["boot", str(rep), *([g] if g else []), str(i)])) + 0.5) / 2**32 > cuts), v) for h, i, v in rows if h == g and v is not None]
+            means += [sum(n * v for n, v in w) / sum(n for n, _ in w)] if any(n for n, _ in w) else []
+        assert list(row[g])[1:] == pytest.approx(list(np.quantile(means, [0.025, 0.16, 0.84, 0.975])), abs=1e-9)
