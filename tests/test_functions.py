@@ -86,3 +86,17 @@ def test_small_text_functions(spark):
         run=seq.run_length(F.lit("CCC"), F.lit(2)), none=seq.run_length(F.lit("CCA"), F.lit(2)), a=seq.label(F.lit(10), 11), b=seq.label(F.lit(11), 11), x=seq.logit(F.lit(1.0)), y=seq.expit(F.lit(0.0)),
     )
     assert (row.c, row.d, row.rc, row.run, row.none, row.a, row.b, row.x, row.y) == (None, "ACTA", "ACCGT", 3, 0, "-1", "+1", None, 0.5)
+
+
+def test_tails_of_batches_equal_those_of_columns(spark):
+    import random
+
+    from editloom.functions import special, tails
+
+    draw = random.Random(5)
+    rows = [(float(draw.randint(1, 60)), 10.0 ** -draw.uniform(1, 4), 10.0 ** -draw.uniform(1, 4), float(draw.randint(100, 3000)), draw.expovariate(0.3)) for _ in range(200)] + [(5.0, 0.01, 0.01, 300.0, None)]
+    df = spark.createDataFrame(rows, "k double, t double, c double, n double, f double")
+    pairs = [(m.binom_minus_binom(F.col("k"), F.col("t"), F.col("c"), F.col("n")), m.f_sf(F.col("f"), F.col("k"), F.col("n"))) for m in (special, tails)]
+    for r in df.select(*[c.alias(f"{i}{j}") for i, both in enumerate(pairs) for j, c in enumerate(both)]).collect():
+        assert r["10"] == pytest.approx(r["00"], abs=1e-10)
+        assert (r["11"] is None) == (r["01"] is None) and (r["01"] is None or r["11"] == pytest.approx(r["01"], rel=1e-9, abs=1e-13))

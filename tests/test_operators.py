@@ -287,3 +287,14 @@ def test_ridge_of_groups_against_numpy(spark):
         assert np.allclose([got[g, names[i]] for i in has] + [got[g, "intercept"]], want)
     left = models.ridge_residuals(df, "g", "x", "y", names, fit).collect()
     assert len(left) == 11 and max(abs(r.residual) for r in left) < 1e-9
+
+
+def test_indels_tied_but_for_rounding_are_ranked_by_site(spark):
+    shares = [0.1, 0.1 + 1 / 30, 0.2, 0.3, 0.15, 0.25]
+    rows = [(f"c{i}", s, kind, *((7, 8, 1, 0, "T") if kind == "ins" else (None,) * 5), scale * (x if kind == "ins" else 1 - x)) for s, scale in enumerate((1.0, 3.0, 7.0, 0.1, 0.3, 11.0, 1 / 3, 0.7)) for i, x in enumerate(shares) for kind in ("ins", "wildtype")]
+    df = spark.createDataFrame(rows, "condition string, site long, category string, indel_start int, indel_end int, indel_length int, mh_length int, inserted_bases string, count double")
+    conditions = spark.createDataFrame([(f"c{i}", f"b{i // 2}") for i in range(6)], "condition string, batch string")
+    p = [r.p_value for r in batch.indel_anova(df, conditions).collect()]
+    assert len(p) == 8 and max(p) - min(p) < 1e-12
+    tests, found = batch.indel_batch_effects(df, conditions, alpha=p[0] * 8 / 4.5)
+    assert {r.site for r in tests.where("accept").collect()} == {4, 5, 6, 7} == {r.site for r in found.collect()}
