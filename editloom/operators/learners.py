@@ -268,7 +268,7 @@ def boosted(table: DataFrame, by: list[str], classify: bool, letters: str = LETT
         # Sorted cells: sums do not depend on how they were partitioned.
         group = group.sort_values("context", ignore_index=True)
         n, y = group["n"].to_numpy(), group["y"].to_numpy()
-        found = trees.boosted(trees.encoded(group["context"], letters), n, y, classify, count) if n.any() else None
+        found = trees.boosted(trees.encoded(group["context"], letters, np.uint8), n, y, classify, count) if n.any() else None
         return group[[*by, "context"]].assign(predicted=found)
 
     schema = _schema(table, by) + "context string, predicted double"
