@@ -12,7 +12,7 @@ trees: same sums, same gain, the first feature among those within a billionth of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark import cloudpickle
@@ -123,19 +123,22 @@ def ridge_curve(table: DataFrame, by: list[str], part: str, parts: int, letters:
                 out.append((*key, i, int(left[-1, -1]), np.linalg.lstsq(left + np.diag(penalty), right, rcond=None)[0]))
         return pd.DataFrame(out, columns=[*by, part, "rows", "w"])
 
-    return _sums(table.where("n > 0"), [*by, part], letters, None).groupBy(*by).applyInPandas(solve, _schema(table, by) + f"`{part}` int, rows long, w array<double>")
+    cells = table.where("n > 0").sortWithinPartitions(*by, part)
+    return _sums(cells, [*by, part], letters, None).groupBy(*by).applyInPandas(solve, _schema(table, by) + f"`{part}` int, rows long, w array<double>")
 
 
 def ridge_fits(table: DataFrame, by: list[str], letters: str = LETTERS, alpha: float = 1.0) -> DataFrame:
     """L3: ``by`` and w, the coefficients of the features and the constant, of the groups of ``cells`` with training rows."""
-    return _solved(table.where("n > 0"), by, letters, None, alpha).select(*by, F.col("solution").alias("w"))
+    return _solved(table.where("n > 0").sortWithinPartitions(*by), by, letters, None, alpha).select(*by, F.col("solution").alias("w"))
 
 
 def logistic_fits(table: DataFrame, by: list[str], letters: str = LETTERS, penalty: float = 1.0, slope: float = 1e-8, most: int = 200) -> DataFrame:
     """``by`` and w, by damped Newton steps on reweighted sums, a job a step for all groups that have not come to rest.
-    The driver holds the coefficients of every group. A group of one label has an infinite constant alone."""
+    The driver holds the coefficients of every group. A group of one label has an infinite constant alone. ``table``, best a stored one, is
+    first dealt by ranges of group and text, so that a task meets few groups and as many cells as any other."""
     folder = new_folder(table.sparkSession, "newton")
-    train = written(table.where("n > 0"), folder)
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    train = written(table.where("n > 0").repartitionByRange(parts, *by, "context").sortWithinPartitions(*by), folder)
     sizes = train.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.max(F.length("context")).alias("length")).collect()  # a row a group
     key = lambda r: tuple(r[c] for c in by)
     fits, trial = {}, {}
@@ -178,19 +181,54 @@ def expit(x: Column) -> Column:
 
 def ridge_slopes(table: DataFrame, by: list[str], fits: DataFrame, letters: str = LETTERS, alpha: float = 1.0) -> DataFrame:
     """``by``, feature, residual: what ridge fits leave of their normal equations."""
-    return _slopes(table.where("n > 0").join(fits.select(*by, "w"), by), by, lambda score: F.col("n") * score - F.col("y"), letters, alpha)
+    return _slopes(table, by, fits, lambda score, n, y: n * score - y, letters, alpha)
 
 
-def _slopes(rows: DataFrame, by: list[str], left, letters: str, penalty: float) -> DataFrame:
-    each = rows.select(*by, "w", left(linear(F.col("context"), F.col("w"), letters)).alias("left"), F.explode(F.concat(active(F.col("context"), letters), F.array(F.lit(-1)))).alias("f"))
-    sums = each.groupBy(*by, "f").agg(F.sum("left").alias("slope"), F.first(F.when(F.col("f") >= 0, F.get("w", F.col("f"))).otherwise(0.0)).alias("b"))
-    return sums.select(*by, feature_name(F.col("f"), letters).alias("feature"), (F.col("slope") + penalty * F.col("b")).alias("residual"))
+def curve_slopes(table: DataFrame, by: list[str], part: str, parts: int, fits: DataFrame, letters: str = LETTERS, alpha: float = 1.0) -> DataFrame:
+    """``by``, part, feature, residual: what the fits of ``ridge_curve`` leave of their normal equations on all the cells that each was given. A
+    cell meets the fits of its own and of all later parts where it lies."""
+    later = lambda key: [(*key[:-1], i) for i in range(key[-1], parts + 1)]
+    return _slopes(table, [*by, part], fits, lambda score, n, y: n * score - y, letters, alpha, later)
 
 
 def logistic_slopes(table: DataFrame, by: list[str], fits: DataFrame, letters: str = LETTERS, penalty: float = 1.0) -> DataFrame:
     """``by``, feature, residual: the slope of the penalised loss that a fit leaves, of groups with both labels."""
-    rows = table.where("n > 0").join(fits.where(F.abs(F.element_at("w", -1)) < float("inf")), by)
-    return _slopes(rows, by, lambda score: F.col("n") * expit(score) - F.col("y"), letters, penalty)
+    told = fits.where(F.abs(F.element_at("w", -1)) < float("inf"))
+    return _slopes(table, by, told, lambda score, n, y: n * trees.sigmoid(score) - y, letters, penalty)
+
+
+def _slopes(table: DataFrame, by: list[str], fits: DataFrame, left: Callable, letters: str, penalty: float, met: Callable[[tuple], list[tuple]] = lambda key: [key]) -> DataFrame:
+    """``by``, feature, residual, of the features that a group has. The driver holds the coefficients of every group; ``met`` gives the
+    groups whose fits a cell counts for, and tasks give out sums a group and feature, never a row a cell."""
+    import pandas as pd
+
+    held = {tuple(r[c] for c in by): np.array(r["w"]) for r in fits.select(*by, "w").collect()}  # a row a group
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, part in frame.groupby(by, sort=False):
+                keys = [k for k in met(key) if k in held]
+                if not keys:
+                    continue
+                x = np.column_stack([trees.encoded(part["context"], letters), np.ones(len(part))])
+                score = x @ np.column_stack([held[k] for k in keys])
+                slopes, seen = x.T @ left(score, part[["n"]].to_numpy(), part[["y"]].to_numpy()), x.sum(0)
+                for k, slope in zip(keys, slopes.T):
+                    told = np.concatenate([slope, seen])
+                    found[k] = found[k] + told if k in found else told
+        if found:
+            yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=[*by, "sums"])
+
+    def named(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        slope, seen = np.split(trees.added(parts["sums"]), 2)
+        slope[:-1] += penalty * held[key][:-1]
+        name = lambda i: "intercept" if i == len(slope) - 1 else f"{i // len(letters)}{letters[i % len(letters)]}"
+        return pd.DataFrame([(*key, name(i), slope[i]) for i in np.flatnonzero(seen).tolist()], columns=[*by, "feature", "residual"])
+
+    cells = table.where("n > 0").select(*by, "context", "n", "y").sortWithinPartitions(*by)
+    sums = cells.mapInPandas(partial, _schema(table, by) + "sums array<double>")
+    return sums.groupBy(*by).applyInPandas(named, _schema(table, by) + "feature string, residual double")
 
 
 def _best(hist: DataFrame, keys: list[str]) -> DataFrame:

@@ -253,8 +253,7 @@ def l11_curve_residuals(s: Source) -> DataFrame:
     """What the fits of the learning curve leave of their normal equations on all rows that they were given: nothing."""
     table = written(curve_cells(curve_rows(s)), new_folder(s.spark, "curve"))
     fits = learners.ridge_curve(table, CURVE, "tenths", 10)
-    runs = table.withColumn("tenths", F.explode(F.sequence("tenths", F.lit(10))))
-    return rounded(learners.ridge_slopes(runs, [*CURVE, "tenths"], fits))
+    return rounded(learners.curve_slopes(table, CURVE, "tenths", 10, fits))
 
 
 def mutation_activity(s: Source) -> DataFrame:

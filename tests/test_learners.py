@@ -160,3 +160,39 @@ def test_trees_on_bytes_hold_few_features_as_doubles():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40_000 * 80 * 8 and np.allclose(got, trees.boosted(trees.encoded(texts), n, y, False, 2), atol=1e-12)
+
+
+def test_slopes_send_no_row_a_cell_and_feature(spark, frame):
+    """What is left at arbitrary coefficients equals a plain sum, and no cell is written out by feature on the way."""
+    table = learners.cells(frame, ["grp"], "context", "y").cache()
+    draw = np.random.default_rng(7)
+    w = {g: draw.normal(size=4 * n + 1) for g, n in (("one", 3), ("two", 3), ("long", 5))}
+    fits = spark.createDataFrame([(g, v.tolist()) for g, v in w.items()], "grp string, w array<double>")
+    got = learners.ridge_slopes(table, ["grp"], fits, alpha=2.0)
+    assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.grp, r.feature): r.residual for r in got.collect()}
+    for g, v in w.items():
+        part = [r for r in table.where(F.col("n") > 0).collect() if r.grp == g]
+        x = np.column_stack([trees.encoded([r.context for r in part]), np.ones(len(part))])
+        left = x.T @ (np.array([r.n for r in part]) * (x @ v) - np.array([r.y for r in part])) + 2.0 * np.append(v[:-1], 0)
+        names = [f"{i // 4}{'ACGT'[i % 4]}" for i in range(len(v) - 1)] + ["intercept"]
+        assert {f: found[g, f] for f in names if (g, f) in found} == pytest.approx({f: y for f, y, n in zip(names, left, x.sum(0)) if n})
+
+
+def test_curve_slopes_are_those_of_the_rows_of_each_share(spark, frame):
+    """Cells by tenth, met by the fits of later tenths, leave what the cells written out for each share leave."""
+    tenths = frame.where("split = 'train'").withColumn("tenths", (F.col("i") % 7 + 2).cast("int"))
+    table = learners.cells(tenths, ["grp", "tenths"], "context", "y").cache()
+    fits = learners.ridge_curve(table, ["grp"], "tenths", 10).withColumn("w", F.transform("w", lambda b, i: b + i / 10)).cache()
+    runs = table.withColumn("tenths", F.explode(F.sequence("tenths", F.lit(10))))
+    told = lambda df: {(r.grp, r.tenths, r.feature): r.residual for r in df.collect()}
+    assert told(learners.curve_slopes(table, ["grp"], "tenths", 10, fits)) == pytest.approx(told(learners.ridge_slopes(runs, ["grp", "tenths"], fits)))
+
+
+def test_newton_steps_meet_few_groups_a_task(spark, monkeypatch):
+    """The cells of the steps are dealt by ranges of group and text, so that a task's sums do not hold every group."""
+    rows = [(f"g{g:02}", t, "train", float((i + g) % 2)) for g in range(24) for i, t in enumerate(TEXTS)]
+    table = learners.cells(spark.createDataFrame(rows, "grp string, context string, split string, y double").repartition(4), ["grp"], "context", "y")
+    seen, plain = [], learners._solved
+    monkeypatch.setattr(learners, "_solved", lambda train, *rest: seen.append(train.groupBy(F.input_file_name()).agg(F.count_distinct("grp").alias("n")).agg(F.max("n")).first()[0]) or plain(train, *rest))
+    assert learners.logistic_fits(table, ["grp"]).count() == 24 and max(seen) <= 12
