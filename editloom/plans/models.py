@@ -110,7 +110,7 @@ SELECT driver, class, condition, feature, 0.0 AS residual FROM mixed JOIN (
 UNION ALL SELECT driver, class, condition, 'intercept', 0.0 FROM mixed""", "v_g4", "v_cond", ctes=SETS).replace("\n\n, mixed", ",\nmixed"))
 def l5_residuals(s: Source) -> DataFrame:
     """What logistic fits leave of the slope of their penalised loss: nothing."""
-    table = learners.cells(training_sets(s), GROUP, "context", "label")
+    table = written(learners.cells(training_sets(s), GROUP, "context", "label"), new_folder(s.spark, "logistic"))
     return rounded(learners.logistic_slopes(table, GROUP, learners.logistic_fits(table, GROUP)))
 
 
