@@ -177,9 +177,9 @@ RARE = ["fraction", "condition"]
 PLACES = range(3, 9)
 
 
-def rare(s: Source, kind: str) -> DataFrame:
-    """Rows of the outcome fractions of C with predictions, one fit a fraction and condition of a C-to-T editor, on the context
-    of ten to either side and the position, which stands behind it as a letter of its own."""
+def rare_sets(s: Source) -> DataFrame:
+    """Rows of the outcome fractions of C of the C-to-T editors with split, label and logit, on the context of ten to either side and the
+    position, which stands behind it as a letter of its own."""
     from editloom.operators import training
     from editloom.plans.drivers import freq
     from editloom.sources.dimensions import editor_kind
@@ -189,19 +189,24 @@ def rare(s: Source, kind: str) -> DataFrame:
     place = F.translate(F.col("position").cast("string"), "".join(map(str, PLACES)), "abcdef")
     rows = rows.withColumn("around", seq.context(F.col("seq"), F.col("position") + F.col("pos0_idx"), 10)).where("around is not null")
     rows = rows.select(*RARE, "site", "position", F.concat("around", place).alias("context"), F.col("value").alias("frequency"))
-    sets = rows.withColumn("split", models.split(F.concat_ws("_", "site", "position", "fraction"))).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
-    target = "logit" if kind in ("ridge", "gbt_regressor") else "label"
-    return learners.learn_groups(sets, RARE, kind, "context", target, letters="ACGTabcdef").withColumn("model", F.lit(kind))
+    return rows.withColumn("split", models.split(F.concat_ws("_", "site", "position", "fraction"))).withColumns({"label": (F.col("frequency") > 0).cast("int"), "logit": seq.logit(F.col("frequency"))})
+
+
+def rare(s: Source, kinds: list[str], target: str) -> DataFrame:
+    """Rows of ``rare_sets`` with predictions of each kind of learner, one fit a fraction and condition. The sets are formed once."""
+    sets = written(rare_sets(s), new_folder(s.spark, "rare"))
+    told = [learners.learn_groups(sets, RARE, kind, "context", target, letters="ACGTabcdef").withColumn("model", F.lit(kind)) for kind in kinds]
+    return told[0].unionByName(told[1])
 
 
 @query("l10_rare_regress")
 def l10_rare_regress(s: Source) -> DataFrame:
-    return stats.correlation(rare(s, "ridge").unionByName(rare(s, "gbt_regressor")), "predicted", "logit", ["model", *RARE, "split"])
+    return stats.correlation(rare(s, ["ridge", "gbt_regressor"], "logit"), "predicted", "logit", ["model", *RARE, "split"])
 
 
 @query("l10_rare_classify")
 def l10_rare_classify(s: Source) -> DataFrame:
-    return models.classification_metrics(rare(s, "logistic").unionByName(rare(s, "gbt_classifier")), "label", "predicted", ["model", *RARE, "split"])
+    return models.classification_metrics(rare(s, ["logistic", "gbt_classifier"], "label"), "label", "predicted", ["model", *RARE, "split"])
 
 
 @query("l11_collate")

@@ -196,3 +196,14 @@ def test_newton_steps_meet_few_groups_a_task(spark, monkeypatch):
     seen, plain = [], learners._solved
     monkeypatch.setattr(learners, "_solved", lambda train, *rest: seen.append(train.groupBy(F.input_file_name()).agg(F.count_distinct("grp").alias("n")).agg(F.max("n")).first()[0]) or plain(train, *rest))
     assert learners.logistic_fits(table, ["grp"]).count() == 24 and max(seen) <= 12
+
+
+def test_both_models_of_the_rare_fractions_form_their_sets_once(spark, sf, monkeypatch):
+    from editloom.plans import models as mq
+    from editloom.sources.fixtures import Source
+
+    made, plain = [], mq.rare_sets
+    monkeypatch.setattr(mq, "rare_sets", lambda s: made.append(1) or plain(s))
+    monkeypatch.setattr(mq.learners, "learn_groups", lambda df, by, kind, *rest, **more: df.select(*by, F.lit(0.0).alias("predicted")))
+    got = mq.rare(Source(spark, sf), ["ridge", "gbt_regressor"], "logit")
+    assert len(made) == 1 and {r.model for r in got.select("model").distinct().collect()} <= {"ridge", "gbt_regressor"}
