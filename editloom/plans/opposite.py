@@ -36,7 +36,8 @@ def rows(s: Source) -> DataFrame:
     kinds = s.v_cond.select("condition", dim.editor_kind(F.col("editor")).alias("kind"))
     freq = counts.frequencies(counts.dense_cells(s.v_g4_early.where("role = 'T'").drop("role")), depth=100)
     sets = training.training_rows(freq, s.v_site, kinds, [d for d in training.DRIVERS if d[0].startswith("opposite")])
-    sets = sets.withColumn("position", F.col("position").cast("int"))
+    # Stored, as scaling reads them twice.
+    sets = written(sets.withColumn("position", F.col("position").cast("int")), new_folder(s.spark, "opposite"))
     return training.scaled_by_position(sets, GROUP).withColumn("split", models.split(F.concat_ws("_", "condition", "site", "position", "class")))
 
 

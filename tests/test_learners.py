@@ -207,3 +207,10 @@ def test_both_models_of_the_rare_fractions_form_their_sets_once(spark, sf, monke
     monkeypatch.setattr(mq.learners, "learn_groups", lambda df, by, kind, *rest, **more: df.select(*by, F.lit(0.0).alias("predicted")))
     got = mq.rare(Source(spark, sf), ["ridge", "gbt_regressor"], "logit")
     assert len(made) == 1 and {r.model for r in got.select("model").distinct().collect()} <= {"ridge", "gbt_regressor"}
+
+
+def test_opposite_sets_are_stored_before_they_are_scaled(spark, sf):
+    from editloom.plans import opposite
+    from editloom.sources.fixtures import Source
+
+    assert "lineitem" not in opposite.rows(Source(spark, sf))._jdf.queryExecution().executedPlan().toString()
