@@ -23,7 +23,8 @@ def running_before(df: DataFrame, by: list[str], order: list[str], amounts: dict
     none = lambda c: F.coalesce(c, F.lit(0))
     base = sizes.select(*by, "__range", *[none(F.sum(c).over(earlier)).alias(f"{c}_base") for c in held.values()], *[F.sum(c).over(whole).alias(f"{n}_all") for n, c in held.items()])
     inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"{c}_inside": none(F.sum(c).over(inside)) for c in held.values()}).join(base, [*by, "__range"])
+    # Rows lie by group and range already, so the bases come to them; a broadcast might take the rows, which are small as stored.
+    rows = rows.withColumns({f"{c}_inside": none(F.sum(c).over(inside)) for c in held.values()}).join(base.hint("merge"), [*by, "__range"])
     rows = rows.withColumns({n: F.col(f"{c}_base") + F.col(f"{c}_inside") for n, c in held.items()})
     return rows.drop("__range", *[f"{c}{end}" for c in held.values() for end in ("", "_base", "_inside")])
 

@@ -77,10 +77,8 @@ def counts_of(n: int) -> Counts:
     return Counts(n)
 
 
-def picked_blocks(frame, by: list[str], block: int, chunk: int = 1 << 20) -> Iterator[list]:
-    """``by``, number of the block of places, replicates and places in it: the picks that one group's rows (rep, lacking, __n) ask for."""
-    key, n = frame[by].iloc[0].tolist(), int(frame["__n"].iloc[0])
-    count, reps = frame["lacking"].to_numpy(), frame["rep"].to_numpy()
+def picked_blocks(n: int, reps: np.ndarray, count: np.ndarray, block: int, chunk: int = 1 << 20) -> Iterator[tuple]:
+    """Number of the block of places, replicates and places in it: the ``count`` picks that each replicate of a group of ``n`` rows asks for."""
     ends = np.cumsum(count)
     for begin in range(0, int(ends[-1]), chunk):
         at = np.arange(begin, min(begin + chunk, int(ends[-1])))
@@ -88,85 +86,98 @@ def picked_blocks(frame, by: list[str], block: int, chunk: int = 1 << 20) -> Ite
         j = (at - (ends - count)[row] + 1).astype(np.uint64)
         first = mixed((j * np.uint64(PICK) + np.uint64(SHIFT)).astype(np.uint32))
         shift = (reps[row].astype(np.uint64) * np.uint64(REP)).astype(np.uint32)
-        places = mixed(first + shift).astype(np.int64) % n
-        order = np.argsort(places // block, kind="stable")
-        numbers, starts = np.unique(places[order] // block, return_index=True)
+        spots = mixed(first + shift).astype(np.int64) % n
+        order = np.argsort(spots // block, kind="stable")
+        numbers, starts = np.unique(spots[order] // block, return_index=True)
         for number, some in zip(numbers.tolist(), np.split(order, starts[1:])):
-            yield [*key, number, reps[row[some]].astype(np.int32), (places[some] % block).astype(np.int32)]
+            yield number, reps[row[some]].astype(np.int32), (spots[some] % block).astype(np.int32)
 
 
-def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, block: int = 1 << 18, places: int = 1 << 15) -> DataFrame:
-    """``by``, rep, mean: the means of resamples of each group's rows with a value. ``places``: of how many neighbouring places a task adds up
-    the picks, at most some three square roots of it a replicate."""
+def drawn_counts(n: int, begin: int, end: int, replicates: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """How often the first draws leave the places from ``begin`` to ``end`` of a group of ``n`` rows, by replicate: some places at a time."""
+    shifts = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(REP)).astype(np.uint32)
+    count, step = counts_of(n), max(1, block // replicates)
+    for i in range(begin, end, step):
+        spots = np.arange(i, min(i + step, end), dtype=np.uint64)
+        yield i, count(mixed(mixed((spots * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))[:, None] + shifts))
+
+
+def multinomial_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, block: int = 1 << 18, places: int = 1 << 13, over: DataFrame | None = None, sums: int = 1 << 22) -> DataFrame:
+    """``by``, rep, mean: the means of resamples of each group's rows with a value. ``over``, where ``df`` leaves out rows of value 0: all rows, by
+    ``row_order`` and those of ``by`` that tell them apart. ``places``: of how many neighbouring places a task adds up rows and picks.
+
+    Draws follow from the place and the group's size alone. So they are summed once a size, and made once for all groups of a size that have
+    rows in a block of places; of such groups a task holds as many as make a million rows or ``sums`` sums."""
     import pandas as pd
 
     spark, kinds = df.sparkSession, dict(df.dtypes)
-    narrow = df.where(F.col(value).isNotNull()).select(*by, *[c for c in row_order if c not in by], F.col(value).cast("double").alias("__x"))
-    rows = written(placed(narrow, by, row_order, "__at", "__n").select(*by, "__at", "__n", "__x"), new_folder(spark, "resample"))
-
-    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shifts = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(REP)).astype(np.uint32)
-        step, most, sums = max(1, block // replicates), max(1, (1 << 22) // replicates), {}
-        out = lambda: pd.DataFrame([(*key, n, *held) for (n, *key), held in sums.items()], columns=[*by, "__n", "drawn", "held"])
+    parts, order = int(spark.conf.get("spark.sql.shuffle.partitions")), [c for c in row_order if c not in by]
+    rows = df.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("__x"))
+    if over is None:
+        rows = placed(rows, by, row_order, "__at", "__n")
+    else:
+        shared = [c for c in by if c in over.columns]
+        spots = placed(over.select(*shared, *order), shared, row_order, "__at", "__n")
+        rows = rows.join(spots.hint("merge"), [*shared, *order])  # stored numbers are small, their broadcast is not
+    spot = (F.col("__at") % places).cast("int").alias("__spot")
+    rows = written(rows.select(*by, "__n", F.floor(F.col("__at") / places).alias("__block"), spot, "__x"), new_folder(spark, "resample"))
+    groups = rows.select(*by, "__n").distinct()
+    most = F.greatest(F.lit(1), F.least(F.floor(F.lit(1 << 20) / F.least("__n", F.lit(places))), F.lit(sums // replicates)))
+    shares = groups.groupBy("__n").agg(F.count("*").alias("count")).agg(F.max(F.ceil(F.col("count") / most))).first()[0] or 1
+    share = F.pmod(F.hash(*by), F.lit(int(shares))).alias("__share")
+    sizes = groups.select("__n", share).groupBy("__n").agg(F.collect_set("__share").alias("shares"))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for n, same in frame.groupby("__n", sort=False):
-                # Groups of as many rows draw alike, so a place is drawn once for all that are here.
-                count, (spots, spot) = counts_of(int(n)), np.unique(same["__at"].to_numpy(), return_inverse=True)
-                first = mixed((spots.astype(np.uint64) * np.uint64(ROW) + np.uint64(SHIFT)).astype(np.uint32))
-                # A row at a place's number among these; a group has a place once.
-                parts = [(key, spot[at], same["__x"].to_numpy()[at]) for key, at in same.groupby(by, sort=False).indices.items()]
-                parts = [(key if isinstance(key, tuple) else (key,), at[order], x[order]) for key, at, x in parts for order in [np.argsort(at)]]
-                for i in range(0, len(spots), step):
-                    counts = count(mixed(first[i : i + step, None] + shifts))
-                    real = counts.astype(float)
-                    for key, at, x in parts:
-                        lo, hi = np.searchsorted(at, [i, i + step])
-                        if lo == hi:
-                            continue
-                        if (n, *key) not in sums:
-                            sums[n, *key] = np.zeros(replicates), np.zeros(replicates)
-                        drawn, held = sums[n, *key]
-                        here, some = at[lo:hi] - i, np.flatnonzero(x[lo:hi])
-                        drawn += counts.sum(0, dtype=np.int64) if len(here) == len(counts) else counts[here].sum(0, dtype=np.int64)
-                        held += x[lo:hi][some] @ real[here[some]]
-                if len(sums) >= most:
-                    yield out()
-                    sums.clear()
-        if sums:
-            yield out()
-
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in by)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = rows.repartition(parts, "__at").sortWithinPartitions("__at").mapInPandas(weigh, schema + "__n long, drawn array<double>, held array<double>")
-    each = sums.select(*by, "__n", F.posexplode(F.arrays_zip("drawn", "held")).alias("rep", "s")).groupBy(*by, "__n", (F.col("rep") + 1).cast("long").alias("rep"))
-    totals = written(each.agg(F.sum("s.drawn").alias("drawn"), F.sum("s.held").alias("held")), new_folder(spark, "resample"))
+            for n, part in frame.groupby("__n", sort=False):
+                drawn = np.zeros(replicates, np.int64)
+                for i in part["__block"].tolist():
+                    for _, counts in drawn_counts(int(n), i * places, min(int(n), (i + 1) * places), replicates, block):
+                        drawn += counts.sum(0, dtype=np.int64)
+                yield pd.DataFrame([(n, part["shares"].iloc[0], drawn)], columns=["__n", "shares", "drawn"])
+
+    blocks = sizes.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / places)))).repartition(parts)
+    drawn = blocks.mapInPandas(draw, "__n long, shares array<int>, drawn array<long>").select("__n", "shares", F.posexplode("drawn").alias("rep", "drawn"))
+    totals = drawn.groupBy("__n", (F.col("rep") + 1).cast("long").alias("rep")).agg(F.sum("drawn").alias("drawn"), F.first("shares").alias("shares"))
+    totals = written(totals, new_folder(spark, "resample"))
     fits = F.col("drawn") <= F.col("__n")
-    lacking = F.when(fits, F.col("__n") - F.col("drawn").cast("long")).otherwise(F.col("__n"))
+    lacking = F.when(fits, F.col("__n") - F.col("drawn")).otherwise(F.col("__n"))
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, part in frame.groupby(by, sort=False):
-                for row in picked_blocks(part, by, places):
-                    yield pd.DataFrame([row], columns=[*by, "__block", "reps", "ats"])
+            for n, part in frame.groupby("__n", sort=False):
+                for number, *picks in picked_blocks(int(n), part["rep"].to_numpy(), part["lacking"].to_numpy(), places):
+                    yield pd.DataFrame([(n, number, i, *picks) for i in part["shares"].iloc[0]], columns=["__n", "__block", "__share", "reps", "ats"])
 
     def add(picks: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        sums = np.zeros(replicates + 1)
-        if len(picks) and len(values):
-            x = np.zeros(places)
-            x[values["__at"].to_numpy() % places] = values["__x"].to_numpy()
-            for reps, ats in zip(picks["reps"], picks["ats"]):
-                sums += np.bincount(reps, x[ats], replicates + 1)
-        found = np.flatnonzero(sums)
-        key = {c: pd.Series([picks[c].iloc[0]] * len(found), dtype=object) for c in by if len(found)}  # plain: strings of other kinds come in chunks
-        return pd.DataFrame(key | {"rep": found, "more": sums[found]}, columns=[*by, "rep", "more"])
+        columns = [*by, "__n", "held", "more"]
+        if not len(values):
+            return pd.DataFrame(columns=columns)
+        n, begin = int(values["__n"].iloc[0]), int(values["__block"].iloc[0]) * places
+        found = list(values.groupby(by, sort=False).indices.items())
+        x = np.zeros((len(found), min(places, n - begin)))
+        for i, (_, at) in enumerate(found):
+            x[i, values["__spot"].to_numpy()[at]] = values["__x"].to_numpy()[at]
+        held, more = np.zeros((len(found), replicates)), np.zeros((len(found), replicates))
+        for i, counts in drawn_counts(n, begin, begin + x.shape[1], replicates, block):
+            held += x[:, i - begin : i - begin + len(counts)] @ counts.astype(float)
+        for reps, ats in zip(picks["reps"], picks["ats"]):
+            for i in range(len(found)):
+                more[i] += np.bincount(reps - 1, x[i, ats], replicates)
+        keys = zip(*(key if isinstance(key, tuple) else (key,) for key, _ in found))
+        key = {c: pd.Series(k, dtype=object) for c, k in zip(by, keys)}  # plain: strings of other kinds come in chunks
+        return pd.DataFrame(key | {"__n": n, "held": list(held), "more": list(more)}, columns=columns)
 
     # Picks and rows meet by block of places: a join of single picks would be sent whole to every task while its tables look small.
-    wanting = totals.select(*by, "rep", "__n", lacking.alias("lacking")).where("lacking > 0").repartition(parts)
-    picks = wanting.mapInPandas(pick, schema + "__block long, reps array<int>, ats array<int>")
-    values = rows.where("__x <> 0").select(*by, F.floor(F.col("__at") / places).alias("__block"), "__at", "__x")
-    met = picks.groupBy(*by, "__block").cogroup(values.groupBy(*by, "__block")).applyInPandas(add, schema + "rep long, more double")
-    whole = totals.join(met.groupBy(*by, "rep").agg(F.sum("more").alias("more")), [*by, "rep"], "left")
-    return whole.select(*by, "rep", ((F.when(fits, F.col("held")).otherwise(0.0) + F.coalesce("more", F.lit(0.0))) / F.col("__n")).alias("mean"))
+    # The number of tasks is told, as blocks are small to Spark and long to work on.
+    meet = ["__n", "__block", "__share"]
+    wanting = totals.select("__n", "rep", "shares", lacking.alias("lacking")).where("lacking > 0").repartition(parts)
+    picks = wanting.mapInPandas(pick, "__n long, __block long, __share int, reps array<int>, ats array<int>").repartition(parts, *meet)
+    values = rows.withColumn("__share", share).repartition(parts, *meet)
+    met = picks.groupBy(*meet).cogroup(values.groupBy(*meet)).applyInPandas(add, "".join(f"`{c}` {kinds[c]}, " for c in by) + "__n long, held array<double>, more array<double>")
+    each = met.select(*by, "__n", F.posexplode(F.arrays_zip("held", "more")).alias("rep", "s")).groupBy(*by, "__n", (F.col("rep") + 1).cast("long").alias("rep"))
+    whole = each.agg(F.sum("s.held").alias("held"), F.sum("s.more").alias("more")).join(totals.select("__n", "rep", "drawn"), ["__n", "rep"])
+    return whole.select(*by, "rep", ((F.when(fits, F.col("held")).otherwise(0.0) + F.col("more")) / F.col("__n")).alias("mean"))
 
 
 def intervals(means: DataFrame, by: list[str], mean: str = "mean") -> DataFrame:
@@ -174,11 +185,11 @@ def intervals(means: DataFrame, by: list[str], mean: str = "mean") -> DataFrame:
     return means.groupBy(*by).agg(*[F.percentile(mean, q).alias(n) for n, q in INTERVAL.items()])
 
 
-def bootstrap_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, kind: str = "mean") -> DataFrame:
-    """Intervals of the mean, or of the geometric mean of values above 0."""
+def bootstrap_means(df: DataFrame, value: str, by: list[str], row_order: list[str], replicates: int = 1000, kind: str = "mean", over: DataFrame | None = None) -> DataFrame:
+    """Intervals of the mean, or of the geometric mean of values above 0. ``over``: as in ``multinomial_means``, for the mean alone."""
     if kind == "gmean":
         df = df.where(F.col(value) > 0).withColumn(value, F.ln(value))
-    means = multinomial_means(df, value, by, row_order, replicates)
+    means = multinomial_means(df, value, by, row_order, replicates, over=over)
     return intervals(means.withColumn("mean", F.exp("mean")) if kind == "gmean" else means, by)
 
 

@@ -79,6 +79,26 @@ def test_picks_are_added_up_by_blocks_of_places(spark):
     assert len(told) == 100 and {(r.g, r.rep): r["mean"] for r in means.collect()} == pytest.approx(told, abs=1e-12)
 
 
+def test_rows_of_value_0_may_be_left_out(spark):
+    """Two lengths of one editor's sites, of which few have the second; a group held alone or with others has the same means."""
+    sites = [("e", "c%d" % (i % 2), i) for i in range(500)] + [("f", "c2", i) for i in range(40)]
+    rows = [(*s, k, float(s[2] % 9 + 1) if s[2] % k == 0 else 0.0) for s in sites for k in (1, 7, 11)]
+    df = spark.createDataFrame(rows, "e string, c string, site int, k int, v double").repartition(5)
+    over = spark.createDataFrame(sites, "e string, c string, site int").repartition(3)
+    told = lambda means: {(r.e, r.k, r.rep): r["mean"] for r in means.collect()}
+    dense = told(resample.multinomial_means(df, "v", ["e", "k"], ["c", "site"], 40))
+    assert len(dense) == 240 and len(set(dense.values())) > 100
+    for kept in ({}, {"sums": 40, "places": 64}):
+        assert told(resample.multinomial_means(df.where("v > 0"), "v", ["e", "k"], ["c", "site"], 40, over=over, **kept)) == pytest.approx(dense, abs=1e-12)
+
+
+def test_no_table_with_places_is_broadcast(spark):
+    """What is small as stored may be many rows; the driver would hold them."""
+    df = spark.createDataFrame([("ab"[i % 2], i) for i in range(50)], "g string, i int").repartition(3)
+    plan = ranges.placed(df, ["g"], ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_draws_are_even():
     first = resample.mixed((np.arange(2000, dtype=np.uint64) * np.uint64(resample.ROW) + np.uint64(resample.SHIFT)).astype(np.uint32))
     whole = resample.mixed(first[:, None] + (np.arange(500, dtype=np.uint64) * np.uint64(resample.REP)).astype(np.uint32))
