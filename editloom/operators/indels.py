@@ -117,6 +117,12 @@ def length_spectrum(h6: DataFrame, first: int = -40, last: int = 15) -> DataFram
     return grid.join(sums, [*SITE, "signed_length"], "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
 
 
+def length_cells(h6: DataFrame) -> DataFrame:
+    """Frequency by site and signed length as far as there is any; what is no indel has none, so that every site has a row."""
+    length = F.when(F.col("category") != "wildtype", signed_length())
+    return frequency(h6).groupBy(*SITE, length.alias("signed_length")).agg(F.sum("frequency").alias("frequency"))
+
+
 def position_spectrum(h6: DataFrame) -> DataFrame:
     """Each indel adds its frequency to every position it covers."""
     rows = aligned(frequency(h6)).where("end_adj > start_adj").withColumn("position", F.explode(F.sequence("start_adj", F.col("end_adj") - 1)))

@@ -13,6 +13,7 @@ from editloom.plans import indels as iq
 from editloom.plans.registry import query, rounded
 from editloom.plans.summaries import ANNOT, V, ratios
 from editloom.sources.fixtures import Source, oracle
+from editloom.sources.shared import new_folder, written
 
 QUANTILES = ", ".join(f"round(quantile_cont(m, {q}), 6) AS {n}" for n, q in resample.INTERVAL.items())
 
@@ -74,9 +75,13 @@ filled AS (SELECT editor, g.condition, g.site, CAST(l AS INT) AS signed_length,
 
 @query("t12_by_length", oracle(f"SELECT editor, signed_length, {QUANTILES} FROM means GROUP BY ALL", "v_h6", "v_cond", ctes=LENGTHS + multinomial(_spots("SELECT * FROM filled", "editor, signed_length", "condition, site"), "editor, signed_length", 1000)))
 def t12_by_length(s: Source) -> DataFrame:
-    """The mean frequency of indels by length, over all sites of an editor's conditions."""
-    rows = indels.length_spectrum(iq.sides(s)[0]).join(s.v_cond.select("condition", "editor"), "condition")
-    return rounded(resample.bootstrap_means(rows, "frequency", ["editor", "signed_length"], ["condition", "site"], 1000))
+    """The mean frequency of indels by length, over all sites of an editor's conditions. Only lengths that a site has are rows."""
+    by, told = ["editor", "signed_length"], F.col("signed_length").between(-40, 15) & (F.col("signed_length") != 0)
+    cells = written(indels.length_cells(iq.sides(s)[0]), new_folder(s.spark, "lengths")).join(s.v_cond.select("condition", "editor"), "condition")
+    sites = cells.select("editor", "condition", "site").distinct()
+    found = resample.bootstrap_means(cells.where(told), "frequency", by, ["condition", "site"], 1000, over=sites)
+    every = sites.select("editor").distinct().withColumn("signed_length", F.explode(F.array(*[F.lit(i) for i in range(-40, 16) if i])))
+    return rounded(every.join(found, by, "left").na.fill(0.0))
 
 
 def _tail(least: str) -> str:
