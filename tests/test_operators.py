@@ -270,6 +270,16 @@ def test_error_tail_takes_the_quality_of_each_side(spark):
     assert abs(got[1] - tail(2, 200, 1e-2, 1e-3)) < 1e-5 and abs(got[2] - tail(1, 100, 1e-3, 1e-3)) < 1e-5
 
 
+@pytest.mark.parametrize("keys", [["site", "idx"], ["condition", "site", "idx"]])
+def test_qualities_are_not_broadcast(spark, keys):
+    """They grow with the sites; counts and qualities are shuffled once each, by what both share."""
+    rows = [("c", i, 15 + i % 7, 5, "C", "T", 2.0) for i in range(9)]
+    t = spark.createDataFrame(rows, "condition string, site long, idx int, position int, ref_nt string, obs_nt string, count double")
+    quality = t.selectExpr(*keys, "20 t_quality", "30 c_quality")
+    plan = stats.sequencing_error(t, quality)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_ridge_of_groups_against_numpy(spark):
     draw = np.random.default_rng(1)
     x = (draw.random((120, 5)) < 0.4).astype(float)
