@@ -13,6 +13,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows up to which Spark may broadcast a stored table.
+BROADCAST = 8 << 20
 _shipped: set[str] = set()
 _own_root: list[str] = []
 
@@ -59,6 +61,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, row: int, rows: int | None = None) -> DataFrame:
+    """``df`` as a side of a join: Spark may broadcast it where its rows (counted if not told), of about ``row`` bytes in memory, are few, and
+    must merge it beyond. Spark goes by the size of a stored table's files, which is far below that of its rows, and below
+    that of lists: their share of a table counts as one entry's, and what an explode makes of them as well."""
+    return df.hint("merge") if (df.count() if rows is None else rows) * row > BROADCAST else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete saved tables that nothing reads any more."""
     for df in tables:

@@ -27,15 +27,18 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     # Few edges are worked on by few tasks; their number never grows.
     tasks = now.count() // EDGES_A_TASK + 1
 
+    def met(df: DataFrame) -> DataFrame:
+        return df if tasks == 1 else df.hint("merge")  # files of edges are a fraction of their rows
+
     def keep(df: DataFrame, part: str) -> DataFrame:
         return save(df.coalesce(tasks) if tasks < width(df.sparkSession) else df, f"{name}-{part}")
 
     while not _is_star(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = keep(both.join(met(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low2 = keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(met(low2), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = keep(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop(now, low, large, low2)
         now = then

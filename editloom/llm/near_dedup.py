@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.llm.base import drop, save, ship, unused, width
+from editloom.llm.base import drop, save, ship, sized, unused, width
 from editloom.llm.graph import components, local_labels, stream_groups
 from editloom.llm.text import FOLD, IS_SPACE, Permutations, buffers, exact_sets, shingles, slices, steps, word_hashes
 
@@ -96,30 +96,32 @@ def candidates(reps: DataFrame, percent: int, coordinates: int = COORDINATES, ho
         "cid", "c", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("token")
     )
     lists = save(posts.groupBy("token").agg(F.count("*").alias("df"), F.min("cid").alias("leader")).where("df > 1"), "near-lists")
-    hits = save(posts.join(lists, "token"), "near-hits")
+    # Posts are exploded: at any size Spark takes them for a fraction of what they are.
+    hits = save(posts.join(lists.hint("merge"), "token"), "near-hits")
     hot_hits = hits.where(F.col("df") > hot)
     heat = save(hot_hits.groupBy("cid").agg(F.count("*").alias("heat"), F.array_sort(F.collect_set("c")).alias("hot_at")), "near-heat")  # at most one entry a coordinate
+    few_hot, signatures = sized(heat, 80 + 4 * coordinates), sized(reps, 80 + 4 * coordinates)
     # A cold coordinate shared with nobody never collides, so a prefix ends where its coordinate number
     # does: two classes cut theirs at the same order of coordinates.
     prefix = coordinates - threshold + margin
     cold = (
         hits.where(F.col("df") <= hot)
-        .join(heat, "cid", "left")
+        .join(few_hot, "cid", "left")
         .withColumn("place", F.col("c") - F.coalesce(F.size(F.filter("hot_at", lambda x: x < F.col("c"))), F.lit(0)))
         .where(F.col("place") < prefix)
         .select("token", "cid", F.coalesce("heat", F.lit(0)).alias("heat"))
     )
     left = cold.select("token", F.col("cid").alias("b"), F.col("heat").alias("heat_b"))
-    right = cold.select("token", F.col("cid").alias("a"), F.col("heat").alias("heat_a"))
+    right = cold.select("token", F.col("cid").alias("a"), F.col("heat").alias("heat_a")).hint("merge")
     least = F.least(F.min("heat_a"), F.min("heat_b"))
     need = F.when(least >= threshold, F.lit(threshold)).otherwise(F.lit(threshold) - least)
     met = left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), need.alias("need")).where(F.col("n") >= F.least("need", F.lit(margin)))
-    full = met.select("a", "b").join(reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    full = full.join(reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    full = met.select("a", "b").join(signatures.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
+    full = full.join(signatures.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     matches = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
     pairs = full.where(matches >= threshold).select("a", "b")
     # The list's smallest member may itself be too cold to match; the edge to it only groups.
-    stars = hot_hits.join(heat.where(F.col("heat") >= threshold).select("cid"), "cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).where("a < b").distinct()
+    stars = hot_hits.join(few_hot.where(F.col("heat") >= threshold).select("cid"), "cid", "left_semi").select(F.col("leader").alias("a"), F.col("cid").alias("b")).where("a < b").distinct()
     out = save(pairs.unionByName(stars), "near-pairs")
     drop(hits, lists)
     return out, heat.select("cid", "heat")
@@ -179,7 +181,7 @@ def verified(groups: DataFrame, percent: int, k: int = SHINGLE, block: int = BLO
     rest = rows.where("cid <> leader").select("grp", mine(F.col("blocks"), 11).alias("unit_i"), zero.alias("unit_j"), "cid", "text", no.alias("first"))
     near = save(_compare(led.unionByName(rest), percent, k, "first"), "near-led")
     # What meets its leader carries its link as (leader, cid) or (cid, leader).
-    ends = near.select(F.col("a").alias("end")).unionByName(near.select(F.col("b").alias("end"))).distinct()
+    ends = sized(near.select(F.col("a").alias("end")).unionByName(near.select(F.col("b").alias("end"))).distinct(), 40, 2 * near.count())
     far = save(rows.where("cid <> leader").select("grp", "cid", "blocks", "text").join(ends, F.col("cid") == F.col("end"), "left_anti"), "near-far")
     again = far.groupBy("grp").agg(blocks(F.count("*")).alias("heads"))
     firsts = far.join(again, "grp").select("grp", mine(F.col("heads"), 13).alias("unit_i"), over(F.col("blocks")).alias("unit_j"), "cid", "text", F.lit(True).alias("first"))
@@ -220,7 +222,7 @@ def grouped_texts(edges: DataFrame, classes: DataFrame, docs: DataFrame, heat: D
     """grp, cid, heat, text, saved: the texts of the classes (cid, doc_id, mark) that ``edges`` group."""
     roots = components(edges, "near-groups")
     members = roots.select(F.col("node").alias("cid"), F.col("root").alias("grp")).unionByName(roots.select(F.col("root").alias("cid"), F.col("root").alias("grp")).distinct())
-    members = members.join(classes.select("cid", F.col("doc_id").alias("of"), F.col("mark").alias("own")), "cid").join(heat, "cid", "left")
+    members = sized(members, 40).join(classes.select("cid", F.col("doc_id").alias("of"), F.col("mark").alias("own")), "cid").join(sized(heat, 40), "cid", "left")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # By merge at any size: what is small here on a small table is not bounded on a large one.
     found = members.hint("merge").join(texts, F.col("id") == F.col("of")).where(text_mark(F.col("text")) == F.col("own"))
@@ -240,10 +242,11 @@ def told(docs: DataFrame, percent: int, k: int, sign: Callable = signed, find: C
     texts = grouped_texts(edges, classes, docs, heat)
     final = components(verified(texts, percent, k))
     rooted = final.select(F.col("node").alias("cid"), "root").unionByName(final.select(F.col("root").alias("cid"), "root").distinct())
-    named = save(rooted.join(classes.select("cid", F.struct("doc_id", "mark").alias("own")), "cid"), "near-named")
+    named = save(sized(rooted, 40).join(classes.select("cid", F.struct("doc_id", "mark").alias("own")), "cid"), "near-named")
+    many = named.count()
     heads = named.groupBy("root").agg(F.min("own").alias("head"))
     drop(edges, heat, texts, final)
-    return table, classes.join(named.join(heads, "root").select("cid", "head"), "cid", "left")
+    return table, classes.join(sized(sized(named, 120, many).join(heads, "root").select("cid", "head"), 120, many), "cid", "left")
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, sign: Callable = signed, find: Callable = candidates) -> DataFrame:
@@ -251,6 +254,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, s
     table, classes = told(docs, percent, k, sign, find)
     # Only classes with others in their component, or with copies, need telling.
     few = save(classes.where("head is not null or copies > 1").select(F.col("words").alias("of"), F.coalesce("head.doc_id", "doc_id").alias("root")), "near-told")
+    few = sized(few, 80)
     drop(classes)
     out = table.select("doc_id", "n_shingles", "words").join(few, F.col("words") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
@@ -266,14 +270,14 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> Da
     blank = table.where("doc_id is not null and n_shingles = 0").select("doc_id", "mark")
     rows = table.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
     identity, mark, n, place = (unused(docs, x) for x in ("kept_id", "kept_mark", "kept_rows", "kept_place"))
-    stay = heads.unionByName(blank.distinct()).join(rows, ["doc_id", "mark"])
+    stay = heads.unionByName(blank.distinct()).join(rows.hint("merge"), ["doc_id", "mark"])
     stay = save(stay.select(F.col("doc_id").alias(identity), F.col("mark").alias(mark), F.col("n").alias(n)), "near-kept")
     drop(table, classes)
     own = docs.withColumn(place, text_mark(F.col("text")))
     on = (own["doc_id"].cast("long") == F.col(identity)) & (own[place] == F.col(mark))
-    once = own.join(stay.where(F.col(n) == 1), on, "left_semi").select(*docs.columns)
+    once = own.join(sized(stay.where(F.col(n) == 1), 80), on, "left_semi").select(*docs.columns)
     order = Window.partitionBy(identity, mark).orderBy(F.xxhash64(F.to_json(F.struct(*[own[c] for c in docs.columns]))))
-    repeated = own.join(stay.where(F.col(n) > 1), on).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    repeated = own.join(sized(stay.where(F.col(n) > 1), 80), on).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
     return once.unionByName(repeated.select(*docs.columns)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
