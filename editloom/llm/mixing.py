@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editloom.llm.base import drop, save, unused, width
+from editloom.llm.base import drop, save, sized, unused, width
 
 WEIGHTS, BUDGET, EPOCHS, SEED, PACKET = (3.0, 1.0, 2.0), 1.5, 2, "mix-1", 128
 ROWS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 256, 1 << 16
@@ -127,14 +127,14 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
     rows, buckets, budget_words = queued(docs, weights, budget, epochs, seed)
     whole = served(rows, buckets, budget_words, epochs, packet).groupBy("queue", "start", "epoch").agg(F.sum("part").alias("part"), F.first("size").alias("size")).where("2 * part >= size")
     times = whole.groupBy("queue", "start").agg(F.count("*").alias("uses"))
-    counts = rows.where("size > 0").join(times, ["queue", "start"], "left").groupBy("doc_id", "size").agg(F.sum(F.coalesce("uses", F.lit(0))).alias("uses"), F.count("*").alias("rows"))
+    counts = rows.where("size > 0").join(times.hint("merge"), ["queue", "start"], "left").groupBy("doc_id", "size").agg(F.sum(F.coalesce("uses", F.lit(0))).alias("uses"), F.count("*").alias("rows"))
     identity, size, copies = (unused(docs, x) for x in ("mix_id", "mix_size", "mix_copies"))
     # Rows that repeat a doc_id and a size share their uses evenly, rounded up.
     each = F.ceil(F.col("uses") / F.col("rows")).cast("int")
     uses = save(counts.select(F.col("doc_id").alias(identity), F.col("size").alias(size), each.alias(copies)).where(F.col(copies) > 0), "mix-uses")
     drop(rows)
     n = words(F.col("text"))
-    joined = docs.join(uses, docs["doc_id"].eqNullSafe(F.col(identity)) & (n == F.col(size)), "left")
+    joined = docs.join(sized(uses, 100), docs["doc_id"].eqNullSafe(F.col(identity)) & (n == F.col(size)), "left")
     times = F.when(n == 0, F.lit(1)).otherwise(F.coalesce(F.col(copies), F.lit(0)))
     return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
