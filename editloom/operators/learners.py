@@ -23,8 +23,9 @@ from editloom.operators import trees
 from editloom.sources.shared import new_folder, removed, written
 
 LETTERS = "ACGT"
-#: Cells of a group beyond which its trees are grown over all tasks: 80 features of as many cells take about 130 MB in a worker.
-FIT_CELLS = 200_000
+#: Cells of a group beyond which its trees are grown over all tasks: in a worker a cell takes its text twice, numbers of its letters and some
+#: ten doubles, as many as these about 130 MB.
+FIT_CELLS = 640_000
 #: Least gain of a split, and how near the best a gain is as good.
 LEAST_GAIN, SAME_GAIN = 1e-15, 1e-9
 # The learners go to executors within the tasks, so that these need not have this package.
@@ -300,21 +301,21 @@ def boosted_large(table: DataFrame, by: list[str], classify: bool, letters: str
 
 def boosted(table: DataFrame, by: list[str], classify: bool, letters: str = LETTERS, fit_cells: int = FIT_CELLS, count: int = 100) -> DataFrame:
     """``by``, context, predicted from 100 trees of depth 3 with step 0.1, of the groups of ``cells`` with training rows."""
-    import pandas as pd
+    import pyarrow as pa
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
+    def fit(group: pa.Table) -> pa.Table:
         # Sorted cells: sums do not depend on how they were partitioned.
-        group = group.sort_values("context", ignore_index=True)
-        n, y = group["n"].to_numpy(), group["y"].to_numpy()
-        found = trees.boosted(trees.encoded(group["context"], letters, np.uint8), n, y, classify, count) if n.any() else None
-        return group[[*by, "context"]].assign(predicted=found)
+        group = group.sort_by("context")
+        n, y = group.column("n").to_numpy(), group.column("y").to_numpy()
+        found = trees.boosted_texts(trees.letters_of(group.column("context")), letters, n, y, classify, count) if n.any() else np.full(len(n), None)
+        return group.select([*by, "context"]).append_column("predicted", pa.array(found, pa.float64()))
 
     schema = _schema(table, by) + "context string, predicted double"
     large = table.groupBy(*by).agg(F.count("*").alias("cells")).where(F.col("cells") > fit_cells).select(*by).collect()  # at most cells / fit_cells
     if not large:
-        return table.groupBy(*by).applyInPandas(fit, schema)
+        return table.groupBy(*by).applyInArrow(fit, schema)
     names = F.broadcast(table.sparkSession.createDataFrame([tuple(r) for r in large], _schema(table, by)[:-2]))
-    small = table.join(names, by, "left_anti").groupBy(*by).applyInPandas(fit, schema)
+    small = table.join(names, by, "left_anti").groupBy(*by).applyInArrow(fit, schema)
     return small.unionByName(boosted_large(table.join(names, by, "left_semi"), by, classify, letters, count))
 
 
